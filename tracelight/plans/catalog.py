@@ -1,0 +1,4 @@
+"""All queries of the engine by operator id, and their SQL."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
