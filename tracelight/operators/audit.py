@@ -7,7 +7,7 @@ import json
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..schemas import AUDIT, AUDIT_EVENTS
+from ..schemas import AUDIT, AUDIT_EVENTS, AUDIT_FIELDS
 
 #: The keys of an event in the order in which they are hashed.
 HASHED = ("commit", "commit_count", "event", "field", "format", "pattern_name", "prev_hash", "reason", "redaction_count", "timestamp", "user")
@@ -77,7 +77,7 @@ def event(spark, kind: str, timestamp: str, **details) -> DataFrame:
     """One event as a row of the log's schema; unknown details are refused."""
     if kind not in AUDIT_EVENTS:
         raise ValueError(kind)
-    unknown = set(details) - set(AUDIT.names)
+    unknown = set(details) - set(AUDIT_FIELDS)
     if unknown:
         raise ValueError(f"unknown details: {sorted(unknown)}")
-    return spark.createDataFrame([tuple({"timestamp": timestamp, "event": kind, **details}.get(n) for n in AUDIT.names)], AUDIT)
+    return spark.createDataFrame([tuple({"timestamp": timestamp, "event": kind, **details}.get(n) for n in AUDIT_FIELDS)], AUDIT)

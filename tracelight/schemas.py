@@ -1,6 +1,4 @@
-"""Types of the attribution model and its fixed values."""
-
-from pyspark.sql.types import StructType
+"""Types of the attribution model, as DDL, and its fixed values."""
 
 ORIGINAL, AI, AI_MODIFIED, HUMAN, UNKNOWN = SOURCES = ("Original", "AI", "AIModified", "Human", "Unknown")
 AI_KINDS = (AI, AI_MODIFIED)
@@ -33,13 +31,14 @@ PENDING = (
     f"file_histories:map<string,struct<path:string,was_new_file:boolean,original:{SNAPSHOT},edits:array<{EDIT}>>>>"
 )
 
-HOOK = StructType.fromDDL(
+HOOK = (
     "repo string, session_id string, session_explicit boolean, seq bigint, tool string, file_path string, prompt string, "
     "old_content string, old_content_present boolean, new_content string, timestamp string, "
     "context struct<plan_mode:boolean,is_subagent:boolean,agent_depth:smallint,subagent_id:string>"
 )
-AUDIT = StructType.fromDDL(
+AUDIT = (
     "timestamp string, event string, commit string, reason string, format string, commit_count bigint, pattern_name string, "
     "redaction_count bigint, prev_hash string, event_hash string, user string, field string"
 )
 ATTRIBUTED = "path string, line_number bigint, content string, source_type string, edit_id string, prompt_index bigint, similarity double, confidence double"
+AUDIT_FIELDS = tuple(x.split()[0] for x in AUDIT.split(", "))

@@ -17,7 +17,7 @@ def audit_log(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines; blank lines are skipped, a malformed one fails the read, a missing
     file is an empty log. seq is the line's place within its file."""
     if not _exists(spark, path):
-        return spark.createDataFrame([], S.AUDIT.add("seq", "long"))
+        return spark.createDataFrame([], S.AUDIT + ", seq bigint")
     raw = spark.read.text(path).where(F.trim("value") != "").withColumn("seq", F.monotonically_increasing_id())
     parsed = raw.select(F.from_json("value", S.AUDIT, {"mode": "FAILFAST"}).alias("e"), "seq")
     return parsed.select("e.*", "seq")
