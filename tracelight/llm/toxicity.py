@@ -31,7 +31,7 @@ DIMENSIONS = 1 << 18
 FACTORS = 4
 SAMPLE = 12_000
 THRESHOLD = 0.3
-EPOCHS = 4
+EPOCHS, ROWS = 4, 64
 
 
 class _Slots(dict):
@@ -93,8 +93,8 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, l1: float = 3.0, l2: float
     s0 = 1e-3
     for _ in range(EPOCHS):
         order = rng.permutation(n)
-        for at in range(0, n, 64):
-            part = order[at : at + 64]
+        for at in range(0, n, ROWS):
+            part = order[at : at + ROWS]
             mine = [texts[i] for i in part]
             row = np.repeat(np.arange(len(part)), [len(t) for t in mine])
             index = np.concatenate(mine)
