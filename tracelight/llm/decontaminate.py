@@ -144,6 +144,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), union("hit_words").alias("hit_words"), union("hit_chars").alias("hit_chars"), union("item_ids").alias("item_ids")).drop("_row")
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows in which no window occurs, all columns kept. Rows are tested where
+    they lie; every block of a large benchmark is one more pass over what is left."""
+    spark = docs.sparkSession
+    R.prepare(spark)
+    at = docs.columns.index("text")
+
+    def without(df, items):
+        sent = spark.sparkContext.broadcast(tuple(items))
+        key = hashlib.sha256(repr(items).encode()).hexdigest()
+
+        def run(batches):
+            a = _automaton(key, sent.value)
+            for b in batches:
+                keep = [k for k, t in enumerate(R.utf8(b.column(at))) if not scan(a, words_of(t))[1]]
+                yield b.take(pa.array(keep, pa.int64()))
+
+        return df.mapInArrow(run, df.schema)
+
+    for items in _blocks(benchmark):
+        docs = without(docs, items)
+    return docs
+
+
 def hit_count(spans):
     """Words in the union of sorted runs; runs of several blocks may overlap."""
     step = lambda acc, x: F.struct((acc.n + F.greatest(x.end - F.greatest(x.first, acc.end), F.lit(0))).cast("long").alias("n"), F.greatest(acc.end, x.end).alias("end"))
