@@ -29,15 +29,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     without doc_id or without words belong to no group and stay."""
     found = neardup.near_duplicates(docs, words=5, percent=80)
     gone = found.where("doc_id is not null and not kept").select("doc_id").distinct()
-    # of rows that repeat a kept doc_id all stay: they were one document before
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = runtime.stored(gone, "gone")
+    # a checked number of ids is sent to the texts; more of them meet the texts in a shuffle
+    few = gone.count() <= neardup.FEW
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark window occurs."""
-    found = decontaminate.contamination(docs, runtime.table(spark, sf_dir, "benchmark"))
-    hit = found.where(F.size("hit_words") > 0).where("doc_id is not null").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    return decontaminate.clean(runtime.spread(docs), runtime.table(spark, sf_dir, "benchmark"))
 
 
 def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
