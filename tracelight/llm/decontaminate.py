@@ -95,12 +95,16 @@ def original_spans(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int,
 SCHEMA = "doc_id long, n_words long, hit_words array<struct<first:int,end:int>>, hit_chars array<struct<start:int,end:int>>, item_ids array<string>"
 
 
-def _blocks(benchmark: DataFrame) -> list[list[tuple[str, bytes]]]:
-    """The items, in blocks of bounded size; blocks beyond the first are fetched
-    one at a time, so that the driver holds one."""
+def _items(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """The distinct items and the number of blocks that they make."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).distinct()
     total = rows.select(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    n = total // BLOCK_BYTES + 1
+    return rows, total // BLOCK_BYTES + 1
+
+
+def _blocks(rows: DataFrame, n: int):
+    """The items in n blocks of bounded size, fetched one at a time, so that the driver
+    holds one."""
     for k in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         yield sorted((r.item_id or "", r.text.encode()) for r in part.collect())
@@ -110,7 +114,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per document: word count, hit runs as words and as code points, items."""
     spark = docs.sparkSession
     R.prepare(spark)
+    rows, n = _items(benchmark)
     docs = R.spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    if n > 1:  # rows get a number that all scans agree on
+        docs = R.stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    more = ["_row"] if n > 1 else []
 
     def scanned(items):
         sent = spark.sparkContext.broadcast(tuple(items))
@@ -128,17 +136,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 out = list(zip(*rows)) if rows else [[]] * 5
                 pair = lambda x, y: pa.list_(pa.struct([(x, pa.int32()), (y, pa.int32())]))
                 kinds = [pa.int64(), pa.int64(), pair("first", "end"), pair("start", "end"), pa.list_(pa.string())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["doc_id", "n_words", "hit_words", "hit_chars", "item_ids"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(out, kinds)), *b.columns[2:]], names=["doc_id", "n_words", "hit_words", "hit_chars", "item_ids", *more])
 
-        return docs.mapInArrow(run, SCHEMA)
+        return docs.mapInArrow(run, SCHEMA + (", _row long" if more else ""))
 
-    found = [scanned(items) for items in _blocks(benchmark)]
+    found = [scanned(items) for items in _blocks(rows, n)]
     if len(found) == 1:
         return found[0]
-    # every block scans the same partitions in the same order: the row's place is its key
-    placed = [d.withColumn("_row", F.monotonically_increasing_id()) for d in found]
-    out = placed[0]
-    for d in placed[1:]:
+    out = found[0]
+    for d in found[1:]:
         out = out.unionByName(d)
     union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))  # noqa: E731  one list per block
     return out.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), union("hit_words").alias("hit_words"), union("hit_chars").alias("hit_chars"), union("item_ids").alias("item_ids")).drop("_row")
@@ -163,7 +169,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return df.mapInArrow(run, df.schema)
 
-    for items in _blocks(benchmark):
+    for items in _blocks(*_items(benchmark)):
         docs = without(docs, items)
     return docs
 
