@@ -37,6 +37,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         R.discard(now)
         R.discard(large)
         now = new
+        R.tidy(now.sparkSession)
         if after == before:
             break
         before = after

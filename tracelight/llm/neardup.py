@@ -37,7 +37,13 @@ from .graph import components
 BANDS, ROWS, BATCH = 42, 6, 36
 HASHES = BANDS * ROWS
 MISS = 1e-7
-LEADER_ORDERS = 3
+LEADER_ORDERS = 6
+#: Members of a large bucket per leader, and rows of one component in a bucket up to which rows are joined one by one.
+GROUP, LIGHT = 16, 32
+#: Elements per set that the positional bound looks at, and counters of holders.
+RARE, SLOTS = 64, 1 << 18
+#: Rows of (doc_id, digest) that are broadcast at most: about 10 MB.
+FEW = 250_000
 _MUL = (np.random.default_rng(20240101).integers(0, 2**63, HASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _ADD = np.random.default_rng(20240102).integers(0, 2**63, HASHES, dtype=np.uint64)
 
@@ -114,7 +120,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """bucket, part, node: one row per class and band."""
+    """bucket, part, band, node: one row per class and band."""
 
     def run(batches):
         for b in batches:
@@ -125,10 +131,49 @@ def _bands(classes: DataFrame) -> DataFrame:
             for r in range(ROWS):
                 h = _mix(h ^ sig[:, :, r]) + np.uint64(r)
             node = pa.DictionaryArray.from_arrays(pa.array(np.repeat(np.arange(b.num_rows, dtype=np.int32), BANDS)), b.column(0)).dictionary_decode()
-            part = np.tile(np.arange(BANDS, dtype=np.int32) % LEADER_ORDERS, b.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(part), node], names=["bucket", "part", "node"])
-
-    return classes.select("node", "sig").mapInArrow(run, "bucket long, part int, node binary")
+            band = np.tile(np.arange(BANDS, dtype=np.int32), b.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(band % LEADER_ORDERS), pa.array(band), node], names=["bucket", "part", "band", "node"])
+
+    return classes.select("node", "sig").mapInArrow(run, "bucket long, part int, band int, node binary")
+
+
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
+def _across(at: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of different roots that share a bucket of
+    at(bucket, node, root) and may be linked. A pair comes from the first band that it
+    shares only; of two roots the one with fewer members is spread.
+
+    Two exact bounds keep the pairs few: sizes, and the places of the first common element
+    in an order that puts rare shingles first, which bound the intersection from above.
+    """
+    held = at.select("node").distinct()
+    lists = _bands(classes.join(held, "node", "left_semi")).groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("band", "bucket"))), lambda x: x["bucket"]).alias("bands"))  # BANDS entries each
+    sizes = classes.select("node", "n_shingles").join(_rare(sets), "node")
+    at = R.stored(at.join(lists, "node").join(sizes, "node"), "open-bands")
+    roots = at.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
+    roots = R.stored(roots, "open-roots")
+    side = lambda df, c: df.select("bucket", "band", F.col("root").alias(f"r{c}"), F.col("node").alias(f"n{c}"), F.col("bands").alias(f"b{c}"), F.col("n_shingles").alias(f"s{c}"), F.col("rare").alias(f"f{c}"))
+    first = F.expr("not arrays_overlap(slice(bx, 1, band), slice(by, 1, band))")
+    need = f"ceil({percent} * (sx + sy) / {100 + percent}.0)"
+    # the first common element of the two lists ends what differs before it
+    c = "try_element_at(array_intersect(fx, fy), 1)"
+    placed = f"coalesce(1 + least(sx - array_position(fx, {c}), sy - array_position(fy, {c})), greatest(sx - size(fx), sy - size(fy))) >= {need}"
+    # the cheap tests come first
+    fits = F.expr(f"100 * least(sx, sy) >= {percent} * greatest(sx, sy)") & first & F.expr(placed)
+    pair = [F.least("nx", "ny").alias("a"), F.greatest("nx", "ny").alias("b")]
+    # few rows of a root: row by row. Many: by roots first, so that no row meets its own component
+    light = at.join(roots.where(f"n <= {LIGHT}").select("bucket", "root"), ["bucket", "root"], "left_semi")
+    x, y = side(light, "x"), side(light, "y").withColumnRenamed("bucket", "bucket_y").drop("band")
+    one = x.join(y, (F.col("bucket") == F.col("bucket_y")) & (F.col("rx") < F.col("ry")) & fits).select(*pair)
+    name = lambda c: roots.toDF("bucket", f"r{c}", f"n{c}", f"low{c}", f"high{c}")
+    on = f"n2 > {LIGHT} and (n1 < n2 or (n1 = n2 and r1 < r2)) and 100 * high1 >= {percent} * low2 and 100 * high2 >= {percent} * low1"
+    met = name(1).join(name(2), "bucket").where(on).select("bucket", F.col("r1").alias("rx"), F.col("r2").alias("ry"))
+    y = side(at, "y").withColumnRenamed("bucket", "bucket_y").withColumnRenamed("ry", "root_y").drop("band")
+    many = met.join(side(at, "x"), ["bucket", "rx"]).join(y, (F.col("bucket") == F.col("bucket_y")) & (F.col("ry") == F.col("root_y")) & fits).select(*pair)
+    return one.unionByName(many)
 
 
 def _pruned(pairs: DataFrame, classes: DataFrame, threshold: float, percent: int) -> DataFrame:
@@ -153,10 +198,10 @@ def _pruned(pairs: DataFrame, classes: DataFrame, threshold: float, percent: int
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs whose full sets reach the threshold. Sets are built again for the
-    classes that the pairs name, from one document of each."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(owners, "node").select("doc_id", "node")
+def _sets(nodes: DataFrame, docs: DataFrame, owners: DataFrame, words: int) -> DataFrame:
+    """node, elements (the sorted hashes) of the classes named, built again from one
+    document of each."""
+    named = R.stored(nodes.join(owners, "node").select("doc_id", "node"), "named")
 
     def build(batches):
         for b in batches:
@@ -165,8 +210,47 @@ def _verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, words: int,
             ok = [k for k, (x, want) in enumerate(zip(node, b.column(2).to_pylist())) if x == want]  # a doc_id may have other texts
             yield pa.RecordBatch.from_arrays([pa.array([node[k] for k in ok], pa.binary()), pa.array([s[k].tobytes() for k in ok], pa.binary())], names=["node", "elements"])
 
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(named, "doc_id")
-    sets = R.stored(text.select("doc_id", "text", "node").mapInArrow(build, "node binary, elements binary").dropDuplicates(["node"]), "sets")
+    # a checked number of ids is sent to the texts; more of them meet the texts in a shuffle
+    few = named.count() <= FEW
+    text = docs.join(F.broadcast(named) if few else named, "doc_id")
+    out = R.stored(text.select("doc_id", "text", "node").mapInArrow(build, "node binary, elements binary").dropDuplicates(["node"]), "sets")
+    R.discard(named)
+    return out
+
+
+def _rare(sets: DataFrame) -> DataFrame:
+    """node, rare: each set's RARE first elements in one order of all shingles, those
+    that few of the sets hold first. Holders are counted by slot of SLOTS, so that the
+    counts are a table of fixed size; any order keeps the bound below exact."""
+    spark = sets.sparkSession
+
+    def count(batches):
+        held = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            for e in b.column(0).to_pylist():
+                np.add.at(held, np.frombuffer(e, np.uint64) % np.uint64(SLOTS), 1)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], names=["slot", "n"])
+
+    counts = sets.select("elements").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
+    held = np.zeros(SLOTS, np.int64)
+    held[counts["slot"].to_numpy()] = counts["n"].to_numpy()
+    sent = spark.sparkContext.broadcast(held.astype(np.int32) if not len(held) or held.max() < 2**31 else held)
+
+    def first(batches):
+        for b in batches:
+            out = []
+            for e in b.column(1).to_pylist():
+                x = np.frombuffer(e, np.uint64)
+                n = sent.value[x % np.uint64(SLOTS)]
+                out.append(x[np.lexsort((x, n))[:RARE]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], names=["node", "rare"])
+
+    return sets.select("node", "elements").mapInArrow(first, "node binary, rare array<bigint>")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose full sets reach the threshold."""
 
     def compare(batches):
         for b in batches:
@@ -182,9 +266,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, words: int,
             yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep)], names=["a", "b"])
 
     both = pairs.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b").select("a", "b", "xa", "xb")
-    out = R.stored(both.mapInArrow(compare, "a binary, b binary"), "links")
-    R.discard(sets)
-    return out
+    return R.stored(both.mapInArrow(compare, "a binary, b binary"), "links")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -194,38 +276,42 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     threshold = percent / 100
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sigs = R.stored(signatures(R.spread(docs), words), "signatures")
-    # one row per class; copies are counted where they are before they are moved
-    owners = sigs.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    owners = R.stored(owners, "classes")
-    classes = sigs.where("node is not null").join(owners, ["node", "doc_id"], "left_semi").dropDuplicates(["node", "doc_id"])
-    classes = R.stored(classes.select("node", "n_shingles", "sig"), "class-signatures")
+    # one row per class; copies meet where they are before anything is moved
+    classes = sigs.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    classes = R.stored(classes, "classes")
+    owners = classes.select("node", "doc_id")
     bands = _bands(classes)
-    order = F.struct(F.xxhash64("node", "part"), F.col("node").alias("node"))
-    shared = R.stored(bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min(order).alias("lead")).where("n > 1").select("bucket", F.col("lead.node").alias("lead")), "buckets")
-    members = R.stored(bands.join(shared, "bucket").select("bucket", "node", "lead"), "members")
+    shared = R.stored(bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    # large buckets fall into random groups, others in every band, and each group has a leader
+    group = F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("n") / GROUP)).alias("group")
+    members = R.stored(bands.join(shared, "bucket").select("bucket", group, "part", "band", "node"), "members")
     R.discard(shared)
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    first = members.where("node <> lead").select(*pair("node", "lead")).distinct()
+    lead = members.groupBy("bucket", "group").agg(F.min(F.struct(F.xxhash64("node", "bucket").alias("h"), F.col("node").alias("node"))).alias("lead"))
+    first = members.join(lead, ["bucket", "group"]).where("node <> lead.node").groupBy("node", "part").agg(F.min("lead").alias("lead"))
+    first = first.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
     tried = R.stored(_pruned(first, classes, threshold, percent), "pairs")
-    links = _verified(tried, docs, owners, words, percent)
+    sets = _sets(_nodes(tried), docs, owners, words)
+    links = _verified(tried, sets, percent)
     R.discard(tried)
+    R.discard(sets)
     roots = components(links)
+    R.tidy(spark)
     # buckets in which several components remain: all pairs across components
-    at = members.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    at = members.select("bucket", "band", "node").join(roots, "node", "left").select("bucket", "band", "node", F.coalesce("root", "node").alias("root"))
     open_ = at.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
-    at = R.stored(at.join(open_, "bucket"), "open")
+    at = R.stored(at.join(open_, "bucket", "left_semi"), "open")
     if at.head(1):
-        kinds = at.select("bucket", "root").distinct()
-        across = kinds.toDF("bucket", "r1").join(kinds.toDF("bucket", "r2"), "bucket").where("r1 < r2")
-        rest = across.join(at.toDF("bucket", "x", "r1"), ["bucket", "r1"]).join(at.toDF("bucket", "y", "r2"), ["bucket", "r2"]).select(*pair("x", "y")).distinct()
-        tried = R.stored(_pruned(rest, classes, threshold, percent), "pairs")
+        sets = _sets(at.select("node").distinct(), docs, owners, words)
+        tried = R.stored(_pruned(_across(at, classes, sets, percent), classes, threshold, percent), "pairs")
         if tried.head(1):
-            more = _verified(tried, docs, owners, words, percent)
+            more = _verified(tried, sets, percent)
             if more.head(1):
                 roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
         R.discard(tried)
+        R.discard(sets)
     R.discard(members)
     R.discard(at)
+    R.tidy(spark)
     # class to smallest doc_id of its component, then to documents
     rooted = owners.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -67,6 +68,12 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark drop shuffle files of plans that are no longer referenced."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -76,7 +83,8 @@ def parts_for(df: DataFrame, target_mb: int = 32) -> int:
     no fewer than the session's setting."""
     spark = df.sparkSession
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size >> 20, 1 << 40) // target_mb, 1)
+    # estimates without statistics are as good as infinite: they get a bounded number
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min((size >> 20) // target_mb, 100_000) if size < 1 << 60 else 1, 1)
 
 
 def spread(df: DataFrame) -> DataFrame:
