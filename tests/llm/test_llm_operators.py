@@ -2,6 +2,7 @@
 that hold nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import base64
+import gzip
 import hashlib
 import io
 import json
@@ -145,6 +146,12 @@ def test_zip_directories(spark, tmp_path):
     (tmp_path / "x.wacz").write_bytes(data)
     df = spark.createDataFrame([(f"file://{tmp_path}/x.wacz",)], "path string")
     assert sorted(r.page_id for r in WA.read_packages(df).collect()) == [0, 1, 2]
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        z.writestr("archive/a.warc.gz", b"".join(map(gzip.compress, rec)))
+    (tmp_path / "y.wacz").write_bytes(buf.getvalue())
+    df = spark.createDataFrame([(f"file://{tmp_path}/y.wacz",)], "path string")
+    assert sorted(r.page_id for r in WA.read_packages(df).collect()) == [0, 1, 2]
     # the same entry by ZIP64 records
     name = b"archive/a.warc"
     body = b"".join(rec)
@@ -440,3 +447,15 @@ def test_tree_sums_to_one():
         p = sum(t.probability(state, s) for s in "ab \n") + rest * t.probability(state, "z")
         assert p == pytest.approx(1)
     assert t.longest("xba", t.states) == "ba"
+
+
+def test_clean_rows(spark, monkeypatch):
+    rng = random.Random(13)
+    items = [(k, prose(rng, 12)) for k in range(40)]
+    texts = [None, ""] + [prose(rng, 30) + (" " + items[k][1] if k % 3 == 0 else "") for k in range(30)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {0, 1} | {k + 2 for k in range(30) if k % 3}
+    assert {r.doc_id for r in D.clean(docs(spark, texts), bench).collect()} == want
+    monkeypatch.setattr(D, "BLOCK_BYTES", 1000)
+    got = D.clean(docs(spark, texts), bench)
+    assert {r.doc_id for r in got.collect()} == want and got.columns == docs(spark, []).columns

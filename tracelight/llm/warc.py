@@ -1,7 +1,9 @@
 """WARC records in ZIP packages, read by range.
 
 A package is a ZIP file whose members are stored, not compressed: WARC files in
-archive/ and an index of their records in indexes/. The reader fetches the end of
+archive/ and an index of their records in indexes/. Within a WARC file every record
+is a gzip member of its own, so that a range of it can be read alone; plain files are
+read as well. The reader fetches the end of
 a package, parses the end-of-directory records (ZIP64 included) and the central
 directory, reads the index member, and then fetches ranges of whole records; no
 member is extracted. Packages without an index are scanned record by record.
@@ -15,10 +17,12 @@ numbers. Extra columns are ignored; an empty table writes and returns nothing.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import json
 import struct
 import zipfile
+import zlib
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -162,11 +166,12 @@ def write_package(path: str, records) -> int:
         def close():
             nonlocal buf, size, member
             if buf:
-                z.store(f"archive/data-{member:05d}.warc", b"".join(buf))
+                z.store(f"archive/data-{member:05d}.warc.gz", b"".join(buf))
                 buf, size, member = [], 0, member + 1
 
         for key, data in records:
-            index.append(f"{key} {json.dumps({'filename': f'data-{member:05d}.warc', 'offset': size, 'length': len(data)})}\n")
+            data = gzip.compress(data, 6, mtime=0)
+            index.append(f"{key} {json.dumps({'filename': f'data-{member:05d}.warc.gz', 'offset': size, 'length': len(data)})}\n")
             buf.append(data)
             size += len(data)
             n += 1
@@ -218,6 +223,18 @@ def _open(path: str):
     return f, (lambda at, n: f.read_at(n, at))
 
 
+def _gzip_length(read, at: int, end: int) -> int:
+    """Bytes of the gzip member at an offset."""
+    d, n = zlib.decompressobj(31), 0
+    while not d.eof:
+        piece = read(at + n, min(1 << 16, end - at - n))
+        if not piece:
+            raise ValueError("gzip member is cut short")
+        d.decompress(piece)
+        n += len(piece)
+    return n - len(d.unused_data)
+
+
 def record_ranges(packages: DataFrame) -> DataFrame:
     """path, start, offsets: runs of neighbouring records of a package, from its
     index or, without one, from a walk over the record headers."""
@@ -225,7 +242,7 @@ def record_ranges(packages: DataFrame) -> DataFrame:
     def located(path):
         f, read = _open(path)
         found = members(read, f.size())
-        warcs = {k: v for k, v in found.items() if k.startswith("archive/") and v[3] == 0 and k.endswith(".warc")}
+        warcs = {k: v for k, v in found.items() if k.startswith("archive/") and v[3] == 0 and k.endswith((".warc", ".warc.gz"))}
         begins = {k: data_offset(read, v[0]) for k, v in warcs.items()}
         index = [k for k in found if k.startswith("indexes/") and found[k][3] == 0]
         places = []
@@ -237,6 +254,10 @@ def record_ranges(packages: DataFrame) -> DataFrame:
         if not index:
             for k, (_, _, plain, _) in warcs.items():
                 at, end = begins[k], begins[k] + plain
+                while at < end and k.endswith(".gz"):
+                    n = _gzip_length(read, at, end)
+                    places.append((at, n))
+                    at += n
                 while at < end:
                     head = read(at, min(65536, end - at))
                     cut = head.index(b"\r\n\r\n")
@@ -275,7 +296,8 @@ def read_packages(packages: DataFrame) -> DataFrame:
                 data, at, rows = read(start, sum(lengths)), 0, []
                 f.close()
                 for n in lengths:
-                    head, http, payload, _ = parse_record(data, at)
+                    one = data[at : at + n]
+                    head, http, payload, _ = parse_record(zlib.decompress(one, 31) if one[:2] == b"\x1f\x8b" else one)
                     at += n
                     kind = head["warc-type"]
                     digest = head["warc-payload-digest"].partition(":")[2]
