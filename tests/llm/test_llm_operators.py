@@ -449,6 +449,32 @@ def test_tree_sums_to_one():
     assert t.longest("xba", t.states) == "ba"
 
 
+def test_rare_contexts_are_states(spark):
+    """A few occurrences among two million symbols are as good as among two hundred."""
+    rng = random.Random(14)
+    texts = ["ab " * 700_000, *["qxqz uxuw"] * 9, prose(rng, 200), "uxw qz"]
+    words = [[*lm.words_of(t.encode()), b""] for t in texts]
+    counts = {}
+    for i, ws in enumerate(words):
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            for w, n in Counter(ws).items():
+                s = f" {w.decode()} " if w else " \n"
+                for at in range(1, len(s)):
+                    for k in range(min(at, lm.DEPTH) + 1):
+                        counts.setdefault(s[at - k : at], Counter())[s[at]] += n
+    model = {"": (dict(counts[""]), counts[""].total())}
+    for c, nexts in counts.items():
+        total, up = nexts.total(), counts[c[1:]]
+        gain = sum(x * np.log(x / total / (up[s] / up.total())) for s, x in nexts.items())
+        if c and total >= 5 and 2 * gain > len(nexts) * np.log(total + 1):
+            model[c] = dict(nexts), total
+    assert "qx" in model and model["qx"][1] < 4e-6 * model[""][1]
+    t = lm.Tree(model)
+    got = {r.doc_id: r.score for r in lm.score(docs(spark, texts)).collect()}
+    for i, ws in enumerate(words):
+        assert got[i] == pytest.approx(sum(n * t.word(w.decode()) for w, n in Counter(ws).items()), rel=1e-9), i
+
+
 def test_clean_rows(spark, monkeypatch):
     rng = random.Random(13)
     items = [(k, prose(rng, 12)) for k in range(40)]

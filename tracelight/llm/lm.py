@@ -2,14 +2,16 @@
 
 The symbols are characters. A text is spelled word by word, each closed by a
 blank, and ended by a line feed; contexts are the up to DEPTH symbols before, as far
-back as the blank that precedes the word. A context is a state of the tree if its
-share of all symbols is at least SHARE (which bounds the tree by DEPTH / SHARE
-states, whatever the corpus) and a likelihood-ratio test finds its next-symbol
+back as the blank that precedes the word. A context is a state of the tree if it
+occurs at least LEAST times and a likelihood-ratio test finds its next-symbol
 distribution to diverge from that of its longest proper suffix. Distributions are
 smoothed towards the next shorter state (Witten-Bell), the root's towards all
 Unicode characters. A symbol is scored in the longest state that is a suffix of what
 came before.
 
+The tree grows with the corpus, so it is never collected: contexts of one length are
+a table, tested and smoothed by a join with the table of contexts one symbol shorter.
+
 A word's probability thus depends on the word alone, so words, not texts, are
 scored: the corpus is reduced to a table of distinct words with counts. Words above
 a share of all tokens (at most 1 / HOT of them can be) are looked up in a broadcast
@@ -22,16 +24,18 @@ texts every count is 0, and the tree gives each character 1 in 1,114,112.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import runtime as R
 
 DEPTH = 8
-SHARE = 4e-6
+#: Occurrences from which the chi-squared bound of the test is commonly taken to hold.
+LEAST = 5
 HOT = 2.0**-20
 ALPHABET = 0x110000
 END = "\n"
@@ -74,8 +78,16 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return found.groupBy("word").agg(F.sum("n_all").alias("n_all"), F.sum("n_train").alias("n_train"))
 
 
+def spelled(word: bytes) -> Counter:
+    """(context of at most DEPTH symbols, symbol): times, of a word and the blank
+    after it; of the end, if empty."""
+    s = f" {word.decode()} " if word else " " + END
+    return Counter((s[max(0, k - DEPTH) : k], s[k]) for k in range(1, len(s)))
+
+
 def symbol_counts(words: DataFrame) -> DataFrame:
-    """context (at most DEPTH symbols), symbol, n: from the word table."""
+    """context, symbol, n, size (of the context): all suffixes of all contexts of the
+    word table, stored by size. Pairs that only held-out words have count 0."""
 
     def run(batches):
         held = Counter()
@@ -87,41 +99,52 @@ def symbol_counts(words: DataFrame) -> DataFrame:
 
         for b in batches:
             for word, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s = f" {word.decode()} " if word else " " + END
-                for k in range(1, len(s)):
-                    held[s[max(0, k - DEPTH) : k], s[k]] += n
+                for pair, times in spelled(word).items():
+                    held[pair] += n * times
                 if len(held) > HELD:
                     yield from out()
         yield from out()
 
-    top = words.where("n_train > 0").select("word", "n_train").mapInArrow(run, "context string, symbol string, n long")
+    spark = words.sparkSession
+    top = words.select("word", "n_train").mapInArrow(run, "context string, symbol string, n long")
     top = top.groupBy("context", "symbol").agg(F.sum("n").alias("n"))
     suffix = F.explode(F.transform(F.sequence(F.lit(1), F.length("context") + 1), lambda k: F.substring(F.col("context"), k, F.length("context"))))
-    return top.select(suffix.alias("context"), "symbol", "n").groupBy("context", "symbol").agg(F.sum("n").alias("n"))
-
-
-def learn(words: DataFrame) -> dict[str, tuple[dict[str, int], int]]:
-    """The states: context to (counts of next symbols, their sum). At most
-    DEPTH / SHARE + 1 contexts come to the driver."""
-    counts = R.stored(symbol_counts(words), "symbol-counts")
-    sums = counts.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    all_ = counts.where("context = ''").agg(F.sum("n")).first()[0] or 0
-    sums = R.stored(sums.where((F.col("total") >= SHARE * all_) | (F.col("context") == "")), "contexts")
-    child = counts.join(sums, "context").withColumn("parent", F.substring(F.col("context"), F.lit(2), F.length("context")))
-    above = counts.join(sums, "context").select(F.col("context").alias("parent"), "symbol", (F.log("n") - F.log("total")).alias("log_parent"))
-    gain = F.sum(F.col("n") * (F.log("n") - F.log("total") - F.col("log_parent")))
-    tested = child.where("context <> ''").join(above, ["parent", "symbol"]).groupBy("context").agg(gain.alias("gain"), F.first("total").alias("total"), F.first("kinds").alias("kinds"))
-    kept = tested.where(2 * F.col("gain") > F.col("kinds") * F.log(F.col("total") + 1)).select("context")
-    chosen = counts.join(kept.union(sums.where("context = ''").select("context")), "context")
-    rows = chosen.groupBy("context").agg(F.collect_list("symbol").alias("symbols"), F.collect_list("n").alias("ns"))  # an alphabet at most per context, and contexts are bounded
-    model = {r.context: (dict(zip(r.symbols, r.ns)), sum(r.ns)) for r in rows.collect()}
+    every = top.select(suffix.alias("context"), "symbol", "n").groupBy("context", "symbol").agg(F.sum("n").alias("n"))
+    path = R.shared_dir(spark, "symbol-counts")
+    every.withColumn("size", F.length("context")).write.option("compression", "zstd").partitionBy("size").parquet(path)
+    out = spark.read.schema("context string, symbol string, n long, size int").parquet(path)
+    out._tracelight_path = path
+    return out
+
+
+def learn(words: DataFrame) -> list[DataFrame]:
+    """Tables of context, symbol, log_p (log10) for the contexts in which symbols of
+    the words stand, one table a length. Nothing but the root's sums is collected."""
+    counts = symbol_counts(words)
+    root = counts.where("size = 0")
+    total, kinds = root.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
+    p = (F.col("n") + kinds / ALPHABET) / F.lit(float(total + kinds)) if total else F.lit(1 / ALPHABET)
+    level = R.stored(root.select("context", "symbol", "n", F.lit(int(total)).cast("long").alias("total"), p.alias("p")), "contexts-0")
+    whole = Window.partitionBy("context")
+    levels = []
+    for size in range(1, DEPTH + 1):
+        up = level.select(F.col("context").alias("parent"), "symbol", F.col("n").alias("up_n"), F.col("total").alias("up_total"), F.col("p").alias("up_p"))
+        here = counts.where(F.col("size") == size).withColumn("parent", F.substring(F.col("context"), F.lit(2), F.length("context"))).join(up, ["parent", "symbol"])
+        apart = F.when(F.col("n") > 0, F.col("n") * (F.log("n") - F.log("up_n") + F.log("up_total"))).otherwise(0.0)
+        here = here.select("context", "symbol", "n", "up_p", F.sum("n").over(whole).alias("total"), F.count_if(F.col("n") > 0).over(whole).alias("kinds"), F.sum(apart).over(whole).alias("apart"))
+        gain = F.col("apart") - F.col("total") * F.log("total")
+        state = (F.col("total") >= LEAST) & (2 * gain > F.col("kinds") * F.log(F.col("total") + 1))
+        p = F.when(state, (F.col("n") + F.col("kinds") * F.col("up_p")) / (F.col("total") + F.col("kinds"))).otherwise(F.col("up_p"))
+        level = R.stored(here.select("context", "symbol", *(["n", "total"] if size < DEPTH else []), p.alias("p")), f"contexts-{size}")
+        # shorter contexts are whole only where a word begins
+        levels.append((level if size == DEPTH else level.where(F.col("context").startswith(" "))).select("context", "symbol", F.log10("p").alias("log_p")))
     R.discard(counts)
-    R.discard(sums)
-    return model
+    return levels
 
 
 class Tree:
-    """Scores words with the states learned; transitions are found once and kept."""
+    """The same scores from states held in memory (context to counts of next symbols
+    and their sum); transitions are found once and kept."""
 
     def __init__(self, model: dict[str, tuple[dict[str, int], int]]):
         self.states = {"": ({}, 0)} | model
@@ -169,15 +192,24 @@ def score(docs: DataFrame) -> DataFrame:
     docs = docs.withColumn("train", trained_on(F.col("doc_id")))
     words = R.stored(word_counts(docs), "words")
     n_all, n, v = words.agg(F.coalesce(F.sum("n_all"), F.lit(0)), F.coalesce(F.sum("n_train"), F.lit(0)), F.count_if(F.col("n_train") > 0)).first()
-    tree = spark.sparkContext.broadcast(learn(words))
     down = n + 0.5 * (v + 1)
 
-    def spelled(batches):
-        t = Tree(tree.value)
+    def spell(batches):
+        names = ["word", "n_all", "n_train", "context", "symbol", "times"]
+        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([t.word(w.decode()) for w in b.column(0).to_pylist()], pa.float64())], names=["word", "n_all", "n_train", "log_tree"])
-
-    table = words.mapInArrow(spelled, "word binary, n_all long, n_train long, log_tree double")
+            rows = []
+            for word, n_all, n_train in zip(*(c.to_pylist() for c in b.columns)):
+                rows += [(word, n_all, n_train, *pair, times) for pair, times in spelled(word).items()]
+                if len(rows) > HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+    symbols = words.mapInArrow(spell, "word binary, n_all long, n_train long, context string, symbol string, times long")
+    places = functools.reduce(DataFrame.union, learn(words))
+    table = symbols.join(places, ["context", "symbol"]).groupBy("word", "n_all", "n_train").agg(F.sum(F.col("times") * F.col("log_p")).alias("log_tree"))
     base = F.log10((F.col("n_train") + 0.5) / F.lit(float(down)))
     table = R.stored(table.select("word", "n_all", (F.col("n_train") > 0).alias("known"), base.alias("log_base"), "log_tree"), "scored-words")
     R.discard(words)
