@@ -132,6 +132,17 @@ def test_warc_round_trip(spark):
     assert WA.read_packages(R.stored(WA.write_packages(pages.limit(0), R.shared_dir(spark, "t")), "l")).count() == 0
 
 
+def test_warc_odd_urls(spark):
+    urls = ["http://h/{id}?q={}", "http://h/a {\"x\": 1}", "http://h/\x85b", "http://h/\u2028b\u2028", "http://h/é\x7f\n\r\tz", "{", ""]
+    pages = spark.createDataFrame([(k, u, f"<p>{k}</p>") for k, u in enumerate(urls)], "page_id long, url string, html string")
+    from tracelight.llm import runtime as R
+
+    got = sorted(WA.read_packages(R.stored(WA.write_packages(pages, R.shared_dir(spark, "t")), "l")).collect(), key=lambda r: r.page_id)
+    assert [(r.page_id, r.url, bytes(r.payload)) for r in got] == [(k, WA._uri(u), f"<p>{k}</p>".encode()) for k, u in enumerate(urls)]
+    assert WA._key("a{é}\u2028 ") == "a%7B%C3%A9%7D%E2%80%A8%20"
+    assert WA._entry('com,h)/{x} 2024 {"offset": 1, "more": {"a": "{"}}') == {"offset": 1, "more": {"a": "{"}}
+
+
 def test_zip_directories(spark, tmp_path):
     buf = io.BytesIO()
     rec = [WA.record(k, "u", b"p%d" % k, WA.digest_of(b"p%d" % k)) for k in range(3)]

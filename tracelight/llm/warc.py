@@ -46,6 +46,11 @@ def _uri(url: str) -> str:
     return "".join(c if c > " " else f"%{ord(c):02X}" for c in url)
 
 
+def _key(url: str) -> str:
+    """The URL in an index line: no blanks, braces, control signs or non-ASCII."""
+    return "".join(c if "!" <= c <= "~" and c not in "{}" else "".join(f"%{b:02X}" for b in c.encode()) for c in url)
+
+
 def record(page_id, url: str, payload: bytes, digest: str, refers_to=None, revisit: bool = False) -> bytes:
     """A response or revisit record; both name the whole payload's length and digest."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -62,7 +67,7 @@ def record(page_id, url: str, payload: bytes, digest: str, refers_to=None, revis
 
 def _headers(block: bytes) -> dict[str, str]:
     lines = block.decode("utf-8", "replace").split("\r\n")
-    return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:]) if k}
+    return {k.strip().lower(): v.strip(" \t") for k, _, v in (line.partition(":") for line in lines[1:]) if k}
 
 
 def parse_record(data: bytes, at: int = 0) -> tuple[dict, dict, bytes, int]:
@@ -203,7 +208,7 @@ def write_packages(pages: DataFrame, folder: str) -> DataFrame:
             for b in batches:
                 for page, url, html, first in zip(*(c.to_pylist() for c in b.columns)):
                     payload = html.encode()
-                    yield _uri(url) or "-", record(page, url, payload, digest_of(payload), first, page != first)
+                    yield _key(url) or "-", record(page, url, payload, digest_of(payload), first, page != first)
 
         it = records()
         head = next(it, None)
@@ -235,6 +240,17 @@ def _gzip_length(read, at: int, end: int) -> int:
     return n - len(d.unused_data)
 
 
+def _entry(line: str) -> dict:
+    """The JSON that ends an index line, whatever its key holds."""
+    at = line.find("{")
+    while at >= 0:
+        try:
+            return json.loads(line[at:])
+        except ValueError:
+            at = line.find("{", at + 1)
+    raise ValueError(f"no JSON in index line {line!r}")
+
+
 def record_ranges(packages: DataFrame) -> DataFrame:
     """path, start, offsets: runs of neighbouring records of a package, from its
     index or, without one, from a walk over the record headers."""
@@ -248,8 +264,8 @@ def record_ranges(packages: DataFrame) -> DataFrame:
         places = []
         for k in index:
             text = read(data_offset(read, found[k][0]), found[k][2]).decode()
-            for line in text.splitlines():
-                entry = json.loads(line[line.index("{") :])
+            for line in filter(str.strip, text.split("\n")):
+                entry = _entry(line)
                 places.append((begins[f"archive/{entry['filename']}"] + int(entry["offset"]), int(entry["length"])))
         if not index:
             for k, (_, _, plain, _) in warcs.items():
