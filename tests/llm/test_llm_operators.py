@@ -392,6 +392,42 @@ def test_secret_spans(spark):
     assert S.redact(docs(spark, texts)).columns == docs(spark, texts).columns
 
 
+def test_secrets_in_other_writings():
+    key, rng = rsa_key(), random.Random(15)
+    number = lambda n: der(2, b"\1" + bytes(rng.randrange(256) for _ in range(n)))
+    dsa = der(0x30, der(2, b"\0") + number(127) + number(20) + number(127) + number(127) + number(20))
+    pbes2 = der(6, bytes.fromhex("2a864886f70d01050d"))
+    locked = der(0x30, der(0x30, pbes2 + der(0x30, b"")) + der(4, bytes(64)))
+    many = der(0x30, der(2, b"\1") + b"".join(number(n) for n in (64, 2, 63, 31, 31, 31, 31, 31)) + der(0x30, der(0x30, number(31) + number(31) + number(31))))
+    b64 = lambda x: base64.b64encode(x).decode()
+    wrap = lambda x, end, n=64: end.join(x[k : k + n] for k in range(0, len(x), n))
+    block = lambda kind, body, end="\n": f"-----BEGIN {kind}-----{end}{body}{end}-----END {kind}-----"
+    field = lambda x: struct.pack(">I", len(x)) + x
+    openssh = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + struct.pack(">I", 1) + field(bytes(range(51))) + field(bytes(90))
+    assert S.is_openssh(openssh) and not S.is_openssh(openssh[:-94])
+    j = lambda x: base64.urlsafe_b64encode(x).decode().rstrip("=")
+    found = [
+        block("PRIVATE KEY", wrap(b64(key), "\\n"), "\\n"), block("PRIVATE KEY", wrap(b64(key), "\\\\r\\\\n"), "\\\\r\\\\n"),
+        block("RSA PRIVATE KEY", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n" + wrap(b64(bytes(640)), "\n")),
+        block("ENCRYPTED PRIVATE KEY", wrap(b64(locked), "\n")), block("DSA PRIVATE KEY", wrap(b64(dsa), "\r\n"), "\r\n"), b64(dsa), b64(many),
+        wrap(b64(key), "\n"), wrap(b64(key), "\r\n  "), wrap(b64(key), "\\n"), b64(key).replace("/", "\\/"),
+        b64(openssh), wrap(b64(openssh), "\n", 70), block("OPENSSH PRIVATE KEY", wrap(b64(openssh), "\n", 70)),
+    ]
+    for text in found:
+        for before, after in (("", ""), ("é ", " x"), ("key: \n", "\nand so on")):
+            assert S.confirmed_spans(before + text + after, (before + text + after).encode()) == [(len(before), len(before) + len(text), "private_key")], text
+    for glue in ("/", "_", "-", "n"):
+        bare = b64(key).rstrip("=")
+        text = f"{glue}{bare}{glue}{glue}"
+        assert S.confirmed_spans(text, text.encode()) == [(1, 1 + len(bare), "private_key")]
+    for head, body in ((b'{"alg":"HS256"}', b"{}"), (b'{\n "alg": "HS256"\n}', b'{\n "sub": 1}'), (b' {"alg":"HS256"}', b"{}")):
+        text = f"x {j(head)}.{j(body)}.c2ln y"
+        assert S.confirmed_spans(text, text.encode()) == [(2, len(text) - 2, "signed_token")]
+    hashed = der(0x30, der(0x30, der(6, bytes.fromhex("608648016503040201")) + der(5, b"")) + der(4, bytes(32)))
+    for text in (b64(hashed), wrap(b64(key[:-1]), "\n"), block("RSA PRIVATE KEY", "Proc-Type: 4,ENCRYPTED\n\n" + b64(bytes(64))), "MIT " * 40, "www.example-host.com.more"):
+        assert S.confirmed_spans(text, text.encode()) == [], text
+
+
 # --- licences
 
 

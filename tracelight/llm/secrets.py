@@ -2,9 +2,12 @@
 
 Three base patterns give spans as they stand. Runs of base64 or hex signs are
 decoded and reported only if the bytes parse: a DER private key whose nested
-lengths fill their parents exactly (PKCS#1, PKCS#8, SEC1), an OpenSSH key
-container, a PEM block around either, or a signed token whose header is JSON with
-an algorithm and whose body is JSON.
+lengths fill their parents exactly (PKCS#1, PKCS#8 plain or encrypted, SEC1, DSA), an
+OpenSSH key container, a PEM block around either or with the headers of an encrypted
+key, or a signed token whose header is JSON with an algorithm and whose body is JSON.
+
+In base64 a key may begin anywhere in a run, as its length is in its first bytes, and
+go on over line breaks, be they signs or written as \\n.
 
 Offsets are code points, ends exclusive. Null text is empty and gives no span.
 Rows are independent: repeats, ties and extra columns have no influence.
@@ -28,10 +31,17 @@ KINDS = ("assign", "access", "hex", "private_key", "signed_token")
 _ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
-_RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+#: where a DER sequence or an OpenSSH container can begin
+_START = re.compile(r"(?=M[A-I][A-Za-z0-9+/_-]{18}|b3BlbnNzaC1rZXktdjEA)")
+_SIGNS = re.compile(r"[A-Za-z0-9+/_-]+")
+_BREAK = re.compile(r"[ \t]*(?:\r?\n|\\+r\\+n|\\+n)[ \t]*(?=[A-Za-z0-9+/_-])|\\+(?=/)")
+_ESCAPED = re.compile(r"\\+[nrt]")
+_FIELD = re.compile(r"[A-Za-z][A-Za-z0-9-]*:")
 _HEX_RUN = re.compile(r"(?:[0-9a-f]{2}){32,}|(?:[0-9A-F]{2}){32,}")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])(ey[A-Za-z0-9_-]{8,})\.(ey[A-Za-z0-9_-]*)\.([A-Za-z0-9_-]+)")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----).)+)-----END \1-----", re.DOTALL)
+#: password-based encryption of PKCS#5 and PKCS#12
+_PBE = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 _HEX_SIGNS = bytes(72 if 48 <= c <= 57 or 97 <= c <= 102 else 32 for c in range(256))
 _B64_SIGNS = bytes(66 if chr(c).isalnum() and c < 128 or chr(c) in "+/_-" else 32 for c in range(256))
 
@@ -68,6 +78,13 @@ def is_private_der(data: bytes) -> bool:
     if tags[:3] == [0x02, 0x30, 0x04] and inner[0][2] - inner[0][1] == 1:  # PKCS#8
         algorithm = _der(data, *inner[1][1:])
         return bool(algorithm) and algorithm[0][0] == 0x06
+    if tags == [0x30, 0x04]:  # PKCS#8, encrypted
+        algorithm = _der(data, *inner[0][1:])
+        return bool(algorithm) and algorithm[0][0] == 0x06 and data[algorithm[0][1] : algorithm[0][2]].startswith(_PBE) and inner[1][2] - inner[1][1] >= 8
+    if tags == [0x02] * 6:  # DSA: 0, p, q, g, y, x
+        return data[inner[0][1] : inner[0][2]] == b"\0" and inner[1][2] - inner[1][1] >= 64 and 20 <= inner[2][2] - inner[2][1] <= 33
+    if tags == [0x02] * 9 + [0x30]:  # PKCS#1 of more than two primes
+        return data[inner[0][1] : inner[0][2]] == b"\1" and inner[1][2] - inner[1][1] >= 32 and bool(_der(data, *inner[9][1:]))
     if len(tags) == 9 and set(tags) == {0x02}:  # PKCS#1
         return data[inner[0][1] : inner[0][2]] == b"\0" and inner[1][2] - inner[1][1] >= 32
     if tags[:2] == [0x02, 0x04] and len(tags) >= 3 and all(t in (0xA0, 0xA1) for t in tags[2:]):  # SEC1
@@ -75,23 +92,111 @@ def is_private_der(data: bytes) -> bool:
     return False
 
 
-def is_openssh(data: bytes) -> bool:
-    """The container's five length-prefixed fields fill it."""
+def openssh_length(data: bytes) -> int | None:
+    """Bytes of the container at the start of data: three length-prefixed fields, the
+    number of keys, a public part for each and the private part."""
     magic = b"openssh-key-v1\0"
     if not data.startswith(magic):
-        return False
-    at, fields = len(magic), 0
-    while fields < 5 and at + 4 <= len(data):
+        return None
+    at, fields, n_fields = len(magic), 0, 6
+    while fields < n_fields:
+        if at + 4 > len(data):
+            return None
         n = struct.unpack_from(">I", data, at)[0]
         at += 4
-        if fields == 3 and n < 1:
-            return False
-        if fields != 3:  # the number of keys is a number, no length
+        if fields == 3:  # a number, no length
+            if n < 1:
+                return None
+            n_fields = 5 + n
+        else:
             at += n
         fields += 1
         if at > len(data):
-            return False
-    return fields == 5 and at == len(data)
+            return None
+    return at
+
+
+def is_openssh(data: bytes) -> bool:
+    """The container's fields fill it."""
+    return openssh_length(data) == len(data)
+
+
+def _der_length(head: bytes) -> int | None:
+    """Bytes of the sequence that begins so, if a number or a sequence comes first in it."""
+    n, k = head[1], 0
+    if n & 0x80:
+        k = n & 0x7F
+        if not 1 <= k <= 4:
+            return None
+        n = int.from_bytes(head[2 : 2 + k], "big")
+    return 2 + k + n if head[2 + k] in (0x02, 0x30) else None
+
+
+def _joined(text: str, at: int, need: int | None) -> tuple[str, list[tuple[int, int]]]:
+    """Base64 signs from a place on, over line breaks, and the spans they stand in; as
+    many as needed, or all."""
+    out, spans, have = [], [], 0
+    while need is None or have < need:
+        m = _SIGNS.match(text, at, len(text) if need is None else min(len(text), at + need - have))
+        if m:
+            out.append(m[0])
+            spans.append(m.span())
+            have += len(m[0])
+            at = m.end()
+        elif spans and spans[-1][1] == at and (gap := _BREAK.match(text, at)):
+            at = gap.end()
+        else:
+            break
+    return "".join(out), spans
+
+
+def _base64_key(text: str, at: int) -> int | None:
+    """Where the private key ends whose base64 begins at a place, if one does."""
+    if text[at] == "M":
+        size = _der_length(_b64(text[at : at + 20]))
+        need = -(-size * 4 // 3) if size else 0
+        if not 0 < need <= len(text) - at:
+            return None
+        signs, spans = _joined(text, at, need)
+        data = _b64(signs) if len(signs) == need else None
+        if not data or not is_private_der(data):
+            return None
+    else:
+        signs, spans = _joined(text, at, None)
+        size = openssh_length(_b64(signs[: len(signs) // 4 * 4]) + (_b64(signs[len(signs) // 4 * 4 :]) or b""))
+        if size is None:
+            return None
+        need = -(-size * 4 // 3)
+    for a, b in spans:
+        if need <= b - a:
+            end = a + need
+            break
+        need -= b - a
+    pad = -(-(-size * 4 // 3)) % 4
+    while pad and text[end : end + 1] == "=":
+        end, pad = end + 1, pad - 1
+    return end
+
+
+def _pem_key(body: str) -> bool:
+    """Between the marks stands a key, or headers of an encrypted one and its bytes."""
+    fields, rest, heads = {}, [], True
+    for line in _ESCAPED.sub("\n", body).replace("\\", "").split("\n"):
+        name, colon, value = line.strip().partition(":")
+        if heads and colon and _FIELD.match(name + colon):
+            fields[name.lower()] = value.strip()
+        elif heads and fields and not name:
+            heads = False
+        elif name and not (heads and fields and line[:1] in (" ", "\t")):  # else a header goes on
+            rest.append(line)
+            heads = False
+    data = _b64("".join("".join(rest).split()))
+    if not data:
+        return False
+    if "ENCRYPTED" in fields.get("proc-type", ""):
+        cipher, _, iv = fields.get("dek-info", "").partition(",")
+        return bool(cipher) and re.fullmatch(r"(?:[0-9A-Fa-f]{2}){8,}", iv.strip()) is not None and len(data) % 8 == 0
+    return is_private_der(data) or is_openssh(data)
 
 
 def _b64(s: str) -> bytes | None:
@@ -124,24 +229,20 @@ def base_spans(text: str, raw: bytes) -> list[tuple[int, int, str]]:
 
 
 def confirmed_spans(text: str, raw: bytes) -> list[tuple[int, int, str]]:
-    if b"B" * 20 not in raw.translate(_B64_SIGNS) and b".ey" not in raw:
+    if b"B" * 10 not in raw.translate(_B64_SIGNS) and b"PRIVATE KEY-----" not in raw:
         return []
     out = []
     for m in _PEM.finditer(text) if b"PRIVATE KEY-----" in raw else ():
-        data = _b64("".join(m[2].split()))
-        if data and (is_private_der(data) or is_openssh(data)):
+        if _pem_key(m[2]):
             out.append((*m.span(), "private_key"))
     inside = lambda at: any(a <= at < b for a, b, _ in out)
-    for m in _RUN.finditer(text):
-        s = m[0]
-        if s[0] == "M" or s.startswith("b3BlbnNza"):
-            data = _b64(s)
-            if data and not inside(m.start()) and (is_private_der(data) or is_openssh(data)):
-                out.append((*m.span(), "private_key"))
+    for m in _START.finditer(text):
+        if not inside(m.start()) and (end := _base64_key(text, m.start())):
+            out.append((m.start(), end, "private_key"))
     for m in _HEX_RUN.finditer(text):
         if m[0].startswith("30") and is_private_der(bytes.fromhex(m[0])):
             out.append((*m.span(), "private_key"))
-    for m in _TOKEN.finditer(text) if b".ey" in raw else ():
+    for m in _TOKEN.finditer(text):
         head = _json(m[1])
         if isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(_json(m[2]), dict):
             out.append((*m.span(), "signed_token"))
