@@ -455,6 +455,29 @@ def test_licenses_against_brute_force(spark):
     assert LI.scan(docs(spark, [])).count() == 0
 
 
+def test_wrapped_notices(spark):
+    rng = random.Random(16)
+    texts = []
+    for label, t in LI.TEMPLATES.items():
+        words = t.split()
+        half = len(words) // 2
+        texts += [(label, " ".join(words[:half]) + "\n * " + " ".join(words[half:])), (label, "x y\n" + "\r\n# ".join(words) + "\nz")]
+        texts += [(None, " ".join(words[:half]) + "\n" + prose(rng, 30) + "\n" + " ".join(words[half:]))]
+    got = {r.doc_id: r for r in LI.scan(docs(spark, [t for _, t in texts])).collect()}
+    for i, (label, t) in enumerate(texts):
+        words, best = LI.words_of(t), {}
+        for name, x in LI.TEMPLATES.items():
+            want = set(LI.words_of(x))
+            blocks = [LI.words_of(line) for line in t.split("\n")] + [words[k : k + LI.reach(x)] for k in range(len(words))]
+            n = max(len(want & set(b)) for b in blocks)
+            if n >= LI.needed(len(want)):
+                best[name] = n / len(want)
+        assert label is None or best[label] == 1.0
+        r = got[i]
+        assert set(r.labels.split(",")) - set(r.base_labels.split(",")) - {""} == set(best) - set(r.base_labels.split(",")), t
+        assert r.n_base or r.score == max(best.values(), default=0), t
+
+
 # --- language model
 
 

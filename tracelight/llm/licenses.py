@@ -1,7 +1,9 @@
 """Licence scans by exact set-similarity join, in DataFrame functions only.
 
-Every line of a text is a block. A block matches a template if it holds at least
-CONTAINMENT of the template's distinct words. The search is exact: tokens are put
+Every line of a text is a block, and so is every run of words, across line breaks,
+of the template's length and as many words more as may be missing; a notice may thus
+be wrapped. A block matches a template if it holds at least CONTAINMENT of the
+template's distinct words. ORACLE has the lines alone. The search is exact: tokens are put
 into one global order, rarest in the corpus first; a match must then share a token
 of the template's prefix (prefix filter), be long enough (length filter), and the
 places of the first common token must leave room for the overlap (positional
@@ -51,6 +53,12 @@ def needed(size: int) -> int:
     return -(-size * a // b)
 
 
+def reach(template: str) -> int:
+    """Words of a run that is a block for this template."""
+    size = len(set(words_of(template)))
+    return len(words_of(template)) + size - needed(size)
+
+
 def plain(text: Column) -> Column:
     """Words with one blank before, between and after. lower() changes no ASCII
     sign into a word sign, so the words' borders are those of A-Z lowering."""
@@ -75,7 +83,7 @@ def _matches(text: Column, order: list[str]) -> Column:
         need = needed(len(ranks))
         prefix = ranks[: len(ranks) - need + 1]
         prefix_words.update(order[k] for k in prefix)
-        templates.append(F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, ranks)).alias("ranks"), F.array(*map(F.lit, prefix)).alias("prefix"), F.lit(need).alias("need"), F.lit(len(ranks)).alias("size")))
+        templates.append(F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, ranks)).alias("ranks"), F.array(*map(F.lit, prefix)).alias("prefix"), F.lit(need).alias("need"), F.lit(len(ranks)).alias("size"), F.lit(reach(t)).alias("reach")))
     any_prefix = r"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])(?:" + "|".join(sorted(prefix_words)) + r")(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])"
     ranked = F.create_map(*[F.lit(x) for w, k in rank.items() for x in (w, k)])
 
@@ -92,9 +100,33 @@ def _matches(text: Column, order: list[str]) -> Column:
         # one block as an array of one, so that its ranks are computed once for all templates
         return F.flatten(F.transform(F.array(block), lambda b: F.transform(F.filter(F.array(*templates), lambda t: passes(t, b)), lambda t: F.struct(t.label.alias("label"), (F.size(F.array_intersect(b, t.ranks)) / t.size).alias("containment")))))
 
+    def across(text: Column) -> Column:
+        words = F.transform(F.split(F.trim(F.regexp_replace(text, _NO_WORD, " ")), " "), lambda w, at: F.struct(at.alias("at"), F.try_element_at(ranked, w).alias("k")))
+        placed = F.filter(words, lambda x: x.k.isNotNull())
+
+        def most(t: Column, mine: Column) -> Column:
+            """The largest overlap of a run that begins with a word of the template; a run
+            with fewer places than needed is not counted."""
+
+            def overlap(x: Column, j: Column) -> Column:
+                run = F.filter(F.slice(mine, j + 1, t.reach), lambda y: y.at < x.at + t.reach)
+                return F.when(F.get(mine, j + t.need - 1).at < x.at + t.reach, F.size(F.array_distinct(F.transform(run, lambda y: y.k)))).otherwise(0)
+
+            return F.coalesce(F.array_max(F.transform(mine, overlap)), F.lit(0))
+
+        def matched(all_: Column) -> Column:
+            ranks = F.array_distinct(F.transform(all_, lambda x: x.k))
+            likely = F.filter(F.array(*templates), lambda t: F.arrays_overlap(ranks, t.prefix) & (F.size(F.array_intersect(ranks, t.ranks)) >= t.need))
+            counted = F.transform(likely, lambda t: F.struct(t.label.alias("label"), t.need.alias("need"), t.size.alias("size"), F.element_at(F.transform(F.array(F.filter(all_, lambda x: F.array_contains(t.ranks, x.k))), lambda mine: most(t, mine)), 1).alias("n")))
+            return F.transform(F.filter(counted, lambda c: c.n >= c.need), lambda c: F.struct(c.label.alias("label"), (c.n / c.size).alias("containment")))
+
+        # as above, an array of one
+        return F.flatten(F.transform(F.array(placed), matched))
+
     none = F.from_json(F.lit("[]"), "array<struct<label:string,containment:double>>")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(any_prefix))
-    return F.when(text.rlike(any_prefix), F.flatten(F.transform(lines, found))).otherwise(none)
+    wrapped = F.when(F.contains(text, F.lit("\n")), across(text)).otherwise(none)
+    return F.when(text.rlike(any_prefix), F.concat(F.flatten(F.transform(lines, found)), wrapped)).otherwise(none)
 
 
 def scan(docs: DataFrame) -> DataFrame:
