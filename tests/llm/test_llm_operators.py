@@ -307,6 +307,20 @@ def test_token_files(spark):
     assert T.read_token_files(R.stored(T.write_token_files(docs(spark, []), R.shared_dir(spark, "tok")), "l")).count() == 0
 
 
+def test_wide_token_files(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+    from tracelight.llm import runtime as R
+
+    tok = Tokenizer(models.WordLevel({f"w{k}": k for k in range(70_000)}, unk_token="w0"))
+    tok.pre_tokenizer = pre_tokenizers.Whitespace()
+    tok.save(str(tmp_path / "wide.json"))
+    texts = ["w69999 w2", "w3", None, "w65536"]
+    files = R.stored(T.write_token_files(docs(spark, texts), R.shared_dir(spark, "tok"), str(tmp_path / "wide.json")), "l")
+    got = sorted(T.read_token_files(files).collect(), key=lambda r: r.doc_id)
+    want = [[69999, 2, T.END], [3, T.END], [T.END], [65536, T.END]]
+    assert [(r.n_tokens, r.ids_crc32) for r in got] == [(len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for x in want]
+
+
 @pytest.mark.parametrize("values", [[], [0], [0, 0, 5], list(range(1500)), [3] * 1100, sorted(random.Random(1).choices(range(10**12), k=2000))])
 def test_elias_fano(values):
     e = T.EliasFano(T.ef_encode(values))

@@ -1,7 +1,7 @@
 """Token ids of whole texts, and files of them with Elias-Fano boundaries.
 
 A file holds the ids of its documents one after the other as little-endian
-unsigned numbers (16 bits if every id fits, else 32), then two Elias-Fano lists,
+unsigned numbers (16 bits if every id of the tokenizer fits, else 32), then two Elias-Fano lists,
 the document ids and the end offsets, and a footer. A list of n numbers below u
 takes about 2 + log2(u / n) bits each. select(i) finds the i-th number from a
 sample of positions and the set bits of a few words, so no table of 64-bit
@@ -59,6 +59,8 @@ class _Words(dict):
         self.drops_blanks = self.short
         self.model, self.pieces, self.old = self.tok.model, {}, {}
         self.letters = _byte_letters()
+        #: bytes that hold every id, added tokens included
+        self.width = 2 if max([END, *self.tok.get_vocab(with_added_tokens=True).values()]) < 65536 else 4
 
     def piece(self, s: str) -> bytes:
         got = self.pieces.get(s)
@@ -163,23 +165,23 @@ class EliasFano:
 # --- files -----------------------------------------------------------------
 
 
-def write_file(path: str, rows) -> tuple[int, int]:
+def write_file(path: str, rows, width: int = 2) -> tuple[int, int]:
     """rows: (doc_id or None, ids as uint32 bytes) in ascending order. The ids go
-    out as they come; only a number per document stays in memory."""
+    out as they come, in so many bytes each (2 or 4); only a number per document stays in memory."""
     fs, target = R.local_fs(path)
     import os
     import uuid
 
     fs.create_dir(os.path.dirname(target), recursive=True)
     tmp = f"{target}.{uuid.uuid4().hex}.tmp"
-    doc_ids, ends, nulls, total, wide = [], [], 0, 0, False
+    doc_ids, ends, nulls, total = [], [], 0, 0
     with fs.open_output_stream(tmp) as out:
         out.write(_MAGIC)
         for doc, ids in rows:
             a = np.frombuffer(ids, "<u4")
-            if not wide and len(a) and a.max() >= 65536:
-                raise ValueError("ids beyond 16 bits need write_file(..., wide)")
-            out.write(a.astype("<u2").tobytes())
+            if width == 2 and len(a) and a.max() >= 65536:
+                raise ValueError("ids beyond 16 bits need width=4")
+            out.write(a.astype(f"<u{width}").tobytes())
             total += len(a)
             ends.append(total)
             if doc is None:
@@ -190,7 +192,7 @@ def write_file(path: str, rows) -> tuple[int, int]:
         parts = [ef_encode([d - base for d in doc_ids]), ef_encode(ends)]
         for p in parts:
             out.write(p)
-        out.write(struct.pack("<QQqQQB", len(parts[0]), len(parts[1]), base, nulls, total, 2) + _MAGIC)
+        out.write(struct.pack("<QQqQQB", len(parts[0]), len(parts[1]), base, nulls, total, width) + _MAGIC)
     if fs.get_file_info(target).type.name != "NotFound":
         fs.delete_file(target)
     fs.move(tmp, target)
@@ -255,7 +257,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
         from itertools import chain
 
         name = f"{folder}/part-{shard:06d}.tok"
-        n, total = write_file(name, chain([first], it))
+        n, total = write_file(name, chain([first], it), enc.width)
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "path": pa.array([name]), "n_docs": pa.array([n], pa.int64()), "n_ids": pa.array([total], pa.int64())})
 
     return rows.mapInArrow(run, "shard long, path string, n_docs long, n_ids long")
