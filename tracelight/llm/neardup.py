@@ -5,16 +5,20 @@
 2. Signatures are cut into bands; classes that share a band are candidates. In a
    bucket each class is first compared with a leader only (several leader orders,
    taken in turn over the bands), so a bucket of n classes costs n pairs, not n * n.
-3. Candidates of different components that still share a bucket are then compared
-   in full: no link between components can be missed for want of a comparison.
+3. Classes of different components that still share a bucket are then compared with
+   one another where they stand, block by block; a pair leaves its task only if nothing
+   rules it out, so no link between components can be missed for want of a comparison,
+   and no table of all pairs is made.
 4. A pair is compared batch by batch of its signatures. It is dropped as soon as
    the posterior probability of a similarity at or above the threshold, given the
    matches so far and a uniform prior, is below MISS; survivors are verified on
    their full shingle sets, in integers.
 5. Components of the verified links give every document its smallest doc_id.
 
-With 42 bands of 6 rows a pair at exactly 0.8 escapes all bands with probability
-3e-6, at 0.85 with 4e-10. Sets hold 64-bit hashes of shingles.
+With 32 bands of 5 rows a pair at exactly 0.8 escapes all bands with probability
+3e-6, at 0.85 with 2e-8. Sets hold 64-bit hashes of shingles; of a minimum the
+signature keeps 8 bits, so unlike elements agree once in 256, which can only keep a
+pair, never drop one.
 
 Null, empty and blank texts have empty sets and stand alone. Rows without doc_id
 take part in no link, have null component_id and are not kept. Rows that repeat a
@@ -34,18 +38,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import runtime as R
 from .graph import components
 
-BANDS, ROWS, BATCH = 42, 6, 36
+BANDS, ROWS, BATCH = 32, 5, 32
 HASHES = BANDS * ROWS
 MISS = 1e-7
 LEADER_ORDERS = 6
-#: Members of a large bucket per leader, and rows of one component in a bucket up to which rows are joined one by one.
-GROUP, LIGHT = 16, 32
+#: Members of a large bucket per leader, and of a block of a bucket.
+GROUP, BLOCK = 16, 512
 #: Elements per set that the positional bound looks at, and counters of holders.
 RARE, SLOTS = 64, 1 << 18
 #: Rows of (doc_id, digest) that are broadcast at most: about 10 MB.
 FEW = 250_000
-_MUL = (np.random.default_rng(20240101).integers(0, 2**63, HASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_ADD = np.random.default_rng(20240102).integers(0, 2**63, HASHES, dtype=np.uint64)
+_MUL = np.random.default_rng(20240101).integers(0, 2**31, HASHES, dtype=np.uint32) << np.uint32(1) | np.uint32(1)
+_ADD = np.random.default_rng(20240102).integers(0, 2**32, HASHES, dtype=np.uint32)
 
 
 class _Hashes(dict):
@@ -82,11 +86,21 @@ def shingles(text: bytes, n: int) -> np.ndarray:
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    """HASHES minima, 32 bits each."""
-    low = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(s), 256):
-        np.minimum(low, (s[at : at + 256, None] * _MUL + _ADD).min(axis=0), out=low)
-    return (low >> np.uint64(32)).astype("<u4")
+    """HASHES minima of 32 bits, of the sets' hashes cut to 32 bits."""
+    low = np.full(HASHES, np.iinfo(np.uint32).max, np.uint32)
+    x = (s >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(x), 512):
+        np.minimum(low, (x[at : at + 512, None] * _MUL + _ADD).min(axis=0), out=low)
+    return low
+
+
+def bands_of(low: np.ndarray) -> np.ndarray:
+    """A 64-bit key per band of signatures (n, HASHES)."""
+    x = low.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), x.shape[:2])
+    for r in range(ROWS):
+        h = _mix(h ^ x[:, :, r]) + np.uint64(r)
+    return h
 
 
 def least_matches(threshold: float, miss: float = MISS) -> list[int]:
@@ -103,125 +117,171 @@ def least_matches(threshold: float, miss: float = MISS) -> list[int]:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, node (128-bit digest of the set), sig; node and sig are
-    null for empty sets."""
+    """doc_id, text_hash, row, n_shingles, digest (128 bits, of the set), bands and sig (8
+    bits a minimum); digest, bands and sig are null for empty sets."""
+    names = ["doc_id", "text_hash", "row", "n_shingles", "digest", "bands", "sig"]
 
     def run(batches):
+        seen = {}
         for b in batches:
-            n, node, sig = [], [], []
-            for t in R.utf8(b.column(1)):
+            n, digests, lows, at = [], [], [], []
+            for t in R.utf8(b.column(3)):
                 s = shingles(t, words)
                 n.append(len(s))
-                node.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                sig.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "node", "sig"])
+                digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                if len(s):
+                    if (low := seen.get(digests[-1])) is None:
+                        if len(seen) >= 4096:
+                            seen.clear()
+                        low = seen[digests[-1]] = signature(s)
+                    at.append(len(n) - 1)
+                    lows.append(low)
+            bands, sigs = [None] * len(n), [None] * len(n)
+            if lows:
+                low = np.array(lows)
+                for k, x, y in zip(at, bands_of(low), (low >> np.uint32(24)).astype(np.uint8)):
+                    bands[k], sigs[k] = x.view(np.int64), y.tobytes()
+            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(c, k) for c, k in zip((n, digests, bands, sigs), kinds))], names=names)
+
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("row"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, row long, n_shingles long, digest binary, bands array<bigint>, sig binary")
+
+
+def _surviving(sig_x: np.ndarray, sig_y: np.ndarray, i: np.ndarray, j: np.ndarray, least: list[int]) -> np.ndarray:
+    """Places of the pairs (i, j) of signatures that no batch rules out."""
+    alive, matches = np.arange(len(i)), np.zeros(len(i), np.int64)
+    for k, at in enumerate(range(0, HASHES, BATCH)):
+        x, y = np.ascontiguousarray(sig_x[:, at : at + BATCH]), np.ascontiguousarray(sig_y[:, at : at + BATCH])
+        matches = matches + (x[i[alive]] == y[j[alive]]).sum(axis=1)
+        keep = matches >= least[k]
+        alive, matches = alive[keep], matches[keep]
+    return alive
+
+
+def _matrix(column: pa.Array, kind, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, node binary, sig binary")
 
-
-def _bands(classes: DataFrame) -> DataFrame:
-    """bucket, part, band, node: one row per class and band."""
+def _pruned(pairs: DataFrame, classes: DataFrame, threshold: float, percent: int) -> DataFrame:
+    """Pairs (a, b) that sizes and signatures do not rule out."""
+    small = classes.select("node", "n_shingles", "sig")
+    both = pairs.join(small.toDF("a", "na", "sa"), "a").join(small.toDF("b", "nb", "sb"), "b")
+    both = both.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "sa", "sb")
+    least = least_matches(threshold)
 
     def run(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u4").reshape(-1, BANDS, ROWS).astype(np.uint64)
-            h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), sig.shape[:2]).copy()
-            for r in range(ROWS):
-                h = _mix(h ^ sig[:, :, r]) + np.uint64(r)
-            node = pa.DictionaryArray.from_arrays(pa.array(np.repeat(np.arange(b.num_rows, dtype=np.int32), BANDS)), b.column(0)).dictionary_decode()
-            band = np.tile(np.arange(BANDS, dtype=np.int32), b.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(band % LEADER_ORDERS), pa.array(band), node], names=["bucket", "part", "band", "node"])
-
-    return classes.select("node", "sig").mapInArrow(run, "bucket long, part int, band int, node binary")
-
-
-def _nodes(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-
-
-def _across(at: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of different roots that share a bucket of
-    at(bucket, node, root) and may be linked. A pair comes from the first band that it
-    shares only; of two roots the one with fewer members is spread.
-
-    Two exact bounds keep the pairs few: sizes, and the places of the first common element
-    in an order that puts rare shingles first, which bound the intersection from above.
-    """
-    held = at.select("node").distinct()
-    lists = _bands(classes.join(held, "node", "left_semi")).groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("band", "bucket"))), lambda x: x["bucket"]).alias("bands"))  # BANDS entries each
-    sizes = classes.select("node", "n_shingles").join(_rare(sets), "node")
-    at = R.stored(at.join(lists, "node").join(sizes, "node"), "open-bands")
-    roots = at.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
-    roots = R.stored(roots, "open-roots")
-    side = lambda df, c: df.select("bucket", "band", F.col("root").alias(f"r{c}"), F.col("node").alias(f"n{c}"), F.col("bands").alias(f"b{c}"), F.col("n_shingles").alias(f"s{c}"), F.col("rare").alias(f"f{c}"))
-    first = F.expr("not arrays_overlap(slice(bx, 1, band), slice(by, 1, band))")
-    need = f"ceil({percent} * (sx + sy) / {100 + percent}.0)"
-    # the first common element of the two lists ends what differs before it
-    c = "try_element_at(array_intersect(fx, fy), 1)"
-    placed = f"coalesce(1 + least(sx - array_position(fx, {c}), sy - array_position(fy, {c})), greatest(sx - size(fx), sy - size(fy))) >= {need}"
-    # the cheap tests come first
-    fits = F.expr(f"100 * least(sx, sy) >= {percent} * greatest(sx, sy)") & first & F.expr(placed)
-    pair = [F.least("nx", "ny").alias("a"), F.greatest("nx", "ny").alias("b")]
-    # few rows of a root: row by row. Many: by roots first, so that no row meets its own component
-    light = at.join(roots.where(f"n <= {LIGHT}").select("bucket", "root"), ["bucket", "root"], "left_semi")
-    x, y = side(light, "x"), side(light, "y").withColumnRenamed("bucket", "bucket_y").drop("band")
-    one = x.join(y, (F.col("bucket") == F.col("bucket_y")) & (F.col("rx") < F.col("ry")) & fits).select(*pair)
-    name = lambda c: roots.toDF("bucket", f"r{c}", f"n{c}", f"low{c}", f"high{c}")
-    on = f"n2 > {LIGHT} and (n1 < n2 or (n1 = n2 and r1 < r2)) and 100 * high1 >= {percent} * low2 and 100 * high2 >= {percent} * low1"
-    met = name(1).join(name(2), "bucket").where(on).select("bucket", F.col("r1").alias("rx"), F.col("r2").alias("ry"))
-    y = side(at, "y").withColumnRenamed("bucket", "bucket_y").withColumnRenamed("ry", "root_y").drop("band")
-    many = met.join(side(at, "x"), ["bucket", "rx"]).join(y, (F.col("bucket") == F.col("bucket_y")) & (F.col("ry") == F.col("root_y")) & fits).select(*pair)
-    return one.unionByName(many)
+            every = np.arange(b.num_rows)
+            keep = pa.array(_surviving(*(_matrix(b.column(k), np.uint8, HASHES) for k in (2, 3)), every, every, least))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep)], names=["a", "b"])
 
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _within_reach(rare_x, rare_y, size_x, size_y, percent: int) -> np.ndarray:
+    """Whether pairs can hold enough common elements by the places of the first common
+    one: what stands before it in either list is in one set only. Elements are cut to 32
+    bits; two that agree by chance can only raise the bound."""
+    out = np.zeros(len(size_x), bool)
+    column = np.arange(RARE)
+    for at in range(0, len(out), 1024):
+        x, y, n, m = (v[at : at + 1024] for v in (rare_x, rare_y, size_x, size_y))
+        same = x[:, :, None] == y[:, None, :]
+        same &= (column < n[:, None])[:, :, None] & (column < m[:, None])[:, None, :]
+        found = same.any(axis=2)
+        px = found.argmax(axis=1)
+        py = same[np.arange(len(px)), px].argmax(axis=1)
+        most = np.where(found.any(axis=1), 1 + np.minimum(n - px - 1, m - py - 1), np.maximum(n - np.minimum(n, RARE), m - np.minimum(m, RARE)))
+        out[at : at + 1024] = most * (100 + percent) >= percent * (n + m)
+    return out
 
-def _pruned(pairs: DataFrame, classes: DataFrame, threshold: float, percent: int) -> DataFrame:
-    """Pairs (a, b) that the signatures do not rule out."""
-    small = classes.select("node", "n_shingles", "sig")
-    both = pairs.join(small.toDF("a", "na", "sa"), "a").join(small.toDF("b", "nb", "sb"), "b")
-    both = both.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "sa", "sb")
+
+def _across(open_: DataFrame, classes: DataFrame, threshold: float, percent: int) -> DataFrame:
+    """Pairs (a, b) of different roots that share a bucket of open_(bucket, node, root)
+    and are not ruled out by sizes, signatures or the positional bound.
+
+    A bucket is cut into blocks of about BLOCK members; a task compares two blocks.
+    classes: node, n_shingles, sig, rare."""
+    sizes = open_.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    at = open_.join(sizes, "bucket").join(classes.select("node", "n_shingles", "sig", "rare"), "node")
+    mine = F.pmod(F.xxhash64("node", "bucket"), F.col("blocks"))
+    at = at.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    at = at.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") < F.col("other")).alias("left"), "node", "root", "n_shingles", "sig", "rare")
     least = least_matches(threshold)
 
+    def pairs(group: pa.Table):
+        node, root, size = (group.column(k).to_numpy() for k in (4, 5, 6))
+        sig, rare = _matrix(group.column(7), np.uint8, HASHES), _matrix(group.column(8), np.uint32, RARE)
+        if group.column(1)[0].as_py() == group.column(2)[0].as_py():
+            left, right = np.arange(len(node)), np.arange(len(node))
+        else:
+            first = group.column(3).to_numpy(zero_copy_only=False)
+            left, right = np.flatnonzero(first), np.flatnonzero(~first)
+        for at in range(0, len(left), 64):
+            i, j = (x.ravel() for x in np.meshgrid(left[at : at + 64], right, indexing="ij"))
+            fits = (root[i] != root[j]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
+            if len(right) == len(left) and (right == left).all():
+                fits &= i < j
+            i, j = i[fits], j[fits]
+            k = _surviving(sig, sig, i, j, least)
+            i, j = i[k], j[k]
+            k = _within_reach(rare[i], rare[j], size[i], size[j], percent)
+            a, b = node[i[k]], node[j[k]]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
     def run(batches):
+        rest = None
         for b in batches:
             if not b.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<u4").reshape(-1, HASHES) for k in (2, 3))
-            alive, matches = np.arange(b.num_rows), np.zeros(b.num_rows, np.int64)
-            for k, at in enumerate(range(0, HASHES, BATCH)):
-                matches[alive] += (x[alive, at : at + BATCH] == y[alive, at : at + BATCH]).sum(axis=1)
-                alive = alive[matches[alive] >= least[k]]
-            keep = pa.array(alive)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep)], names=["a", "b"])
+            t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])]).combine_chunks()
+            key = np.stack([t.column(k).to_numpy() for k in range(3)])
+            cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+            for x, y in zip([0, *cut[:-1]], cut):
+                yield from pairs(t.slice(x, y - x))
+            rest = t.slice(cut[-1]) if len(cut) else t
+        if rest is not None:
+            yield from pairs(rest)
 
-    return both.mapInArrow(run, "a binary, b binary")
+    dealt = at.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _sets(nodes: DataFrame, docs: DataFrame, owners: DataFrame, words: int) -> DataFrame:
-    """node, elements (the sorted hashes) of the classes named, built again from one
-    document of each."""
-    named = R.stored(nodes.join(owners, "node").select("doc_id", "node"), "named")
+def _sets(owners: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """node, elements (the sorted hashes) of owners(node, doc_id, digest), built again
+    from one document of each."""
+    named = R.stored(owners.select("doc_id", "digest", "node"), "named")
 
     def build(batches):
+        done = set()
         for b in batches:
-            s = [shingles(t, words) for t in R.utf8(b.column(1))]
-            node = [xxhash.xxh3_128_digest(x.tobytes()) for x in s]
-            ok = [k for k, (x, want) in enumerate(zip(node, b.column(2).to_pylist())) if x == want]  # a doc_id may have other texts
-            yield pa.RecordBatch.from_arrays([pa.array([node[k] for k in ok], pa.binary()), pa.array([s[k].tobytes() for k in ok], pa.binary())], names=["node", "elements"])
+            nodes, sets = [], []
+            for t, digest, node in zip(R.utf8(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                # a doc_id may have other texts, and the same text several times
+                if node not in done and xxhash.xxh3_128_digest((s := shingles(t, words)).tobytes()) == digest:
+                    done.add(node)
+                    nodes.append(node)
+                    sets.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "elements"])
 
     # a checked number of ids is sent to the texts; more of them meet the texts in a shuffle
-    few = named.count() <= FEW
-    text = docs.join(F.broadcast(named) if few else named, "doc_id")
-    out = R.stored(text.select("doc_id", "text", "node").mapInArrow(build, "node binary, elements binary").dropDuplicates(["node"]), "sets")
+    n = named.count()
+    text = docs.join(F.broadcast(named) if n <= FEW else named, "doc_id")
+    out = R.stored(text.select("doc_id", "text", "digest", "node").mapInArrow(build, "node long, elements binary"), "sets")
+    if out.count() > n:  # rows that repeat doc_id and text lay in several tasks
+        once = R.stored(out.dropDuplicates(["node"]), "sets")
+        R.discard(out)
+        out = once
     R.discard(named)
     return out
 
 
 def _rare(sets: DataFrame) -> DataFrame:
-    """node, rare: each set's RARE first elements in one order of all shingles, those
-    that few of the sets hold first. Holders are counted by slot of SLOTS, so that the
-    counts are a table of fixed size; any order keeps the bound below exact."""
+    """node, rare: each set's RARE first elements, cut to 32 bits, in one order of all
+    shingles, those that few of the sets hold first. Holders are counted by slot of SLOTS,
+    so that the counts are a table of fixed size; any order keeps the bound exact."""
     spark = sets.sparkSession
 
     def count(batches):
@@ -243,10 +303,11 @@ def _rare(sets: DataFrame) -> DataFrame:
             for e in b.column(1).to_pylist():
                 x = np.frombuffer(e, np.uint64)
                 n = sent.value[x % np.uint64(SLOTS)]
-                out.append(x[np.lexsort((x, n))[:RARE]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], names=["node", "rare"])
+                top = (x[np.lexsort((x, n))[:RARE]] >> np.uint64(32)).astype("<u4")
+                out.append(np.pad(top, (0, RARE - len(top))).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["node", "rare"])
 
-    return sets.select("node", "elements").mapInArrow(first, "node binary, rare array<bigint>")
+    return sets.select("node", "elements").mapInArrow(first, "node long, rare binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -266,61 +327,108 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep)], names=["a", "b"])
 
     both = pairs.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b").select("a", "b", "xa", "xb")
-    return R.stored(both.mapInArrow(compare, "a binary, b binary"), "links")
+    return R.stored(both.mapInArrow(compare, "a long, b long"), "links")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row."""
+def _grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_hash, n_shingles, digest) and the classes (digest,
+    component_id) whose rows may belong to another document than themselves."""
     spark = docs.sparkSession
     R.prepare(spark)
     threshold = percent / 100
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sigs = R.stored(signatures(R.spread(docs), words), "signatures")
     # one row per class; copies meet where they are before anything is moved
-    classes = sigs.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    classes = sigs.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = R.stored(classes, "classes")
-    owners = classes.select("node", "doc_id")
-    bands = _bands(classes)
+    rows = R.stored(sigs.select("doc_id", "text_hash", "n_shingles", "digest"), "rows")
+    R.discard(sigs)
+    bands = classes.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = R.stored(bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     # large buckets fall into random groups, others in every band, and each group has a leader
     group = F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("n") / GROUP)).alias("group")
-    members = R.stored(bands.join(shared, "bucket").select("bucket", group, "part", "band", "node"), "members")
+    members = R.stored(bands.join(shared, "bucket").select("bucket", group, (F.col("band") % LEADER_ORDERS).alias("part"), "node"), "members")
     R.discard(shared)
+    # from here on only classes that share a bucket
+    met = members.select("node").distinct()
+    near = R.stored(classes.select("node", "doc_id", "digest", "n_shingles", "sig").join(met, "node", "left_semi"), "near")
+    owners = R.stored(classes.select("node", "digest", "doc_id", "copies"), "owners")
+    R.discard(classes)
+    sets = _sets(near, docs, words)
     lead = members.groupBy("bucket", "group").agg(F.min(F.struct(F.xxhash64("node", "bucket").alias("h"), F.col("node").alias("node"))).alias("lead"))
     first = members.join(lead, ["bucket", "group"]).where("node <> lead.node").groupBy("node", "part").agg(F.min("lead").alias("lead"))
     first = first.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
-    tried = R.stored(_pruned(first, classes, threshold, percent), "pairs")
-    sets = _sets(_nodes(tried), docs, owners, words)
+    tried = R.stored(_pruned(first, near, threshold, percent), "pairs")
     links = _verified(tried, sets, percent)
     R.discard(tried)
-    R.discard(sets)
-    roots = components(links)
-    R.tidy(spark)
+    roots = R.stored(components(links), "roots")
     # buckets in which several components remain: all pairs across components
-    at = members.select("bucket", "band", "node").join(roots, "node", "left").select("bucket", "band", "node", F.coalesce("root", "node").alias("root"))
-    open_ = at.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
-    at = R.stored(at.join(open_, "bucket", "left_semi"), "open")
-    if at.head(1):
-        sets = _sets(at.select("node").distinct(), docs, owners, words)
-        tried = R.stored(_pruned(_across(at, classes, sets, percent), classes, threshold, percent), "pairs")
-        if tried.head(1):
-            more = _verified(tried, sets, percent)
-            if more.head(1):
-                roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
-        R.discard(tried)
-        R.discard(sets)
+    at = members.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    several = at.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
+    at = R.stored(at.join(several, "bucket", "left_semi"), "open")
     R.discard(members)
-    R.discard(at)
-    R.tidy(spark)
-    # class to smallest doc_id of its component, then to documents
-    rooted = owners.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+    if at.head(1):
+        looked = at.select("node").distinct()
+        rare = R.stored(near.join(_rare(sets.join(looked, "node", "left_semi")), "node").select("node", "n_shingles", "sig", "rare"), "rare")
+        tried = R.stored(_across(at, rare, threshold, percent), "pairs")
+        more = _verified(tried, sets, percent)
+        if more.head(1):
+            again = R.stored(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "roots")
+            R.discard(roots)
+            roots = again
+        for x in (rare, tried, more):
+            R.discard(x)
+    for x in (at, sets, near, links):
+        R.discard(x)
+    # class to smallest doc_id of its component; a class of one document in no other's component needs no entry
+    rooted = owners.join(roots, "node", "left").select("digest", "doc_id", "copies", F.coalesce("root", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = rooted.join(smallest, "root").select("node", "component_id")
-    out = sigs.select("doc_id", "n_shingles", "node").join(named, "node", "left")
+    named = rooted.join(smallest, "root").where("copies > 1 or doc_id <> component_id").select("digest", "component_id")
+    named = R.stored(named, "named")
+    R.discard(owners)
+    R.discard(roots)
+    return rows, named
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row."""
+    rows, named = _grouped(docs, words, percent)
+    out = rows.join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of every near-duplicate group: of the smallest doc_id, and if
+    that has several texts in the group, of the one with the smallest hash. Rows without
+    doc_id or without words belong to no group and stay; other rows that repeat doc_id
+    and text are one document, of which one row stays."""
+    rows, named = _grouped(docs, words, percent)
+    spark = docs.sparkSession
+    rows = rows.where("doc_id is not null and digest is not null")
+    own = rows.join(named, "digest", "left").select("doc_id", "text_hash", F.coalesce("component_id", "doc_id").alias("component_id"))
+    gone = R.stored(own.where("doc_id <> component_id").select("doc_id", "text_hash").distinct(), "gone")
+    # only rows that repeat a doc_id can leave two heads to a group; hot ids are combined before they are moved
+    heads = own.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("text_hash").alias("text_hash")).where("n > 1")
+    heads = R.stored(heads.select("doc_id", "text_hash"), "heads")
+    R.discard(rows)
+    key = F.xxhash64(F.col("text").cast("string"))
+    sent = lambda df: F.broadcast(df) if df.count() <= FEW else df
+    names = ["_doc", "_hash"]
+    on = lambda df, c: (F.col("doc_id").cast("long") == df["_doc"]) & (c == df["_hash"])
+    left = gone.toDF(*names)
+    out = docs.join(sent(left), on(left, key), "left_anti")
+    if heads.head(1):
+        blank = F.trim(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "\t\n\v\f\r", "     ")) == ""
+        ids = heads.select(F.col("doc_id").alias("_doc"))
+        twice = out.where(~blank).join(sent(ids), F.col("doc_id").cast("long") == ids["_doc"], "left_semi")
+        chosen = heads.toDF(*names)
+        best = twice.join(sent(chosen), on(chosen, key), "left_semi").dropDuplicates(["doc_id"])
+        rest = out.where(blank).unionByName(out.where(~blank).join(sent(ids), F.col("doc_id").cast("long") == ids["_doc"], "left_anti"))
+        out = rest.unionByName(best)
+    return out.select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(R.table(spark, sf_dir, "documents"), words=4, percent=80)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import os
 import tempfile
 import uuid
@@ -19,21 +19,27 @@ _SHIPPED: set[str] = set()
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share.
 
-    Only a session that leaves the setting empty gets a temporary folder.
+    Only a local session that leaves the setting empty gets a temporary folder; on a
+    cluster every executor would write to its own disk.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(sc.applicationId)
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = _OWN[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="tracelight-")
     return f"{base.rstrip('/')}/tracelight/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Ship this package to the workers and bound the Arrow batches by bytes."""
+    """Ship this package to the workers and bound the Arrow batches by bytes. The
+    settings must hold until the result is read, so they stay; where the session has
+    values of its own, those are left."""
     sc = spark.sparkContext
-    conf = spark.conf
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    for name, default, value in (("maxBytesPerBatch", ("67108864b", "64MB"), "8m"), ("maxRecordsPerBatch", ("10000",), "4096")):
+        name = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(name) in default:
+            spark.conf.set(name, value)
     if sc.applicationId in _SHIPPED:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -48,12 +54,26 @@ def prepare(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+@contextlib.contextmanager
+def _shuffles_dropped(spark: SparkSession):
+    """Within, a plan's shuffle files go when it has run. Only for plans whose result
+    is in a file by then."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, and a
     lost executor costs no recomputation."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    with _shuffles_dropped(spark):
+        df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tracelight_path = path
     return out
@@ -68,12 +88,6 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Lets Spark drop shuffle files of plans that are no longer referenced."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -91,6 +105,8 @@ def spread(df: DataFrame) -> DataFrame:
     """Deal rows out when a small or unsplittable input has fewer partitions than
     the cluster has cores; the shuffle then costs less than the idle cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().sparkPlan().toString() or "Join" in df._jdf.queryExecution().sparkPlan().toString():
+        return df  # dealt out already; counting its partitions could run its stages
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
 
 
@@ -99,10 +115,6 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-def arrays_of(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
-
-
 def local_fs(path: str):
     """(pyarrow filesystem, path in it) of a shared folder, for workers that
     write or range-read files of a format of their own."""
@@ -111,17 +123,6 @@ def local_fs(path: str):
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else "file://" + path)
 
 
-def put(path: str, data: bytes | list[bytes]) -> None:
-    """Write a file so that a retried or speculative task leaves a whole one."""
-    fs, p = local_fs(path)
-    fs.create_dir(os.path.dirname(p), recursive=True)
-    tmp = f"{p}.{uuid.uuid4().hex}.tmp"
-    with fs.open_output_stream(tmp) as out:
-        for piece in [data] if isinstance(data, bytes) else data:
-            out.write(piece)
-    fs.move(tmp, p)
-
-
 def crc_mod(column, m: int):
     """crc32(id as text) mod m; a null id counts as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % m

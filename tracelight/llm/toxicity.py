@@ -6,7 +6,8 @@ insult beside a group's name can count more than its two words. A text's feature
 are the distinct hashed words of the whole text. Linear weights are learned by
 FTRL-proximal with an L1 penalty, which leaves neutral words at exactly 0; only
 terms whose linear weight is not 0 have factors, so long neutral texts gather no
-noise from pairs.
+noise from pairs. This is a limit of the method as built: a pair of which one word
+alone says nothing at all of the label is not learned.
 
 The model is fitted on the driver from a bounded, documented sample of labelled
 rows (SAMPLE, the smallest hashes of doc_id) and broadcast; its size depends on
@@ -24,6 +25,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from . import runtime as R
 
@@ -143,15 +145,15 @@ def learn(docs: DataFrame, labels: DataFrame, keep=None, sample: int = SAMPLE) -
     return fit([np.frombuffer(t, np.int32) for _, _, t in table], np.array([y for _, y, _ in table], float))
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column score; all columns stay."""
+def scored(docs: DataFrame, model: Model, score: str = "score", known: str | None = None) -> DataFrame:
+    """docs with a column of scores and, if named, one of the number of terms that the
+    model weighs; a text with none has the base score, which is the labels' rate and
+    says nothing of the text. All columns stay."""
     spark = docs.sparkSession
     R.prepare(spark)
     used = np.flatnonzero(model.w)
     sent = spark.sparkContext.broadcast((model.w0, used, model.w[used], model.v[used]))
-
     at = docs.columns.index("text")
-    name = "score"
 
     def run(batches):
         m = None
@@ -160,12 +162,15 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 w0, k, w, v = sent.value
                 m = Model(w0)
                 m.w[k], m.v[k] = w, v
-            s = m.score([terms(x) for x in R.utf8(b.column(at))])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, name])
-
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+            found = [terms(x) for x in R.utf8(b.column(at))]
+            cols, names = [*b.columns, pa.array(m.score(found), pa.float64())], [*b.schema.names, score]
+            if known:
+                cols.append(pa.array([int(np.count_nonzero(m.w[t])) for t in found], pa.int64()))
+                names.append(known)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    fields = [StructField(score, DoubleType())] + ([StructField(known, LongType())] if known else [])
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *fields]))
 
 
 def trained_on(doc_id):
