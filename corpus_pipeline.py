@@ -4,7 +4,7 @@ Toxic documents go, one document of each near-duplicate group stays, documents t
 hold benchmark passages go, secrets are blanked out, and what is left is packed.
 Every stage works on all that its predecessor kept and returns the columns of
 documents, the last one the pieces of the packing. Null texts are empty and clean;
-they pass every filter.
+they pass every filter. Rows that repeat doc_id and text are one document.
 """
 
 from __future__ import annotations
@@ -15,24 +15,20 @@ from tracelight.llm import decontaminate, neardup, packing, runtime, secrets, to
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below the threshold. The model learns from all labelled
-    rows that are not held out, whatever documents came in."""
+    """Documents scored below the threshold, and those without any word that the model
+    weighs: their score is the labels' rate and no sign of toxicity. The model learns from
+    at most toxicity.SAMPLE labelled rows that are not held out, whatever documents came in."""
     everything = runtime.table(spark, sf_dir, "documents")
     model = toxicity.learn(everything, runtime.table(spark, sf_dir, "labels"), toxicity.trained_on)
-    scored = toxicity.scored(runtime.spread(docs).withColumnRenamed("score", "_score") if "score" in docs.columns else runtime.spread(docs), model)
-    kept = scored.where(F.col("score") < toxicity.THRESHOLD).drop("score")
-    return kept.withColumnRenamed("_score", "score") if "_score" in kept.columns else kept
+    found = toxicity.scored(runtime.spread(docs), model, "_toxicity", "_known")
+    return found.where((F.col("_toxicity") < toxicity.THRESHOLD) | (F.col("_known") == 0)).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document per group: five words a shingle, similarity 0.8 or more. Rows
-    without doc_id or without words belong to no group and stay."""
-    found = neardup.near_duplicates(docs, words=5, percent=80)
-    gone = found.where("doc_id is not null and not kept").select("doc_id").distinct()
-    gone = runtime.stored(gone, "gone")
-    # a checked number of ids is sent to the texts; more of them meet the texts in a shuffle
-    few = gone.count() <= neardup.FEW
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
+    without doc_id or without words belong to no group and stay; a row is told from
+    others of its doc_id by its text."""
+    return neardup.one_of_each(docs, words=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,5 +61,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = runtime.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = runtime.stored(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        now = runtime.stored(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        runtime.discard(docs)
+        docs = now
     return STAGES[-1][1](spark, docs, sf_dir)
