@@ -46,6 +46,7 @@ LEADER_ORDERS = 6
 GROUP, BLOCK = 16, 512
 #: Elements per set that the positional bound looks at, and counters of holders.
 RARE, SLOTS = 64, 1 << 18
+_NO_KEY = np.uint64(2**64 - 1)
 #: Rows of (doc_id, digest) that are broadcast at most: about 10 MB.
 FEW = 250_000
 _MUL = np.random.default_rng(20240101).integers(0, 2**31, HASHES, dtype=np.uint32) << np.uint32(1) | np.uint32(1)
@@ -54,7 +55,7 @@ _ADD = np.random.default_rng(20240102).integers(0, 2**32, HASHES, dtype=np.uint3
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -180,20 +181,18 @@ def _pruned(pairs: DataFrame, classes: DataFrame, threshold: float, percent: int
 
 
 def _within_reach(rare_x, rare_y, size_x, size_y, percent: int) -> np.ndarray:
-    """Whether pairs can hold enough common elements by the places of the first common
-    one: what stands before it in either list is in one set only. Elements are cut to 32
-    bits; two that agree by chance can only raise the bound."""
+    """Whether pairs can hold enough common elements. Up to the smaller of the two lists'
+    last keys both sets are known whole; beyond it the smaller rest may be common. Keys
+    that agree by chance can only raise the bound."""
     out = np.zeros(len(size_x), bool)
-    column = np.arange(RARE)
-    for at in range(0, len(out), 1024):
-        x, y, n, m = (v[at : at + 1024] for v in (rare_x, rare_y, size_x, size_y))
-        same = x[:, :, None] == y[:, None, :]
-        same &= (column < n[:, None])[:, :, None] & (column < m[:, None])[:, None, :]
-        found = same.any(axis=2)
-        px = found.argmax(axis=1)
-        py = same[np.arange(len(px)), px].argmax(axis=1)
-        most = np.where(found.any(axis=1), 1 + np.minimum(n - px - 1, m - py - 1), np.maximum(n - np.minimum(n, RARE), m - np.minimum(m, RARE)))
-        out[at : at + 1024] = most * (100 + percent) >= percent * (n + m)
+    for at in range(0, len(out), 4096):
+        x, y, n, m = (v[at : at + 4096] for v in (rare_x, rare_y, size_x, size_y))
+        end = np.minimum(np.where(n <= RARE, _NO_KEY, x[:, -1]), np.where(m <= RARE, _NO_KEY, y[:, -1]))[:, None]
+        known = [((v <= end) & (v != _NO_KEY)).sum(axis=1) for v in (x, y)]
+        z = np.sort(np.concatenate([x, y], axis=1), axis=1)
+        common = ((z[:, 1:] == z[:, :-1]) & (z[:, 1:] <= end) & (z[:, 1:] != _NO_KEY)).sum(axis=1)
+        most = common + np.minimum(n - known[0], m - known[1])
+        out[at : at + 4096] = most * (100 + percent) >= percent * (n + m)
     return out
 
 
@@ -212,7 +211,7 @@ def _across(open_: DataFrame, classes: DataFrame, threshold: float, percent: int
 
     def pairs(group: pa.Table):
         node, root, size = (group.column(k).to_numpy() for k in (4, 5, 6))
-        sig, rare = _matrix(group.column(7), np.uint8, HASHES), _matrix(group.column(8), np.uint32, RARE)
+        sig, rare = _matrix(group.column(7), np.uint8, HASHES), _matrix(group.column(8), np.uint64, RARE)
         if group.column(1)[0].as_py() == group.column(2)[0].as_py():
             left, right = np.arange(len(node)), np.arange(len(node))
         else:
@@ -279,9 +278,10 @@ def _sets(owners: DataFrame, docs: DataFrame, words: int) -> DataFrame:
 
 
 def _rare(sets: DataFrame) -> DataFrame:
-    """node, rare: each set's RARE first elements, cut to 32 bits, in one order of all
-    shingles, those that few of the sets hold first. Holders are counted by slot of SLOTS,
-    so that the counts are a table of fixed size; any order keeps the bound exact."""
+    """node, rare: the keys of each set's RARE first elements in one order of all shingles,
+    those that few of the sets hold first. A key is the number of holders, then bits of the
+    element's hash. Holders are counted by slot of SLOTS, so that the counts are a table
+    of fixed size; any order keeps the bound exact."""
     spark = sets.sparkSession
 
     def count(batches):
@@ -302,9 +302,9 @@ def _rare(sets: DataFrame) -> DataFrame:
             out = []
             for e in b.column(1).to_pylist():
                 x = np.frombuffer(e, np.uint64)
-                n = sent.value[x % np.uint64(SLOTS)]
-                top = (x[np.lexsort((x, n))[:RARE]] >> np.uint64(32)).astype("<u4")
-                out.append(np.pad(top, (0, RARE - len(top))).tobytes())
+                n = np.minimum(sent.value[x % np.uint64(SLOTS)], (1 << 23) - 1).astype(np.uint64)
+                key = np.sort((n << np.uint64(40)) | (x >> np.uint64(24)))[:RARE]
+                out.append(np.pad(key, (0, RARE - len(key)), constant_values=_NO_KEY).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["node", "rare"])
 
     return sets.select("node", "elements").mapInArrow(first, "node long, rare binary")
