@@ -32,6 +32,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -196,6 +197,21 @@ def _within_reach(rare_x, rare_y, size_x, size_y, percent: int) -> np.ndarray:
     return out
 
 
+def _padded(column: pa.Array, width: int) -> np.ndarray:
+    """Lists of longs as rows of a matrix, filled up with the largest long."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    n = pc.list_value_length(column).to_numpy()
+    out = np.full((len(n), width), np.iinfo(np.int64).max)
+    out[np.arange(width) < n[:, None]] = column.flatten().to_numpy()
+    return out
+
+
+def _first_met(buckets_x: np.ndarray, buckets_y: np.ndarray, bucket: int) -> np.ndarray:
+    """Whether a bucket is the smallest that pairs share; so each pair comes from one."""
+    z = np.sort(np.concatenate([buckets_x, buckets_y], axis=1), axis=1)
+    return z[np.arange(len(z)), (z[:, 1:] == z[:, :-1]).argmax(axis=1)] == bucket
+
+
 def _across(open_: DataFrame, classes: DataFrame, threshold: float, percent: int) -> DataFrame:
     """Pairs (a, b) of different roots that share a bucket of open_(bucket, node, root)
     and are not ruled out by sizes, signatures or the positional bound.
@@ -203,15 +219,17 @@ def _across(open_: DataFrame, classes: DataFrame, threshold: float, percent: int
     A bucket is cut into blocks of about BLOCK members; a task compares two blocks.
     classes: node, n_shingles, sig, rare."""
     sizes = open_.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    at = open_.join(sizes, "bucket").join(classes.select("node", "n_shingles", "sig", "rare"), "node")
+    lists = open_.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))  # BANDS entries at most
+    at = open_.join(sizes, "bucket").join(classes.select("node", "n_shingles", "sig", "rare").join(lists, "node"), "node")
     mine = F.pmod(F.xxhash64("node", "bucket"), F.col("blocks"))
     at = at.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    at = at.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") < F.col("other")).alias("left"), "node", "root", "n_shingles", "sig", "rare")
+    at = at.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") < F.col("other")).alias("left"), "node", "root", "n_shingles", "sig", "rare", "buckets")
     least = least_matches(threshold)
 
     def pairs(group: pa.Table):
         node, root, size = (group.column(k).to_numpy() for k in (4, 5, 6))
         sig, rare = _matrix(group.column(7), np.uint8, HASHES), _matrix(group.column(8), np.uint64, RARE)
+        buckets, bucket = _padded(group.column(9), BANDS), group.column(0)[0].as_py()
         if group.column(1)[0].as_py() == group.column(2)[0].as_py():
             left, right = np.arange(len(node)), np.arange(len(node))
         else:
@@ -225,6 +243,8 @@ def _across(open_: DataFrame, classes: DataFrame, threshold: float, percent: int
             i, j = i[fits], j[fits]
             k = _surviving(sig, sig, i, j, least)
             i, j = i[k], j[k]
+            k = _first_met(buckets[i], buckets[j], bucket)
+            i, j = i[k], j[k]
             k = _within_reach(rare[i], rare[j], size[i], size[j], percent)
             a, b = node[i[k]], node[j[k]]
             if len(a):
@@ -245,7 +265,7 @@ def _across(open_: DataFrame, classes: DataFrame, threshold: float, percent: int
             yield from pairs(rest)
 
     dealt = at.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def _sets(owners: DataFrame, docs: DataFrame, words: int) -> DataFrame:
