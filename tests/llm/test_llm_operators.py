@@ -514,49 +514,71 @@ def test_language_model(spark):
     assert lm.score(docs(spark, [])).count() == 0
 
 
-def test_rare_and_hot_words_agree(spark, monkeypatch):
-    rng = random.Random(11)
-    df = docs(spark, [prose(rng, 50) for _ in range(20)])
-    a = {r.doc_id: (r.n_known, r.base_score, r.score) for r in lm.score(df).collect()}
-    monkeypatch.setattr(lm, "HOT", 0.02)
-    b = {r.doc_id: (r.n_known, r.base_score, r.score) for r in lm.score(df).collect()}
-    assert all(a[k] == pytest.approx(b[k], rel=1e-9) for k in a)
-
-
-def test_tree_sums_to_one():
-    model = {"": ({"a": 5, "b": 3, " ": 2, "\n": 1}, 11), "a": ({"b": 3, " ": 2}, 5), " ": ({"a": 4, "\n": 1}, 5), "ba": ({"a": 2}, 2)}
-    t = lm.Tree(model)
-    rest = lm.ALPHABET - 4
-    for state in model:
-        p = sum(t.probability(state, s) for s in "ab \n") + rest * t.probability(state, "z")
-        assert p == pytest.approx(1)
-    assert t.longest("xba", t.states) == "ba"
-
-
-def test_rare_contexts_are_states(spark):
-    """A few occurrences among two million symbols are as good as among two hundred."""
-    rng = random.Random(14)
-    texts = ["ab " * 700_000, *["qxqz uxuw"] * 9, prose(rng, 200), "uxw qz"]
-    words = [[*lm.words_of(t.encode()), b""] for t in texts]
+def brute_scores(texts):
+    """The tree built context by context in memory, and each symbol scored by walking back."""
+    low = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+    spelt = []
+    for t in texts:
+        words = (t or "").encode().translate(low).split()
+        spelt.append([256] * lm.DEPTH + list(b"".join(w + b" " for w in words) + b"\n"))  # 256: start mark
     counts = {}
-    for i, ws in enumerate(words):
+    for i, s in enumerate(spelt):
         if zlib.crc32(str(i).encode()) % 5 != 1:
-            for w, n in Counter(ws).items():
-                s = f" {w.decode()} " if w else " \n"
-                for at in range(1, len(s)):
-                    for k in range(min(at, lm.DEPTH) + 1):
-                        counts.setdefault(s[at - k : at], Counter())[s[at]] += n
-    model = {"": (dict(counts[""]), counts[""].total())}
+            for at in range(lm.DEPTH, len(s)):
+                for k in range(lm.DEPTH + 1):
+                    counts.setdefault(tuple(s[at - k : at]), Counter())[s[at]] += 1
+    states = {()} if () in counts else set()
     for c, nexts in counts.items():
-        total, up = nexts.total(), counts[c[1:]]
-        gain = sum(x * np.log(x / total / (up[s] / up.total())) for s, x in nexts.items())
-        if c and total >= 5 and 2 * gain > len(nexts) * np.log(total + 1):
-            model[c] = dict(nexts), total
-    assert "qx" in model and model["qx"][1] < 4e-6 * model[""][1]
-    t = lm.Tree(model)
-    got = {r.doc_id: r.score for r in lm.score(docs(spark, texts)).collect()}
-    for i, ws in enumerate(words):
-        assert got[i] == pytest.approx(sum(n * t.word(w.decode()) for w, n in Counter(ws).items()), rel=1e-9), i
+        total = nexts.total()
+        gain = sum(x * np.log(x / total / (counts[c[1:]][s] / counts[c[1:]].total())) for s, x in nexts.items())
+        if c and total >= lm.LEAST and 2 * gain > len(nexts) * np.log(total + 1):
+            states.add(c)
+
+    def p(context, symbol):
+        if context in states:
+            nexts = counts[context]
+            return (nexts[symbol] + len(nexts) * (p(context[1:], symbol) if context else 1 / 256)) / (nexts.total() + len(nexts))
+        return p(context[1:], symbol) if context else 1 / 256
+
+    return states, [sum(np.log10(p(tuple(s[at - lm.DEPTH : at]), s[at])) for at in range(lm.DEPTH, len(s))) for s in spelt], p
+
+
+def test_scores_against_brute_force(spark, monkeypatch):
+    rng = random.Random(14)
+    texts = [None, "", "a", "é ü 日本 É", "ab ba aa b", "b aa ba ab", "\x00 \x00\x00x", "ab " * 400, *["qxqz uxuw"] * 9, *(prose(rng, 60) for _ in range(25)), "uxw qz Unseen"]
+    states, want, p = brute_scores(texts)
+    assert any(32 in c and c[-1] != 32 for c in states)  # contexts go over word borders
+    for c in [(), *sorted(states)[:40]]:
+        assert sum(p(c, s) for s in range(256)) == pytest.approx(1, abs=1e-2)  # less what start marks never are
+    hot = {r.doc_id: (r.n_known, r.base_score, r.score) for r in lm.score(docs(spark, texts)).collect()}
+    for i, x in enumerate(want):
+        assert hot[i][2] == pytest.approx(x, rel=1e-9), i
+    assert hot[4][2] != pytest.approx(hot[5][2], rel=1e-6) and hot[4][1] == pytest.approx(hot[5][1])  # order counts for the tree alone
+    # rare integers and words by the shuffle, in small pieces
+    monkeypatch.setattr(lm, "HOT", 20)
+    monkeypatch.setattr(lm, "HOT_WORD", 0.02)
+    monkeypatch.setattr(lm.grams, "__defaults__", (7,))
+    cold = {r.doc_id: (r.n_known, r.base_score, r.score) for r in lm.score(docs(spark, texts)).collect()}
+    assert all(hot[k] == pytest.approx(cold[k], rel=1e-9) for k in hot)
+
+
+def test_language_model_of_odd_rows(spark):
+    """Rows that repeat an id are scored one by one, a null id is ''; a word of a megabyte."""
+    rows = [(1, "a b"), (1, "a b"), (None, "a b"), (7, "x" * 1_200_000)]
+    got = sorted(lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=str)
+    assert len(got) == 4 and [r.n_tokens for r in got if r.doc_id != 7] == [3, 3, 3] and len({r.score for r in got if r.doc_id != 7}) == 1
+    none = lm.score(spark.createDataFrame([(k, "ab") for k in range(200) if zlib.crc32(str(k).encode()) % 5 == 1], "doc_id long, text string")).collect()
+    assert none and all(r.train_tokens == 0 and r.held_out and r.score == pytest.approx(4 * np.log10(1 / 256)) for r in none)
+
+
+def test_lookup():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 2**48, 5000))
+    t = lm.Lookup(keys, np.sqrt(keys))
+    got = t.get(np.concatenate([keys, keys + 2**48]))
+    held = ~np.isnan(got[: len(keys)])
+    assert held.mean() > 0.95 and (got[: len(keys)][held] == np.sqrt(keys)[held]).all() and np.isnan(got[len(keys) :]).all()
+    assert np.isnan(lm.Lookup(keys[:0], np.empty(0)).get(keys)).all()
 
 
 def test_clean_rows(spark, monkeypatch):

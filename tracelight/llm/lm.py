@@ -1,56 +1,128 @@
 """Language-model scores by a probabilistic suffix tree.
 
-The symbols are characters. A text is spelled word by word, each closed by a
-blank, and ended by a line feed; contexts are the up to DEPTH symbols before, as far
-back as the blank that precedes the word. A context is a state of the tree if it
-occurs at least LEAST times and a likelihood-ratio test finds its next-symbol
-distribution to diverge from that of its longest proper suffix. Distributions are
-smoothed towards the next shorter state (Witten-Bell), the root's towards all
-Unicode characters. A symbol is scored in the longest state that is a suffix of what
-came before.
-
-The tree grows with the corpus, so it is never collected: contexts of one length are
-a table, tested and smoothed by a join with the table of contexts one symbol shorter.
-
-A word's probability thus depends on the word alone, so words, not texts, are
-scored: the corpus is reduced to a table of distinct words with counts. Words above
-a share of all tokens (at most 1 / HOT of them can be) are looked up in a broadcast
-table while the texts are read; the rest joins the word table by shuffle.
-
-Null and empty texts are the end token alone. Repeated rows are scored one by one;
-rows without doc_id count as id ''. Extra columns are ignored. Without training
-texts every count is 0, and the tree gives each character 1 in 1,114,112.
+The symbols are bytes. A text is its lower-cased words, each closed by a blank, and a
+line feed as end; before it stand DEPTH start marks (255, which no UTF-8 holds). The
+context of a symbol is the up to DEPTH symbols before it, over word borders and all. A
+context is a state of the tree if it occurs at least LEAST times and a likelihood-ratio
+test finds its next-symbol distribution to diverge from that of its longest proper
+suffix. Distributions are smoothed towards the next shorter state (Witten-Bell), the
+root's towards all bytes. A symbol is scored in the longest state that is a suffix of
+what came before.
+
+A context and the symbol after it are one integer, the symbol in the lowest byte, so
+that the next shorter context is that integer without its highest byte. Tasks count these
+integers by sorting; the tree is made of tables, one a length, each tested and smoothed
+by a join with the next shorter one. It grows with the corpus and is never collected.
+Words, for the base score, are a table likewise. While the texts are read, the most
+frequent integers (HOT at most) and words are looked up in broadcast tables; what is
+left, rare by choice, meets the tables in a shuffle.
+
+Null and empty texts are the end alone. Repeated rows are scored one by one; rows
+without doc_id count as id ''. Extra columns are ignored. Without training texts every
+count is 0, and the tree gives each byte 1 in 256.
 """
 
 from __future__ import annotations
 
 import functools
-import math
 from collections import Counter
+from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import runtime as R
 
-DEPTH = 8
+#: Symbols of context; 7 at most, as a context and its symbol are 8 bytes.
+DEPTH = 5
 #: Occurrences from which the chi-squared bound of the test is commonly taken to hold.
 LEAST = 5
-HOT = 2.0**-20
-ALPHABET = 0x110000
-END = "\n"
-#: Distinct words that a task counts before it hands them on.
-HELD = 200_000
+#: Contexts with symbols that are broadcast at most: 16 MB.
+HOT = 1 << 20
+#: Share of all tokens from which a word is broadcast; 2^20 words can have it.
+HOT_WORD = 2.0**-20
+ALPHABET = 256
+START = b"\xff" * DEPTH
+#: Distinct words, and distinct integers, that a task counts before it hands them on.
+HELD, HELD_GRAMS = 200_000, 1 << 21
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(R.LOWER_BYTES).split()
 
 
+def spelled(words: list[bytes]) -> bytes:
+    """The symbols of a text, start marks included."""
+    return START + b" ".join([*words, b"\n"])
+
+
+def grams(spelt: list[bytes], step: int = 1 << 20):
+    """(context and symbol as one integer, number of the text) for all symbols of texts,
+    in pieces of bounded size, whatever the length of a text."""
+    a = np.frombuffer(b"".join(spelt), np.uint8)
+    sizes = np.array([len(s) for s in spelt], np.int64)
+    ends = np.cumsum(sizes)
+    for at in range(DEPTH, len(a), step):
+        w = a[at - DEPTH : at + step]
+        n = len(w) - DEPTH
+        key = np.zeros(n, np.int64)
+        for j in range(DEPTH + 1):
+            key = (key << 8) | w[j : j + n]
+        first, last = np.searchsorted(ends, (at, at + n - 1), side="right")
+        here = np.arange(first, last + 1)
+        text = np.repeat(here, np.minimum(ends[here], at + n) - np.maximum(ends[here] - sizes[here], at))
+        symbol = w[DEPTH:] != 0xFF
+        yield key[symbol], text[symbol]
+
+
 def trained_on(doc_id):
     return R.crc_mod(doc_id, 5) != 1
 
 
+def _summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    at = np.argsort(keys, kind="stable")
+    keys = keys[at]
+    if not len(keys):
+        return keys, *counts
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], *(np.add.reduceat(c[at], first) for c in counts)
+
+
+def gram_counts(docs: DataFrame) -> DataFrame:
+    """gram, n_train, n_all: every context of DEPTH symbols with the symbol after it."""
+
+    def run(batches):
+        pending, n_pending = [], 0
+
+        def merged():
+            return _summed(*(np.concatenate(x) for x in zip(*pending)))
+
+        def out(held):
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in held], names=["gram", "n_train", "n_all"])
+
+        for b in batches:
+            spelt = [spelled(words_of(t)) for t in R.utf8(b.column(0))]
+            learn = np.array(b.column(1).to_pylist(), bool)
+            for key, text in grams(spelt):
+                own = learn[text]
+                for of, part in ((1, key[own]), (0, key[~own])):
+                    k, n = np.unique(part, return_counts=True)
+                    pending.append((k, n * of, n))
+                    n_pending += len(k)
+                if n_pending > 2 * HELD_GRAMS:
+                    held = merged()
+                    pending, n_pending = [held], len(held[0])
+                    if n_pending > HELD_GRAMS:
+                        yield out(held)
+                        pending, n_pending = [], 0
+        if pending:
+            yield out(merged())
+
+    found = docs.select("text", "train").mapInArrow(run, "gram long, n_train long, n_all long")
+    return found.groupBy("gram").agg(F.sum("n_train").alias("n_train"), F.sum("n_all").alias("n_all"))
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """word (UTF-8, the end token empty), n_all, n_train: all words of all texts."""
 
@@ -78,111 +150,94 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return found.groupBy("word").agg(F.sum("n_all").alias("n_all"), F.sum("n_train").alias("n_train"))
 
 
-def spelled(word: bytes) -> Counter:
-    """(context of at most DEPTH symbols, symbol): times, of a word and the blank
-    after it; of the end, if empty."""
-    s = f" {word.decode()} " if word else " " + END
-    return Counter((s[max(0, k - DEPTH) : k], s[k]) for k in range(1, len(s)))
-
-
-def symbol_counts(words: DataFrame) -> DataFrame:
-    """context, symbol, n, size (of the context): all suffixes of all contexts of the
-    word table, stored by size. Pairs that only held-out words have count 0."""
-
-    def run(batches):
-        held = Counter()
-
-        def out():
-            keys = list(held)
-            yield pa.RecordBatch.from_pydict({"context": pa.array([k[0] for k in keys], pa.string()), "symbol": pa.array([k[1] for k in keys], pa.string()), "n": pa.array([held[k] for k in keys], pa.int64())})
-            held.clear()
-
-        for b in batches:
-            for word, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for pair, times in spelled(word).items():
-                    held[pair] += n * times
-                if len(held) > HELD:
-                    yield from out()
-        yield from out()
-
-    spark = words.sparkSession
-    top = words.select("word", "n_train").mapInArrow(run, "context string, symbol string, n long")
-    top = top.groupBy("context", "symbol").agg(F.sum("n").alias("n"))
-    suffix = F.explode(F.transform(F.sequence(F.lit(1), F.length("context") + 1), lambda k: F.substring(F.col("context"), k, F.length("context"))))
-    every = top.select(suffix.alias("context"), "symbol", "n").groupBy("context", "symbol").agg(F.sum("n").alias("n"))
-    path = R.shared_dir(spark, "symbol-counts")
-    every.withColumn("size", F.length("context")).write.option("compression", "zstd").partitionBy("size").parquet(path)
-    out = spark.read.schema("context string, symbol string, n long, size int").parquet(path)
-    out._tracelight_path = path
-    return out
-
-
-def learn(words: DataFrame) -> list[DataFrame]:
-    """Tables of context, symbol, log_p (log10) for the contexts in which symbols of
-    the words stand, one table a length. Nothing but the root's sums is collected."""
-    counts = symbol_counts(words)
-    root = counts.where("size = 0")
+def learn(counted: DataFrame) -> DataFrame:
+    """gram, n_all, log_p (log10) for the grams of a table of gram, n_train, n_all. Only
+    the root's sums are collected."""
+    # from long to short: what a context's suffix counts is the sum over the contexts that end in it
+    tables = [counted.select("gram", F.col("n_train").alias("n"), "n_all")]
+    for size in range(DEPTH - 1, -1, -1):
+        shorter = tables[-1].groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (size + 1)) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
+        tables.append(R.stored(shorter, f"grams-{size}"))
+    root = tables.pop()
     total, kinds = root.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     p = (F.col("n") + kinds / ALPHABET) / F.lit(float(total + kinds)) if total else F.lit(1 / ALPHABET)
-    level = R.stored(root.select("context", "symbol", "n", F.lit(int(total)).cast("long").alias("total"), p.alias("p")), "contexts-0")
+    level = root.select("gram", "n", F.lit(int(total)).cast("long").alias("total"), p.alias("p"))
     whole = Window.partitionBy("context")
-    levels = []
+    used = [root]
     for size in range(1, DEPTH + 1):
-        up = level.select(F.col("context").alias("parent"), "symbol", F.col("n").alias("up_n"), F.col("total").alias("up_total"), F.col("p").alias("up_p"))
-        here = counts.where(F.col("size") == size).withColumn("parent", F.substring(F.col("context"), F.lit(2), F.length("context"))).join(up, ["parent", "symbol"])
+        table = tables.pop()
+        up = level.select(F.col("gram").alias("suffix"), F.col("n").alias("up_n"), F.col("total").alias("up_total"), F.col("p").alias("up_p"))
+        here = table.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << 8 * size) - 1))).join(up, "suffix").withColumn("context", F.shiftright("gram", 8))
         apart = F.when(F.col("n") > 0, F.col("n") * (F.log("n") - F.log("up_n") + F.log("up_total"))).otherwise(0.0)
-        here = here.select("context", "symbol", "n", "up_p", F.sum("n").over(whole).alias("total"), F.count_if(F.col("n") > 0).over(whole).alias("kinds"), F.sum(apart).over(whole).alias("apart"))
+        of = [c for c in table.columns if c != "n"]
+        here = here.select(*of, "n", "up_p", F.sum("n").over(whole).alias("total"), F.count_if(F.col("n") > 0).over(whole).alias("kinds"), F.sum(apart).over(whole).alias("apart"))
         gain = F.col("apart") - F.col("total") * F.log("total")
         state = (F.col("total") >= LEAST) & (2 * gain > F.col("kinds") * F.log(F.col("total") + 1))
         p = F.when(state, (F.col("n") + F.col("kinds") * F.col("up_p")) / (F.col("total") + F.col("kinds"))).otherwise(F.col("up_p"))
-        level = R.stored(here.select("context", "symbol", *(["n", "total"] if size < DEPTH else []), p.alias("p")), f"contexts-{size}")
-        # shorter contexts are whole only where a word begins
-        levels.append((level if size == DEPTH else level.where(F.col("context").startswith(" "))).select("context", "symbol", F.log10("p").alias("log_p")))
-    R.discard(counts)
-    return levels
-
-
-class Tree:
-    """The same scores from states held in memory (context to counts of next symbols
-    and their sum); transitions are found once and kept."""
-
-    def __init__(self, model: dict[str, tuple[dict[str, int], int]]):
-        self.states = {"": ({}, 0)} | model
-        self.step: dict[tuple[str, str], tuple[float, str]] = {}
-        #: states and what leads to them: a walk must not forget what a longer state needs
-        self.nodes = {s[:k] for s in self.states for k in range(len(s) + 1)}
-
-    def longest(self, history: str, among) -> str:
-        while history not in among:
-            history = history[1:]
-        return history
-
-    def probability(self, state: str, symbol: str) -> float:
-        chain = [state]
-        while chain[-1]:
-            chain.append(self.longest(chain[-1][1:], self.states))
-        p = 1 / ALPHABET
-        for s in reversed(chain):
-            nexts, total = self.states[s]
-            if total:
-                p = (nexts.get(symbol, 0) + len(nexts) * p) / (total + len(nexts))
-        return p
-
-    def word(self, word: str) -> float:
-        """log10 probability of a word and the blank after it; of the end, if empty."""
-        node, out = self.longest(" ", self.nodes), 0.0
-        for symbol in word + " " if word else END:
-            got = self.step.get((node, symbol))
-            if got is None:
-                if len(self.step) > 1_000_000:
-                    self.step.clear()
-                p = self.probability(self.longest(node, self.states), symbol)
-                got = self.step[node, symbol] = math.log10(p), self.longest((node + symbol)[-DEPTH:], self.nodes)
-            out += got[0]
-            node = got[1]
+        if size < DEPTH:
+            level = R.stored(here.select("gram", "n", "total", p.alias("p")), f"contexts-{size}")
+            used += [table, level]
+        else:
+            level = R.stored(here.select("gram", "n_all", F.log10(p).alias("log_p")), "contexts")
+    for x in used:
+        R.discard(x)
+    return level
+
+
+class Lookup:
+    """Values of 64-bit keys by two hash tables without chains; the few keys that find
+    no place in either are not held."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(len(keys)).bit_length() + 1)
+        self.tables = []
+        for seed, bits in ((0x9E3779B97F4A7C15, bits), (0xC2B2AE3D27D4EB4F, max(4, bits - 2))):
+            k, v = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits)
+            at = self._slot(keys, seed, bits)
+            k[at], v[at] = keys, values
+            mine = k[at] == keys
+            v[at[mine]] = values[mine]
+            keys, values = keys[~mine], values[~mine]
+            self.tables.append((seed, bits, k, v))
+
+    @staticmethod
+    def _slot(keys, seed, bits):
+        return ((keys.astype(np.uint64) * np.uint64(seed)) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The keys' values; NaN for those not held."""
+        out = np.full(len(keys), np.nan)
+        rest = slice(None)
+        for seed, bits, k, v in self.tables:
+            ask = keys[rest]
+            at = self._slot(ask, seed, bits)
+            got = np.where(k[at] == ask, v[at], np.nan)
+            out[rest] = got
+            rest = np.flatnonzero(np.isnan(out))
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def _lookup(sent) -> Lookup:
+    keys, values = sent.value
+    return Lookup(np.frombuffer(keys, np.int64), np.frombuffer(values, np.float64))
+
+
+def _most_frequent(tree: DataFrame) -> tuple[bytes, bytes]:
+    """Keys and values of the grams above the least power of two that HOT or fewer reach."""
+    size = F.floor(F.log2("n_all") + 1e-9).cast("int")
+    held, least = 0, None
+    for r in sorted(tree.groupBy(size.alias("size")).agg(F.count("*").alias("n")).collect(), reverse=True):  # 64 rows at most
+        held += r.n
+        if held > HOT:
+            break
+        least = r["size"]
+    if least is None:
+        return b"", b""
+    t = tree.where(size >= least).select("gram", "log_p").toArrow()  # HOT rows at most
+    return t["gram"].to_numpy().tobytes(), t["log_p"].to_numpy().tobytes()
+
+
 def score(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score, score."""
@@ -190,63 +245,63 @@ def score(docs: DataFrame) -> DataFrame:
     R.prepare(spark)
     docs = R.spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     docs = docs.withColumn("train", trained_on(F.col("doc_id")))
+    counted = R.stored(gram_counts(docs), "gram-counts")
+    tree = learn(counted)
+    R.discard(counted)
     words = R.stored(word_counts(docs), "words")
     n_all, n, v = words.agg(F.coalesce(F.sum("n_all"), F.lit(0)), F.coalesce(F.sum("n_train"), F.lit(0)), F.count_if(F.col("n_train") > 0)).first()
-    down = n + 0.5 * (v + 1)
-
-    def spell(batches):
-        names = ["word", "n_all", "n_train", "context", "symbol", "times"]
-        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-        for b in batches:
-            rows = []
-            for word, n_all, n_train in zip(*(c.to_pylist() for c in b.columns)):
-                rows += [(word, n_all, n_train, *pair, times) for pair, times in spelled(word).items()]
-                if len(rows) > HELD:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-
-    symbols = words.mapInArrow(spell, "word binary, n_all long, n_train long, context string, symbol string, times long")
-    places = functools.reduce(DataFrame.union, learn(words))
-    table = symbols.join(places, ["context", "symbol"]).groupBy("word", "n_all", "n_train").agg(F.sum(F.col("times") * F.col("log_p")).alias("log_tree"))
-    base = F.log10((F.col("n_train") + 0.5) / F.lit(float(down)))
-    table = R.stored(table.select("word", "n_all", (F.col("n_train") > 0).alias("known"), base.alias("log_base"), "log_tree"), "scored-words")
-    R.discard(words)
-    hot = spark.sparkContext.broadcast({bytes(r.word): (int(r.known), r.log_base, r.log_tree) for r in table.where(F.col("n_all") >= HOT * n_all).collect()})  # 1 / HOT words at most
+    base = F.log10((F.col("n_train") + 0.5) / F.lit(float(n + 0.5 * (v + 1))))
+    words = words.select("word", "n_all", (F.col("n_train") > 0).cast("long").alias("known"), base.alias("log_base"))
+    top = words.where(F.col("n_all") >= HOT_WORD * n_all).toArrow()  # 1 / HOT_WORD rows at most
+    hot_words = spark.sparkContext.broadcast(({w: k for k, w in enumerate(top["word"].to_pylist())}, top["known"].to_numpy(), top["log_base"].to_numpy()))
+    hot_grams = spark.sparkContext.broadcast(_most_frequent(tree))
 
     def read(batches):
-        top = hot.value
+        names = ["row", "doc_id", "train", "n_tokens", "known", "base", "tree", "words", "grams", "times"]
+        numbers, known_of, base_of = hot_words.value
+        held = _lookup(hot_grams)
         for b in batches:
-            rows = []
-            for text in R.utf8(b.column(2)):
+            if not b.num_rows:
+                continue
+            n_tokens, known, bases, rest, spelt = [], [], [], [], []
+            for text in R.utf8(b.column(3)):
                 words = words_of(text)
+                spelt.append(spelled(words))
                 words.append(b"")
-                known, bases, trees, rest = 0, [], [], []
-                for w in words:
-                    got = top.get(w)
-                    if got is None:
-                        rest.append(w)
-                    else:
-                        known += got[0]
-                        bases.append(got[1])
-                        trees.append(got[2])
-                rows.append((len(words), known, math.fsum(bases), math.fsum(trees), rest))
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary())]
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], b.column(3), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["row", "doc_id", "train", "n_tokens", "known", "base", "tree", "rest"])
-
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "train")
-    part = R.stored(rows.mapInArrow(read, "row long, doc_id long, train boolean, n_tokens long, known long, base double, tree double, rest array<binary>"), "rows")
-    # a word that is not hot is rare in any table, so no key of this join is heavy
-    rare = part.select("row", F.explode("rest").alias("word")).join(table.select("word", "known", "log_base", "log_tree"), "word")
-    rare = rare.groupBy("row").agg(F.sum(F.col("known").cast("long")).alias("k"), F.sum("log_base").alias("b"), F.sum("log_tree").alias("t"))
-    out = part.drop("rest").join(rare, "row", "left")
-    add = lambda c, x: F.col(c) + F.coalesce(F.col(x), F.lit(0))
-    return out.select(
-        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", add("known", "k").alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
-        add("base", "b").alias("base_score"), add("tree", "t").alias("score"),
-    )
+                at = np.fromiter(map(numbers.get, words, repeat(-1)), np.int64, len(words))
+                hot = at[at >= 0]
+                n_tokens.append(len(words))
+                known.append(int(known_of[hot].sum()))
+                bases.append(float(base_of[hot].sum()))
+                rest.append([words[k] for k in np.flatnonzero(at < 0)])
+            trees, left = np.zeros(len(spelt)), [(np.empty(0, np.int64), np.empty(0, np.int64))]
+            for key, text in grams(spelt):
+                log_p = held.get(key)
+                cold = np.isnan(log_p)
+                trees += np.bincount(text, np.where(cold, 0.0, log_p), len(spelt))
+                left.append((text[cold], key[cold]))
+            t, k = (np.concatenate(x) for x in zip(*left))
+            order = np.lexsort((k, t))
+            t, k = t[order], k[order]
+            first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (t[1:] != t[:-1])])) if len(k) else np.empty(0, np.int64)
+            times = np.diff(np.append(first, len(k)))
+            cuts = pa.array(np.searchsorted(t[first], np.arange(len(spelt) + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([
+                *b.columns[:3], pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(bases), pa.array(trees), pa.array(rest, pa.list_(pa.binary())),
+                pa.ListArray.from_arrays(cuts, pa.array(k[first])), pa.ListArray.from_arrays(cuts, pa.array(times)),
+            ], names=names)
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "train", "text")
+    schema = "row long, doc_id long, train boolean, n_tokens long, known long, base double, tree double, words array<binary>, grams array<bigint>, times array<bigint>"
+    part = R.stored(rows.mapInArrow(read, schema), "read")
+    # what is left is rare in any table, so no key of these joins is heavy
+    of_words = part.select("row", F.explode("words").alias("word")).join(words, "word").groupBy("row").agg(F.sum("known").alias("known"), F.sum("log_base").alias("base"), F.lit(0.0).alias("tree"))
+    of_grams = part.select("row", F.explode(F.arrays_zip("grams", "times")).alias("g")).select("row", F.col("g.grams").alias("gram"), F.col("g.times").alias("times")).join(tree.select("gram", "log_p"), "gram")
+    of_grams = of_grams.groupBy("row").agg(F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), F.sum(F.col("times") * F.col("log_p")).alias("tree"))
+    left = R.stored(of_words.unionByName(of_grams), "rest")
+    out = part.select("row", "doc_id", "train", "n_tokens", "known", "base", "tree").unionByName(left.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("train"), F.lit(0).cast("long").alias("n_tokens"), "known", "base", "tree"))
+    out = out.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("train").alias("train"), *(F.sum(c).alias(c) for c in ("n_tokens", "known", "base", "tree")))
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", F.col("known").alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("tree").alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
