@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +144,102 @@ def test_capture_batch_and_stream(spark, tmp_path):
         spark.createDataFrame(EVENTS[k : k + 2], capture.EVENT).coalesce(1).write.mode("append").json(src)
         capture.run_once(spark, src, out, f"file://{tmp_path}/cp")
     assert sorted(map(tuple, spark.read.parquet(out).collect()), key=str) == batch
+
+
+def test_paired_snapshots(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    t0 = datetime(2024, 1, 1)
+    at = lambda m: t0 + timedelta(minutes=m)
+    pre = [(None, "f", at(0), "a"), (None, "f", at(1), "b"), ("call", "f", at(2), "x"), (None, "h", at(0), None), (None, "old", at(0), "z"), (None, "same", at(0), "s")]
+    post = [(None, "f", at(3), "c"), (None, "f", at(4), "d"), ("call", "g", at(5), "y"), (None, "h", at(1), "new"), (None, "old", at(61), "zz"), (None, "same", at(1), "s")]
+    # a later pre overwrites, a post uses up, the next has nothing; a file that was not there; a state past its time; no change
+    want = {("f", at(1), "b", True, "c"), ("f", None, "", False, "d"), ("g", at(2), "x", True, "y"), ("h", None, "", False, "new"), ("old", None, "", False, "zz")}
+    kind = "call_id string, path string, ts timestamp, {} string"
+    pre, post = spark.createDataFrame(pre, kind.format("old_content")), spark.createDataFrame(post, kind.format("new_content"))
+    row = lambda r: (r.path, r.pre_ts, r.old_content, r.old_present, r.new_content)
+    assert {row(r) for r in capture.paired_snapshots(pre, post).collect()} == want
+    for name, df in (("pre", pre), ("post", post)):
+        df.coalesce(1).write.json(f"file://{tmp_path}/{name}")
+    read = lambda name, df: spark.readStream.schema(df.schema).json(f"file://{tmp_path}/{name}")
+    out = capture.paired_snapshots(read("pre", pre), read("post", post))
+    q = out.writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {row(r) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()} == want
+
+
+def test_ancestors_of_long_and_branched_histories(spark):
+    rng = random.Random(5)
+    chain = [(k, k - 1) for k in range(1, 5001)]
+    sc = spark.sparkContext
+    sc.setJobGroup("chain", "chain")
+    got = {r.commit_key for r in GR.ancestors(spark.createDataFrame(chain, "commit_key long, parent_key long"), spark.createDataFrame([(4321,)], "commit_key long")).collect()}
+    assert got == set(range(4322))
+    for seed in range(3):
+        n = 60
+        edges = [(k, p) for k in range(1, n) for p in set(rng.choices(range(max(0, k - 5), k), k=rng.choice((1, 1, 1, 2, 3)))) if rng.random() < 0.95]
+        heads = rng.sample(range(n), 3)
+        want, todo = set(heads), list(heads)
+        while todo:
+            k = todo.pop()
+            for a, b in edges:
+                if a == k and b not in want:
+                    want.add(b)
+                    todo.append(b)
+        rows = edges + edges[:5]
+        got = {r.commit_key for r in GR.ancestors(spark.createDataFrame(rows, "commit_key long, parent_key long"), spark.createDataFrame([(h,) for h in heads], "commit_key long")).collect()}
+        assert got == want
+
+
+def test_most_similar_option():
+    from tracelight.functions.similarity import similarity
+    from tracelight.operators.attribution import Options
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcé ") for _ in range(rng.randint(0, 14)))
+    for _ in range(300):
+        items = [(word(), (k, k)) for k in range(rng.randint(0, 12))]
+        text, least = word(), rng.choice((0.6, 0.7, 0.75))
+        best, owner = None, None
+        for s, who in items:
+            x = similarity(text, s)
+            if x >= least and (best is None or x > best):
+                best, owner = x, who
+        assert Options(items).best(text, least) == (best, owner)
+
+
+def test_line_diff_and_three_way_of_random_files():
+    """The diff rebuilds the new text; every line of the final text is named once, and those
+    that nobody else wrote are the human's."""
+    from tracelight.operators.attribution import attribute, hunks
+
+    rng = random.Random(7)
+    pool = [f"line {k} of some text" for k in range(12)] + ["}", "{", ""]
+    text = lambda n: "".join(rng.choice(pool) + "\n" for _ in range(n))
+    for _ in range(150):
+        old, new = text(rng.randint(0, 12)), text(rng.randint(0, 12))
+        hs, added, removed = hunks(old, new)
+        assert added == sum(n for _, n, _ in hs) and len(new.splitlines()) - len(old.splitlines()) == added - removed
+        rows, inserted = new.splitlines(), set()
+        for start, n, ls in hs:
+            assert rows[start - 1 : start - 1 + n] == ls
+            inserted |= set(range(start - 1, start - 1 + n))
+        rest, at = [s for k, s in enumerate(rows) if k not in inserted], 0
+        for s in old.splitlines():  # what was kept stands in the old text in the same order
+            at += at < len(rest) and rest[at] == s
+        assert at == len(rest)
+        final = new + "zz99 qq88\n"
+        got = attribute(old, [(f"e{k}", k, text(rng.randint(1, 9))) for k in range(rng.randint(0, 3))], final)
+        assert [r["content"] for r in got] == final.splitlines() and got[-1]["type"] == "Human"
+
+
+def test_in_diff_bonus(spark):
+    stats = spark.createDataFrame([("in.rs", 10, 10, 0, 0, 0, 0, 1, 10, 1.0, True), ("out.rs", 10, 10, 0, 0, 0, 0, 1, 10, 1.0, True), ("part.rs", 100, 10, 0, 50, 40, 0, 1, 10, 0.1, False)], "path string, total_lines long, ai_lines long, ai_modified_lines long, human_lines long, original_lines long, unknown_lines long, n_prompts long, ai_total long, coverage double, is_new_file boolean")
+    groups = spark.createDataFrame([("part.rs", "AI", 1, 5, 5, 0, 0), ("part.rs", "AI", 50, 54, 5, 0, 1)], "path string, group_type string, start_line long, end_line long, ai_count long, modified_count long, prompt_index long")
+    ranges = spark.createDataFrame([("in.rs", 1, 1), ("part.rs", 4, 9)], "path string, range_start long, range_end long")
+    got = {(r.path, r.kind, r.start_line): r.score for r in AN.candidates(stats, groups, ["path"], ranges=ranges).collect()}
+    assert set(got) == {("in.rs", "file", 1), ("part.rs", "lines", 1)} and got["in.rs", "file", 1] == 73.0
+    free = {(r.path, r.start_line): r.score for r in AN.candidates(stats, groups, ["path"]).collect()}
+    assert free["out.rs", 1] == free["in.rs", 1] == 73.0 and len(free) == 4
+    out = {(r.path, r.start_line): r for r in AN.candidates(stats, groups, ["path"], mode="lines", ranges=ranges.where("path = 'in.rs'")).collect()}
+    assert set(out) == {("part.rs", 1), ("part.rs", 50)} and out["part.rs", 1].score == 0.1 * 40 + 3

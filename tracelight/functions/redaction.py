@@ -40,6 +40,18 @@ BUILTINS = (
     ("PYPI_TOKEN", r"pypi-AgEIcHlwaS5vcmc[A-Za-z0-9_-]{50,}", "PyPI API tokens"),
 )
 
+#: Signs without which a pattern above cannot match: lower-case words of
+#: which a lowered text must hold one, signs that a text must hold, or a plainer pattern.
+WORDS = {
+    "API_KEY": ("api", "secret", "token"), "PASSWORD": ("passw", "pwd"), "AWS_KEY": ("access",), "BEARER_TOKEN": ("bearer",), "GENERIC_SECRET": ("secret", "private", "credential"),
+    "DB_CONNECTION": ("://",), "DOCKER_REGISTRY": ("docker", "registry"), "K8S_SECRET": ("secret",), "BASE64_SECRET": ("secret", "key", "token", "password", "credential"),
+}
+SIGNS = {
+    "EMAIL": "@", "PRIVATE_KEY": "-----BEGIN", "SLACK_TOKEN": "xox", "STRIPE_KEY": "k_", "JWT_TOKEN": "eyJ", "GOOGLE_OAUTH": "1//", "MICROSOFT_OAUTH": "0.A", "NPM_TOKEN": "npm_", "PYPI_TOKEN": "pypi-AgE", "GITHUB_TOKEN": "gh",
+}
+PLAINER = {"SSN": r"[0-9]-[0-9]{2}-[0-9]", "CREDIT_CARD": r"[0-9]{12}", "PHONE": r"[0-9]{4}"}
+_OWN = {name: pattern for name, pattern, _ in BUILTINS}
+
 
 @dataclass(frozen=True)
 class Redactor:
@@ -90,10 +102,23 @@ class Redactor:
 
     # -- columns
 
+    def _matches(self, text: Column, name: str, pattern: str) -> Column:
+        """Whether a pattern matches; built-in ones look for their signs first. With
+        Unicode classes other letters may stand for these, so there all texts are tried."""
+        test = text.rlike(self._regex(pattern))
+        if self.unicode or _OWN.get(name) != pattern:
+            return test
+        if name in WORDS:
+            low, any_ = F.lower(text), F.lit(False)
+            for word in WORDS[name]:
+                any_ = any_ | F.contains(low, F.lit(word))
+            return any_ & test
+        return (F.contains(text, F.lit(SIGNS[name])) if name in SIGNS else text.rlike(PLAINER[name])) & test
+
     def contains(self, text: Column) -> Column:
         out = F.lit(False)
-        for _, p, _ in self.patterns:
-            out = out | text.rlike(self._regex(p))
+        for n, p, _ in self.patterns:
+            out = out | self._matches(text, n, p)
         return out
 
     def _spans(self, text: Column, name: str, ordinal: int, pattern: str) -> Column:
@@ -110,7 +135,7 @@ class Redactor:
             span = F.struct(a.alias("start"), (a + x["h"]).alias("end"), F.lit(ordinal).alias("ordinal"), F.lit(name).alias("name"), x["t"].alias("hit"))
             return F.struct((a + F.coalesce(x["h"], F.lit(0))).alias("at"), F.when(x["h"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"))
 
-        return F.when(text.rlike(self._regex(pattern)), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(none)
+        return F.when(self._matches(text, name, pattern), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(none)
 
     def events(self, text: Column) -> Column:
         """One entry per raw match of every pattern, by start, then pattern order."""
@@ -121,6 +146,24 @@ class Redactor:
         return F.array_sort(F.concat(*found), by)
 
 
+def matches(df: DataFrame, column: str = "text", redactor: Redactor = Redactor()) -> DataFrame:
+    """A row per raw match with its place: all of the first pattern, then all of the
+    second, each from left to right."""
+    text = F.col(column)
+    by = lambda a, b: F.when(a["ordinal"] != b["ordinal"], a["ordinal"] - b["ordinal"]).otherwise(a["start"] - b["start"])
+    found = df.where(redactor.contains(text)).select(*df.columns, F.posexplode(F.array_sort(redactor.events(text), by)).alias("position", "e"))
+    return found.select(*df.columns, "position", "e.ordinal", "e.name", "e.start", "e.end", "e.hit")
+
+
+def report(df: DataFrame, column: str = "text", redactor: Redactor = Redactor()) -> DataFrame:
+    """What a redaction test prints: bytes of the input, output, number and names of the
+    matches in pattern order, as columns and as one JSON text."""
+    by = lambda a, b: F.when(a["ordinal"] != b["ordinal"], a["ordinal"] - b["ordinal"]).otherwise(a["start"] - b["start"])
+    names = F.coalesce(F.transform(F.array_sort("events", by), lambda e: e["name"]), F.array().cast("array<string>"))
+    out = redact(df, column, redactor).select(*df.columns, F.octet_length(column).alias("input_length"), F.col("redacted").alias("output"), F.size(names).alias("match_count"), names.alias("matches"))
+    return out.withColumn("json", F.to_json(F.struct("input_length", "output", "match_count", "matches")))
+
+
 def unions(spans: Column) -> Column:
     """Sorted spans (start, end) merged where they overlap or touch."""
     empty = F.array().cast("array<struct<start:int,end:int>>")

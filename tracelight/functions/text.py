@@ -83,7 +83,8 @@ def csv_field(s: Column) -> Column:
 
 
 def bytes_text(n: Column) -> Column:
-    kib, mib = n / 1024, n / (1024 * 1024)
+    """Sizes of 1 KiB and more with one digit, of 1 MiB and more with two; ties to even."""
+    kib, mib = F.bround(n / 1024, 1), F.bround(n / (1024 * 1024), 2)
     return F.when(n < 1024, F.format_string("%d B", n)).when(n < 1024 * 1024, F.format_string("%.1f KiB", kib)).otherwise(F.format_string("%.2f MiB", mib))
 
 

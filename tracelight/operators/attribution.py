@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.similarity import at_most, similarity
+from ..functions.similarity import similarity
 from ..functions.text import lines, strip_end
-from ..schemas import AI, AI_MODIFIED, ATTRIBUTED, HUMAN, ORIGINAL, UNKNOWN
+from ..schemas import AI, AI_MODIFIED, HUMAN, ORIGINAL, UNKNOWN
 
 THRESHOLD = 0.6
 #: Fixed values of the method.
@@ -121,18 +123,47 @@ def block_form(s: str) -> str:
     return out
 
 
-def _best(text: str, options, threshold: float):
-    """The most similar option (text, owner) at or above a threshold; the first of
-    equals. A bound from the lengths saves most comparisons."""
-    best, owner = None, None
-    for other, who in options:
-        low = threshold if best is None else best
-        if at_most(text, other) < low or (best is not None and best == 1.0):
-            continue
-        s = similarity(text, other)
-        if s >= threshold and (best is None or s > best):
-            best, owner = s, who
-    return best, owner
+class Options:
+    """Texts with owners, asked for the most similar one. Lengths, and then the signs
+    that two texts can have in common at all, bound a similarity from above, so that
+    few pairs are compared."""
+
+    def __init__(self, items: list[tuple[str, tuple]]):
+        self.items = items
+        self.chars = np.array([len(s) for s, _ in items], np.int64)
+        self.bytes = np.array([len(s.encode()) for s, _ in items], np.int64)
+        self.bags: dict[int, np.ndarray] = {}
+        self.first: dict[str, int] = {}
+        for k, (s, _) in enumerate(items):
+            self.first.setdefault(s, k)
+
+    @staticmethod
+    def _bag(s: str) -> np.ndarray:
+        return np.bincount(np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32) & 63, minlength=64)
+
+    def best(self, text: str, threshold: float):
+        """(similarity, owner) of the most similar text at or above a threshold; the
+        first of equals. Nones if there is none."""
+        if text in self.first:
+            return 1.0, self.items[self.first[text]][1]
+        m, n = len(text), self.chars
+        longest = np.maximum(len(text.encode()), self.bytes)
+        near = np.flatnonzero((longest > 0) & (2 * np.minimum(m, n) >= np.maximum(m, n)) & (np.minimum(m, n) >= threshold * longest - 1e-9))
+        if not len(near):
+            return None, None
+        for k in near:
+            if k not in self.bags:
+                self.bags[k] = self._bag(self.items[k][0])
+        common = np.minimum(np.array([self.bags[k] for k in near]), self._bag(text)).sum(axis=1)
+        most = common / longest[near]
+        best, at = None, None
+        for k in np.argsort(-most, kind="stable"):
+            if most[k] < threshold - 1e-9 or (best is not None and most[k] < best - 1e-9):
+                break
+            s = similarity(text, self.items[near[k]][0])
+            if s >= threshold and (best is None or s > best or (s == best and near[k] < at)):
+                best, at = s, near[k]
+        return (None, None) if at is None else (best, self.items[at][1])
 
 
 def attribute(original: str, edits: list[tuple[str, int, str]], final: str, threshold: float = THRESHOLD) -> list[dict]:
@@ -159,7 +190,7 @@ def attribute(original: str, edits: list[tuple[str, int, str]], final: str, thre
             if who:
                 found[j] = (AI, who, None)
     # ties of similarity go to the latest edit, then to the earliest line
-    options = [(s.strip(), owner[s]) for s in sorted(owner, key=order.__getitem__) if s.strip()]
+    options = Options([(s.strip(), owner[s]) for s in sorted(owner, key=order.__getitem__) if s.strip()])
     for j, s in enumerate(rows):
         if found[j] is None:
             key = s.rstrip()
@@ -168,7 +199,7 @@ def attribute(original: str, edits: list[tuple[str, int, str]], final: str, thre
             elif key in owner:
                 found[j] = (AI, owner[key], None)
             else:
-                near, who = _best(s.strip(), options, threshold) if s.strip() else (None, None)
+                near, who = options.best(s.strip(), threshold) if s.strip() else (None, None)
                 found[j] = (HUMAN, None, None) if near is None else (AI_MODIFIED, who, near)
     sure = {ORIGINAL: 1.0, AI: 1.0, HUMAN: 0.9, UNKNOWN: 0.5}
     out = [{"content": s, "type": t, "edit": who and who[0], "prompt": who and who[1], "similarity": near, "confidence": near if t == AI_MODIFIED else sure[t]} for s, (t, who, near) in zip(rows, found)]
@@ -196,6 +227,7 @@ def _blocks(out: list[dict], edits: list[tuple[str, int, str]]) -> None:
     for ls, who in formed:
         for size in range(2, min(BLOCK_LINES, len(ls)) + 1):
             options += [(t, who) for k in range(len(ls) - size + 1) if (t := " ".join(ls[k : k + size]))]
+    options = Options(options)
     k = 0
     while k < len(out):
         if not open_(out[k]):
@@ -207,7 +239,7 @@ def _blocks(out: list[dict], edits: list[tuple[str, int, str]]) -> None:
         n = end - k
         if n <= BLOCK_LINES:
             least = {1: 0.75, 2: 0.70, 3: 0.65, 4: 0.65}.get(n, 0.60)
-            near, who = _best(" ".join(block_form(r["content"]) for r in out[k:end]), options, least)
+            near, who = options.best(" ".join(block_form(r["content"]) for r in out[k:end]), least)
             if near is not None:
                 for r in out[k:end]:
                     r |= {"type": AI, "edit": who[0], "prompt": who[1], "similarity": None, "confidence": near}
@@ -235,24 +267,28 @@ def three_way(files: DataFrame, by: list[str], threshold: float = THRESHOLD) ->
     """files(by, path, original, edits array<struct<edit_id, prompt_index, after>>, final):
     a row per final line. Files are independent: no shuffle, one batch of files at a
     time in memory."""
-    keys = files.select(*by, "path").schema
     from pyspark.sql.types import StructType
 
-    schema = StructType([*keys.fields, *[f for f in StructType.fromDDL(ATTRIBUTED).fields if f.name != "path"]])
+    keys = files.select(*by, "path").schema
+    found = [("line_number", "bigint", pa.int64()), ("content", "string", pa.string()), ("source_type", "string", pa.string()), ("edit_id", "string", pa.string()), ("prompt_index", "bigint", pa.int64()), ("similarity", "double", pa.float64()), ("confidence", "double", pa.float64())]
+    schema = StructType([*keys.fields, *StructType.fromDDL(", ".join(f"{n} {t}" for n, t, _ in found)).fields])
+    n_keys = len(keys.names)
 
     def run(batches):
-        for pdf in batches:
-            for row in pdf.to_dict("records"):
-                edits = [(e["edit_id"], e["prompt_index"], e["after"] or "") for e in (row["edits"] if row["edits"] is not None else [])]
-                got = attribute(row["original"] or "", edits, row["final"] or "", threshold)
-                if got:
-                    out = pd.DataFrame([{"line_number": k + 1, "content": r["content"], "source_type": r["type"], "edit_id": r["edit"], "prompt_index": r["prompt"], "similarity": r["similarity"], "confidence": r["confidence"]} for k, r in enumerate(got)])
-                    for c in keys.names:
-                        out[c] = row[c]
-                    out["prompt_index"] = out["prompt_index"].astype("Int64")
-                    yield out[schema.names]
-
-    return files.select(*by, "path", "original", "edits", "final").mapInPandas(run, schema)
+        for b in batches:
+            rows = {n: [] for n, _, _ in found}
+            sizes = []
+            for original, edits, final in zip(*(b.column(n_keys + k).to_pylist() for k in range(3))):
+                edits = [(e["edit_id"], e["prompt_index"], e["after"] or "") for e in edits or []]
+                got = attribute(original or "", edits, final or "", threshold)
+                sizes.append(len(got))
+                rows["line_number"] += range(1, len(got) + 1)
+                for name, k in (("content", "content"), ("source_type", "type"), ("edit_id", "edit"), ("prompt_index", "prompt"), ("similarity", "similarity"), ("confidence", "confidence")):
+                    rows[name] += [r[k] for r in got]
+            at = pa.array(np.repeat(np.arange(b.num_rows), sizes))
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in range(n_keys)), *(pa.array(rows[n], t) for n, _, t in found)], names=schema.names)
+
+    return files.select(*by, "path", "original", "edits", "final").mapInArrow(run, schema)
 
 
 def hunks(old: str, new: str) -> tuple[list[tuple[int, int, list[str]]], int, int]:

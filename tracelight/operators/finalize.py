@@ -54,6 +54,22 @@ def edit_flags(edits: DataFrame, by: list[str]) -> DataFrame:
     return edits.groupBy(*by).agg(F.coalesce(F.bool_or("plan_mode"), F.lit(False)).alias("used_plan_mode"), F.count_if(F.col("agent_depth") > 0).alias("subagent_count"))
 
 
+def attribution_totals(files: DataFrame) -> DataFrame:
+    """What is reported when a note is attached: lines by AI and by humans, and files."""
+    return files.groupBy("commit_key").agg(F.sum(F.col("ai_lines") + F.col("ai_modified_lines")).alias("total_ai"), F.sum("human_lines").alias("total_human"), F.count("*").alias("files"))
+
+
+def total_redactions(prompts: DataFrame, by: list[str], events: str = "redaction_events") -> DataFrame:
+    """Redactions of the prompts that stay pending."""
+    return prompts.groupBy(*by).agg(F.sum(F.coalesce(F.size(events), F.lit(0))).cast("long").alias("total_redactions"))
+
+
+def has_note(commits: DataFrame, notes: DataFrame) -> DataFrame:
+    """Adds has_attribution."""
+    n = notes.select("commit_id").distinct().withColumn("_n", F.lit(True))
+    return commits.join(n, "commit_id", "left").withColumn("has_attribution", F.col("_n").isNotNull()).drop("_n")
+
+
 def size_check(notes: DataFrame, note: str = "note") -> DataFrame:
     """Adds bytes and status: ok, large or refused."""
     n = F.octet_length(note)

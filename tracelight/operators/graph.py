@@ -12,33 +12,74 @@ def _folder(spark: SparkSession) -> str:
     if not base:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tracelight-")
     return f"{base.rstrip('/')}/graph-{uuid.uuid4().hex[:12]}"
 
 
-def ancestors(parents: DataFrame, heads: DataFrame, rounds: int | None = None) -> DataFrame:
-    """All commits reachable from heads(commit_key), heads included.
+#: Generations of chains per job; steps of a chain that one round multiplies by STRIDE.
+GENERATIONS, STRIDE = 4, 4
 
-    parents(commit_key, parent_key). A frontier join per generation; each
-    generation is written to the shared folder and only new commits go on, so
-    histories of any length keep a short lineage. (A recursive query is limited to
-    100 levels by default.)
-    """
-    spark = parents.sparkSession
-    folder = _folder(spark)
-    frontier = heads.select("commit_key").distinct()
-    frontier.write.parquet(f"{folder}/0")
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def chains(parents: DataFrame, folder: str) -> DataFrame:
+    """(commit_key, last, steps) for commits above the end of a chain. A chain is a
+    line of commits of which each has one parent and is its only child; pointers to the end
+    are followed STRIDE times a round, so a chain of n commits takes log(n) rounds."""
+    one = parents.groupBy("commit_key").agg(F.count("*").alias("n"), F.min("parent_key").alias("last")).where("n = 1").select("commit_key", "last")
+    only = parents.groupBy("parent_key").agg(F.count("*").alias("n")).where("n = 1").select(F.col("parent_key").alias("last"))
+    now = _written(one.join(only, "last", "left_semi").select("commit_key", "last", F.lit(1).cast("long").alias("steps"), F.lit(True).alias("open")), f"{folder}/chains-0")
     k = 0
-    schema = frontier.schema
-    while rounds is None or k < rounds:
-        seen = spark.read.schema(schema).parquet(*[f"{folder}/{i}" for i in range(k + 1)])
-        last = spark.read.schema(schema).parquet(f"{folder}/{k}")
-        new = parents.join(last, "commit_key", "left_semi").select(F.col("parent_key").alias("commit_key")).distinct().join(seen, "commit_key", "left_anti")
+    while now.where("open").head(1):
         k += 1
-        new.write.parquet(f"{folder}/{k}")
-        if not spark.read.schema(schema).parquet(f"{folder}/{k}").head(1):
+        link = now.select(F.col("commit_key").alias("last"), F.col("last").alias("_next"), F.col("steps").alias("_more"))
+        done, go = now.where("not open"), now.where("open")
+        for _ in range(STRIDE - 1):
+            go = go.join(link, "last", "left").select("commit_key", F.coalesce("_next", "last").alias("last"), (F.col("steps") + F.coalesce("_more", F.lit(0))).alias("steps"), F.col("_next").isNotNull().alias("open"))
+        now = _written(done.unionByName(go), f"{folder}/chains-{k}")
+    return now.drop("open")
+
+
+def ancestors(parents: DataFrame, heads: DataFrame) -> DataFrame:
+    """All commits reachable from heads(commit_key), heads included.
+
+    parents(commit_key, parent_key). Chains of commits are first put into one step each;
+    what is left, merges and branches, is walked by generations, several a job. Each
+    table is written to the shared folder, so histories of any length keep a short
+    lineage. (A recursive query is limited to 100 levels by default.)
+    """
+    folder = _folder(parents.sparkSession)
+    parents = parents.where("commit_key is not null and parent_key is not null").select("commit_key", "parent_key").distinct()
+    parents = _written(parents, f"{folder}/parents")
+    line = chains(parents, folder)
+    entry = line.select(F.col("commit_key").alias("parent_key"), "last")
+    ends = parents.join(line, "commit_key", "left_anti").join(entry, "parent_key", "left").select(F.col("commit_key").alias("chain"), F.coalesce("last", "parent_key").alias("to")).distinct()
+    ends = _written(ends, f"{folder}/ends")
+    start = heads.select("commit_key").where("commit_key is not null").distinct().join(line, "commit_key", "left")
+    start = _written(start.select("commit_key", F.coalesce("last", "commit_key").alias("chain"), F.coalesce("steps", F.lit(0)).alias("steps")), f"{folder}/heads")
+    frontier, whole, k = start.select("chain").distinct(), None, 0
+    while True:
+        step, found = frontier, None
+        for _ in range(GENERATIONS):
+            step = ends.join(step, "chain", "left_semi").select(F.col("to").alias("chain")).distinct()
+            found = step if found is None else found.unionByName(step)
+        new = found.distinct() if whole is None else found.distinct().join(whole, "chain", "left_anti")
+        frontier = _written(new, f"{folder}/whole/k={k}")
+        if not frontier.head(1):
             break
-    return spark.read.schema(schema).parquet(*[f"{folder}/{i}" for i in range(k + 1)])
+        k += 1
+        whole = parents.sparkSession.read.schema(frontier.schema).parquet(*[f"{folder}/whole/k={i}" for i in range(k)])
+    # chains entered at their top are reached whole, those of the heads from the head on
+    part = start.groupBy("chain").agg(F.max("steps").alias("from"))
+    out = line.join(part, line["last"] == part["chain"]).where("steps <= from").select("commit_key").unionByName(start.select(F.col("chain").alias("commit_key")))
+    if whole is not None:
+        out = out.unionByName(line.join(whole, line["last"] == whole["chain"], "left_semi").select("commit_key")).unionByName(whole.select(F.col("chain").alias("commit_key")))
+    return out.distinct()
 
 
 def commit_range(parents: DataFrame, base: DataFrame | None, head: DataFrame) -> DataFrame:

@@ -46,6 +46,23 @@ def pending_totals(edits: DataFrame, by: list[str]) -> DataFrame:
     return edits.groupBy(*by).agg(F.count("*").alias("total_edits"), F.count_distinct("path").alias("file_count"), F.sum(gain.cast("long")).alias("total_lines"))
 
 
+def pending_status(edits: DataFrame, sessions: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
+    """sessions(session_id, started_at, prompt_count): one row each with what
+    edits(session_id, path, before, new_content) hold; sessions without edits have zeros."""
+    t = pending_totals(edits, ["session_id"])
+    zero = lambda c, name: F.coalesce(F.col(c), F.lit(0)).alias(name)
+    return sessions.join(t, "session_id", "left").select(
+        "session_id", (F.coalesce("total_edits", F.lit(0)) > 0).alias("has_pending"), zero("file_count", "file_count"), zero("total_lines", "line_count"), zero("total_edits", "edit_count"), "prompt_count",
+        is_stale(F.col("started_at"), as_of, hours).alias("is_stale"), age_text(F.col("started_at"), as_of).alias("age"), F.lit(hours).alias("max_pending_age_hours"),
+    )
+
+
+def matching_edit(contents: DataFrame, edits: DataFrame, by: list[str]) -> DataFrame:
+    """contents(by, content): the first edit (by seq) that left exactly this content."""
+    first = edits.groupBy(*by, content_hash(F.col("new_content")).alias("hash")).agg(F.min("seq").alias("seq"))
+    return contents.withColumn("hash", content_hash(F.col("content"))).join(first, [*by, "hash"], "left").select(*by, "content", "seq")
+
+
 def age_text(started_at: Column, as_of: Column) -> Column:
     """'3 hours ago', '5 minutes ago', 'just now' or 'unknown'."""
     minutes = F.floor((F.unix_seconds(as_of) - F.unix_seconds(F.try_to_timestamp(started_at))) / 60)

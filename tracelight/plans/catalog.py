@@ -89,12 +89,20 @@ def _(spark, d):
 
 
 @op("K13_summary_markdown", f"""{_NF}, j AS (SELECT f.*, c.commit_id, c.committed_at, (original_lines = 0 AND ai_lines + ai_modified_lines + human_lines > 0) AS new FROM note_files f JOIN commits c USING (commit_key)),
-t AS (SELECT sum(ai_lines + ai_modified_lines) * 100.0 / sum(ai_lines + ai_modified_lines + human_lines) AS p FROM j)
-SELECT CAST(0 AS BIGINT) AS n, '' AS path, '## ' || CASE WHEN p >= 80 THEN '🤖🤖🤖' WHEN p >= 50 THEN '🤖🤖' WHEN p >= 20 THEN '🤖' ELSE '👤' END || ' AI Attribution Summary' AS line FROM t
-UNION ALL SELECT 1, path, '| `' || path || '` | +' || CAST(sum(ai_lines) AS BIGINT) || ' | +' || CAST(sum(human_lines) AS BIGINT) || ' | ' || CASE WHEN arg_min(new, (-epoch_us(committed_at), commit_id)) THEN 'New' ELSE 'Modified' END || ' |' FROM j GROUP BY path""")
+t AS (SELECT CAST(sum(ai_lines) AS BIGINT) AS a, CAST(sum(ai_modified_lines) AS BIGINT) AS m, CAST(sum(human_lines) AS BIGINT) AS h, count(DISTINCT path) AS files FROM j), p AS (SELECT *, a + m + h AS n, (a + m) * 100.0::DOUBLE / (a + m + h) AS p FROM t),
+f AS (SELECT path, CAST(sum(ai_lines + ai_modified_lines + human_lines) AS BIGINT) AS added, CAST(sum(ai_lines + ai_modified_lines) AS BIGINT) AS ai, CAST(sum(human_lines) AS BIGINT) AS h, arg_min(new, (-epoch_us(committed_at), commit_id)) AS new FROM j GROUP BY path),
+m AS (SELECT DISTINCT model FROM commits SEMI JOIN note_files USING (commit_key))
+SELECT 1 AS part, '' AS name, '## ' || CASE WHEN p >= 80 THEN '🤖🤖🤖' WHEN p >= 50 THEN '🤖🤖' WHEN p >= 20 THEN '🤖' ELSE '👤' END || ' AI Attribution Summary' AS line FROM p
+UNION ALL SELECT 2, '', '' UNION ALL SELECT 3, '', 'This PR adds **+' || n || '** lines with AI attribution across **' || files || '** files.' FROM p UNION ALL SELECT 4, '', '' UNION ALL SELECT 5, '', '### Additions Breakdown' UNION ALL SELECT 6, '', ''
+UNION ALL SELECT 7, '', '| Metric | Lines | % of Additions |' UNION ALL SELECT 8, '', '|--------|------:|--------------:|'
+UNION ALL SELECT 9, '', '| 🟢 AI-generated | +' || a || ' | ' || printf('%.1f', a * 100.0 / n) || '% |' FROM p UNION ALL SELECT 10, '', '| 🟡 AI-modified by human | +' || m || ' | ' || printf('%.1f', m * 100.0 / n) || '% |' FROM p UNION ALL SELECT 11, '', '| 🔵 Human-written | +' || h || ' | ' || printf('%.1f', h * 100.0 / n) || '% |' FROM p
+UNION ALL SELECT 12, '', '| **Total additions** | **+' || n || '** | **100%** |' FROM p UNION ALL SELECT 13, '', '' UNION ALL SELECT 14, '', '**AI involvement: ' || printf('%.1f', p) || '%** of additions are AI-generated' FROM p UNION ALL SELECT 15, '', ''
+UNION ALL SELECT 16, '', '### Files Changed' UNION ALL SELECT 17, '', '' UNION ALL SELECT 18, '', '| File | +Added | AI | Human | AI % | Status |' UNION ALL SELECT 19, '', '|------|-------:|---:|------:|-----:|--------|'
+UNION ALL SELECT 20, path, '| `' || path || '` | +' || added || ' | ' || ai || ' | ' || h || ' | ' || printf('%.0f', coalesce(ai * 100.0 / nullif(added, 0), 0.0)) || '% | ' || CASE WHEN new THEN 'New' ELSE 'Modified' END || ' |' FROM f
+UNION ALL SELECT 21, '', '' UNION ALL SELECT 22, '', '### Models Used' UNION ALL SELECT 23, '', '' UNION ALL SELECT 24, model, '- ' || model FROM m""")
 def _(spark, d):
     c, f = P.commits(spark, d), _files(spark, d)
-    return summary.markdown(summary.range_summary(c, f), summary.summary_by_file(c, f))
+    return summary.markdown(summary.range_summary(c, f), summary.summary_by_file(c, f), summary.models_first_seen(c, f)).select("part", "name", "line")
 
 
 # --- blame and prompts -------------------------------------------------------
@@ -116,11 +124,32 @@ def _(spark, d):
     return BL.prompt_target(P.note_lines(spark, d), ["commit_key", "path"])
 
 
-@op("K12_blame_json", f"""WITH {Q.NOTE_LINES}, {Q.BLAME} SELECT path, line_number, '{{"line_number":' || line_number || ',"orig_line":' || orig_line || ',"source":"' || CASE source_type WHEN 'AI' THEN 'ai' WHEN 'AIModified' THEN 'ai_modified' ELSE lower(source_type) END || '","edit_id":' || coalesce('"' || edit_id || '"', 'null') || ',"prompt_index":' || coalesce(CAST(prompt_index AS VARCHAR), 'null') || '}}' AS json FROM blame""")
+@op("K12_blame_json", f"""WITH {Q.NOTE_LINES}, {Q.BLAME}, {Q.COMMITS}, {Q.PROMPTS} SELECT b.path, b.commit_key, b.line_number, '{{"line_number":' || line_number || ',"line":' || line_number || ',"commit":{{"id":"' || commit_id || '","short":"' || substr(commit_id, 1, 7) || '","author":' || to_json(author) || '}},"source":"' || CASE source_type WHEN 'AI' THEN 'ai' WHEN 'AIModified' THEN 'ai_modified' ELSE lower(source_type) END
+|| '","flags":{{"is_ai":' || (source_type IN ('AI', 'AIModified')) || ',"is_human":' || (source_type IN ('Human', 'Original')) || '}},"prompt":{{"index":' || coalesce(CAST(prompt_index AS VARCHAR), 'null') || ',"preview":' || coalesce(CAST(to_json(CASE WHEN length(t) <= 60 THEN t ELSE substr(t, 1, 57) || '...' END) AS VARCHAR), 'null') || '}},"content":null}}' AS json
+FROM blame b JOIN commits USING (commit_key) LEFT JOIN (SELECT commit_key, prompt_index, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM prompts) p USING (commit_key, prompt_index)""")
 def _(spark, d):
-    b = BL.blame(P.blame_hunks(spark, d), P.note_lines(spark, d))
-    body = F.struct("line_number", "orig_line", sinks.source_json(F.col("source_type")).alias("source"), "edit_id", "prompt_index")
-    return b.select("path", "line_number", sinks.note_json(body).alias("json"))
+    b = BL.blame(P.blame_hunks(spark, d), P.note_lines(spark, d), P.prompts(spark, d)).join(P.commits(spark, d).select("commit_key", "commit_id", "author"), "commit_key")
+    return sinks.blame_json(b, ["path", "commit_key"])
+
+
+@op("K12_blame_document", f"""WITH {Q.NOTE_LINES}, {Q.BLAME}, l AS (SELECT commit_key, line_number, source_type, prompt_index FROM blame WHERE path = 'src/f7' AND line_number < 20000), m AS (SELECT max(line_number) AS last, count(*) AS n, count(*) FILTER (source_type = 'AI') AS a, count(*) FILTER (source_type = 'AIModified') AS am, count(*) FILTER (source_type = 'Human') AS h, count(*) FILTER (source_type = 'Original') AS o FROM l)
+SELECT CAST(-1 AS BIGINT) AS n, '{{"schema_version":1,"schema":"blame.v1","file":"src/f7","revision":"HEAD","lines":[' AS line UNION ALL
+SELECT line_number, '{{"line_number":' || line_number || ',"line":' || line_number || ',"commit":{{"id":null,"short":null,"author":null}},"source":"' || CASE source_type WHEN 'AI' THEN 'ai' WHEN 'AIModified' THEN 'ai_modified' ELSE lower(source_type) END || '","flags":{{"is_ai":' || (source_type IN ('AI', 'AIModified')) || ',"is_human":' || (source_type IN ('Human', 'Original')) || '}},"prompt":{{"index":' || coalesce(CAST(prompt_index AS VARCHAR), 'null') || ',"preview":null}},"content":null}}' || CASE WHEN line_number = last THEN '' ELSE ',' END FROM l, m
+UNION ALL SELECT last + 1, '],"summary":{{"total_lines":' || n || ',"ai_lines":' || a || ',"ai_modified_lines":' || am || ',"human_lines":' || h || ',"original_lines":' || o || ',"ai_percentage":' || CAST(CAST(a + am AS DOUBLE) / n * 100.0 AS VARCHAR) || '}}}}' FROM m""")
+def _(spark, d):
+    b = BL.blame(P.blame_hunks(spark, d).where("path = 'src/f7'"), P.note_lines(spark, d)).where("line_number < 20000").drop("commit_key")
+    return sinks.blame_document(b, "src/f7", "HEAD")
+
+
+@op("K16_prompt_json", f"""WITH {Q.COMMITS}, {Q.NOTE_LINES}, {Q.PROMPTS}, t AS (SELECT commit_key, path, line_number, source_type, prompt_index FROM note_lines WHERE source_type IN ('AI', 'AIModified') QUALIFY row_number() OVER (PARTITION BY commit_key, path ORDER BY line_number) = 1)
+SELECT t.path, t.line_number, commit_id, '{{"schema_version":1,"schema":"prompt.v1","query":{{"reference":"r","file":"' || t.path || '","line_number":' || t.line_number || ',"revision":"HEAD"}},"line":{{"line_number":' || t.line_number || ',"content":null,"source":"' || CASE source_type WHEN 'AI' THEN 'ai' ELSE 'ai_modified' END || '","prompt_index":' || t.prompt_index || '}},"commit":{{"id":"' || commit_id || '","short":"' || substr(commit_id, 1, 7) || '","author":' || to_json(author)
+|| '}},"prompt":' || CASE WHEN p.text IS NULL THEN 'null' ELSE '{{"index":' || t.prompt_index || ',"text":' || to_json(p.text) || ',"timestamp":null,"affected_files":' || to_json(p.affected_files) || '}}' END || ',"session":{{"id":"' || session_id || '","model":"' || model || '","started_at":"' || started_at || '"}}}}' AS json
+FROM t JOIN commits USING (commit_key) LEFT JOIN prompts p ON p.commit_key = t.commit_key AND p.prompt_index = t.prompt_index""")
+def _(spark, d):
+    lines = P.note_lines(spark, d)
+    t = BL.prompt_target(lines, _KEY).join(lines.select(*_KEY, "line_number", "source_type"), [*_KEY, "line_number"])
+    t = t.join(P.commits(spark, d), "commit_key").join(P.prompts(spark, d), ["commit_key", "prompt_index"], "left")
+    return sinks.prompt_json(t, "r", by=["commit_id"])
 
 
 # --- annotations -------------------------------------------------------------
@@ -180,22 +209,78 @@ def _(spark, d):
     return annotations.candidates(annotations.file_stats(lines, _KEY), annotations.line_groups(lines, _KEY), _KEY)
 
 
+_RANGES = "d AS (SELECT DISTINCT 'src/f' || CAST(p_partkey % 50 AS VARCHAR) AS path, p_size % 7 AS range_start, p_size % 7 + greatest(p_size % 3 - 1, 0) AS range_end FROM part WHERE p_size < 20 AND p_partkey % 50 < 40)"
+
+
+def _ranges(spark, d):
+    h = P.table(spark, d, "part").where("p_size < 20 and p_partkey % 50 < 40").select(F.concat(F.lit("src/f"), (F.col("p_partkey") % 50).cast("string")).alias("path"), (F.col("p_size") % 7).alias("new_start"), (F.col("p_size") % 3).alias("new_lines"))
+    return annotations.diff_ranges(h).distinct()
+
+
+@op("S7_diff_ranges", f"WITH {_RANGES} SELECT * FROM d")
+def _(spark, d):
+    return _ranges(spark, d)
+
+
+def _per_path(lines):
+    """One file per path: its lines in the newest commit that has it."""
+    last = lines.groupBy("path").agg(F.max("commit_key").alias("commit_key"))
+    return lines.join(last, ["path", "commit_key"])
+
+
+_PL = "pl AS (SELECT n.* FROM note_lines n JOIN (SELECT path, max(commit_key) AS commit_key FROM note_lines GROUP BY path) USING (path, commit_key))"
+_PRUNS = _islands("source_type", "'AI', 'AIModified'", "pl").replace("commit_key, path", "path")
+_PSTATS = _STATS.replace("commit_key, path", "path").replace("FROM note_lines", "FROM pl")
+
+
+@op("P14_candidates_in_diff", f"""WITH {Q.NOTE_LINES}, {_PL}, {_PSTATS}, {_PRUNS}, {_RANGES},
+s AS (SELECT *, coverage * 40.0 + least(ai_total, 100) * 0.3 + CASE WHEN is_new_file THEN 15.0 ELSE 0.0 END + CASE WHEN path IN (SELECT path FROM d) THEN 15.0 ELSE 0.0 END AS score, (is_new_file OR (coverage >= 0.7 AND n_prompts <= 3)) AS whole FROM stats WHERE ai_total > 0),
+k AS (SELECT * FROM runs WHERE path NOT IN (SELECT path FROM d) OR EXISTS (SELECT 1 FROM d WHERE d.path = runs.path AND runs.start_line <= range_end AND runs.end_line >= range_start)),
+c AS (SELECT path, 'file' AS kind, CAST(1 AS BIGINT) AS start_line, total_lines AS end_line, score, coverage, ai_total FROM s WHERE whole AND path IN (SELECT path FROM d) UNION ALL SELECT k.path, 'lines', k.start_line, k.end_line, s.score, s.coverage, s.ai_total FROM k JOIN s ON s.path = k.path WHERE NOT s.whole)
+SELECT path, kind, start_line, end_line, CAST(score AS DOUBLE) AS score, CAST(coverage AS DOUBLE) AS coverage FROM c ORDER BY score DESC, ai_total DESC, path, start_line, end_line LIMIT 30""")
+def _(spark, d):
+    lines = _per_path(P.note_lines(spark, d))
+    return annotations.candidates(annotations.file_stats(lines, ["path"]), annotations.line_groups(lines, ["path"]), ["path"], limit=30, ranges=_ranges(spark, d), sort_by="lines")
+
+
+_SHOWN = "CASE WHEN length({0}) <= {1} THEN {0} ELSE substr({0}, 1, {1} - 3) || '...' END"
+_PROMPT_ROWS = "pp AS (SELECT path, prompt_index, line_count, row_number() OVER (PARTITION BY path ORDER BY line_count DESC, prompt_index) AS place, 'prompt ' || prompt_index || repeat(' word', CAST(prompt_index * 20 AS BIGINT)) AS preview FROM (SELECT path, prompt_index, count(*) AS line_count FROM pl WHERE prompt_index IS NOT NULL AND source_type IN ('AI', 'AIModified') GROUP BY ALL))"
+
+
+@op("K15_check_annotations", f"""WITH {Q.NOTE_LINES}, {_PL}, {_PSTATS}, {_PRUNS}, {_PROMPT_ROWS},
+s AS (SELECT *, coverage * 40.0 + least(ai_total, 100) * 0.3 + CASE WHEN is_new_file THEN 15.0 ELSE 0.0 END + 15.0 AS score, (is_new_file OR (coverage >= 0.7 AND n_prompts <= 3)) AS whole FROM stats WHERE ai_total > 0),
+ps AS (SELECT path, count(*) AS n, min(preview) FILTER (place = 1) AS only_one, string_agg(chr(10) || place || '. ' || {_SHOWN.format('preview', 100)} || ' (' || line_count || ' lines)', '' ORDER BY place) FILTER (place <= 3) AS top, string_agg('Prompt ' || place || ': ' || preview, chr(10) || chr(10) ORDER BY place) AS listed FROM pp GROUP BY path),
+fa AS (SELECT s.path, CAST(1 AS BIGINT) AS start_line, total_lines AS end_line, CASE WHEN is_new_file THEN 'New file (' || total_lines || ' lines) generated by AI' ELSE CAST(round(coverage * 100) AS INTEGER) || '% AI-generated (' || ai_total || ' of ' || total_lines || ' lines)' END AS title,
+'Models: m1, m2 | Session: 2024-01-01 to 2024-01-02' || chr(10) || chr(10) || '**Breakdown:** ' || ai_lines || ' AI, ' || ai_modified_lines || ' AI-modified, ' || human_lines || ' human, ' || original_lines || ' original' || CASE WHEN ps.n IS NULL THEN '' WHEN ps.n = 1 THEN chr(10) || chr(10) || '**Prompt:** ' || {_SHOWN.format('only_one', 200)} ELSE chr(10) || chr(10) || '**Prompts:** ' || ps.n || ' prompts used' || top || CASE WHEN ps.n > 3 THEN chr(10) || '   ...and ' || (ps.n - 3) || ' more' ELSE '' END END AS message,
+CASE WHEN ps.n = 1 THEN only_one WHEN ps.n > 1 THEN listed END AS raw_details FROM s LEFT JOIN ps ON ps.path = s.path WHERE whole),
+la AS (SELECT r.path, r.start_line, r.end_line, CASE group_type WHEN 'AI' THEN 'AI Generated (' ELSE 'AI Modified (' END || (r.end_line - r.start_line + 1) || ' line' || CASE WHEN r.end_line > r.start_line THEN 's' ELSE '' END || ')' AS title, 'Models: m1, m2 | Session: 2024-01-01 to 2024-01-02' || CASE WHEN pp.preview IS NULL THEN '' ELSE chr(10) || chr(10) || '**Prompt:** ' || {_SHOWN.format('pp.preview', 200)} END AS message, pp.preview AS raw_details
+FROM runs r JOIN s ON s.path = r.path AND NOT s.whole LEFT JOIN pp ON pp.path = r.path AND pp.prompt_index = r.prompt_index)
+SELECT path, start_line, end_line, title, message, raw_details FROM fa UNION ALL SELECT * FROM la""")
+def _(spark, d):
+    lines = _per_path(P.note_lines(spark, d))
+    picked = annotations.chosen(annotations.file_stats(lines, ["path"]), annotations.line_groups(lines, ["path"]), ["path"], limit=None)
+    n = F.col("prompt_index")
+    prompts = annotations.prompt_counts(lines, ["path"]).withColumn("preview", F.concat(F.lit("prompt "), n.cast("string"), F.repeat(F.lit(" word"), (n * 20).cast("int"))))
+    return annotations.described(picked, prompts, ["path"], ["m1", "m2"], "2024-01-01 to 2024-01-02").drop("score", "annotation_level")
+
+
 # --- export ------------------------------------------------------------------
 
 _EXPORT = f"""{_NF}, {Q.PROMPTS}, totals AS (SELECT commit_key, CAST(sum(ai_lines) AS BIGINT) AS ai_lines, CAST(sum(ai_modified_lines) AS BIGINT) AS ai_modified_lines, CAST(sum(human_lines) AS BIGINT) AS human_lines, CAST(sum(original_lines) AS BIGINT) AS original_lines FROM note_files GROUP BY commit_key),
-pc AS (SELECT commit_key, count(*) AS n FROM prompts GROUP BY commit_key),
-x AS (SELECT c.commit_id, substr(c.commit_id, 1, 7) AS commit_short, author, split_part(message, chr(10), 1) AS message, committed_at, model, t.ai_lines, t.ai_modified_lines, t.human_lines, t.original_lines, coalesce(pc.n, 0) AS prompt_count
- FROM commits c JOIN totals t USING (commit_key) LEFT JOIN pc USING (commit_key) WHERE committed_at >= TIMESTAMP '1995-01-01' AND committed_at < TIMESTAMP '1997-01-01')"""
+pc AS (SELECT commit_key, count(*) AS n, string_agg('{{"index":' || prompt_index || ',"text":' || to_json(CASE WHEN length(text) <= 100 THEN text ELSE substr(text, 1, 100) || '...' END) || ',"affected_files":' || to_json(affected_files) || '}}', ',' ORDER BY prompt_index) AS js FROM prompts GROUP BY commit_key),
+fc AS (SELECT commit_key, count(DISTINCT path) AS n, string_agg('"' || path || '"', ',' ORDER BY path) AS js FROM (SELECT DISTINCT commit_key, path FROM note_files) GROUP BY commit_key),
+x AS (SELECT c.commit_id, substr(c.commit_id, 1, 7) AS commit_short, split_part(message, chr(10), 1) AS message, author, committed_at, session_id, model, t.ai_lines, t.ai_modified_lines, t.human_lines, t.original_lines, coalesce(fc.n, 0) AS files_count, coalesce(pc.n, 0) AS prompts_count, coalesce(pc.js, '') AS prompts_json, coalesce(fc.js, '') AS files_json
+ FROM commits c JOIN totals t USING (commit_key) LEFT JOIN pc USING (commit_key) LEFT JOIN fc USING (commit_key) WHERE committed_at >= TIMESTAMP '1995-01-01' AND committed_at < TIMESTAMP '1997-01-01')"""
 
 
 def _export(spark, d):
-    c = P.commits(spark, d)
-    return EX.export(c, AC.commit_totals(_files(spark, d)), P.prompts(spark, d), "1995-01-01", "1996-12-31")
+    f = _files(spark, d)
+    return EX.export(P.commits(spark, d), AC.commit_totals(f), P.prompts(spark, d), "1995-01-01", "1996-12-31", files=f)
 
 
-@op("J5_export", f"{_EXPORT} SELECT * FROM x")
+@op("J5_export", f"{_EXPORT} SELECT * EXCLUDE (prompts_json, files_json) FROM x")
 def _(spark, d):
-    return _export(spark, d).withColumn("prompt_count", F.size("prompts").cast("long")).drop("prompts")
+    return _export(spark, d).withColumns({"files_count": F.size("files").cast("long"), "prompts_count": F.size("prompts").cast("long")}).drop("prompts", "files")
 
 
 @op("F3_export_prompts", f"WITH {Q.PROMPTS} SELECT commit_key, prompt_index, CASE WHEN length(text) <= 100 THEN text ELSE substr(text, 1, 100) || '...' END AS text FROM prompts")
@@ -203,14 +288,18 @@ def _(spark, d):
     return P.prompts(spark, d).select("commit_key", "prompt_index", X.export_cut(F.col("text"), 100).alias("text"))
 
 
-@op("A11_export_summary", f"{_EXPORT} SELECT count(*) AS commits, count(*) FILTER (ai_lines > 0) AS commits_with_ai, CAST(coalesce(sum(ai_lines), 0) AS BIGINT) AS ai_lines, CAST(coalesce(sum(ai_modified_lines), 0) AS BIGINT) AS ai_modified_lines, CAST(coalesce(sum(human_lines), 0) AS BIGINT) AS human_lines, CAST(coalesce(sum(prompt_count), 0) AS BIGINT) AS prompts FROM x")
+@op("A11_export_summary", f"{_EXPORT} SELECT count(*) AS commits, count(*) FILTER (ai_lines > 0) AS commits_with_ai, CAST(coalesce(sum(ai_lines), 0) AS BIGINT) AS ai_lines, CAST(coalesce(sum(ai_modified_lines), 0) AS BIGINT) AS ai_modified_lines, CAST(coalesce(sum(human_lines), 0) AS BIGINT) AS human_lines, CAST(coalesce(sum(original_lines), 0) AS BIGINT) AS original_lines, CAST(coalesce(sum(prompts_count), 0) AS BIGINT) AS prompts FROM x")
 def _(spark, d):
     return EX.export_summary(_export(spark, d))
 
 
-@op("K11_export_csv", f"""{_EXPORT} SELECT commit_id, '"' || commit_id || '","' || commit_short || '","' || author || '","' || message || '","' || strftime(committed_at, '%Y-%m-%dT%H:%M:%SZ') || '","' || model || '",' || ai_lines || ',' || ai_modified_lines || ',' || human_lines || ',' || original_lines || ',' || prompt_count AS line FROM x""")
+_CSV_AT = "strftime(committed_at, '%Y-%m-%dT%H:%M:%S+00:00')"
+
+
+@op("K11_export_csv", f"""{_EXPORT} SELECT 0 AS part, '' AS id, 'commit_id,commit_short,message,author,committed_at,session_id,model,ai_lines,ai_modified_lines,human_lines,original_lines,files_count,prompts_count' AS line UNION ALL
+SELECT 1, commit_id, '"' || commit_id || '","' || commit_short || '","' || replace(message, '"', '""') || '","' || replace(author, '"', '""') || '","' || {_CSV_AT} || '","' || session_id || '","' || model || '",' || ai_lines || ',' || ai_modified_lines || ',' || human_lines || ',' || original_lines || ',' || files_count || ',' || prompts_count FROM x""")
 def _(spark, d):
-    return EX.csv_lines(_export(spark, d))
+    return EX.with_header(_export(spark, d)).select(F.col("place.part").alias("part"), F.col("place.id").alias("id"), "line")
 
 
 @op("T1_export_newest", f"{_EXPORT} SELECT commit_id, committed_at FROM x ORDER BY committed_at DESC, commit_id LIMIT 100")
@@ -218,15 +307,23 @@ def _(spark, d):
     return EX.ordered(_export(spark, d)).select("commit_id", "committed_at").limit(100)
 
 
-@op("K10_export_json")
+@op("K10_export_json", f"""{_EXPORT}, m AS (SELECT commit_id FROM x ORDER BY committed_at, commit_id DESC LIMIT 1)
+SELECT 0 AS part, '' AS id, '{{"export_version":1,"exported_at":"2024-01-01T00:00:00Z","date_range":{{"since":"1995-01-01","until":"1996-12-31"}},"commits":[' AS line UNION ALL
+SELECT 1, commit_id, '{{"commit_id":"' || commit_id || '","commit_short":"' || commit_short || '","message":' || to_json(message) || ',"author":' || to_json(author) || ',"committed_at":"' || {_CSV_AT} || '","session_id":"' || session_id || '","model":"' || model || '","ai_lines":' || ai_lines || ',"ai_modified_lines":' || ai_modified_lines || ',"human_lines":' || human_lines || ',"original_lines":' || original_lines || ',"files":[' || files_json || '],"prompts":[' || prompts_json || ']}}' || CASE WHEN commit_id = (SELECT commit_id FROM m) THEN '' ELSE ',' END FROM x
+UNION ALL SELECT 2, '', '],"summary":{{"total_commits":' || count(*) || ',"commits_with_ai":' || count(*) FILTER (ai_lines > 0) || ',"total_ai_lines":' || CAST(sum(ai_lines) AS BIGINT) || ',"total_ai_modified_lines":' || CAST(sum(ai_modified_lines) AS BIGINT) || ',"total_human_lines":' || CAST(sum(human_lines) AS BIGINT) || ',"total_original_lines":' || CAST(sum(original_lines) AS BIGINT) || ',"total_prompts":' || CAST(sum(prompts_count) AS BIGINT) || '}}}}' FROM x""")
 def _(spark, d):
-    return EX.json_envelope(_export(spark, d), "2024-01-01T00:00:00Z", "1995-01-01", "1996-12-31")
+    return EX.json_lines(_export(spark, d), "2024-01-01T00:00:00Z", "1995-01-01", "1996-12-31").select(F.col("place.part").alias("part"), F.col("place.id").alias("id"), "line")
 
 
-@op("K14_show_json", f"""WITH {Q.COMMITS}, {Q.NOTE_LINES}, {Q.NOTE_FILES}, t AS (SELECT commit_key, sum(ai_lines) AS a, sum(ai_modified_lines) AS m, sum(human_lines) AS h, sum(original_lines) AS o FROM note_files GROUP BY commit_key)
-SELECT commit_key, CASE WHEN a IS NULL THEN '{{"schema_version":1,"schema":"show.v1","has_attribution":false}}' ELSE '{{"schema_version":1,"schema":"show.v1","has_attribution":true,"total_ai_lines":' || CAST(a AS BIGINT) || ',"total_ai_modified_lines":' || CAST(m AS BIGINT) || ',"total_human_lines":' || CAST(h AS BIGINT) || ',"total_original_lines":' || CAST(o AS BIGINT) || '}}' END AS json FROM commits LEFT JOIN t USING (commit_key)""")
+@op("K14_show_json", f"""WITH {Q.COMMITS}, {Q.NOTE_LINES}, {Q.NOTE_FILES}, {Q.PROMPTS}, t AS (SELECT commit_key, CAST(sum(ai_lines) AS BIGINT) AS a, CAST(sum(ai_modified_lines) AS BIGINT) AS m, CAST(sum(human_lines) AS BIGINT) AS h, CAST(sum(original_lines) AS BIGINT) AS o FROM note_files GROUP BY commit_key),
+p AS (SELECT commit_key, string_agg('{{"index":' || prompt_index || ',"text":' || to_json(text) || '}}', ',' ORDER BY prompt_index) AS ps FROM prompts GROUP BY commit_key),
+f AS (SELECT commit_key, string_agg('{{"path":"' || path || '","summary":{{"total_lines":' || total_lines || ',"ai_lines":' || ai_lines || ',"ai_modified_lines":' || ai_modified_lines || ',"human_lines":' || human_lines || ',"original_lines":' || original_lines || ',"unknown_lines":' || unknown_lines || '}}}}', ',' ORDER BY path) AS fs FROM note_files GROUP BY commit_key)
+SELECT c.commit_key, '{{"schema_version":1,"schema":"show.v1","has_attribution":' || CASE WHEN a IS NULL THEN 'false,"commit":"' || commit_id || '","commit_short":"' || substr(commit_id, 1, 7) || '"}}' ELSE 'true,"commit":"' || commit_id || '","commit_short":"' || substr(commit_id, 1, 7) || '","session":{{"session_id":"' || session_id || '","model":"' || model || '","started_at":"' || started_at || '"}},"prompts":[' || coalesce(ps, '') || '],"files":[' || coalesce(fs, '')
+|| '],"summary":{{"total_ai_lines":' || a || ',"total_ai_modified_lines":' || m || ',"total_human_lines":' || h || ',"total_original_lines":' || o || '}}}}' END AS json FROM commits c LEFT JOIN t USING (commit_key) LEFT JOIN p USING (commit_key) LEFT JOIN f USING (commit_key)""")
 def _(spark, d):
-    return sinks.show_json(P.commits(spark, d).select("commit_key").join(AC.commit_totals(_files(spark, d)), "commit_key", "left"))
+    f = _files(spark, d)
+    c = P.commits(spark, d).select("commit_key", "commit_id", "session_id", "model", "started_at")
+    return sinks.show_json(c.join(AC.commit_totals(f), "commit_key", "left"), P.prompts(spark, d), f)
 
 
 # --- audit -------------------------------------------------------------------
@@ -254,10 +351,22 @@ def _(spark, d):
     return AU.verify_chain(_chain(spark, d), ["stream"])
 
 
-@op("W11_chain_append")
+_FOLD = f"""WITH RECURSIVE {Q.AUDIT}, o AS (SELECT *, row_number() OVER (PARTITION BY user ORDER BY seq) AS rn FROM audit),
+ch AS (SELECT user, seq, rn, CAST(NULL AS VARCHAR) AS prev_hash, substr(sha256('{{"event":"' || event || '","timestamp":"' || timestamp || '","user":"' || user || '"}}'), 1, 32) AS event_hash FROM o WHERE rn = 1
+ UNION ALL SELECT o.user, o.seq, o.rn, ch.event_hash, substr(sha256('{{"event":"' || o.event || '","prev_hash":"' || ch.event_hash || '","timestamp":"' || o.timestamp || '","user":"' || o.user || '"}}'), 1, 32) FROM ch JOIN o ON o.user = ch.user AND o.rn = ch.rn + 1)"""
+
+
+@op("W11_chain_append", f"{_FOLD} SELECT user AS stream, seq, prev_hash, event_hash FROM ch")
 def _(spark, d):
-    log = P.audit_log(spark, d).withColumn("stream", F.col("user"))
-    return AU.verify_chain(AU.chained(log), ["stream"])
+    return AU.chained(P.audit_log(spark, d).withColumn("stream", F.col("user"))).select("stream", "seq", "prev_hash", "event_hash")
+
+
+@op("W12_whole_chains", f"{_FOLD} SELECT user AS stream, user NOT LIKE '%7' AS valid, CASE WHEN user LIKE '%7' THEN min(seq) END AS first_bad, count(*) AS events FROM ch GROUP BY user")
+def _(spark, d):
+    """Chains as they were appended hold; those of users ending in 7 are forged at their first event."""
+    log = AU.chained(P.audit_log(spark, d).withColumn("stream", F.col("user")))
+    forged = F.col("stream").endswith("7") & F.col("prev_hash").isNull()
+    return AU.verify_chain(log.withColumn("event_hash", F.when(forged, F.lit("0" * 32)).otherwise(F.col("event_hash"))), ["stream"])
 
 
 @op("F24_event_hash", f"""WITH {Q.AUDIT} SELECT seq, substr(sha256('{{"event":"' || event || '","timestamp":"' || timestamp || '","user":"' || user || '"}}'), 1, 32) AS event_hash FROM audit""")
@@ -416,6 +525,59 @@ def _(spark, d):
     return history.numbered_prompts(_edits(spark, d), ["repo"]).select("repo", "seq", "prompt_index")
 
 
+@op("A15_next_prompt", f"WITH {_NUMBERED} SELECT repo, max(prompt_index) + 1 AS next_prompt FROM numbered GROUP BY repo")
+def _(spark, d):
+    return finalize.next_prompt(history.numbered_prompts(_edits(spark, d), ["repo"]), ["repo"])
+
+
+@op("A13_edit_flags", f"WITH {_EDITS} SELECT repo, bool_or(seq % 5 = 0) AS used_plan_mode, count(*) FILTER (seq % 3 > 0) AS subagent_count FROM edits GROUP BY repo")
+def _(spark, d):
+    return finalize.edit_flags(_edits(spark, d).withColumns({"plan_mode": F.col("seq") % 5 == 0, "agent_depth": F.col("seq") % 3}), ["repo"])
+
+
+@op("A16_total_redactions", f"WITH {Q.PROMPTS} SELECT commit_key, CAST(sum(prompt_index % 3) AS BIGINT) AS total_redactions FROM prompts GROUP BY commit_key")
+def _(spark, d):
+    p = P.prompts(spark, d).withColumn("redaction_events", F.when(F.col("prompt_index") % 3 > 0, F.array_repeat(F.lit("x"), (F.col("prompt_index") % 3).cast("int"))))
+    return finalize.total_redactions(p, ["commit_key"])
+
+
+@op("A17_attribution_totals", f"{_NF} SELECT commit_key, CAST(sum(ai_lines + ai_modified_lines) AS BIGINT) AS total_ai, CAST(sum(human_lines) AS BIGINT) AS total_human, count(*) AS files FROM note_files GROUP BY commit_key")
+def _(spark, d):
+    return finalize.attribution_totals(_files(spark, d))
+
+
+@op("S3_has_attribution", f"{_NF} SELECT commit_id, EXISTS (SELECT 1 FROM note_files f WHERE f.commit_key = commits.commit_key AND path < 'src/f2') AS has_attribution FROM commits")
+def _(spark, d):
+    c = P.commits(spark, d)
+    noted = _files(spark, d).where("path < 'src/f2'").join(c.select("commit_key", "commit_id"), "commit_key")
+    return finalize.has_note(c, noted).select("commit_id", "has_attribution")
+
+
+@op("J20_matching_edit", f"WITH {_EDITS}, c AS (SELECT DISTINCT repo, CASE WHEN seq % 2 = 0 THEN new_content ELSE new_content || '!' END AS content FROM edits WHERE seq % 5 < 2) SELECT c.repo, c.content, min(e.seq) AS seq FROM c LEFT JOIN edits e ON e.repo = c.repo AND e.new_content = c.content GROUP BY c.repo, c.content")
+def _(spark, d):
+    e = _edits(spark, d)
+    c = e.where("seq % 5 < 2").select("repo", F.when(F.col("seq") % 2 == 0, F.col("new_content")).otherwise(F.concat("new_content", F.lit("!"))).alias("content")).distinct()
+    return history.matching_edit(c, e, ["repo"])
+
+
+@op("A20_pending_status", f"""WITH {_EDITS}, b AS (SELECT CAST(repo AS VARCHAR) AS session_id, path, new_content, coalesce(lag(new_content) OVER w, old_content, '') AS before FROM edits WINDOW w AS (PARTITION BY repo, path ORDER BY seq)),
+t AS (SELECT session_id, count(*) AS e, count(DISTINCT path) AS f, CAST(sum(greatest(len(string_split(new_content, chr(10))) - CASE WHEN before = '' THEN 0 ELSE len(string_split(before, chr(10))) END, 0)) AS BIGINT) AS l FROM b GROUP BY session_id),
+s AS (SELECT CAST(k AS VARCHAR) AS session_id, k % 4 AS prompt_count, 23 + k AS age_hours FROM range(25) r(k))
+SELECT session_id, coalesce(e, 0) > 0 AS has_pending, coalesce(f, 0) AS file_count, coalesce(l, 0) AS line_count, coalesce(e, 0) AS edit_count, prompt_count, age_hours > 24 AS is_stale, age_hours || ' hours ago' AS age, 24 AS max_pending_age_hours FROM s LEFT JOIN t USING (session_id)""")
+def _(spark, d):
+    e = history.file_edits(_edits(spark, d), ["repo"]).withColumn("session_id", F.col("repo").cast("string"))
+    at = F.timestamp_seconds(F.lit(1_700_000_000))
+    sessions = spark.range(25).select(F.col("id").cast("string").alias("session_id"), F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) - (F.col("id") + 23) * 3600), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("started_at"), (F.col("id") % 4).alias("prompt_count"))
+    return history.pending_status(e, sessions, at)
+
+
+@op("P19_pending_age", "SELECT k, CASE WHEN k // 60 > 0 THEN (k // 60) || ' hours ago' WHEN k > 0 THEN k || ' minutes ago' ELSE 'just now' END AS age, k > 1440 AS stale FROM (SELECT DISTINCT p_partkey % 3000 AS k FROM part)")
+def _(spark, d):
+    at = F.timestamp_seconds(F.lit(1_700_000_000))
+    start = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) - F.col("k") * 60), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    return P.table(spark, d, "part").select((F.col("p_partkey") % 3000).alias("k")).distinct().select("k", history.age_text(start, at).alias("age"), history.is_stale(start, at).alias("stale"))
+
+
 @op("A15_prompt_table", f"WITH {_NUMBERED}, f AS (SELECT repo, prompt_index, path, min(seq) AS s, min(prompt) AS text FROM numbered GROUP BY ALL) SELECT repo, prompt_index, min(text) AS text, min(s) AS first_seq, string_agg(path, ',' ORDER BY s, path) AS affected_files FROM f GROUP BY repo, prompt_index")
 def _(spark, d):
     return history.prompt_table(history.numbered_prompts(_edits(spark, d), ["repo"]), ["repo"]).withColumn("affected_files", F.array_join("affected_files", ","))
@@ -488,6 +650,18 @@ def _(spark, d):
     return out.select("doc_id", "e.ordinal", "e.name", "e.start", "e.end", "e.hit")
 
 
+@op("R5_find_sensitive", f'WITH {_RAW} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ordinal, start) - 1 AS INTEGER) AS position, name, hit FROM ev')
+def _(spark, d):
+    return redaction.matches(_docs(spark, d)).select("doc_id", "position", "name", "hit")
+
+
+@op("R9_redact_report", f"""WITH {_RAW}, p AS (SELECT un.doc_id, start, "end", substr(text, coalesce(lag("end") OVER w, 0) + 1, start - coalesce(lag("end") OVER w, 0)) || '[REDACTED]' AS piece FROM un JOIN src USING (doc_id) WINDOW w AS (PARTITION BY un.doc_id ORDER BY start)),
+g AS (SELECT doc_id, string_agg(piece, '' ORDER BY start) AS pieces, max("end") AS last FROM p GROUP BY doc_id), n AS (SELECT doc_id, count(*) AS n, string_agg(name, ',' ORDER BY ordinal, start) AS names FROM ev GROUP BY doc_id)
+SELECT doc_id, CAST(octet_length(encode(text)) AS INTEGER) AS input_length, CASE WHEN pieces IS NULL THEN text ELSE pieces || substr(text, last + 1) END AS output, CAST(coalesce(n, 0) AS INTEGER) AS match_count, coalesce(names, '') AS matches FROM src LEFT JOIN g USING (doc_id) LEFT JOIN n USING (doc_id)""")
+def _(spark, d):
+    return redaction.report(_docs(spark, d)).select("doc_id", "input_length", "output", "match_count", F.array_join("matches", ",").alias("matches"))
+
+
 @op("U7_interval_union", f'WITH {_RAW} SELECT doc_id, CAST(start AS INTEGER) AS start, CAST("end" AS INTEGER) AS "end" FROM un')
 def _(spark, d):
     return redaction.redact(_docs(spark, d)).where("spans is not null").select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.start", "s.end")
@@ -521,12 +695,10 @@ def _(spark, d):
 
 @op("F1_text_functions", """SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) END AS n_lines, CASE WHEN length(text) <= 40 THEN text ELSE substr(text, 1, 37) || '...' END AS cut, substr(rpad(text, 20, ' '), 1, 20) AS padded,
 CASE WHEN length(text) > 12 THEN substr(text, 1, 11) || '…' ELSE rpad(text, 12, ' ') END AS fitted, replace(replace(text, chr(10), ' '), '"', '""') AS csv, substr(sha256(text), 1, 32) AS hash,
-CASE WHEN n_chars < 1024 THEN printf('%d B', n_chars) WHEN n_chars < 1048576 THEN printf('%d KiB', n_chars // 1024) ELSE 'big' END AS size_class FROM documents""")
+CASE WHEN n_chars < 1024 THEN printf('%d B', n_chars) WHEN n_chars < 1048576 THEN printf('%.1f KiB', n_chars / 1024.0) ELSE printf('%.2f MiB', n_chars / 1048576.0) END AS size_class FROM documents""")
 def _(spark, d):
     t = F.col("text")
-    n = F.col("n_chars")
-    size = F.when(n < 1024, F.format_string("%d B", n)).when(n < 1048576, F.format_string("%d KiB", F.expr("n_chars div 1024"))).otherwise("big")
-    return P.table(spark, d, "documents").select("doc_id", F.size(X.lines(t)).cast("long").alias("n_lines"), X.truncate(t, 40).alias("cut"), X.pad(t, 20).alias("padded"), X.fit(t, 12).alias("fitted"), X.csv_field(t).alias("csv"), X.content_hash(t).alias("hash"), size.alias("size_class"))
+    return P.table(spark, d, "documents").select("doc_id", F.size(X.lines(t)).cast("long").alias("n_lines"), X.truncate(t, 40).alias("cut"), X.pad(t, 20).alias("padded"), X.fit(t, 12).alias("fitted"), X.csv_field(t).alias("csv"), X.content_hash(t).alias("hash"), X.bytes_text(F.col("n_chars")).alias("size_class"))
 
 
 _LINES = "l AS (SELECT doc_id, generate_subscripts(ls, 1) AS k, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))"
@@ -542,7 +714,25 @@ def _(spark, d):
     return _docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line")).select("doc_id", (F.col("k") + 1).cast("long").alias("k"), X.block_form(F.col("line")).alias("form"))
 
 
-@op("F6_word_wrap")
+@op("F14_bytes_text", "SELECT doc_id, CASE WHEN n < 1024 THEN printf('%d B', n) WHEN n < 1048576 THEN printf('%.1f KiB', n / 1024.0) ELSE printf('%.2f MiB', n / 1048576.0) END AS size FROM (SELECT doc_id, CAST(n_chars AS BIGINT) * (doc_id % 200 + 1) AS n FROM documents)")
+def _(spark, d):
+    return P.table(spark, d, "documents").select("doc_id", X.bytes_text(F.col("n_chars") * (F.col("doc_id") % 200 + 1)).alias("size"))
+
+
+@op("F23_hunk_hash", "SELECT doc_id, substr(sha256(CASE WHEN text = '' THEN '' ELSE regexp_replace(text, '\\n$', '') || chr(10) END), 1, 16) AS hash FROM documents")
+def _(spark, d):
+    return _docs(spark, d).select("doc_id", X.hunk_hash(X.lines(F.col("text"))).alias("hash"))
+
+
+@op("F18_has_trailers", "SELECT o_orderkey, o_orderkey % 3 = 0 AS has FROM orders")
+def _(spark, d):
+    m = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("x\n\nAI-Session: "), F.col("o_orderkey").cast("string"))).otherwise(F.lit("x\n\nSigned-off-by: a"))
+    return P.table(spark, d, "orders").select("o_orderkey", TR.has_trailers(m).alias("has"))
+
+
+@op("F6_word_wrap", """WITH w AS (SELECT item_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS ws FROM benchmark),
+f AS (SELECT item_id, CASE WHEN len(ws) = 0 THEN '' ELSE list_reduce(ws, lambda acc, x: CASE WHEN strlen(string_split(acc, chr(10))[-1]) + 1 + strlen(x) <= 40 THEN acc || ' ' || x ELSE acc || chr(10) || x END) END AS t FROM w)
+SELECT item_id, CAST(k - 1 AS INTEGER) AS k, string_split(t, chr(10))[k] AS line FROM (SELECT *, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS k FROM f)""")
 def _(spark, d):
     return P.table(spark, d, "benchmark").select("item_id", F.posexplode(X.wrap(F.col("text"), 40)).alias("k", "line"))
 
@@ -592,7 +782,11 @@ def _(spark, d):
     return diffview.parse(_diffs(spark, d), ["doc_id"]).where("kind <> 'header'").select("doc_id", "n", "kind", "path", "line_no")
 
 
-@op("J16_annotated_diff")
+@op("J16_annotated_diff", """WITH b AS (SELECT doc_id, list_transform(CASE WHEN text = '' THEN [] ELSE string_split(regexp_replace(text, '\\n$', ''), chr(10)) END, lambda x, i: CASE (i - 1) % 4 WHEN 1 THEN '+' WHEN 2 THEN '-' ELSE ' ' END || x) AS body FROM documents),
+h AS (SELECT doc_id, 10 AS start, body[1:5] AS ls, 4 AS base FROM b UNION ALL SELECT doc_id, 200, body, 5 + len(body[1:5]) FROM b),
+r AS (SELECT doc_id, base + k - 1 AS n, ls[k] AS text, start + k - 1 - len(list_filter(ls[1:k], lambda x: substr(x, 1, 1) = '-')) AS line_no FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS k FROM h)),
+a AS (SELECT doc_id, unnest([0, 1, 2, 3, 4 + len(body[1:5])]) AS n, unnest(['diff --git a/f b/f' || doc_id, '--- a/f' || doc_id, '+++ b/f' || doc_id, '@@ -1,3 +10,4 @@ x', '@@ -90 +200,2 @@']) AS text FROM b)
+SELECT doc_id, CAST(n AS INTEGER) AS n, CASE WHEN substr(text, 1, 1) = '+' AND line_no BETWEEN 10 AND 210 THEN CASE WHEN line_no % 2 = 0 THEN '● ' || text || '  # AI: 01234567' ELSE '◐ ' || text || '  # AI-mod(75%): 01234567' END ELSE text END AS text FROM r UNION ALL SELECT doc_id, CAST(n AS INTEGER), text FROM a""")
 def _(spark, d):
     docs = P.table(spark, d, "documents").select("doc_id")
     b = docs.select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), F.explode(F.sequence(F.lit(10).cast("long"), F.lit(210).cast("long"))).alias("line_no"))
@@ -626,8 +820,8 @@ def _(spark, d):
 
 @op("F11_similarity")
 def _(spark, d):
-    v = P.file_versions(spark, d).select("path", F.posexplode(X.lines(F.col("final"))).alias("k", "b"), F.col("ai"))
-    return v.select("path", "k", similarity_column(F.try_element_at(X.lines(F.col("ai")), F.col("k") + 1), F.col("b")).alias("similarity"))
+    v = P.file_versions(spark, d).select("path", F.posexplode(F.arrays_zip(X.lines(F.col("final")).alias("b"), X.lines(F.col("ai")).alias("a"))).alias("k", "x"))
+    return v.where("x.b is not null").select("path", "k", similarity_column(F.col("x.a"), F.col("x.b")).alias("similarity"))
 
 
 # --- capture as a stream -----------------------------------------------------
@@ -644,11 +838,13 @@ def _(spark, d):
     return capture.capture_batch(rows)
 
 
-@op("Z7_paired_snapshots", """WITH a AS (SELECT user_id % 50 AS k, ts, props AS old_content FROM events WHERE event_type = 'click'), b AS (SELECT user_id % 50 AS k, 'f' || (user_id % 9) AS path, ts, event_type AS new_content FROM events WHERE event_type IN ('view', 'purchase'))
-SELECT b.path, a.ts AS pre_ts, b.ts AS post_ts, old_content, new_content FROM a JOIN b ON a.k = b.k AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR WHERE old_content IS DISTINCT FROM new_content""")
+@op("Z7_paired_snapshots", """WITH e AS (SELECT CAST(user_id % 50 AS VARCHAR) AS k, 'p' AS path, ts, 0 AS turn, CASE WHEN event_id % 4 > 0 THEN props END AS content FROM events WHERE event_type = 'click' UNION ALL SELECT CAST(user_id % 50 AS VARCHAR), 'f' || (user_id % 9), ts, 1, event_type FROM events WHERE event_type IN ('view', 'purchase')),
+o AS (SELECT *, lag(turn) OVER w AS before, lag(ts) OVER w AS pre_ts, lag(content) OVER w AS old FROM e WINDOW w AS (PARTITION BY k ORDER BY ts, turn, content NULLS FIRST)),
+p AS (SELECT *, coalesce(before = 0 AND old IS NOT NULL AND ts <= pre_ts + INTERVAL 1 HOUR, FALSE) AS held FROM o WHERE turn = 1)
+SELECT path, CASE WHEN held THEN pre_ts END AS pre_ts, ts AS post_ts, CASE WHEN held THEN old ELSE '' END AS old_content, held AS old_present, content AS new_content FROM p WHERE CASE WHEN held THEN old ELSE '' END IS DISTINCT FROM content""")
 def _(spark, d):
     e = P.table(spark, d, "events")
     k = (F.col("user_id") % 50).cast("string").alias("call_id")
-    pre = e.where("event_type = 'click'").select(k, F.lit("p").alias("path"), "ts", F.col("props").alias("old_content"))
+    pre = e.where("event_type = 'click'").select(k, F.lit("p").alias("path"), "ts", F.when(F.col("event_id") % 4 > 0, F.col("props")).alias("old_content"))
     post = e.where("event_type in ('view', 'purchase')").select(k, F.concat(F.lit("f"), (F.col("user_id") % 9).cast("string")).alias("path"), "ts", F.col("event_type").alias("new_content"))
     return capture.paired_snapshots(pre, post)

@@ -6,9 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.redaction import Redactor, redact
+from ..functions.redaction import Redactor, matches, redact
 from ..functions.text import file_line
-from ..operators import annotations as AN, attribution as AT, attribution_counts as AC, audit as AU, blame as BL, diffview as DV, export as EX, finalize as FI, graph as GR, retention as RE, summary as SU
+from ..operators import annotations as AN, attribution as AT, attribution_counts as AC, audit as AU, blame as BL, diffview as DV, export as EX, finalize as FI, graph as GR, history as HI, retention as RE, summary as SU
 from .package import ship
 
 
@@ -84,20 +84,22 @@ class Engine:
         c = self.range(base, head)
         return SU.range_summary(c, self.files), SU.summary_by_file(c, self.files)
 
-    def annotations(self, base, head="HEAD", consolidate: str = "auto", consolidate_threshold: float = 0.7, min_lines: int = 1, max_annotations: int = 50, ai_only: bool = False, min_ai_lines: int = 3, min_ai_percent: float = 5.0, diff_only: bool = False, group_ai_types: bool = False, consolidate_prompt_limit: int = 3) -> DataFrame:
+    def annotations(self, base, head="HEAD", consolidate: str = "auto", consolidate_threshold: float = 0.7, min_lines: int = 1, max_annotations: int = 50, ai_only: bool = False, min_ai_lines: int = 3, min_ai_percent: float = 5.0, diff_only: bool = False, group_ai_types: bool = False, consolidate_prompt_limit: int = 3, sort_by: str = "coverage") -> DataFrame:
         kept = AN.significant(self.files.join(self.range(base, head), "commit_key", "left_semi"), min_ai_lines, min_ai_percent).select("path").distinct()
         lines = BL.blame(self.t.blame_hunks.join(kept, "path", "left_semi"), self.t.note_lines)
         groups = AN.line_groups(lines, ["path"], ai_only, group_ai_types, min_lines)
-        if diff_only:
-            groups = AN.in_ranges(groups, self.t.diff_ranges, ["path"])
-        return AN.candidates(AN.file_stats(lines, ["path"]), groups, ["path"], consolidate, consolidate_threshold, consolidate_prompt_limit, max_annotations)
+        return AN.candidates(AN.file_stats(lines, ["path"]), groups, ["path"], consolidate, consolidate_threshold, consolidate_prompt_limit, max_annotations, self.t.diff_ranges if diff_only else None, sort_by)
 
     def annotate_diff(self, diff: DataFrame, by: list[str], verbose: bool = False) -> DataFrame:
         b = BL.blame(self.t.blame_hunks, self.t.note_lines).withColumnRenamed("line_number", "line_no")
         return DV.annotated(diff, b, by, verbose)
 
     def export(self, since: str | None = None, until: str | None = None, full_prompts: bool = False, prompt_max_len: int = 100) -> DataFrame:
-        return EX.export(self.t.commits, AC.commit_totals(self.files), self.t.prompts, since, until, full_prompts, prompt_max_len)
+        """Fails if a note's commit is missing."""
+        lost = EX.missing(self.t.commits, self.files.select("commit_key").distinct()).head(1)
+        if lost:
+            raise ValueError(f"commit {lost[0].commit_key} has a note but does not exist")
+        return EX.export(self.t.commits, AC.commit_totals(self.files), self.t.prompts, since, until, full_prompts, prompt_max_len, self.files)
 
     def retention_sets(self, policy: RE.Policy, as_of: str) -> tuple[DataFrame, list[str]]:
         """Decisions per commit, and the policy's refs that resolve to nothing."""
@@ -113,8 +115,13 @@ class Engine:
 
     def find_sensitive(self, df: DataFrame, column: str = "text", redactor: Redactor | None = None) -> DataFrame:
         """A row per match, in pattern order."""
-        found = redact(df, column, redactor or Redactor()).where("events is not null")
-        return found.select(*df.columns, F.explode("events").alias("e")).select(*df.columns, "e.ordinal", "e.name", "e.start", "e.end", "e.hit")
+        return matches(df, column, redactor or Redactor())
+
+    def pending_status(self, edits: DataFrame, sessions: DataFrame, as_of, hours: int = 24) -> DataFrame:
+        return HI.pending_status(edits, sessions, as_of, hours)
+
+    def orphans(self, notes: DataFrame) -> DataFrame:
+        return FI.orphans(notes, self.t.commits)
 
     def finalize(self, pending: DataFrame, changes: DataFrame, versions: DataFrame) -> tuple[DataFrame, DataFrame]:
         """pending(commit_id, path, original, edits): attributed lines of the files that

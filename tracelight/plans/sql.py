@@ -1,7 +1,7 @@
 """Shared parts of the queries' SQL: the projected tables, for DuckDB."""
 
 COMMITS = """commits AS (SELECT o_orderkey AS commit_key, substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 40) AS commit_id, c_name AS author, 'change ' || o_orderstatus || chr(10) || 'body' AS message,
- 'model-' || lower(substr(o_orderpriority, 1, 1)) AS model, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS started_at, o_orderdate AS committed_at FROM orders JOIN customer ON o_custkey = c_custkey)"""
+ 'model-' || lower(substr(o_orderpriority, 1, 1)) AS model, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS started_at, o_orderdate AS committed_at, 'session-' || o_custkey AS session_id FROM orders JOIN customer ON o_custkey = c_custkey)"""
 
 NOTE_LINES = """note_lines AS (SELECT commit_key, path, line_number, kind AS source_type, CASE WHEN kind = 'AIModified' THEN 1 - l_discount END AS similarity,
  CASE WHEN kind IN ('AI', 'AIModified') THEN 'e' || CAST(l_suppkey AS VARCHAR) END AS edit_id, CASE WHEN kind IN ('AI', 'AIModified') THEN l_suppkey % 4 END AS prompt_index
@@ -14,7 +14,7 @@ COUNTERS = """count(*) AS total_lines, count(*) FILTER (source_type = 'AI') AS a
 
 NOTE_FILES = f"note_files AS (SELECT commit_key, path, {COUNTERS} FROM note_lines GROUP BY commit_key, path)"
 
-PROMPTS = "prompts AS (SELECT conv_id AS commit_key, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS prompt_index, text FROM conversations WHERE role = 'user')"
+PROMPTS = "prompts AS (SELECT conv_id AS commit_key, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS prompt_index, text, ['src/f' || (conv_id % 50)] AS affected_files FROM conversations WHERE role = 'user')"
 
 BLAME = """blame AS (SELECT h.commit_key, h.path, h.line_number, h.orig_line, coalesce(n.source_type, 'Unknown') AS source_type, n.similarity, n.edit_id, n.prompt_index FROM
  (SELECT commit_key, path, final_start + k AS line_number, orig_start + k AS orig_line FROM (SELECT l_orderkey AS commit_key, 'src/f' || CAST(l_partkey % 50 AS VARCHAR) AS path, l_orderkey * 100 + l_linenumber * 10 AS final_start,

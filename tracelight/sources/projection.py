@@ -22,12 +22,12 @@ def commit_id(key) -> F.Column:
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """commit_key, commit_id, author, message, model, started_at, committed_at."""
+    """commit_key, commit_id, author, message, model, started_at, committed_at, session_id."""
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     return o.join(c, o.o_custkey == c.c_custkey).select(
         F.col("o_orderkey").alias("commit_key"), commit_id(F.col("o_orderkey")).alias("commit_id"), F.col("c_name").alias("author"),
         F.concat(F.lit("change "), F.col("o_orderstatus"), F.lit("\nbody")).alias("message"), F.lower(F.concat(F.lit("model-"), F.substring("o_orderpriority", 1, 1))).alias("model"),
-        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("started_at"), F.col("o_orderdate").alias("committed_at"),
+        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("started_at"), F.col("o_orderdate").alias("committed_at"), F.concat(F.lit("session-"), F.col("o_custkey").cast("string")).alias("session_id"),
     )
 
 
@@ -59,7 +59,7 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
     from pyspark.sql import Window as W
 
-    return c.select(F.col("conv_id").alias("commit_key"), (F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "text")) - 1).cast("long").alias("prompt_index"), "text")
+    return c.select(F.col("conv_id").alias("commit_key"), (F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "text")) - 1).cast("long").alias("prompt_index"), "text", F.array(F.concat(F.lit("src/f"), (F.col("conv_id") % 50).cast("string"))).alias("affected_files"))
 
 
 def blame_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -21,16 +23,66 @@ def source_json(kind: F.Column) -> F.Column:
 
 
 def blame_json(lines: DataFrame, by: list[str]) -> DataFrame:
-    """One JSON line per blamed line; nulls are written."""
-    body = F.struct("line_number", "orig_line", source_json(F.col("source_type")).alias("source"), "edit_id", "similarity", "prompt_index")
+    """One JSON object per blamed line; nulls are written. Columns that a table lacks
+    (commit_id, author, prompt_preview, content) are null."""
+    col = lambda c: F.col(c) if c in lines.columns else F.lit(None).cast("string")
+    kind = F.col("source_type")
+    body = F.struct(
+        "line_number", F.col("line_number").alias("line"), F.struct(col("commit_id").alias("id"), F.substring(col("commit_id"), 1, 7).alias("short"), col("author").alias("author")).alias("commit"),
+        source_json(kind).alias("source"), F.struct(kind.isin("AI", "AIModified").alias("is_ai"), kind.isin("Human", "Original").alias("is_human")).alias("flags"),
+        F.struct(F.col("prompt_index").alias("index"), col("prompt_preview").alias("preview")).alias("prompt"), col("content").alias("content"),
+    )
     return lines.select(*by, "line_number", F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
 
 
-def show_json(totals: DataFrame) -> DataFrame:
-    """One document per commit; commits without a note say so."""
+def blame_document(lines: DataFrame, path: str, revision: str) -> DataFrame:
+    """(n, line): the lines of one JSON document for a file, in order of n."""
+    spark = lines.sparkSession
+    rows = blame_json(lines, [])
+    c = lambda k: F.count_if(F.col("source_type") == k)
+    total = lines.agg(F.count("*").alias("total_lines"), c("AI").alias("ai_lines"), c("AIModified").alias("ai_modified_lines"), c("Human").alias("human_lines"), c("Original").alias("original_lines"), F.max("line_number").alias("last"))
+    ai = F.col("ai_lines") + F.col("ai_modified_lines")
+    total = total.withColumn("ai_percentage", F.coalesce(F.try_divide(ai.cast("double"), F.col("total_lines").cast("double")), F.lit(0.0)) * 100.0)
+    head = json.dumps({"schema_version": 1, "schema": "blame.v1", "file": path, "revision": revision}, separators=(",", ":"), ensure_ascii=False)[:-1] + ',"lines":['
+    body = rows.crossJoin(F.broadcast(total.select("last"))).select(F.col("line_number").cast("long").alias("n"), F.concat("json", F.when(F.col("line_number") == F.col("last"), "").otherwise(",")).alias("line"))
+    tail = total.select((F.coalesce("last", F.lit(0)) + 1).cast("long").alias("n"), F.concat(F.lit('],"summary":'), F.to_json(F.struct(*[x for x in total.columns if x != "last"])), F.lit("}")).alias("line"))
+    return spark.range(1).select(F.lit(-1).cast("long").alias("n"), F.lit(head).alias("line")).unionByName(body).unionByName(tail)
+
+
+def show_json(totals: DataFrame, prompts: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
+    """totals(commit_key, commit_id, total_*, and session_id, model, started_at if
+    known): one document per commit; commits without a note say so. prompts(commit_key,
+    prompt_index, text), files(commit_key, path, counters)."""
+    out = totals
+    if prompts is not None:
+        out = out.join(prompts.groupBy("commit_key").agg(F.array_sort(F.collect_list(F.struct(F.col("prompt_index").alias("index"), "text"))).alias("prompts")), "commit_key", "left")
+    if files is not None:
+        counted = [c for c in files.columns if c not in ("commit_key", "path")]
+        out = out.join(files.groupBy("commit_key").agg(F.array_sort(F.collect_list(F.struct("path", F.struct(*counted).alias("summary")))).alias("files")), "commit_key", "left")
     has = F.col("total_ai_lines").isNotNull()
-    body = F.struct(F.lit(1).alias("schema_version"), F.lit("show.v1").alias("schema"), has.alias("has_attribution"), *[c for c in totals.columns if c != "commit_key"])
-    return totals.select("commit_key", F.to_json(body).alias("json"))
+    none = F.array().cast
+    head = [F.lit(1).alias("schema_version"), F.lit("show.v1").alias("schema")]
+    commit = [F.col("commit_id").alias("commit"), F.substring("commit_id", 1, 7).alias("commit_short")]
+    session = F.struct(*(F.col(c).alias(n) for c, n in (("session_id", "session_id"), ("model", "model"), ("started_at", "started_at")) if c in out.columns))
+    listed = [F.coalesce(F.col(c), none(out.schema[c].dataType)).alias(c) for c in ("prompts", "files") if c in out.columns]
+    summary = F.struct(*(c for c in ("total_ai_lines", "total_ai_modified_lines", "total_human_lines", "total_original_lines")))
+    full = F.to_json(F.struct(*head, F.lit(True).alias("has_attribution"), *commit, session.alias("session"), *listed, summary.alias("summary")))
+    bare = F.to_json(F.struct(*head, F.lit(False).alias("has_attribution"), *commit))
+    return out.select("commit_key", F.when(has, full).otherwise(bare).alias("json"))
+
+
+def prompt_json(answers: DataFrame, reference: str, revision: str = "HEAD", by: list[str] | None = None) -> DataFrame:
+    """answers(path, line_number, content, source_type, prompt_index, commit_id, author,
+    text, timestamp, affected_files, session_id, model, started_at; missing ones are null): one document per line asked for."""
+    col = lambda c, kind="string": F.col(c) if c in answers.columns else F.lit(None).cast(kind)
+    prompt = F.when(col("text").isNotNull(), F.struct(F.col("prompt_index").alias("index"), col("text").alias("text"), col("timestamp").alias("timestamp"), col("affected_files", "array<string>").alias("affected_files")))
+    body = F.struct(
+        F.lit(1).alias("schema_version"), F.lit("prompt.v1").alias("schema"), F.struct(F.lit(reference).alias("reference"), F.col("path").alias("file"), "line_number", F.lit(revision).alias("revision")).alias("query"),
+        F.struct("line_number", col("content").alias("content"), source_json(F.col("source_type")).alias("source"), "prompt_index").alias("line"),
+        F.struct(col("commit_id").alias("id"), F.substring(col("commit_id"), 1, 7).alias("short"), col("author").alias("author")).alias("commit"), prompt.alias("prompt"),
+        F.struct(col("session_id").alias("id"), col("model").alias("model"), col("started_at").alias("started_at")).alias("session"),
+    )
+    return answers.select("path", "line_number", *(by or []), F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
 
 
 def note_json(columns: F.Column) -> F.Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: kind 'edit': file_path, prompt, old_content, new_content; kind 'commit': commit_id and the JSON list of changed paths in file_path
@@ -90,17 +90,66 @@ def capture_batch(events: DataFrame) -> DataFrame:
     return events.groupBy("repo").applyInPandas(run, OUT)
 
 
+PAIRED = "path string, pre_ts timestamp, post_ts timestamp, old_content string, old_present boolean, new_content string"
+
+
+def _tool_events(pre: DataFrame, post: DataFrame) -> DataFrame:
+    key = F.coalesce("call_id", "path")
+    a = pre.select(key.alias("k"), "path", "ts", F.lit(0).alias("turn"), F.col("old_content").alias("content"))
+    return a.unionByName(post.select(key.alias("k"), "path", "ts", F.lit(1).alias("turn"), F.col("new_content").alias("content")))
+
+
 def paired_snapshots(pre: DataFrame, post: DataFrame, ttl: str = "1 hour") -> DataFrame:
-    """Pre- and post-tool events of streams or tables: joined by call id, or by path
-    where there is none, within the time a snapshot lives. pre(call_id, path, ts,
-    old_content), post(call_id, path, ts, new_content)."""
-    key = lambda: F.coalesce("call_id", "path")
-    a = pre.select(key().alias("k"), F.col("ts").alias("pre_ts"), "old_content")
-    b = post.select(key().alias("k2"), "path", F.col("ts").alias("post_ts"), "new_content")
-    if pre.isStreaming:
-        a, b = a.withWatermark("pre_ts", ttl), b.withWatermark("post_ts", ttl)
-    on = (F.col("k") == F.col("k2")) & (F.col("post_ts") >= F.col("pre_ts")) & (F.col("post_ts") <= F.col("pre_ts") + F.expr(f"interval {ttl}"))
-    return a.join(b, on).where(~F.col("old_content").eqNullSafe(F.col("new_content"))).select("path", "pre_ts", "post_ts", "old_content", "new_content")
+    """Pre- and post-tool events of streams or tables, by call id, or by path where there
+    is none. pre(call_id, path, ts, old_content), post(call_id, path, ts, new_content).
+
+    A pre leaves one state per key, which a later pre overwrites and the next post uses
+    up; null old_content is a file that does not exist and leaves none, as does a state
+    older than ttl. A post without state starts from nothing. Posts that change nothing are
+    left out. Events of the same time: pre before post, then by content."""
+    events = _tool_events(pre, post)
+    if events.isStreaming:
+        return _paired_stream(events, ttl)
+    w = W.partitionBy("k").orderBy("ts", "turn", "content")
+    rows = events.select("*", F.lag("turn").over(w).alias("before"), F.lag("ts").over(w).alias("pre_ts"), F.lag("content").over(w).alias("old"))
+    # the event just before a post is a pre, or it has used up what there was
+    held = (F.col("before") == 0) & F.col("old").isNotNull() & (F.col("ts") <= F.col("pre_ts") + F.expr(f"interval {ttl}"))
+    out = rows.where("turn = 1").select("path", F.when(held, F.col("pre_ts")).alias("pre_ts"), F.col("ts").alias("post_ts"), F.when(held, F.col("old")).otherwise("").alias("old_content"), F.coalesce(held, F.lit(False)).alias("old_present"), F.col("content").alias("new_content"))
+    return out.where(~F.col("old_content").eqNullSafe(F.col("new_content")))
+
+
+def _paired_stream(events: DataFrame, ttl: str) -> DataFrame:
+    life = pd.Timedelta(ttl)
+
+    def run(key, batches, state: GroupState):
+        held = (state.get[0], state.get[1]) if state.exists else None
+        rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "turn", "content"])
+        out = []
+        for path, ts, turn, content in rows[["path", "ts", "turn", "content"]].itertuples(index=False):
+            content = None if content is None or content != content else content
+            if turn == 0:
+                held = None if content is None else (ts, content)
+                continue
+            if held is not None and ts - held[0] > life:
+                held = None
+            old = "" if held is None else held[1]
+            if old != content:
+                out.append((path, None if held is None else held[0], ts, old, held is not None, content))
+            held = None
+        if held is None:
+            state.update((None, None))
+        else:
+            state.update((held[0].to_pydatetime(), held[1]))
+        frame = pd.DataFrame(out, columns=[c.split()[0] for c in PAIRED.split(", ")])
+        frame["pre_ts"] = pd.to_datetime(frame["pre_ts"])
+        yield frame
+
+    def known(key, batches, state: GroupState):
+        if state.exists and state.get[0] is None:
+            state.remove()
+        yield from run(key, batches, state)
+
+    return events.groupBy("k").applyInPandasWithState(known, PAIRED, "ts timestamp, content string", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_once(spark: SparkSession, source: str, target: str, checkpoint: str) -> None:
