@@ -18,8 +18,8 @@ def _folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/graph-{uuid.uuid4().hex[:12]}"
 
 
-#: Generations of chains per job; steps of a chain that one round multiplies by STRIDE.
-GENERATIONS, STRIDE = 4, 4
+#: Generations per job, jobs before chains are looked for, and steps of a chain that one round multiplies by.
+GENERATIONS, NEAR, STRIDE = 8, 2, 4
 
 
 def _written(df: DataFrame, path: str) -> DataFrame:
@@ -45,40 +45,64 @@ def chains(parents: DataFrame, folder: str) -> DataFrame:
     return now.drop("open")
 
 
+def _neighbours(edges: DataFrame) -> DataFrame:
+    """edges(node, to) as (node, near): what a node reaches in one step or none. A commit
+    has few parents, so the lists are short."""
+    every = edges.unionByName(edges.select("node", F.col("node").alias("to"))).unionByName(edges.select(F.col("to").alias("node"), "to"))
+    return every.groupBy("node").agg(F.collect_set("to").alias("near"))
+
+
+def _walk(near: DataFrame, start: DataFrame, folder: str, jobs: int | None = None) -> tuple[DataFrame, bool]:
+    """Nodes that start(node) reaches, and whether that is all of them. Every job takes
+    GENERATIONS steps and is written; the next one goes on from what the last step found."""
+    spark, frontier, k = near.sparkSession, start, 0
+    while True:
+        step = frontier.select("node")
+        for _ in range(GENERATIONS - 1):
+            step = step.join(near, "node").select(F.explode("near").alias("node")).distinct()
+        # who is reached from another node alone was not there a step before
+        last = step.join(near, "node", "left").select("node", F.explode(F.coalesce("near", F.array("node"))).alias("to")).groupBy("to").agg((~F.bool_or(F.col("node") == F.col("to"))).alias("fresh"))
+        new = last.select(F.col("to").alias("node"), "fresh")
+        if k:
+            new = new.join(reached, "node", "left_anti")
+        frontier = _written(new, f"{folder}/{k}").where("fresh")
+        k += 1
+        reached = spark.read.schema("node " + start.schema["node"].dataType.simpleString()).parquet(*[f"{folder}/{i}" for i in range(k)])
+        if not frontier.head(1):
+            return reached, True
+        if k == jobs:
+            return reached, False
+
+
 def ancestors(parents: DataFrame, heads: DataFrame) -> DataFrame:
     """All commits reachable from heads(commit_key), heads included.
 
-    parents(commit_key, parent_key). Chains of commits are first put into one step each;
-    what is left, merges and branches, is walked by generations, several a job. Each
-    table is written to the shared folder, so histories of any length keep a short
-    lineage. (A recursive query is limited to 100 levels by default.)
+    parents(commit_key, parent_key). The nearest generations are walked, several a job.
+    If that is not all, chains of commits are put into one step each, and what is left,
+    merges and branches, is walked likewise. Each table is written to the shared folder, so
+    histories of any length keep a short lineage. (A recursive query is limited to 100
+    levels by default.)
     """
     folder = _folder(parents.sparkSession)
     parents = parents.where("commit_key is not null and parent_key is not null").select("commit_key", "parent_key").distinct()
+    near = _written(_neighbours(parents.toDF("node", "to")), f"{folder}/near")
+    known, over = _walk(near, heads.where("commit_key is not null").select(F.col("commit_key").alias("node")).distinct(), f"{folder}/known", NEAR)
+    known = known.toDF("commit_key").unionByName(heads.select("commit_key").where("commit_key is not null")).distinct()  # heads without any parent or child
+    if over:
+        return known
     parents = _written(parents, f"{folder}/parents")
     line = chains(parents, folder)
     entry = line.select(F.col("commit_key").alias("parent_key"), "last")
-    ends = parents.join(line, "commit_key", "left_anti").join(entry, "parent_key", "left").select(F.col("commit_key").alias("chain"), F.coalesce("last", "parent_key").alias("to")).distinct()
+    ends = parents.join(line, "commit_key", "left_anti").join(entry, "parent_key", "left").select(F.col("commit_key").alias("node"), F.coalesce("last", "parent_key").alias("to")).distinct()
     ends = _written(ends, f"{folder}/ends")
-    start = heads.select("commit_key").where("commit_key is not null").distinct().join(line, "commit_key", "left")
-    start = _written(start.select("commit_key", F.coalesce("last", "commit_key").alias("chain"), F.coalesce("steps", F.lit(0)).alias("steps")), f"{folder}/heads")
-    frontier, whole, k = start.select("chain").distinct(), None, 0
-    while True:
-        step, found = frontier, None
-        for _ in range(GENERATIONS):
-            step = ends.join(step, "chain", "left_semi").select(F.col("to").alias("chain")).distinct()
-            found = step if found is None else found.unionByName(step)
-        new = found.distinct() if whole is None else found.distinct().join(whole, "chain", "left_anti")
-        frontier = _written(new, f"{folder}/whole/k={k}")
-        if not frontier.head(1):
-            break
-        k += 1
-        whole = parents.sparkSession.read.schema(frontier.schema).parquet(*[f"{folder}/whole/k={i}" for i in range(k)])
-    # chains entered at their top are reached whole, those of the heads from the head on
-    part = start.groupBy("chain").agg(F.max("steps").alias("from"))
-    out = line.join(part, line["last"] == part["chain"]).where("steps <= from").select("commit_key").unionByName(start.select(F.col("chain").alias("commit_key")))
-    if whole is not None:
-        out = out.unionByName(line.join(whole, line["last"] == whole["chain"], "left_semi").select("commit_key")).unionByName(whole.select(F.col("chain").alias("commit_key")))
+    start = known.join(line, "commit_key", "left")
+    start = _written(start.select("commit_key", F.coalesce("last", "commit_key").alias("node"), F.coalesce("steps", F.lit(0)).alias("steps")), f"{folder}/start")
+    met, _ = _walk(_written(_neighbours(ends), f"{folder}/near-ends"), start.select("node").distinct(), f"{folder}/met")
+    whole = ends.join(met, "node", "left_semi").select(F.col("to").alias("node")).distinct()
+    # chains entered at their top are reached whole, those that a known commit stands in from there on
+    part = start.groupBy("node").agg(F.max("steps").alias("from"))
+    out = line.join(part, line["last"] == part["node"]).where("steps <= from").select("commit_key").unionByName(start.select(F.col("node").alias("commit_key")))
+    out = out.unionByName(line.join(whole, line["last"] == whole["node"], "left_semi").select("commit_key")).unionByName(whole.toDF("commit_key"))
     return out.distinct()
 
 
