@@ -90,25 +90,78 @@ def test_adpcm_round_trip():
     assert (one[0] == y[3]).all()
 
 
+def plain_mulaw(code):
+    code = ~code & 255
+    size = ((code & 15) * 8 + 132 << (code >> 4 & 7)) - 132
+    return -size if code & 128 else size
+
+
+def plain_adpcm(block):
+    """One IMA block, nibble by nibble."""
+    steps = M.STEPS.tolist()
+    value, index = struct.unpack("<hB", block[:3])
+    out = [value]
+    for byte in block[4:]:
+        for nibble in (byte & 15, byte >> 4):
+            step = steps[index]
+            diff = (step >> 3) + (step if nibble & 4 else 0) + (step >> 1 if nibble & 2 else 0) + (step >> 2 if nibble & 1 else 0)
+            value = max(-32768, min(32767, value - diff if nibble & 8 else value + diff))
+            index = max(0, min(88, index + (-1, -1, -1, -1, 2, 4, 6, 8)[nibble & 7]))
+            out.append(value)
+    return out
+
+
+def test_adpcm_against_a_plain_decoder():
+    rng = np.random.default_rng(4)
+    data = rng.integers(0, 256, (50, M.ADPCM_BLOCK), np.uint8)
+    data[:, 2] %= 89
+    got = M.decode_adpcm(data.reshape(-1))
+    assert [x.tolist() for x in got] == [plain_adpcm(x.tobytes()) for x in data]
+    short = M.wave(M.ADPCM, data[:3].tobytes()[:-7])
+    assert M.expand(short)[1].tolist() == sum((plain_adpcm(x) for x in (data[0].tobytes(), data[1].tobytes(), data[2].tobytes()[:-7])), [])
+    assert M.nearest_codes(M.alaw_table())[M.alaw_table().astype(int) + 32768].tolist() == list(range(256))
+
+
 def test_media_query_round_trip(spark):
-    texts = [None, "", "é" * 288, "a" * 577, "x" * 100000, "same", "same"]
-    got = {r.doc_id: r for r in M.features(M.pack_texts(docs(spark, texts))).collect()}
+    texts = [None, "", "é" * 288, "a" * 577, "x" * 100000, "same", "same", "\x00\x7f mixed Z"]
+    table = M.media_pcm(M.pack_texts(docs(spark, texts)), to=M.PCM_RATE)
+    from tracelight.llm import runtime as R
+
+    kept = {r.doc_id: r for r in R.stored(table, "m").collect()}
+    got = {r.doc_id: r for r in M.features(table).collect()}
     for i, t in enumerate(texts):
         raw = (t or "").encode()
         payload = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert (r.media_bytes, r.media_sha256) == (len(kept[i].media), hashlib.sha256(kept[i].media).hexdigest())
+        mu = [plain_mulaw(c) for c in payload]
+        rate, x = M.expand(kept[i].pcm)
+        assert rate == M.PCM_RATE and len(x) == len(mu) // 4 and x.tolist() == M.resample(np.array(mu, np.int16), 8000, M.PCM_RATE).tolist()
+        table_a = M.alaw_table().tolist()
+        lost = 0
+        for at in range(0, len(x), 65):
+            part = x[at : at + 65].tolist()
+            coded = M.encode_adpcm(np.array([part + [part[-1]] * (65 - len(part))], np.int16))[0]
+            lost += sum(abs(a - b) for a, b in zip(part, plain_adpcm(coded.tobytes())))
+        flips = sum((a < 0) != (b < 0) for a, b in zip(mu, mu[1:]))
+        alaw = sum(min(abs(v - a) for a in table_a) for v in x[:2000].tolist()) if len(x) <= 2000 else int(r.feature.split("alaw=")[1].split(";")[0])
+        assert r.feature == f"peak={max(map(abs, mu))};sum={sum(map(abs, mu))};flips={flips};pcm={len(x)};energy={int(np.abs(x.astype(int)).sum())};alaw={alaw};ima={lost}"
     assert got[5][1:] == got[6][1:] and got[5].feature != got[4].feature
+    assert M.features(M.media_pcm(M.pack_texts(docs(spark, [])), to=M.PCM_RATE)).count() == 0
 
 
 def test_media_pcm(spark):
     tone = (8000 * np.sin(np.arange(800) / 5)).astype(np.int16)
     ad = M.encode_adpcm(tone[:780].reshape(-1, 65)).tobytes()
-    rows = [(1, M.wave(M.MULAW, bytes(range(256)))), (2, M.wave(M.ALAW, bytes(256))), (3, M.wave(M.ADPCM, ad)), (4, b"junk"), (5, None), (6, M.wave(M.PCM, tone.astype("<i2").tobytes()))]
+    stereo = bytearray(M.wave(M.MULAW, b"ab"))
+    stereo[22] = 2
+    rows = [(1, M.wave(M.MULAW, bytes(range(256)))), (2, M.wave(M.ALAW, bytes(256))), (3, M.wave(M.ADPCM, ad)), (4, b"junk"), (5, None), (6, M.wave(M.PCM, tone.astype("<i2").tobytes())), (7, bytes(stereo)), (8, M.wave(M.ADPCM, ad))]
     got = {r.id: r for r in M.media_pcm(spark.createDataFrame(rows, "id int, media binary")).collect()}
     rate, x = M.expand(bytes(got[6].pcm))
     assert rate == 16000 and len(x) == 1600 and np.abs(x[200:-200:2].astype(int) - tone[100:-100]).max() < 200
     assert got[4].pcm is None and got[4].error and got[5].error == "null" and len(M.expand(bytes(got[3].pcm))[1]) == 1560
+    assert got[7].pcm is None and "mono" in got[7].error and bytes(got[8].pcm) == bytes(got[3].pcm)
 
 
 # --- WARC
