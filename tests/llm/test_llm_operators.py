@@ -185,6 +185,21 @@ def test_warc_round_trip(spark):
     assert WA.read_packages(R.stored(WA.write_packages(pages.limit(0), R.shared_dir(spark, "t")), "l")).count() == 0
 
 
+@pytest.mark.parametrize("few", [WA.FEW, 0])
+def test_warc_hot_payload(spark, monkeypatch, few):
+    """A third of all pages are empty, a third the same error page; by broadcast and by shuffle."""
+    from tracelight.llm import runtime as R
+
+    monkeypatch.setattr(WA, "FEW", few)
+    html = [None if k % 3 == 0 else "<p>not found</p>" if k % 3 == 1 else f"<p>{k}</p>" for k in range(600)]
+    pages = spark.createDataFrame([(k, f"http://h/{k}", t) for k, t in enumerate(html)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in WA.read_packages(R.stored(WA.write_packages(pages, R.shared_dir(spark, "t")), "l")).collect()}
+    assert len(got) == 600
+    for k, r in got.items():
+        last = {0: 597, 1: 598, 2: k}[k % 3]
+        assert (r.record_type, r.refers_to) == (("response", None) if k == last else ("revisit", last)) and r.payload_bytes == len(html[k] or "")
+
+
 def test_warc_odd_urls(spark):
     urls = ["http://h/{id}?q={}", "http://h/a {\"x\": 1}", "http://h/\x85b", "http://h/\u2028b\u2028", "http://h/é\x7f\n\r\tz", "{", ""]
     pages = spark.createDataFrame([(k, u, f"<p>{k}</p>") for k, u in enumerate(urls)], "page_id long, url string, html string")

@@ -20,9 +20,12 @@ import base64
 import gzip
 import hashlib
 import json
+import os
 import struct
+import uuid
 import zipfile
 import zlib
+from itertools import chain
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -32,6 +35,8 @@ from . import runtime as R
 
 MEMBER_BYTES = 16 << 20
 RANGE_BYTES = 4 << 20
+#: Repeated payloads that are broadcast at most: about 10 MB.
+FEW = 250_000
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -158,14 +163,10 @@ class _Package(zipfile.ZipFile):
 def write_package(path: str, records) -> int:
     """records: (key, bytes). Members are closed at MEMBER_BYTES, so that memory
     holds one member and the index lines."""
-    import os
-    import uuid
-
     fs, target = R.local_fs(path)
     fs.create_dir(os.path.dirname(target), recursive=True)
-    tmp = f"{target}.{uuid.uuid4().hex}.tmp"
     n, index = 0, []
-    with fs.open_output_stream(tmp) as out, _Package(out, "w") as z:
+    with fs.open_output_stream(target) as out, _Package(out, "w") as z:
         buf, size, member = [], 0, 0
 
         def close():
@@ -185,24 +186,28 @@ def write_package(path: str, records) -> int:
         close()
         z.store("indexes/index.cdxj", "".join(index).encode())
         z.store("datapackage.json", json.dumps({"profile": "data-package", "records": n}).encode())
-    if fs.get_file_info(target).type.name != "NotFound":
-        fs.delete_file(target)
-    fs.move(tmp, target)
     return n
 
 
 def write_packages(pages: DataFrame, folder: str) -> DataFrame:
-    """Writes one package per partition; returns path and n_records."""
+    """Writes one package per partition; returns path and n_records. A package is named
+    by its attempt, so that a task that runs twice leaves two whole files, of which the
+    returned list holds one.
+
+    Only digests are moved to find equal payloads, counted before they move. What is found,
+    one row per payload that occurs twice or more, is sent to the pages if it is of a
+    checked size, so that html stays where it is; a larger table meets them in a
+    shuffle, whose large partitions Spark splits."""
     R.prepare(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("sha", F.sha1(F.col("html").cast("binary")))
-    # one row per payload; hot payloads shrink before the shuffle, and the join back
-    # is one whose large partitions Spark splits
-    first = rows.groupBy("sha").agg(F.max("page_id").alias("first_id"))
-    rows = rows.join(first, "sha").select("page_id", "url", "html", "first_id")
+    rows = R.spread(rows).withColumn("sha", F.unhex(F.sha1(F.col("html").cast("binary"))))
+    again = rows.groupBy("sha").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+    again = R.stored(again.select("sha", "first_id", F.lit(True).alias("again")), "repeated-payloads")
+    rows = rows.join(F.broadcast(again) if again.count() <= FEW else again, "sha", "left")
+    rows = rows.select("page_id", "url", "html", F.when(F.col("again"), F.col("first_id")).otherwise(F.col("page_id")).alias("first_id"))
 
     def run(batches):
-        name = f"{folder}/pages-{TaskContext.get().partitionId():06d}.wacz"
+        name = f"{folder}/pages-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}.wacz"
 
         def records():
             for b in batches:
@@ -214,8 +219,6 @@ def write_packages(pages: DataFrame, folder: str) -> DataFrame:
         head = next(it, None)
         if head is None:
             return
-        from itertools import chain
-
         n = write_package(name, chain([head], it))
         yield pa.RecordBatch.from_pydict({"path": [name], "n_records": pa.array([n], pa.int64())})
 
