@@ -103,8 +103,8 @@ def _items(benchmark: DataFrame) -> tuple[DataFrame, int]:
 
 
 def _blocks(rows: DataFrame, n: int):
-    """The items in n blocks of bounded size, fetched one at a time, so that the driver
-    holds one."""
+    """The items in n blocks of bounded size, fetched one at a time; whoever takes them
+    lets go of one before the next."""
     for k in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         yield sorted((r.item_id or "", r.text.encode()) for r in part.collect())
@@ -138,7 +138,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pair("first", "end"), pair("start", "end"), pa.list_(pa.string())]
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(out, kinds)), *b.columns[2:]], names=["doc_id", "n_words", "hit_words", "hit_chars", "item_ids", *more])
 
-        return docs.mapInArrow(run, SCHEMA + (", _row long" if more else ""))
+        out = docs.mapInArrow(run, SCHEMA + (", _row long" if more else ""))
+        if n > 1:  # what a block finds is written, so that one block is held at a time
+            out = R.stored(out, "hits")
+            sent.destroy()
+        return out
 
     found = [scanned(items) for items in _blocks(rows, n)]
     if len(found) == 1:

@@ -17,8 +17,11 @@ from __future__ import annotations
 import functools
 import json
 import re
+import os
 import struct
+import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -169,13 +172,9 @@ def write_file(path: str, rows, width: int = 2) -> tuple[int, int]:
     """rows: (doc_id or None, ids as uint32 bytes) in ascending order. The ids go
     out as they come, in so many bytes each (2 or 4); only a number per document stays in memory."""
     fs, target = R.local_fs(path)
-    import os
-    import uuid
-
     fs.create_dir(os.path.dirname(target), recursive=True)
-    tmp = f"{target}.{uuid.uuid4().hex}.tmp"
     doc_ids, ends, nulls, total = [], [], 0, 0
-    with fs.open_output_stream(tmp) as out:
+    with fs.open_output_stream(target) as out:
         out.write(_MAGIC)
         for doc, ids in rows:
             a = np.frombuffer(ids, "<u4")
@@ -193,9 +192,6 @@ def write_file(path: str, rows, width: int = 2) -> tuple[int, int]:
         for p in parts:
             out.write(p)
         out.write(struct.pack("<QQqQQB", len(parts[0]), len(parts[1]), base, nulls, total, width) + _MAGIC)
-    if fs.get_file_info(target).type.name != "NotFound":
-        fs.delete_file(target)
-    fs.move(tmp, target)
     return len(ends), total
 
 
@@ -235,11 +231,15 @@ class TokenFile:
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None) -> DataFrame:
     """Writes one file per range of doc_ids; returns shard, path, n_docs, n_ids.
-    The text crosses the network once, by range of doc_id."""
+    The text crosses the network once, by range of doc_id; rows that repeat an id are told
+    apart by a hash of the text, so that one id may take several files. A file is named by
+    its attempt: a task that runs twice leaves two whole files, of which the returned list
+    holds one."""
     R.prepare(docs.sparkSession)
     path = tokenizer or tokenizer_path()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(R.parts_for(rows), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    rows = rows.repartitionByRange(R.parts_for(rows), *order).sortWithinPartitions(*order)
 
     def run(batches):
         shard = TaskContext.get().partitionId()
@@ -254,9 +254,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
         first = next(it, None)
         if first is None:
             return
-        from itertools import chain
-
-        name = f"{folder}/part-{shard:06d}.tok"
+        name = f"{folder}/part-{shard:06d}-{uuid.uuid4().hex[:12]}.tok"
         n, total = write_file(name, chain([first], it), enc.width)
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "path": pa.array([name]), "n_docs": pa.array([n], pa.int64()), "n_ids": pa.array([total], pa.int64())})
 
