@@ -45,6 +45,8 @@ MISS = 1e-7
 LEADER_ORDERS = 6
 #: Members of a large bucket per leader, and of a block of a bucket.
 GROUP, BLOCK = 16, 512
+#: Pairs that a task holds at a time.
+PAIRS = 8192
 #: Elements per set that the positional bound looks at, and counters of holders.
 RARE, SLOTS = 64, 1 << 18
 _NO_KEY = np.uint64(2**64 - 1)
@@ -235,8 +237,9 @@ def _across(open_: DataFrame, classes: DataFrame, threshold: float, percent: int
         else:
             first = group.column(3).to_numpy(zero_copy_only=False)
             left, right = np.flatnonzero(first), np.flatnonzero(~first)
-        for at in range(0, len(left), 64):
-            i, j = (x.ravel() for x in np.meshgrid(left[at : at + 64], right, indexing="ij"))
+        step = max(1, PAIRS // len(right)) if len(right) else len(left) or 1
+        for at in range(0, len(left), step):
+            i, j = (x.ravel() for x in np.meshgrid(left[at : at + step], right, indexing="ij"))
             fits = (root[i] != root[j]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
             if len(right) == len(left) and (right == left).all():
                 fits &= i < j

@@ -36,7 +36,7 @@ def prepare(spark: SparkSession) -> None:
     settings must hold until the result is read, so they stay; where the session has
     values of its own, those are left."""
     sc = spark.sparkContext
-    for name, default, value in (("maxBytesPerBatch", ("67108864b", "64MB"), "8m"), ("maxRecordsPerBatch", ("10000",), "4096")):
+    for name, default, value in (("maxBytesPerBatch", ("67108864b", "64MB"), "4m"), ("maxRecordsPerBatch", ("10000",), "2048")):
         name = f"spark.sql.execution.arrow.{name}"
         if spark.conf.get(name) in default:
             spark.conf.set(name, value)
