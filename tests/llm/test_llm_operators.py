@@ -298,11 +298,65 @@ def test_near_duplicates_against_brute_force(spark):
 
 
 def test_posterior_bound():
+    """The chance that a pair at exactly the threshold is dropped, summed over all looks.
+    MISS bounds P(Binomial(n + 1, t) <= m), and P(Binomial(n, t) <= m) is at most 1 / (1 - t) of that."""
+    from math import comb
+
     least = N.least_matches(0.8)
     assert len(least) == N.HASHES // N.BATCH and all(a < b for a, b in zip(least, least[1:]))
-    rng = np.random.default_rng(1)
-    m = np.cumsum(rng.random((20000, N.HASHES // N.BATCH, N.BATCH)).__lt__(0.8).sum(axis=2), axis=1)
-    assert ((m < np.array(least)).any(axis=1)).mean() <= 1e-3
+    looks = range(N.BATCH, N.HASHES + 1, N.BATCH)
+    missed = sum(sum(comb(n, m) * 0.8**m * 0.2 ** (n - m) for m in range(k)) for n, k in zip(looks, least))
+    assert missed <= len(least) * N.MISS / (1 - 0.8)
+
+
+def test_recall_near_the_threshold(spark):
+    """Pairs whose similarity is 0.80 to 0.86: all are found, none below 0.80 is linked."""
+    rng = random.Random(21)
+    texts, near = [], 0
+    for k in range(250):
+        base = [f"{rng.choice(WORDS)}{rng.randrange(1000)}" for _ in range(150)]
+        other = list(base)
+        for at in range(rng.choice((3, 4, 5))):
+            other[20 + 25 * at] = f"new{k}x{at}"
+        texts += [" ".join(base), " ".join(other)]
+    want = brute_components(texts, 4, 80)
+    for i in range(0, len(texts), 2):
+        near += want[i][1] == want[i + 1][1]
+    assert 80 < near < 250
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in N.near_duplicates(docs(spark, texts), words=4).collect()} == want
+
+
+def test_large_open_bucket(spark, monkeypatch):
+    """Many texts that share a bucket but are not linked, in blocks of a few; a text of a megabyte."""
+    monkeypatch.setattr(N, "BLOCK", 8)
+    monkeypatch.setattr(N, "PAIRS", 16)
+    rng = random.Random(22)
+    base = prose(rng, 60).split()
+    texts = []
+    for k in range(90):
+        w = list(base)
+        for _ in range(rng.choice((1, 2, 3))):
+            w[rng.randrange(len(w))] = f"k{k}x{rng.randrange(1000)}"
+        texts.append(" ".join(w))
+    long = " ".join(f"w{k}" for k in range(150_000))
+    texts += [long, long + " end"]
+    got = {r.doc_id: r.component_id for r in N.near_duplicates(docs(spark, texts), words=4).collect()}
+    want = brute_components(texts[:90], 4, 80)
+    assert {k: got[k] for k in range(90)} == {k: c for k, (_, c) in want.items()} and got[90] == got[91] == 90
+
+
+def test_one_of_each(spark):
+    """Rows that repeat an id: by text, not by id."""
+    rng = random.Random(23)
+    a, b, c = (prose(rng, 40) for _ in range(3))
+    rows = [(5, a), (9, a), (5, b), (3, b), (7, c), (7, c), (None, a), (1, None), (2, ""), (2, ""), (8, a + " x"), (3, b + " y"), (3, b)]
+    df = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, node string")
+    out = N.one_of_each(df)
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert out.columns == df.columns
+    left = [x for x in got if x[0] == 3]
+    assert len(left) == 1 and left[0][1] in (b, b + " y")
+    assert sorted((x for x in got if x[0] != 3), key=str) == sorted([(5, a), (7, c), (None, a), (1, None), (2, ""), (2, "")], key=str)
 
 
 # --- toxicity
@@ -331,6 +385,17 @@ def test_toxicity_held_out(spark):
     assert set(r.score for r in X.scored(d.limit(3), none).collect()) == {0.5}
 
 
+def test_toxicity_of_odd_rows(spark):
+    """Repeated rows, a null id, a text of megabytes, an empty table; what a model weighs is counted."""
+    model = X.fit([X.terms(b"vile word"), X.terms(b"nice word")] * 60, np.array([1.0, 0.0] * 60))
+    rows = [(1, "vile"), (1, "vile"), (None, "vile"), (2, "nice " * 600_000), (3, "unseen"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = X.scored(df, model, "s", "known").collect()
+    assert len(got) == 6 and len({r.s for r in got if r.text == "vile"}) == 1 and all(0 <= r.s <= 1 for r in got)
+    assert [r.known for r in sorted(got, key=str) if r.doc_id in (3, 4)] == [0, 0] and all(r.known for r in got if r.text == "vile")
+    assert X.scored(df.limit(0), model).count() == 0
+
+
 def test_pairs_are_learned():
     """A pair of words that is bad only together: linear weights cannot tell."""
     rng = np.random.default_rng(0)
@@ -422,6 +487,51 @@ def test_plan():
     assert check_plan({40: 3, 20: 3}, 60) == 3
 
 
+def test_plan_against_the_optimum():
+    """Small cases by trying all packings: never a bin more than one over, hardly ever that."""
+    rng = random.Random(24)
+
+    def optimum(sizes, capacity):
+        best = len(sizes)
+
+        def go(k, bins):
+            nonlocal best
+            if len(bins) >= best:
+                return
+            if k == len(sizes):
+                best = len(bins)
+                return
+            for i in {b: i for i, b in enumerate(bins)}.values():
+                if bins[i] + sizes[k] <= capacity:
+                    bins[i] += sizes[k]
+                    go(k + 1, bins)
+                    bins[i] -= sizes[k]
+            bins.append(sizes[k])
+            go(k + 1, bins)
+            bins.pop()
+
+        go(0, [])
+        return best
+
+    over = 0
+    for _ in range(200):
+        sizes = sorted((rng.randint(1, 30) for _ in range(rng.randint(1, 9))), reverse=True)
+        n, best = check_plan(Counter(sizes), 30), optimum(sizes, 30)
+        assert best <= n <= best + 1
+        over += n > best
+    assert over <= 4
+
+
+def test_repeated_ids_in_packing_and_files(spark):
+    from tracelight.llm import runtime as R
+
+    df = spark.createDataFrame([(1, "the end"), (1, "the end"), (1, "other"), (None, "a b"), (None, "a b")], "doc_id long, text string")
+    packed = K.pack(df, capacity=64).collect()
+    assert sum(r.length for r in packed) == sum(len(plain_ids(t)) for t in ("the end", "the end", "other", "a b", "a b"))
+    got = sorted(T.read_token_files(R.stored(T.write_token_files(df, R.shared_dir(spark, "tok")), "l")).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, None, 1, 1, 1] and [r.start for r in got[1:]] == list(np.cumsum([r.n_tokens for r in got])[:-1])
+
+
 def test_pack(spark):
     got = K.pack(docs(spark, TEXTS), capacity=64).collect()
     per = {}
@@ -474,6 +584,28 @@ def test_secret_spans(spark):
     assert S.redact(docs(spark, texts)).columns == docs(spark, texts).columns
 
 
+def test_base_spans_against_brute_force(spark):
+    """Random texts of the signs that matter, by patterns spelled out letter by letter."""
+    import re
+
+    names = ["password", "passwd", "secret", "token", "apikey", "api_key"]
+    either = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in n) for n in names)
+    assign = re.compile("(" + either + ")[\"']?[ ]*[:=][ ]*[\"']?([A-Za-z0-9+/_.=-]+)")
+    rng = random.Random(25)
+    parts = [*names, "Token", "SECRET", "ſecret", ":", "=", " ", "'", '"', "AKIA", "ABCDEFGHIJKLMNOP", "0123abcd", "deadbeef", "é", "\n", "x", "-", "hunter22"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(400)] + ["token=" + "a" * 2_000_000]
+    got = {r.doc_id: r for r in S.scan(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        spans = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 6]
+        spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        listed = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(spans))
+        r = got[i]
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == j for _, k, _ in spans) for j in range(3)], t
+        assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest() and set(filter(None, listed.split(","))) <= set(r.spans.split(",")), t
+    assert S.scan(docs(spark, [])).count() == 0 and S.redact(docs(spark, [])).count() == 0
+
+
 def test_secrets_in_other_writings():
     key, rng = rsa_key(), random.Random(15)
     number = lambda n: der(2, b"\1" + bytes(rng.randrange(256) for _ in range(n)))
