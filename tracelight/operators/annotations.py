@@ -130,6 +130,7 @@ def described(picked: DataFrame, prompts: DataFrame, by: list[str], models: list
     n_run = F.col("end_line") - F.col("start_line") + 1
     share = F.round(F.col("coverage") * 100).cast("int").cast("string")
     text = lambda c: F.col(c).cast("string")
+    # fixed values: the wording of titles and messages
     file_title = F.when(F.col("is_new_file"), F.concat(F.lit("New file ("), text("total_lines"), F.lit(" lines) generated by AI"))).otherwise(F.concat(share, F.lit("% AI-generated ("), text("ai_total"), F.lit(" of "), text("total_lines"), F.lit(" lines)")))
     made = F.concat(F.lit("AI Generated ("), _plural(n_run), F.lit(")"))
     mixed = F.concat(F.lit("AI Related ("), n_run.cast("string"), F.lit(" lines: "), text("ai_count"), F.lit(" AI, "), text("modified_count"), F.lit(" AI-modified)"))

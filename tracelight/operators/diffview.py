@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+#: Header lines of the unified format, and marks of added lines.
 FILE = r"^\+\+\+ b/(.+)$"
 HUNK = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@"
 
+AI_MARK, MOD_MARK = "  # AI", "  # AI-mod"
+
 
 def parse(diff: DataFrame, by: list[str]) -> DataFrame:
     """diff(by, n, text): adds path, kind and line_no, the line's number in the new file.
@@ -41,7 +44,7 @@ def annotated(diff: DataFrame, blame: DataFrame, by: list[str], verbose: bool =
 
 
 def mark(text: Column, kind: Column, edit_id: Column, similarity: Column, verbose: bool = False) -> Column:
-    ai, mod = F.lit("  # AI"), F.lit("  # AI-mod")
+    ai, mod = F.lit(AI_MARK), F.lit(MOD_MARK)
     if verbose:
         name = F.coalesce(F.concat(F.lit(": "), F.left(edit_id, F.lit(8))), F.lit(""))
         ai = F.concat(ai, name)

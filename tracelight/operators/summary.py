@@ -57,6 +57,7 @@ def markdown(summary: DataFrame, files: DataFrame, models: DataFrame | None = No
     share = lambda c: F.format_string("%.1f", percent(F.col(c), F.col("additions")))
     row = lambda name, c: F.concat(F.lit(f"| {name} | +"), n(c), F.lit(" | "), share(c), F.lit("% |"))
     head = summary.crossJoin(F.broadcast(files.agg(F.count("*").alias("n_files"))))  # two rows of one
+    # fixed values: the wording of the summary, line by line
     text = [
         F.concat(F.lit("## "), markdown_tier(p), F.lit(" AI Attribution Summary")), "",
         F.concat(F.lit("This PR adds **+"), n("additions"), F.lit("** lines with AI attribution across **"), n("n_files"), F.lit("** files.")), "", "### Additions Breakdown", "",
