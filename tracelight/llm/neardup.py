@@ -384,7 +384,7 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     tried = R.stored(_pruned(first, near, threshold, percent), "pairs")
     links = _verified(tried, sets, percent)
     R.discard(tried)
-    roots = R.stored(components(links), "roots")
+    roots = components(links)
     # buckets in which several components remain: all pairs across components
     at = members.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     several = at.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
@@ -396,7 +396,7 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
         tried = R.stored(_across(at, rare, threshold, percent), "pairs")
         more = _verified(tried, sets, percent)
         if more.head(1):
-            again = R.stored(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "roots")
+            again = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
             R.discard(roots)
             roots = again
         for x in (rare, tried, more):
