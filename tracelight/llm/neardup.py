@@ -274,7 +274,7 @@ def _across(open_: DataFrame, classes: DataFrame, threshold: float, percent: int
 def _sets(owners: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """node, elements (the sorted hashes) of owners(node, doc_id, digest), built again
     from one document of each."""
-    named = R.stored(owners.select("doc_id", "digest", "node"), "named")
+    named = R.stored(owners.select("doc_id", "digest", "node"), "named", of=(owners,))
 
     def build(batches):
         done = set()
@@ -350,7 +350,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep)], names=["a", "b"])
 
     both = pairs.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b").select("a", "b", "xa", "xb")
-    return R.stored(both.mapInArrow(compare, "a long, b long"), "links")
+    return R.stored(both.mapInArrow(compare, "a long, b long"), "links", of=(pairs, sets))
 
 
 def _grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -363,37 +363,37 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     sigs = R.stored(signatures(R.spread(docs), words), "signatures")
     # one row per class; copies meet where they are before anything is moved
     classes = sigs.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    classes = R.stored(classes, "classes")
-    rows = R.stored(sigs.select("doc_id", "text_hash", "n_shingles", "digest"), "rows")
+    classes = R.stored(classes, "classes", of=(sigs,))
+    rows = R.stored(sigs.select("doc_id", "text_hash", "n_shingles", "digest"), "rows", of=(sigs,))
     R.discard(sigs)
     bands = classes.select("node", F.posexplode("bands").alias("band", "bucket"))
-    shared = R.stored(bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    shared = R.stored(bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets", of=(classes,))
     # large buckets fall into random groups, others in every band, and each group has a leader
     group = F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("n") / GROUP)).alias("group")
-    members = R.stored(bands.join(shared, "bucket").select("bucket", group, (F.col("band") % LEADER_ORDERS).alias("part"), "node"), "members")
+    members = R.stored(bands.join(shared, "bucket").select("bucket", group, (F.col("band") % LEADER_ORDERS).alias("part"), "node"), "members", of=(classes,))
     R.discard(shared)
     # from here on only classes that share a bucket
     met = members.select("node").distinct()
-    near = R.stored(classes.select("node", "doc_id", "digest", "n_shingles", "sig").join(met, "node", "left_semi"), "near")
-    owners = R.stored(classes.select("node", "digest", "doc_id", "copies"), "owners")
+    near = R.stored(classes.select("node", "doc_id", "digest", "n_shingles", "sig").join(met, "node", "left_semi"), "near", of=(classes,))
+    owners = R.stored(classes.select("node", "digest", "doc_id", "copies"), "owners", of=(classes,))
     R.discard(classes)
     sets = _sets(near, docs, words)
     lead = members.groupBy("bucket", "group").agg(F.min(F.struct(F.xxhash64("node", "bucket").alias("h"), F.col("node").alias("node"))).alias("lead"))
     first = members.join(lead, ["bucket", "group"]).where("node <> lead.node").groupBy("node", "part").agg(F.min("lead").alias("lead"))
     first = first.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
-    tried = R.stored(_pruned(first, near, threshold, percent), "pairs")
+    tried = R.stored(_pruned(first, near, threshold, percent), "pairs", of=(near, members))
     links = _verified(tried, sets, percent)
     R.discard(tried)
     roots = components(links)
     # buckets in which several components remain: all pairs across components
     at = members.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     several = at.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
-    at = R.stored(at.join(several, "bucket", "left_semi"), "open")
+    at = R.stored(at.join(several, "bucket", "left_semi"), "open", of=(members,))
     R.discard(members)
     if at.head(1):
         looked = at.select("node").distinct()
-        rare = R.stored(near.join(_rare(sets.join(looked, "node", "left_semi")), "node").select("node", "n_shingles", "sig", "rare"), "rare")
-        tried = R.stored(_across(at, rare, threshold, percent), "pairs")
+        rare = R.stored(near.join(_rare(sets.join(looked, "node", "left_semi")), "node").select("node", "n_shingles", "sig", "rare"), "rare", of=(near, sets))
+        tried = R.stored(_across(at, rare, threshold, percent), "pairs", of=(at, rare))
         more = _verified(tried, sets, percent)
         if more.head(1):
             again = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
@@ -407,7 +407,7 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     rooted = owners.join(roots, "node", "left").select("digest", "doc_id", "copies", F.coalesce("root", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = rooted.join(smallest, "root").where("copies > 1 or doc_id <> component_id").select("digest", "component_id")
-    named = R.stored(named, "named")
+    named = R.stored(named, "named", of=(owners,))
     R.discard(owners)
     R.discard(roots)
     return rows, named
@@ -427,13 +427,11 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     doc_id or without words belong to no group and stay; other rows that repeat doc_id
     and text are one document, of which one row stays."""
     rows, named = _grouped(docs, words, percent)
-    spark = docs.sparkSession
-    rows = rows.where("doc_id is not null and digest is not null")
-    own = rows.join(named, "digest", "left").select("doc_id", "text_hash", F.coalesce("component_id", "doc_id").alias("component_id"))
-    gone = R.stored(own.where("doc_id <> component_id").select("doc_id", "text_hash").distinct(), "gone")
+    own = rows.where("doc_id is not null and digest is not null").join(named, "digest", "left").select("doc_id", "text_hash", F.coalesce("component_id", "doc_id").alias("component_id"))
+    gone = R.stored(own.where("doc_id <> component_id").select("doc_id", "text_hash").distinct(), "gone", of=(rows, named))
     # only rows that repeat a doc_id can leave two heads to a group; hot ids are combined before they are moved
     heads = own.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("text_hash").alias("text_hash")).where("n > 1")
-    heads = R.stored(heads.select("doc_id", "text_hash"), "heads")
+    heads = R.stored(heads.select("doc_id", "text_hash"), "heads", of=(rows, named))
     R.discard(rows)
     key = F.xxhash64(F.col("text").cast("string"))
     sent = lambda df: F.broadcast(df) if df.count() <= FEW else df

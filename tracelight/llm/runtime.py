@@ -67,10 +67,23 @@ def _shuffles_dropped(spark: SparkSession):
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+#: Bytes of stored tables up to which what is made of them goes to few files.
+SMALL = 64 << 20
+
+
+def _bytes(df: DataFrame) -> int:
+    """Bytes of the files of a table that stored() wrote."""
+    p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._tracelight_path)
+    return int(p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(p).getLength())
+
+
+def stored(df: DataFrame, name: str, codec: str = "zstd", of: tuple = ()) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, and a
-    lost executor costs no recomputation."""
+    lost executor costs no recomputation. of: the stored tables that df is made of; if they
+    are small together, df takes as many files as there are cores, not one a partition."""
     spark = df.sparkSession
+    if of and sum(map(_bytes, of)) <= SMALL:
+        df = df.coalesce(max(1, spark.sparkContext.defaultParallelism))
     path = shared_dir(spark, name)
     with _shuffles_dropped(spark):
         df.write.option("compression", codec).parquet(path)
