@@ -1,5 +1,6 @@
 """Training-data operators: decontamination, media, archives, near-duplicates,
-toxicity, token files, packing, secrets, licences and language-model scores.
+toxicity, token files, packing, secrets, licences, language-model scores, periodic
+runs, manifests and URL filters.
 
 Nothing outside this subpackage imports it.
 """

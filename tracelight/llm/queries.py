@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, lm, media, neardup, packing, secrets, tokens, toxicity, warc
+from . import decontaminate, licenses, lm, manifest, media, neardup, packing, runs, secrets, tokens, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_secrets": secrets.query,
     "op9_licenses": licenses.query,
     "op10_suffix_tree": lm.query,
+    "op11_periodic_runs": runs.query,
+    "op12_manifest": manifest.query,
+    "op13_url_filter": urlfilter.query,
 }
 
 ORACLES = {
@@ -22,4 +25,6 @@ ORACLES = {
     "op3_warc": warc.ORACLE,
     "op4_neardup": neardup.ORACLE,
     "op9_licenses": licenses.ORACLE,
+    "op12_manifest": manifest.ORACLE,
+    "op13_url_filter": urlfilter.ORACLE,
 }
