@@ -53,7 +53,7 @@ def split_lines(text: str) -> list[str]:
     return [p[:-1] if k < ended and p.endswith("\r") else p for k, p in enumerate(parts)]
 
 
-def _tokens(text: str) -> list[str]:
+def line_tokens(text: str) -> list[str]:
     return re.findall(r"[^\n]*\n|[^\n]+\Z", text)
 
 
@@ -110,7 +110,7 @@ def _middle(x, y, a0, a1, b0, b1):
 
 
 def map_lines(source: str, target: str) -> list[tuple[int, int]]:
-    return align(_tokens(source), _tokens(target))
+    return align(line_tokens(source), line_tokens(target))
 
 
 # --- position-aware attribution of one file --------------------------------
@@ -294,7 +294,7 @@ def three_way(files: DataFrame, by: list[str], threshold: float = THRESHOLD) ->
 def hunks(old: str, new: str) -> tuple[list[tuple[int, int, list[str]]], int, int]:
     """Inserted runs (start, count, lines) of the new text, lines added and removed.
     Deletions inside a run do not split it, equal lines do."""
-    a, b = _tokens(old), _tokens(new)
+    a, b = line_tokens(old), line_tokens(new)
     same = align(a, b)
     kept = {j for _, j in same}
     out: list[tuple[int, int, list[str]]] = []

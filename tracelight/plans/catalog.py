@@ -10,25 +10,7 @@ from ..operators import annotations, attribution, attribution_counts as AC, audi
 from ..sources import projection as P, readers, sinks
 from ..streaming import capture
 from . import sql as Q
-from .package import ship
-
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def op(name: str, oracle: str | None = None):
-    def add(f):
-        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship(spark)
-            return f(spark, sf_dir)
-
-        QUERIES[name] = query
-        if oracle is not None:
-            ORACLES[name] = oracle
-        return f
-
-    return add
-
+from .registry import ORACLES, QUERIES, op  # noqa: F401
 
 def _files(spark, d):
     return AC.note_files(P.note_lines(spark, d))

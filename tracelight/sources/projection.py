@@ -82,3 +82,29 @@ def file_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     keep = F.filter("l", lambda x, i: i % 3 != 1)
     final = F.transform("l", lambda x, i: F.when(i % 11 == 10, F.concat(F.lit("human "), i.cast("string"))).when(i % 7 == 6, F.concat(x, F.lit(" !"))).otherwise(x))
     return d.select("path", F.array_join(keep, "\n").alias("original"), F.array_join("l", "\n").alias("ai"), F.array_join(final, "\n").alias("final"))
+
+
+def histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, seq, commit_key, content: orders are versions of 200 files, and each brings a
+    line per line item, which stands in the four versions after it as well but for a
+    fourth of them, at random; some come back."""
+    from pyspark.sql import Window as W
+
+    v = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("commit_key"), F.concat(F.lit("src/h"), (F.col("o_custkey") % 200).cast("string")).alias("path"))
+    v = v.withColumn("seq", (F.row_number().over(W.partitionBy("path").orderBy("commit_key")) - 1).cast("long"))
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("commit_key"), F.col("l_linenumber").cast("long").alias("ln")).distinct()
+    age = F.explode(F.array(*[F.lit(k) for k in range(5)]))
+    rows = v.join(li, "commit_key").select("path", F.col("seq").alias("oseq"), "ln", age.alias("age")).where((F.col("age") == 0) | ((F.col("ln") + 2 * F.col("oseq") + F.col("age")) % 4 != 0))
+    texts = rows.groupBy("path", (F.col("oseq") + F.col("age")).alias("seq")).agg(F.array_sort(F.collect_list(F.struct("oseq", "ln"))).alias("lines"))
+    text = F.array_join(F.transform("lines", lambda x: F.concat(F.lit("line "), x["oseq"].cast("string"), F.lit(":"), x["ln"].cast("string"), F.lit("\n"))), "")
+    return v.join(texts, ["path", "seq"], "left").select("path", "seq", "commit_key", F.coalesce(text, F.lit("")).alias("content"))
+
+
+def moved_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Snapshots (commit_key, path, content) before and after commits of 40 documents: most
+    files are moved, every fifth stays where it is, and of these every seventh is written anew."""
+    d = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 40).cast("long").alias("commit_key"), "doc_id", "text")
+    kept = F.array_join(F.filter(lines(F.col("text")), lambda x, i: i % 3 != 1), "\n")
+    path = lambda folder: F.concat(F.when(F.col("doc_id") % 5 == 0, "doc/").otherwise(folder), F.col("doc_id").cast("string"))
+    old = F.when(F.col("doc_id") % 35 == 0, F.concat(F.lit("written anew "), F.col("doc_id").cast("string"))).when(F.col("doc_id") % 7 == 0, F.col("text")).otherwise(kept)
+    return d.select("commit_key", path("old/").alias("path"), old.alias("content")), d.select("commit_key", path("new/").alias("path"), F.col("text").alias("content"))
