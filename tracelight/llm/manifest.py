@@ -139,6 +139,7 @@ def placed(rows: DataFrame, low: int, high: int, total: int) -> DataFrame:
         bucket = F.coalesce(F.shiftright("doc_id", shift), F.lit((low >> shift) - 1)).cast("long")
         counts = R.stored(rows.groupBy("g", bucket.alias("bucket"), part.alias("part")).agg(F.sum("n").alias("n"), F.count("*").alias("rows")), "counts")
         buckets, most = counts.agg(F.count("*"), F.max("rows")).first()
+        most = most or 0
         if most <= MOST or shift == 0:
             break
         shift = max(0, shift - STEP)
@@ -291,7 +292,7 @@ def _oracle() -> str:
     commit = lambda cs: "sha256(" + " || ".join(map(field, cs)) + ")"
     low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     half = lambda c, x: f"xor({c} >> 4, list_extract(t, CAST(xor({c}, {x}) & 15 AS BIGINT) + 1))"
-    crc = f"list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: {half(half('c', 'b'), '(b >> 4)')})"
+    crc = f"list_reduce(list_prepend(4294967295::BIGINT, list_transform(list_filter(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda x: x <> ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: {half(half('c', 'b'), '(b >> 4)')})"
     ctes = [
         f"crc AS (SELECT doc_id AS id, xor({crc}, 4294967295::BIGINT) AS h FROM documents, (SELECT [{', '.join(map(str, _CRC))}]::BIGINT[] AS t))",
         f"l0 AS (SELECT d.doc_id, lang, {commit(COMMITTED)} AS leaf, CASE WHEN h % 3 = 0 THEN {commit([low if c == 'text' else c for c in COMMITTED])} ELSE {commit(COMMITTED)} END AS changed FROM documents d JOIN (SELECT DISTINCT id, h FROM crc) c ON c.id IS NOT DISTINCT FROM d.doc_id)",
