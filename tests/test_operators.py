@@ -129,23 +129,6 @@ def test_history(spark):
     assert HI.pending_totals(HI.file_edits(df, ["repo"]), ["repo"]).first()[1:] == (4, 2, 2)
 
 
-EVENTS = [
-    ("r", 1, "edit", "s1", False, "f", "p1", None, "a\n", None), ("r", 2, "edit", "s1", False, "g", "p1", "old", "new", None), ("r", 3, "edit", "s1", False, "f", "p2", None, "a\nb\n", None),
-    ("r", 4, "commit", None, None, '["f"]', None, None, None, "c1"), ("r", 5, "edit", "s2", True, "h", "p3", None, "z", None), ("r", 6, "commit", None, None, '["h","g"]', None, None, None, "c2"),
-]
-
-
-def test_capture_batch_and_stream(spark, tmp_path):
-    df = spark.createDataFrame(EVENTS, capture.EVENT)
-    batch = sorted(map(tuple, capture.capture_batch(df).collect()), key=str)
-    assert sorted((str(r[1]), r[2], r[-1]) for r in batch) == [("None", "g", True), ("c1", "f", False), ("c1", "f", False), ("c2", "h", False)]
-    src, out = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
-    for k in range(0, 6, 2):
-        spark.createDataFrame(EVENTS[k : k + 2], capture.EVENT).coalesce(1).write.mode("append").json(src)
-        capture.run_once(spark, src, out, f"file://{tmp_path}/cp")
-    assert sorted(map(tuple, spark.read.parquet(out).collect()), key=str) == batch
-
-
 def test_paired_snapshots(spark, tmp_path):
     from datetime import datetime, timedelta
 

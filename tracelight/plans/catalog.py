@@ -809,15 +809,37 @@ def _(spark, d):
 # --- capture as a stream -----------------------------------------------------
 
 
-@op("Z4_capture_replay")
+_REPLAY = f"""{_EDITS}, ed AS (SELECT *, 's' || seq // 400 AS session_id FROM edits WHERE seq % 11 <> 10), co AS (SELECT repo, seq FROM edits WHERE seq % 11 = 10),
+e AS (SELECT ed.*, CASE WHEN path IN ('f1', 'f3', 'f5') THEN (SELECT min(co.seq) FROM co WHERE co.repo = ed.repo AND co.seq > ed.seq) END AS taken FROM ed),
+n AS (SELECT e.*, coalesce(lead(session_id) OVER w, session_id) <> session_id AS last_one, seq AS s FROM e WINDOW w AS (PARTITION BY repo ORDER BY seq)),
+d AS (SELECT n.*, (SELECT min(x.seq) FROM ed x WHERE x.repo = n.repo AND x.seq > n.seq AND x.session_id <> n.session_id) AS dropped FROM n),
+g AS (SELECT *, taken IS NULL OR coalesce(dropped < taken, FALSE) AS discarded, CASE WHEN taken IS NULL OR coalesce(dropped < taken, FALSE) THEN dropped ELSE taken END AS ends FROM d),
+r AS (SELECT * FROM g WHERE ends IS NOT NULL)"""
+
+
+@op("Z4_capture_replay", f"""WITH {_REPLAY} SELECT CAST(repo AS VARCHAR) AS repo, CASE WHEN NOT discarded THEN 'c' || ends END AS commit_id, session_id, path, CASE WHEN NOT discarded THEN CASE WHEN path = 'f5' THEN 'g5' ELSE path END END AS committed_path,
+row_number() OVER w AS edit_no, prompt, coalesce(lag(new_content) OVER w, old_content, '') AS before, new_content AS after, first_value(old_content) OVER w IS NULL AS was_new_file, discarded FROM r WINDOW w AS (PARTITION BY repo, path, ends ORDER BY seq)""")
 def _(spark, d):
+    """Sessions of their own every 400 events, a commit every eleventh, which renames a file."""
+    out = capture.capture_batch(_capture_events(spark, d))
+    return out.drop("edit_id", "prompt_index", "plan_mode", "agent_depth")
+
+
+@op("W3_session_prompts")
+def _(spark, d):
+    """The numbers that prompts have in notes: they restart with commits and sessions."""
+    return capture.capture_batch(_capture_events(spark, d)).select("repo", "commit_id", "path", "edit_no", "edit_id", "prompt_index", "prompt")
+
+
+def _capture_events(spark, d):
     e = _edits(spark, d)
     every = F.col("seq") % 11 == 10
-    rows = e.select(
-        F.col("repo").cast("string").alias("repo"), "seq", F.when(every, "commit").otherwise("edit").alias("kind"), F.lit("s1").alias("session_id"), F.lit(False).alias("session_explicit"),
-        F.when(every, F.lit('["f1","f3","f5"]')).otherwise(F.col("path")).alias("file_path"), "prompt", "old_content", "new_content", F.concat(F.lit("c"), F.col("seq").cast("string")).alias("commit_id"),
+    no = F.lit(None)
+    return e.select(
+        F.col("repo").cast("string").alias("repo"), "seq", F.when(every, "commit").otherwise("edit").alias("kind"), F.concat(F.lit("s"), F.floor(F.col("seq") / 400).cast("string")).alias("session_id"), F.lit(True).alias("session_explicit"),
+        F.when(~every, F.col("path")).alias("file_path"), "prompt", "old_content", F.lit(False).alias("old_content_present"), "new_content", no.cast("string").alias("timestamp"), F.lit(False).alias("plan_mode"), F.lit(0).cast("long").alias("agent_depth"),
+        F.concat(F.lit("c"), F.col("seq").cast("string")).alias("commit_id"), F.when(every, F.array(F.lit("f1"), F.lit("f3"), F.lit("g5"))).alias("changed"), F.when(every, F.create_map(F.lit("f5"), F.lit("g5"))).alias("renames"),
     )
-    return capture.capture_batch(rows)
 
 
 @op("Z7_paired_snapshots", """WITH e AS (SELECT CAST(user_id % 50 AS VARCHAR) AS k, 'p' AS path, ts, 0 AS turn, CASE WHEN event_id % 4 > 0 THEN props END AS content FROM events WHERE event_type = 'click' UNION ALL SELECT CAST(user_id % 50 AS VARCHAR), 'f' || (user_id % 9), ts, 1, event_type FROM events WHERE event_type IN ('view', 'purchase')),
