@@ -61,14 +61,29 @@ def line_groups(lines: DataFrame, by: list[str], ai_only: bool = False, group_ty
     return runs.where(F.col("end_line") - F.col("start_line") + 1 >= min_lines).select(*by, "group_type", "start_line", "end_line", "ai_count", "modified_count", F.col("p.prompt_index").alias("prompt_index"))
 
 
+#: Lines of a block that overlaps are looked for in.
+BLOCK = 256
+
+
+def _blocks(df: DataFrame, start: str, end: str) -> DataFrame:
+    """A row for every block of lines that an interval stands in."""
+    return df.where(F.col(start) <= F.col(end)).withColumn("_block", F.explode(F.sequence(F.floor(F.col(start) / BLOCK), F.floor(F.col(end) / BLOCK))))
+
+
 def in_ranges(groups: DataFrame, ranges: DataFrame, by: list[str]) -> DataFrame:
-    """Runs that overlap a changed range of their file: an equi-join with a range test."""
-    g, r = groups.alias("g"), ranges.alias("r")
-    on = [F.col(f"g.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by] + [F.col("g.start_line") <= F.col("r.range_end"), F.col("g.end_line") >= F.col("r.range_start")]
-    test = on[0]
-    for c in on[1:]:
-        test = test & c
-    return g.join(r, test, "left_semi")
+    """Runs that overlap a changed range of their file. Runs and ranges meet in the blocks of
+    lines that they stand in, so a file of very many of both is spread, and few are compared;
+    a null key is equal to another."""
+    spans = ["start_line", "end_line"]
+    g, r = _blocks(groups.select(*by, *spans).distinct(), *spans).alias("g"), _blocks(ranges.select(*by, "range_start", "range_end").distinct(), "range_start", "range_end").alias("r")
+    test = (F.col("g._block") == F.col("r._block")) & (F.col("g.start_line") <= F.col("r.range_end")) & (F.col("g.end_line") >= F.col("r.range_start"))
+    for c in by:
+        test = test & F.col(f"g.{c}").eqNullSafe(F.col(f"r.{c}"))
+    hit = g.join(r, test, "left_semi").select(*by, *spans).distinct().alias("h")
+    same = F.lit(True)
+    for c in [*by, *spans]:
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"h.{c}"))
+    return groups.alias("a").join(hit, same, "left_semi")
 
 
 def in_diff(groups: DataFrame, ranges: DataFrame, by: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..schemas import AUDIT, AUDIT_EVENTS, AUDIT_FIELDS
+from .scan import Scan
 
 #: The keys of an event in the order in which they are hashed.
 HASHED = ("commit", "commit_count", "event", "field", "format", "pattern_name", "prev_hash", "reason", "redaction_count", "timestamp", "user")
@@ -36,9 +37,12 @@ def verify_chain(log: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Per log (or group of `by`): whether the chain holds, and the first bad seq.
     The first event has no prev_hash; every later one names its predecessor's; a
     stored hash must equal the recomputed one, and rows without one skip that test."""
-    by = by or []
-    w = W.partitionBy(*by).orderBy("seq") if by else W.partitionBy(F.lit(1)).orderBy("seq")
-    rows = log.withColumn("_before", F.lag("event_hash").over(w)).withColumn("_first", F.row_number().over(w) == 1).withColumn("_own", event_hash(log))
+    if by:
+        w = W.partitionBy(*by).orderBy("seq")
+        rows = log.withColumn("_own", event_hash(log)).withColumn("_before", F.lag("event_hash").over(w)).withColumn("_first", F.row_number().over(w) == 1)
+    else:  # one log of any length: its parts are scanned side by side
+        by = []
+        rows = Scan(log.withColumn("_own", event_hash(log)), [], ["seq"]).lag("_before", F.col("event_hash")).lag("_there", F.lit(True)).result().withColumn("_first", F.col("_there").isNull())
     linked = F.when(F.col("_first"), F.col("prev_hash").isNull()).otherwise(F.col("prev_hash").eqNullSafe(F.col("_before")))
     good = linked & (F.col("event_hash").isNull() | (F.col("event_hash") == F.col("_own")))
     return rows.groupBy(*by).agg(F.coalesce(F.bool_and(good), F.lit(True)).alias("valid"), F.min(F.when(~good, F.col("seq"))).alias("first_bad"), F.count("*").alias("events"))
@@ -81,3 +85,26 @@ def event(spark, kind: str, timestamp: str, **details) -> DataFrame:
     if unknown:
         raise ValueError(f"unknown details: {sorted(unknown)}")
     return spark.createDataFrame([tuple({"timestamp": timestamp, "event": kind, **details}.get(n) for n in AUDIT_FIELDS)], AUDIT)
+
+
+def deleted(spark, timestamp: str, commit: str, reason: str, user: str | None = None) -> DataFrame:
+    return event(spark, "delete", timestamp, commit=commit, reason=reason, user=user)
+
+
+def exported(spark, timestamp: str, format: str, commit_count: int, user: str | None = None) -> DataFrame:
+    return event(spark, "export", timestamp, format=format, commit_count=commit_count, user=user)
+
+
+def retention_applied(spark, timestamp: str, commit_count: int, reason: str, user: str | None = None) -> DataFrame:
+    return event(spark, "retention_apply", timestamp, commit_count=commit_count, reason=reason, user=user)
+
+
+def config_changed(spark, timestamp: str, field: str, reason: str, user: str | None = None) -> DataFrame:
+    return event(spark, "config_change", timestamp, field=field, reason=reason, user=user)
+
+
+def redactions(counts: DataFrame, timestamp: str) -> DataFrame:
+    """counts(pattern_name, n): an event per pattern, of no user."""
+    none = lambda c: F.lit(None).cast("bigint" if c.endswith("count") else "string").alias(c)
+    known = {"timestamp": F.lit(timestamp), "event": F.lit("redaction"), "pattern_name": F.col("pattern_name"), "redaction_count": F.col("n")}
+    return counts.select(*[known[c].alias(c) if c in known else none(c) for c in AUDIT_FIELDS])

@@ -6,21 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas as S
 from ..functions.text import lines
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+from . import auditlog
 
 
 def audit_log(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines; blank lines are skipped, a malformed one fails the read, a missing
-    file is an empty log. seq is the line's place within its file."""
-    if not _exists(spark, path):
-        return spark.createDataFrame([], S.AUDIT + ", seq bigint")
-    raw = spark.read.text(path).where(F.trim("value") != "").withColumn("seq", F.monotonically_increasing_id())
-    parsed = raw.select(F.from_json("value", S.AUDIT, {"mode": "FAILFAST"}).alias("e"), "seq")
-    return parsed.select("e.*", "seq")
+    """Audit events in the order in which they were appended; see `auditlog`."""
+    return auditlog.read(spark, path)
 
 
 def notes(raw: DataFrame, strict: bool = True) -> DataFrame:

@@ -6,10 +6,12 @@ import json
 
 from pyspark.sql import DataFrame, functions as F
 
+from . import auditlog
 
-def append_audit(events: DataFrame, path: str) -> None:
-    """Appends JSON lines; null details are left out. Order within a batch is seq."""
-    events.orderBy("seq").drop("seq").coalesce(1).write.mode("append").json(path)
+
+def append_audit(events: DataFrame, path: str, chain: bool = False) -> None:
+    """Appends events in the order of seq; see `auditlog`."""
+    auditlog.append(events, path, chain)
 
 
 def write_export_csv(rows: DataFrame, path: str) -> None:
