@@ -18,6 +18,7 @@ QUERIES = {
     "op11_periodic_runs": runs.query,
     "op12_manifest": manifest.query,
     "op13_url_filter": urlfilter.query,
+    "base_secret_spans": secrets.base_query,
 }
 
 ORACLES = {
@@ -27,4 +28,5 @@ ORACLES = {
     "op9_licenses": licenses.ORACLE,
     "op12_manifest": manifest.ORACLE,
     "op13_url_filter": urlfilter.ORACLE,
+    "base_secret_spans": secrets.BASE_ORACLE,
 }
