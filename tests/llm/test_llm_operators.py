@@ -64,15 +64,39 @@ def test_decontamination_against_brute_force(spark):
 
 def test_decontamination_in_blocks(spark, monkeypatch):
     rng = random.Random(2)
-    items = [(k, prose(rng, 12)) for k in range(30)]
-    texts = [prose(rng, 20) + " " + " ".join(t for _, t in rng.sample(items, 3)) for _ in range(10)]
+    items = [(k, prose(rng, 12)) for k in range(30)] + [(50, prose(rng, 90)), (51, None), (52, "ter")]
+    texts = [prose(rng, 20) + " " + " ".join(t or "" for _, t in rng.sample(items, 3)) for _ in range(10)]
+    texts += [items[30][1], None, "xx ter", prose(rng, 5) + " " + " ".join(items[30][1].split()[k : k + 10]) if (k := 37) else ""]
     bench = spark.createDataFrame(items, "item_id long, text string")
     one = sorted(map(str, D.contamination(docs(spark, texts), bench).withColumn("n", D.hit_count(F.col("hit_words"))).select("doc_id", "n_words", "n", "item_ids").collect()))
-    monkeypatch.setattr(D, "BLOCK_BYTES", 1000)
+    monkeypatch.setattr(D, "NODES", 800)
     many = sorted(map(str, D.contamination(docs(spark, texts), bench).withColumn("n", D.hit_count(F.col("hit_words"))).select("doc_id", "n_words", "n", "item_ids").collect()))
     assert one == many
 
 
+def test_memory_of_a_full_block():
+    """The automaton of as many windows as a block has, in a process of its own."""
+    import subprocess
+    import sys
+
+    code = """
+import random
+from tracelight.llm import decontaminate as D
+anon = lambda: int([l for l in open('/proc/self/smaps_rollup') if l.startswith('Pss_Anon')][0].split()[1]) / 1024
+rng = random.Random(1)
+words = [('w%d' % rng.randrange(40_000)).encode() for _ in range(D.NODES // 20 + 9)]
+D._Windows([(1, b'warm up')])
+before = anon()
+made = D._Windows([(k, b' '.join(words[k : k + 1009])) for k in range(0, len(words) - 9, 1000)])
+assert made.automaton.get_stats()['nodes_count'] <= D.NODES + 1
+text = words[:500] + [b'none'] * 5 + words[700:709]
+assert D.scan(made, text)[0] == [(0, 500)]
+print(anon() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout
+    assert float(out) < 200
+
+
 # --- media
 
 
@@ -872,6 +896,6 @@ def test_clean_rows(spark, monkeypatch):
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = {0, 1} | {k + 2 for k in range(30) if k % 3}
     assert {r.doc_id for r in D.clean(docs(spark, texts), bench).collect()} == want
-    monkeypatch.setattr(D, "BLOCK_BYTES", 1000)
+    monkeypatch.setattr(D, "NODES", 800)
     got = D.clean(docs(spark, texts), bench)
     assert {r.doc_id for r in got.collect()} == want and got.columns == docs(spark, []).columns

@@ -4,6 +4,11 @@ Windows of consecutive item words are the patterns. A text is normalised once
 (A-Z lowered, runs of other ASCII signs to one blank), scanned once, and every
 occurrence is mapped back to word numbers and to code points of the original.
 
+The automaton reads two symbols a word, the digits of its number among the words of the items,
+from two alphabets, so that it is never out of step; words of no item are one symbol of no
+pattern. It has at most NODES nodes, of some 45 bytes each: items that would make more go in
+blocks, and long items in parts that overlap by a window.
+
 Nulls and empty texts have no words, hits or items. Items without words give no
 window. Repeated rows are treated row by row; equal windows of several items
 count for each of them. Extra columns are ignored. An empty benchmark leaves
@@ -14,8 +19,8 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 import re
-from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -23,8 +28,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import runtime as R
 
 WINDOW = 10
-#: Bytes of benchmark text that one automaton takes; more text goes in blocks, one scan each.
-BLOCK_BYTES = 8 << 20
+#: Nodes of one automaton at most; 2 million take about 100 MB.
+NODES = 2_000_000
+_SYMBOLS = 2
+_UNKNOWN = "\0" * _SYMBOLS
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -32,47 +39,56 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(R.WORD_BYTES).split()
 
 
-def windows_of(words: list[bytes], n: int = WINDOW) -> set[bytes]:
-    return {b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
-
+def _spelling(words: set[bytes]) -> dict[bytes, str]:
+    """Two signs for every word: digits of its number, each place with signs of its own."""
+    base = max(2, math.isqrt(len(words)) + 1)
+    return {w: chr(1 + k // base) + chr(1 + base + k % base) for k, w in enumerate(sorted(words))}
+
+
+class _Windows:
+    """The automaton of some items and the spelling of their words."""
+
+    def __init__(self, items):
+        import ahocorasick
+
+        listed = [(item, words_of(text)) for item, text in items]
+        self.spelling = _spelling({w for _, words in listed for w in words})
+        owners: dict[str, set] = {}
+        for item, words in listed:
+            spelled = [self.spelling[w] for w in words]
+            for k in range(max(1, len(words) - WINDOW + 1) if words else 0):
+                owners.setdefault("".join(spelled[k : k + WINDOW]), set()).add(item)
+        self.automaton = ahocorasick.Automaton()
+        same: dict[tuple, tuple] = {}
+        for w, ids in owners.items():
+            value = (len(w) // _SYMBOLS, tuple(sorted(ids)))
+            self.automaton.add_word(w, same.setdefault(value, value))
+        if owners:
+            self.automaton.make_automaton()
+        else:
+            self.automaton = None
 
-@functools.lru_cache(maxsize=2)
-def _automaton(key: str, items: tuple):
-    import ahocorasick
 
-    owners: dict[bytes, set] = {}
-    for item, text in items:
-        for w in windows_of(words_of(text)):
-            owners.setdefault(w, set()).add(item)
-    a = ahocorasick.Automaton()
-    for w, ids in owners.items():
-        a.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, tuple(sorted(ids))))
-    if owners:
-        a.make_automaton()
-    return a if owners else None
+@functools.lru_cache(maxsize=1)
+def _automaton(key: str, items: tuple) -> _Windows:
+    return _Windows(items)
 
 
-def scan(automaton, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+def scan(windows: _Windows, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
     """Merged runs of hit words (first, end) and the items that occur."""
-    if automaton is None or not words:
+    if windows.automaton is None or not words:
         return [], set()
-    text = f" {b' '.join(words).decode('latin-1')} "
+    get = windows.spelling.get
     found, items = [], set()
-    for end, (n, ids) in automaton.iter(text):
-        found.append((end, n))
+    for last, (n, ids) in windows.automaton.iter("".join([get(w, _UNKNOWN) for w in words])):
+        found.append(((last + 1) // _SYMBOLS - n, (last + 1) // _SYMBOLS))
         items.update(ids)
-    if not found:
-        return [], items
-    ends, at = [], 0  # of each word's trailing blank
-    for w in words:
-        at += len(w) + 1
-        ends.append(at)
     spans: list[list[int]] = []
-    for first, last in sorted((k - n, k) for k, n in ((bisect_right(ends, e), n) for e, n in found)):
+    for first, end in sorted(found):
         if spans and first <= spans[-1][1]:
-            spans[-1][1] = max(spans[-1][1], last)
+            spans[-1][1] = max(spans[-1][1], end)
         else:
-            spans.append([first, last])
+            spans.append([first, end])
     return [(a, b) for a, b in spans], items
 
 
@@ -96,10 +112,17 @@ SCHEMA = "doc_id long, n_words long, hit_words array<struct<first:int,end:int>>,
 
 
 def _items(benchmark: DataFrame) -> tuple[DataFrame, int]:
-    """The distinct items and the number of blocks that they make."""
+    """The distinct items, long ones in parts, and the number of blocks that they make."""
+    part = NODES // (WINDOW * _SYMBOLS) // 4  # windows of a part
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).distinct()
-    total = rows.select(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    return rows, total // BLOCK_BYTES + 1
+    rows = rows.withColumn("words", F.regexp_extract_all(F.translate("text", R.UPPER, R.LOWER), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))).where(F.size("words") > 0)
+    windows = F.greatest(F.size("words") - WINDOW + 1, F.lit(1))
+    rows = rows.select("item_id", "words", F.explode(F.sequence(F.lit(0), F.floor((windows - 1) / part).cast("int"))).alias("k"))
+    rows = rows.select("item_id", F.slice("words", F.col("k") * part + 1, part + WINDOW - 1).alias("words"))
+    n = F.greatest(F.size("words") - WINDOW + 1, F.lit(1)) * F.least(F.size("words"), F.lit(WINDOW)) * _SYMBOLS
+    total = rows.select(F.sum(n.cast("long"))).first()[0] or 0
+    # blocks are dealt by hash: half full on average, so that none is over
+    return rows.select("item_id", F.array_join("words", " ").alias("text")), 1 if total <= NODES else 2 * total // NODES + 1
 
 
 def _blocks(rows: DataFrame, n: int):

@@ -141,6 +141,8 @@ def crc_mod(column, m: int):
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % m
 
 
+#: for translate() in columns
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: lower-cases A-Z and turns what is no word byte (ASCII but digits and letters) into blanks
 WORD_BYTES = bytes((c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32) for c in range(256))
 #: lower-cases A-Z only
