@@ -10,8 +10,9 @@ from .attribution_counts import counters
 
 
 def significant(files: DataFrame, min_ai_lines: int = 3, min_ai_percent: float = 5.0) -> DataFrame:
+    """Files with so many lines by AI, and such a share of all their lines."""
     ai = F.col("ai_lines") + F.col("ai_modified_lines")
-    return files.where((ai >= min_ai_lines) & (ratio(ai, ai + F.col("human_lines")) * 100.0 >= min_ai_percent))
+    return files.where((ai >= min_ai_lines) & (ratio(ai, F.col("total_lines")) * 100.0 >= min_ai_percent))
 
 
 def first_seen(files: DataFrame, commits: DataFrame, **limits) -> DataFrame:

@@ -139,7 +139,7 @@ def _(spark, d):
 _KEY = ["commit_key", "path"]
 
 
-@op("A9_first_significant", f"""{_NF}, j AS (SELECT f.*, c.commit_id, c.committed_at FROM note_files f JOIN commits c USING (commit_key) WHERE ai_lines + ai_modified_lines >= 1 AND {Q.percent('(ai_lines + ai_modified_lines)', '(ai_lines + ai_modified_lines + human_lines)')} >= 5.0)
+@op("A9_first_significant", f"""{_NF}, j AS (SELECT f.*, c.commit_id, c.committed_at FROM note_files f JOIN commits c USING (commit_key) WHERE ai_lines + ai_modified_lines >= 1 AND {Q.percent('(ai_lines + ai_modified_lines)', 'total_lines')} >= 5.0)
 SELECT path, commit_id, ai_lines, ai_modified_lines, human_lines, original_lines, total_lines FROM j QUALIFY row_number() OVER (PARTITION BY path ORDER BY committed_at DESC, commit_id) = 1""")
 def _(spark, d):
     return annotations.first_seen(_files(spark, d), P.commits(spark, d), min_ai_lines=1)

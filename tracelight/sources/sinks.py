@@ -14,9 +14,10 @@ def append_audit(events: DataFrame, path: str, chain: bool = False) -> None:
     auditlog.append(events, path, chain)
 
 
-def write_export_csv(rows: DataFrame, path: str) -> None:
-    """rows(commit_id, line), newest first; a file per partition, in order."""
-    rows.select("line").write.mode("overwrite").text(path)
+def write_lines(rows: DataFrame, path: str) -> None:
+    """rows(place, line): a folder of text files which one after the other are the lines in
+    the order of their places. Ranged over tasks, so no task sorts all of them."""
+    rows.repartitionByRange("place").sortWithinPartitions("place").select("line").write.mode("overwrite").text(path)
 
 
 def source_json(kind: F.Column) -> F.Column:
@@ -90,3 +91,17 @@ def prompt_json(answers: DataFrame, reference: str, revision: str = "HEAD", by:
 def note_json(columns: F.Column) -> F.Column:
     """A note as compact JSON with explicit nulls."""
     return F.to_json(columns, {"ignoreNullFields": "false"})
+
+
+def summary_document(summary: DataFrame, files: DataFrame, models: DataFrame) -> DataFrame:
+    """(place, line): the lines of one JSON document over range_summary, summary_by_file and
+    models_first_seen; files and models stand in the order of their names."""
+    place = lambda part, name: F.struct(F.lit(part).alias("part"), name.alias("name")).alias("place")
+    s = lambda *cols: F.to_json(F.struct(*cols))
+    head = s(F.lit(1).alias("schema_version"), F.lit("summary.v1").alias("schema"), "commits_analyzed", "commits_with_ai", F.struct(F.col("additions").alias("total"), F.col("ai_lines").alias("ai"), F.col("ai_modified_lines").alias("ai_modified"), F.col("human_lines").alias("human")).alias("additions"), F.col("ai_percent").alias("ai_percentage"))
+    out = summary.select(place(0, F.lit("")), F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"files":[')).alias("line"))
+    listed = lambda df, part, name, body: df.crossJoin(F.broadcast(df.agg(F.max(name).alias("_last")))).select(place(part, F.col(name)), F.concat(body, F.when(F.col(name) == F.col("_last"), "").otherwise(",")).alias("line"))
+    file = s("path", "additions", (F.col("ai_lines") + F.col("ai_modified_lines")).alias("ai_additions"), "ai_lines", "ai_modified_lines", "human_lines", "ai_percent", "is_new_file")
+    model = F.substring(F.to_json(F.array("model")), 2, 1 << 30)
+    out = out.unionByName(listed(files, 1, "path", file)).unionByName(summary.select(place(2, F.lit("")), F.lit('],"models":[').alias("line")))
+    return out.unionByName(listed(models, 3, "model", F.regexp_replace(model, r"\]$", ""))).unionByName(summary.select(place(4, F.lit("")), F.lit("]}").alias("line")))
