@@ -45,27 +45,21 @@ def chains(parents: DataFrame, folder: str) -> DataFrame:
     return now.drop("open")
 
 
-def _neighbours(edges: DataFrame) -> DataFrame:
-    """edges(node, to) as (node, near): what a node reaches in one step or none. A commit
-    has few parents, so the lists are short."""
-    every = edges.unionByName(edges.select("node", F.col("node").alias("to"))).unionByName(edges.select(F.col("to").alias("node"), "to"))
-    return every.groupBy("node").agg(F.collect_set("to").alias("near"))
-
-
-def _walk(near: DataFrame, start: DataFrame, folder: str, jobs: int | None = None) -> tuple[DataFrame, bool]:
-    """Nodes that start(node) reaches, and whether that is all of them. Every job takes
-    GENERATIONS steps and is written; the next one goes on from what the last step found."""
-    spark, frontier, k = near.sparkSession, start, 0
+def _walk(edges: DataFrame, start: DataFrame, folder: str, jobs: int | None = None) -> tuple[DataFrame, bool]:
+    """Nodes that start(node) reaches over edges(node, to), and whether that is all of
+    them. Every job takes GENERATIONS steps from what the last one ended at, and is written:
+    a node's generation is the first that meets it. The edges are dealt by node once a job, and
+    every step leaves its nodes where the next one needs them."""
+    spark, frontier, k = edges.sparkSession, start.select("node").distinct(), 0
+    reached = None
     while True:
-        step = frontier.select("node")
-        for _ in range(GENERATIONS - 1):
-            step = step.join(near, "node").select(F.explode("near").alias("node")).distinct()
-        # who is reached from another node alone was not there a step before
-        last = step.join(near, "node", "left").select("node", F.explode(F.coalesce("near", F.array("node"))).alias("to")).groupBy("to").agg((~F.bool_or(F.col("node") == F.col("to"))).alias("fresh"))
-        new = last.select(F.col("to").alias("node"), "fresh")
-        if k:
-            new = new.join(reached, "node", "left_anti")
-        frontier = _written(new, f"{folder}/{k}").where("fresh")
+        step = frontier.select("node", F.lit(0).alias("g"))
+        for _ in range(GENERATIONS):
+            both = F.explode(F.array(F.struct("node", "g"), F.struct(F.col("to").alias("node"), (F.col("g") + 1).alias("g")))).alias("s")
+            step = step.join(edges, "node", "left").select(both).select("s.node", "s.g").where("node is not null").groupBy("node").agg(F.min("g").alias("g"))
+        if reached is not None:
+            step = step.join(reached, "node", "left_anti")
+        frontier = _written(step, f"{folder}/{k}").where(F.col("g") == GENERATIONS)
         k += 1
         reached = spark.read.schema("node " + start.schema["node"].dataType.simpleString()).parquet(*[f"{folder}/{i}" for i in range(k)])
         if not frontier.head(1):
@@ -84,25 +78,25 @@ def ancestors(parents: DataFrame, heads: DataFrame) -> DataFrame:
     levels by default.)
     """
     folder = _folder(parents.sparkSession)
-    parents = parents.where("commit_key is not null and parent_key is not null").select("commit_key", "parent_key").distinct()
-    near = _written(_neighbours(parents.toDF("node", "to")), f"{folder}/near")
-    known, over = _walk(near, heads.where("commit_key is not null").select(F.col("commit_key").alias("node")).distinct(), f"{folder}/known", NEAR)
-    known = known.toDF("commit_key").unionByName(heads.select("commit_key").where("commit_key is not null")).distinct()  # heads without any parent or child
+    parents = parents.where("commit_key is not null and parent_key is not null").select("commit_key", "parent_key")
+    heads = heads.where("commit_key is not null").select("commit_key")
+    known, over = _walk(parents.toDF("node", "to"), heads.toDF("node"), f"{folder}/known", NEAR)
+    known = known.toDF("commit_key")
     if over:
         return known
-    parents = _written(parents, f"{folder}/parents")
+    parents = _written(parents.distinct(), f"{folder}/parents")
     line = chains(parents, folder)
     entry = line.select(F.col("commit_key").alias("parent_key"), "last")
     ends = parents.join(line, "commit_key", "left_anti").join(entry, "parent_key", "left").select(F.col("commit_key").alias("node"), F.coalesce("last", "parent_key").alias("to")).distinct()
     ends = _written(ends, f"{folder}/ends")
     start = known.join(line, "commit_key", "left")
     start = _written(start.select("commit_key", F.coalesce("last", "commit_key").alias("node"), F.coalesce("steps", F.lit(0)).alias("steps")), f"{folder}/start")
-    met, _ = _walk(_written(_neighbours(ends), f"{folder}/near-ends"), start.select("node").distinct(), f"{folder}/met")
+    met, _ = _walk(ends, start.select("node"), f"{folder}/met")
     whole = ends.join(met, "node", "left_semi").select(F.col("to").alias("node")).distinct()
     # chains entered at their top are reached whole, those that a known commit stands in from there on
     part = start.groupBy("node").agg(F.max("steps").alias("from"))
     out = line.join(part, line["last"] == part["node"]).where("steps <= from").select("commit_key").unionByName(start.select(F.col("node").alias("commit_key")))
-    out = out.unionByName(line.join(whole, line["last"] == whole["node"], "left_semi").select("commit_key")).unionByName(whole.toDF("commit_key"))
+    out = out.unionByName(line.join(whole, line["last"] == whole["node"], "left_semi").select("commit_key")).unionByName(whole.toDF("commit_key")).unionByName(met.toDF("commit_key"))
     return out.distinct()
 
 
