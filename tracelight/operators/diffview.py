@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .scan import Scan
+
 #: Header lines of the unified format, and marks of added lines.
 FILE = r"^\+\+\+ b/(.+)$"
 HUNK = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@"
@@ -11,26 +13,37 @@ HUNK = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@"
 AI_MARK, MOD_MARK = "  # AI", "  # AI-mod"
 
 
-def parse(diff: DataFrame, by: list[str]) -> DataFrame:
+def parse(diff: DataFrame, by: list[str], wide: bool = False) -> DataFrame:
     """diff(by, n, text): adds path, kind and line_no, the line's number in the new file.
 
     Inside a hunk the first sign alone tells what a line is. Two running values over
-    the order of lines, the current file and the current hunk's start, give the rest.
+    the order of lines, the current file and the current hunk's start, give the rest. wide: a
+    diff may be of any length; its parts are scanned side by side.
     """
-    w = W.partitionBy(*by).orderBy("n")
     t = F.col("text")
     opens = t.startswith("diff --git ")
     start = F.regexp_extract(t, HUNK, 1)
-    rows = diff.withColumn("_hunk", F.when(opens, 0).when(start != "", start.cast("long")))
+    hunk = F.when(opens, 0).when(start != "", start.cast("long")).cast("long")
+    name = lambda first: F.when(opens, F.lit("")).when((first == 0) & t.rlike(FILE), F.regexp_extract(t, FILE, 1))
     # a new file closes the hunk before; 0 stands for none
-    rows = rows.withColumn("_start", F.coalesce(F.last("_hunk", ignorenulls=True).over(w), F.lit(0))).withColumn("_h", F.count("_hunk").over(w))
-    head = (F.col("_start") == 0) & t.rlike(FILE)
-    rows = rows.withColumn("path", F.last(F.when(opens, F.lit("")).when(head, F.regexp_extract(t, FILE, 1)), ignorenulls=True).over(w))
+    rows = diff.withColumn("_hunk", hunk)
+    if wide:
+        rows = Scan(rows, by, ["n"]).known("_start", F.col("_hunk")).result().withColumn("_start", F.coalesce("_start", F.lit(0)))
+        rows = Scan(rows, by, ["n"]).known("path", name(F.col("_start"))).result()
+    else:
+        w = W.partitionBy(*by).orderBy("n")
+        rows = rows.withColumn("_start", F.coalesce(F.last("_hunk", ignorenulls=True).over(w), F.lit(0))).withColumn("_h", F.count("_hunk").over(w))
+        rows = rows.withColumn("path", F.last(name(F.col("_start")), ignorenulls=True).over(w))
     body = (F.col("_start") > 0) & F.col("_hunk").isNull()
     kind = F.when(~body, "header").when(t.startswith("+"), "added").when(t.startswith("-"), "removed").when(t.startswith("\\"), "marker").otherwise("context")
     rows = rows.withColumn("kind", kind)
     moves = F.when(F.col("kind").isin("added", "context"), 1).otherwise(0)
-    seen = F.sum(moves).over(W.partitionBy(*by, "_h").orderBy("n"))
+    if wide:
+        rows = Scan(rows, by, ["n"]).total("_moves", moves).result()
+        rows = Scan(rows, by, ["n"]).known("_above", F.when(F.col("_hunk").isNotNull(), F.col("_moves"))).result()
+        seen = F.col("_moves") - F.coalesce("_above", F.lit(0))
+    else:
+        seen = F.sum(moves).over(W.partitionBy(*by, "_h").orderBy("n"))
     return rows.select(*by, "n", "text", F.nullif("path", F.lit("")).alias("path"), "kind", F.when(F.col("kind").isin("added", "context"), F.col("_start") + seen - 1).alias("line_no"))
 
 

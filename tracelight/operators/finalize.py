@@ -45,8 +45,18 @@ def used_prompts(prompts: DataFrame, edits: DataFrame, by: list[str]) -> DataFra
     return prompts.join(edits.select(*by, "prompt_index").distinct(), [*by, "prompt_index"], "left_semi")
 
 
-def next_prompt(prompts: DataFrame, by: list[str]) -> DataFrame:
-    return prompts.groupBy(*by).agg((F.max("prompt_index") + 1).alias("next_prompt"))
+def remaining_prompts(prompts: DataFrame, processed: DataFrame, pending: DataFrame, by: list[str]) -> DataFrame:
+    """prompts with marks: processed (an edit that a commit took has it), remaining (one
+    that is still pending). A prompt may be both, or neither."""
+    mark = lambda edits, name: edits.select(*by, "prompt_index").distinct().withColumn(name, F.lit(True))
+    out = prompts.join(mark(processed, "processed"), [*by, "prompt_index"], "left").join(mark(pending, "remaining"), [*by, "prompt_index"], "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("processed", "remaining")})
+
+
+def next_prompt(prompts: DataFrame, by: list[str], of: DataFrame | None = None) -> DataFrame:
+    """The number after the largest. of(by): all that are asked for; 0 where nothing remains."""
+    out = prompts.groupBy(*by).agg((F.max("prompt_index") + 1).alias("next_prompt"))
+    return out if of is None else of.select(*by).distinct().join(out, by, "left").withColumn("next_prompt", F.coalesce("next_prompt", F.lit(0)))
 
 
 def edit_flags(edits: DataFrame, by: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import content_hash, lines
+from .scan import Scan
 
 
 def edit_id(*parts: Column) -> Column:
@@ -27,8 +28,13 @@ def file_edits(events: DataFrame, by: list[str]) -> DataFrame:
     })
 
 
-def numbered_prompts(events: DataFrame, by: list[str], base: int = 0) -> DataFrame:
-    """Adds prompt_index: neighbouring events with the same text share one prompt."""
+def numbered_prompts(events: DataFrame, by: list[str], base: int = 0, wide: bool = False) -> DataFrame:
+    """Adds prompt_index: neighbouring events with the same text share one prompt. wide: a
+    session may be of any length; its parts are numbered side by side."""
+    if wide:
+        rows = Scan(events, by, ["seq"]).lag("_before", F.col("prompt")).lag("_there", F.lit(True)).result()
+        rows = rows.withColumn("_new", F.when(F.col("_there").isNull() | ~F.col("prompt").eqNullSafe(F.col("_before")), 1).otherwise(0).cast("long")).drop("_before", "_there")
+        return Scan(rows, by, ["seq"]).total("_n", F.col("_new")).result().withColumn("prompt_index", F.col("_n") - 1 + base).drop("_new", "_n")
     w = W.partitionBy(*by).orderBy("seq")
     new = F.coalesce((~F.col("prompt").eqNullSafe(F.lag("prompt").over(w))) | (F.row_number().over(w) == 1), F.lit(True))
     return events.withColumn("_new", new.cast("long")).withColumn("prompt_index", F.sum("_new").over(w) - 1 + base).drop("_new")
@@ -57,6 +63,12 @@ def pending_status(edits: DataFrame, sessions: DataFrame, as_of: Column, hours:
     )
 
 
+def is_default_context(context: Column) -> Column:
+    """No plan, no subagent: a context that notes leave out; a missing one is such."""
+    none = ~F.coalesce(context["plan_mode"], F.lit(False)) & context["subagent_id"].isNull() & (F.coalesce(context["agent_depth"], F.lit(0)) == 0) & context["plan_step"].isNull()
+    return context.isNull() | none
+
+
 def matching_edit(contents: DataFrame, edits: DataFrame, by: list[str]) -> DataFrame:
     """contents(by, content): the first edit (by seq) that left exactly this content."""
     first = edits.groupBy(*by, content_hash(F.col("new_content")).alias("hash")).agg(F.min("seq").alias("seq"))

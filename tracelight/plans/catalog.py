@@ -512,6 +512,25 @@ def _(spark, d):
     return finalize.next_prompt(history.numbered_prompts(_edits(spark, d), ["repo"]), ["repo"])
 
 
+@op("W3_one_session", f"WITH {_EDITS.replace('user_id % 20 AS repo', '0 AS repo')}, marked AS (SELECT *, CASE WHEN prompt IS DISTINCT FROM lag(prompt) OVER w THEN 1 ELSE 0 END AS new FROM edits WINDOW w AS (ORDER BY seq)) SELECT seq, CAST(sum(new) OVER (ORDER BY seq) - 1 AS BIGINT) AS prompt_index FROM marked")
+def _(spark, d):
+    """All edits as one session, numbered over many tasks."""
+    return history.numbered_prompts(_edits(spark, d), [], wide=True).select("seq", "prompt_index")
+
+
+@op("A15_next_of_every_session", f"WITH {_NUMBERED} SELECT repo, coalesce(max(prompt_index) FILTER (repo % 4 > 0) + 1, 0) AS next_prompt FROM numbered GROUP BY repo")
+def _(spark, d):
+    """Of a fourth of the repositories nothing remains."""
+    n = history.numbered_prompts(_edits(spark, d), ["repo"])
+    return finalize.next_prompt(n.where("repo % 4 > 0"), ["repo"], n)
+
+
+@op("U6_processed_and_remaining", f"WITH {_NUMBERED} SELECT repo, prompt_index, bool_or(path IN ('f1', 'f2')) AS processed, bool_or(path IN ('f2', 'f3')) AS remaining FROM numbered GROUP BY repo, prompt_index")
+def _(spark, d):
+    n = history.numbered_prompts(_edits(spark, d), ["repo"])
+    return finalize.remaining_prompts(n.select("repo", "prompt_index").distinct(), n.where("path in ('f1', 'f2')"), n.where("path in ('f2', 'f3')"), ["repo"])
+
+
 @op("A13_edit_flags", f"WITH {_EDITS} SELECT repo, bool_or(seq % 5 = 0) AS used_plan_mode, count(*) FILTER (seq % 3 > 0) AS subagent_count FROM edits GROUP BY repo")
 def _(spark, d):
     return finalize.edit_flags(_edits(spark, d).withColumns({"plan_mode": F.col("seq") % 5 == 0, "agent_depth": F.col("seq") % 3}), ["repo"])
@@ -756,14 +775,24 @@ def _diffs(spark, d):
     return v.select("doc_id", F.posexplode(F.concat(head, F.slice(body, 1, 5), F.array(F.lit("@@ -90 +200,2 @@")), body)).alias("n", "text"))
 
 
-@op("W10_parse_diff", """WITH b AS (SELECT doc_id, list_transform(CASE WHEN text = '' THEN [] ELSE string_split(regexp_replace(text, '\\n$', ''), chr(10)) END, lambda x, i: CASE (i - 1) % 4 WHEN 1 THEN '+' WHEN 2 THEN '-' ELSE ' ' END || x) AS body FROM documents),
+_PARSED = """WITH b AS (SELECT doc_id, list_transform(CASE WHEN text = '' THEN [] ELSE string_split(regexp_replace(text, '\\n$', ''), chr(10)) END, lambda x, i: CASE (i - 1) % 4 WHEN 1 THEN '+' WHEN 2 THEN '-' ELSE ' ' END || x) AS body FROM documents),
 h AS (SELECT doc_id, 0 AS hunk, 10 AS start, body[1:5] AS ls, 4 AS base FROM b UNION ALL SELECT doc_id, 1, 200, body, 5 + len(body[1:5]) FROM b),
 r AS (SELECT doc_id, base, start, k, ls[k] AS text, ls FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS k FROM h))
-SELECT doc_id, CAST(base + k - 1 AS INTEGER) AS n, CASE substr(text, 1, 1) WHEN '+' THEN 'added' WHEN '-' THEN 'removed' ELSE 'context' END AS kind, 'f' || doc_id AS path, CASE WHEN substr(text, 1, 1) <> '-' THEN CAST(start + k - 1 - len(list_filter(ls[1:k], lambda x: substr(x, 1, 1) = '-')) AS BIGINT) END AS line_no FROM r""")
+SELECT doc_id, CAST(base + k - 1 AS INTEGER) AS n, CASE substr(text, 1, 1) WHEN '+' THEN 'added' WHEN '-' THEN 'removed' ELSE 'context' END AS kind, 'f' || doc_id AS path, CASE WHEN substr(text, 1, 1) <> '-' THEN CAST(start + k - 1 - len(list_filter(ls[1:k], lambda x: substr(x, 1, 1) = '-')) AS BIGINT) END AS line_no FROM r"""
+
+
+@op("W10_parse_diff", _PARSED)
 def _(spark, d):
     return diffview.parse(_diffs(spark, d), ["doc_id"]).where("kind <> 'header'").select("doc_id", "n", "kind", "path", "line_no")
 
 
+@op("W10_one_diff", f"SELECT doc_id * 1000000 + n AS n, kind, path, line_no FROM ({_PARSED})")
+def _(spark, d):
+    """The diffs of all documents as one, parsed over many tasks."""
+    one = _diffs(spark, d).select((F.col("doc_id") * 1_000_000 + F.col("n")).alias("n"), "text")
+    return diffview.parse(one, [], wide=True).where("kind <> 'header'").select("n", "kind", "path", "line_no")
+
+
 @op("J16_annotated_diff", """WITH b AS (SELECT doc_id, list_transform(CASE WHEN text = '' THEN [] ELSE string_split(regexp_replace(text, '\\n$', ''), chr(10)) END, lambda x, i: CASE (i - 1) % 4 WHEN 1 THEN '+' WHEN 2 THEN '-' ELSE ' ' END || x) AS body FROM documents),
 h AS (SELECT doc_id, 10 AS start, body[1:5] AS ls, 4 AS base FROM b UNION ALL SELECT doc_id, 200, body, 5 + len(body[1:5]) FROM b),
 r AS (SELECT doc_id, base + k - 1 AS n, ls[k] AS text, start + k - 1 - len(list_filter(ls[1:k], lambda x: substr(x, 1, 1) = '-')) AS line_no FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS k FROM h)),

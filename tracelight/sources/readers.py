@@ -128,3 +128,10 @@ def relative_path(path: F.Column, root: str) -> F.Column:
     p = F.when(path.startswith(root), F.substring(path, F.lit(len(root) + 1), F.length(path))).otherwise(path)
     p = F.regexp_replace(p, r"^(\./)+", "")
     return F.when((p != "") & ~p.startswith("/") & ~p.rlike(r"(^|/)\.\.(/|$)"), p)
+
+
+def redaction_input(spark: SparkSession, text: str | None = None, path: str | None = None) -> DataFrame:
+    """(text): a given text, or a file as one; exactly one of them."""
+    if (text is None) == (path is None):
+        raise ValueError("give a text or a file, and not both")
+    return spark.createDataFrame([(text,)], "text string") if path is None else spark.read.text(path, wholetext=True).withColumnRenamed("value", "text")
