@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import redaction, text as X, trailers as TR
 from ..functions.similarity import similarity_column
-from ..operators import annotations, attribution, attribution_counts as AC, audit as AU, blame as BL, diffview, export as EX, finalize, graph, history, retention, summary
+from ..operators import annotations, attribution, attribution_counts as AC, audit as AU, blame as BL, diffview, export as EX, finalize, graph, history, retention, similar, summary
 from ..sources import projection as P, readers, sinks
 from ..streaming import capture
 from . import sql as Q
@@ -816,6 +816,14 @@ def _(spark, d):
     return out.select("path", "line_number", "content", "source_type")
 
 
+@op("X1_set_analysis")
+def _(spark, d):
+    """With the lines that resemble one by AI, looked for in blocks."""
+    v = P.file_versions(spark, d)
+    edits = v.select("path", F.lit(0).alias("edit_no"), F.lit("e0").alias("edit_id"), F.lit(0).cast("long").alias("prompt_index"), F.col("ai").alias("text"))
+    return similar.set_analysis(v.select("path", F.col("original").alias("text")), edits, v.select("path", F.col("final").alias("text")), ["path"])
+
+
 @op("X2_three_way")
 def _(spark, d):
     v = P.file_versions(spark, d)
