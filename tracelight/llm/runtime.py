@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import os
 import tempfile
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _OWN: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+#: Stored tables that are not discarded, and their sessions.
+_KEPT: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -89,9 +92,23 @@ def stored(df: DataFrame, name: str, codec: str = "zstd", of: tuple = ()) -> Dat
         df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tracelight_path = path
+    _KEPT[path] = spark
     return out
 
 
+def _clear() -> None:
+    """What results still read when the driver ends goes with it; a session that is
+    over leaves its folders to whoever clears the shared one."""
+    for path, spark in list(_KEPT.items()):
+        with contextlib.suppress(Exception):
+            if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+                p = spark._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+atexit.register(_clear)
+
+
 def discard(df: DataFrame) -> None:
     """Remove a table that stored() wrote and that no later plan reads."""
     path = getattr(df, "_tracelight_path", None)
@@ -99,6 +116,7 @@ def discard(df: DataFrame) -> None:
         jvm = df.sparkSession._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        _KEPT.pop(path, None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -114,15 +132,31 @@ def parts_for(df: DataFrame, target_mb: int = 32) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min((size >> 20) // target_mb, 100_000) if size < 1 << 60 else 1, 1)
 
 
+def _nodes(plan) -> set[str]:
+    """Names of a plan's operators, as Spark's own nodes have them."""
+    out, below = {plan.nodeName()}, plan.children()
+    for k in range(below.size()):
+        out |= _nodes(below.apply(k))
+    return out
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows out when a small or unsplittable input has fewer partitions than
     the cluster has cores; the shuffle then costs less than the idle cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if "Exchange" in df._jdf.queryExecution().sparkPlan().toString() or "Join" in df._jdf.queryExecution().sparkPlan().toString():
+    if any("Exchange" in n or "Join" in n for n in _nodes(df._jdf.queryExecution().sparkPlan())):
         return df  # dealt out already; counting its partitions could run its stages
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
 
 
+def free(df: DataFrame, name: str) -> str:
+    """The name, with signs after it until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The column's texts as UTF-8; null is empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

