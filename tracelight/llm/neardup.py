@@ -149,7 +149,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(c, k) for c, k in zip((n, digests, bands, sigs), kinds))], names=names)
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("row"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_hash long, row long, n_shingles long, digest binary, bands array<bigint>, sig binary")
+    return rows.mapInArrow(R.forgetting(lambda: _hashes().clear(), run), "doc_id long, text_hash long, row long, n_shingles long, digest binary, bands array<bigint>, sig binary")
 
 
 def _surviving(sig_x: np.ndarray, sig_y: np.ndarray, i: np.ndarray, j: np.ndarray, least: list[int]) -> np.ndarray:

@@ -157,6 +157,19 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
+def forgetting(clear, run):
+    """A worker's batch function that lets go of the tables it has filled when its task
+    ends: workers are kept for later stages, and would hold those of all stages at once."""
+
+    def to_the_end(batches):
+        try:
+            yield from run(batches)
+        finally:
+            clear()
+
+    return to_the_end
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The column's texts as UTF-8; null is empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

@@ -89,6 +89,10 @@ class _Words(dict):
         self[word] = got
         return got
 
+    def forget(self) -> None:
+        for table in (self, self.old, self.pieces):
+            table.clear()
+
     def ids(self, text: str) -> bytes:
         """Ids of a text as little-endian uint32. Pieces never reach over blanks."""
         if not self.drops_blanks:
@@ -258,7 +262,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
         n, total = write_file(name, chain([first], it), enc.width)
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "path": pa.array([name]), "n_docs": pa.array([n], pa.int64()), "n_ids": pa.array([total], pa.int64())})
 
-    return rows.mapInArrow(run, "shard long, path string, n_docs long, n_ids long")
+    return rows.mapInArrow(R.forgetting(lambda: encoder(path).forget(), run), "shard long, path string, n_docs long, n_ids long")
 
 
 def read_token_files(files: DataFrame) -> DataFrame:

@@ -142,7 +142,7 @@ def learn(docs: DataFrame, labels: DataFrame, keep=None, sample: int = SAMPLE) -
             t = [terms(x) for x in R.utf8(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([x.tobytes() for x in t], pa.binary())], names=["doc_id", "y", "terms"])
 
-    got = pairs.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, terms binary")
+    got = pairs.select("doc_id", "text", "y").mapInArrow(R.forgetting(lambda: _slots().clear(), run), "doc_id long, y int, terms binary")
     table = sorted((r.doc_id, r.y, bytes(r.terms)) for r in got.collect())
     return fit([np.frombuffer(t, np.int32) for _, _, t in table], np.array([y for _, y, _ in table], float))
 
@@ -174,7 +174,7 @@ def scored(docs: DataFrame, model: Model, score: str = "score", known: str | Non
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     fields = [StructField(score, DoubleType())] + ([StructField(known, LongType())] if known else [])
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *fields]))
+    return docs.mapInArrow(R.forgetting(lambda: _slots().clear(), run), StructType([*docs.schema.fields, *fields]))
 
 
 def trained_on(doc_id):
