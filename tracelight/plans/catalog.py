@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from ..functions import redaction, text as X, trailers as TR
 from ..functions.similarity import similarity_column
 from ..operators import annotations, attribution, attribution_counts as AC, audit as AU, blame as BL, diffview, export as EX, finalize, graph, history, retention, similar, summary
-from ..sources import projection as P, readers, sinks
+from ..sources import projection as P, readers, sinks, texts
 from ..streaming import capture
 from . import sql as Q
 from .registry import ORACLES, QUERIES, op  # noqa: F401
@@ -114,15 +114,25 @@ def _(spark, d):
     return sinks.blame_json(b, ["path", "commit_key"])
 
 
-@op("K12_blame_document", f"""WITH {Q.NOTE_LINES}, {Q.BLAME}, l AS (SELECT commit_key, line_number, source_type, prompt_index FROM blame WHERE path = 'src/f7' AND line_number < 20000), m AS (SELECT max(line_number) AS last, count(*) AS n, count(*) FILTER (source_type = 'AI') AS a, count(*) FILTER (source_type = 'AIModified') AS am, count(*) FILTER (source_type = 'Human') AS h, count(*) FILTER (source_type = 'Original') AS o FROM l)
+@op("K12_blame_document", f"""WITH {Q.NOTE_LINES}, {Q.BLAME}, l AS (SELECT commit_key, line_number, source_type, prompt_index FROM blame WHERE path = 'src/f7'), m AS (SELECT max(line_number) AS last, count(*) AS n, count(*) FILTER (source_type = 'AI') AS a, count(*) FILTER (source_type = 'AIModified') AS am, count(*) FILTER (source_type = 'Human') AS h, count(*) FILTER (source_type = 'Original') AS o FROM l)
 SELECT CAST(-1 AS BIGINT) AS n, '{{"schema_version":1,"schema":"blame.v1","file":"src/f7","revision":"HEAD","lines":[' AS line UNION ALL
 SELECT line_number, '{{"line_number":' || line_number || ',"line":' || line_number || ',"commit":{{"id":null,"short":null,"author":null}},"source":"' || CASE source_type WHEN 'AI' THEN 'ai' WHEN 'AIModified' THEN 'ai_modified' ELSE lower(source_type) END || '","flags":{{"is_ai":' || (source_type IN ('AI', 'AIModified')) || ',"is_human":' || (source_type IN ('Human', 'Original')) || '}},"prompt":{{"index":' || coalesce(CAST(prompt_index AS VARCHAR), 'null') || ',"preview":null}},"content":null}}' || CASE WHEN line_number = last THEN '' ELSE ',' END FROM l, m
 UNION ALL SELECT last + 1, '],"summary":{{"total_lines":' || n || ',"ai_lines":' || a || ',"ai_modified_lines":' || am || ',"human_lines":' || h || ',"original_lines":' || o || ',"ai_percentage":' || CAST(CAST(a + am AS DOUBLE) / n * 100.0 AS VARCHAR) || '}}}}' FROM m""")
 def _(spark, d):
-    b = BL.blame(P.blame_hunks(spark, d).where("path = 'src/f7'"), P.note_lines(spark, d)).where("line_number < 20000").drop("commit_key")
+    b = BL.blame(P.blame_hunks(spark, d).where("path = 'src/f7'"), P.note_lines(spark, d)).drop("commit_key")
     return sinks.blame_document(b, "src/f7", "HEAD")
 
 
+@op("K12_blame_text", f"""WITH {Q.NOTE_LINES}, {Q.BLAME}, {Q.COMMITS}, l AS (SELECT b.*, commit_id, author FROM blame b LEFT JOIN commits USING (commit_key) WHERE path = 'src/f7'),
+c AS (SELECT count(*) AS n, count(*) FILTER (source_type = 'AI') AS a, count(*) FILTER (source_type = 'AIModified') AS m, count(*) FILTER (source_type = 'Human') AS h, count(*) FILTER (source_type = 'Original') AS o FROM l)
+SELECT 1 AS part, line_number AS n, lpad(CAST(line_number AS VARCHAR), 5, ' ') || ' │ ' || coalesce(substr(commit_id, 1, 7), '') || ' │ ' || CASE WHEN length(coalesce(author, '')) > 10 THEN substr(author, 1, 9) || '…' ELSE rpad(coalesce(author, ''), 10, ' ') END || ' │  ' || CASE source_type WHEN 'AI' THEN '●' WHEN 'AIModified' THEN '◐' WHEN 'Human' THEN '+' WHEN 'Original' THEN '─' ELSE '?' END || ' │ ' AS line FROM l
+UNION ALL SELECT 2, 1, 'Legend: ● AI (' || (a + m) || ') ◐ AI-modified (' || m || ') + Human (' || h || ') ─ Original (' || o || ')' FROM c""".replace("lpad(CAST(line_number AS VARCHAR), 5, ' ')", "repeat(' ', greatest(5 - length(CAST(line_number AS VARCHAR)), 0)) || line_number"))
+def _(spark, d):
+    b = BL.blame(P.blame_hunks(spark, d).where("path = 'src/f7'"), P.note_lines(spark, d)).join(P.commits(spark, d).select("commit_key", "commit_id", "author"), "commit_key", "left")
+    rows = texts.blame_text(b).select("part", F.when(F.col("part") == 1, F.col("k.a")).otherwise(F.col("k.b")).alias("n"), "line")
+    return rows.where("part = 1 or (part = 2 and n = 1)")
+
+
 @op("K16_prompt_json", f"""WITH {Q.COMMITS}, {Q.NOTE_LINES}, {Q.PROMPTS}, t AS (SELECT commit_key, path, line_number, source_type, prompt_index FROM note_lines WHERE source_type IN ('AI', 'AIModified') QUALIFY row_number() OVER (PARTITION BY commit_key, path ORDER BY line_number) = 1)
 SELECT t.path, t.line_number, commit_id, '{{"schema_version":1,"schema":"prompt.v1","query":{{"reference":"r","file":"' || t.path || '","line_number":' || t.line_number || ',"revision":"HEAD"}},"line":{{"line_number":' || t.line_number || ',"content":null,"source":"' || CASE source_type WHEN 'AI' THEN 'ai' ELSE 'ai_modified' END || '","prompt_index":' || t.prompt_index || '}},"commit":{{"id":"' || commit_id || '","short":"' || substr(commit_id, 1, 7) || '","author":' || to_json(author)
 || '}},"prompt":' || CASE WHEN p.text IS NULL THEN 'null' ELSE '{{"index":' || t.prompt_index || ',"text":' || to_json(p.text) || ',"timestamp":null,"affected_files":' || to_json(p.affected_files) || '}}' END || ',"session":{{"id":"' || session_id || '","model":"' || model || '","started_at":"' || started_at || '"}}}}' AS json

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import lines
-from ..operators import blame as BL, provenance as PR, trees as TR
+from ..operators import blame as BL, graph as GR, provenance as PR, trees as TR
 from ..sources import projection as P
 from .registry import op
 
@@ -89,3 +89,13 @@ WHERE NOT (status = 'A' AND (c, path) IN (SELECT (c, new_path) FROM rn)) AND NOT
 def _(spark, d):
     old, new = P.moved_files(spark, d)
     return TR.changes(old, new, ["commit_key"])
+
+
+@op("G1_ancestors_of_chains", f"""WITH RECURSIVE {_LINES.partition(', li AS')[0].partition(',\nli AS')[0]}, p AS (SELECT a.commit_key, b.commit_key AS parent_key FROM v a JOIN v b ON a.path = b.path AND a.seq = b.seq + 1), h AS (SELECT path, max(seq) - 3 AS seq FROM v GROUP BY path),
+r AS (SELECT commit_key FROM v JOIN h USING (path, seq) UNION SELECT parent_key FROM r JOIN p USING (commit_key)) SELECT commit_key FROM r""")
+def _(spark, d):
+    """The history of every file as a line of commits, from the third before its last."""
+    v = P.histories(spark, d).select("path", "seq", "commit_key")
+    parents = v.join(v.select("path", (F.col("seq") + 1).alias("seq"), F.col("commit_key").alias("parent_key")), ["path", "seq"]).select("commit_key", "parent_key")
+    heads = v.join(v.groupBy("path").agg((F.max("seq") - 3).alias("seq")), ["path", "seq"]).select("commit_key")
+    return GR.ancestors(parents, heads)

@@ -40,7 +40,7 @@ def blame_text(lines: DataFrame) -> DataFrame:
     mark = F.lit("?")
     for kind, sign in MARKS.items():
         mark = F.when(F.col("source_type") == kind, sign).otherwise(mark)
-    body = F.concat(F.lpad(_n("line_number"), 5, " "), F.lit(" │ "), short_commit(col("commit_id")), F.lit(" │ "), fit(col("author"), 10), F.lit(" │  "), mark, F.lit(" │ "), truncate(col("content"), 50))
+    body = F.concat(F.when(F.length(_n("line_number")) > 5, _n("line_number")).otherwise(F.lpad(_n("line_number"), 5, " ")), F.lit(" │ "), short_commit(col("commit_id")), F.lit(" │ "), fit(col("author"), 10), F.lit(" │  "), mark, F.lit(" │ "), truncate(col("content"), 50))
     shown = F.when(F.col("prompt_preview").isNotNull(), F.struct("line_number", "prompt_preview")) if "prompt_preview" in lines.columns else F.lit(None).cast("struct<line_number:bigint,prompt_preview:string>")
     c = lines.agg(*counters(), F.min(shown).alias("shown"))
     both = F.col("ai_lines") + F.col("ai_modified_lines")
