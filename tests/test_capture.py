@@ -106,9 +106,9 @@ def test_head_and_redaction(spark):
 
 
 def test_stream_with_restarts(spark, tmp_path):
-    events = random_events(random.Random(6), 240) + [edit("s", 1, "f", "token = abcdef123456789 and password=hunter2222", new="x\ny\n")]
+    events = random_events(random.Random(6), 160) + [edit("s", 1, "f", "token = abcdef123456789 and password=hunter2222", new="x\ny\n")]
     src, out, point = (f"file://{tmp_path}/{n}" for n in ("in", "out", "cp"))
-    for k in range(0, 240, 80):
+    for k in range(0, 160, 80):
         part = [e for e in events if k <= e[1] < k + 80]
         spark.createDataFrame(part, capture.EVENT).coalesce(1).write.mode("append").json(src)
         capture.run_once(spark, src, out, point)
