@@ -176,6 +176,31 @@ def test_media_query_round_trip(spark):
     assert M.features(M.media_pcm(M.pack_texts(docs(spark, [])), to=M.PCM_RATE)).count() == 0
 
 
+def test_media_query_takes_whole_pcm(spark, tmp_path):
+    """The query's PCM has the rate that media_pcm has for its own, 16 kHz: two samples a byte."""
+    texts = [None, "a" * 577, "é, Z " * 300]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in M.query(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        payload = raw + b"\xff" * (got[i].payload_bytes - len(raw))
+        x = M.resample(np.array([plain_mulaw(c) for c in payload], np.int16), 8000, 16000)
+        assert f";pcm={2 * got[i].payload_bytes};energy={int(np.abs(x.astype(int)).sum())};" in got[i].feature
+
+
+def test_adpcm_codes_are_the_nearest():
+    """Step by step among all sixteen codes, at the borders of 16 bits as well."""
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.integers(-a, a, (40, 65)) for a in (3, 200, 32768)] + [rng.choice([-32768, 32767], (40, 65))]).astype(np.int16)
+    for row, coded in zip(x.tolist(), M.encode_adpcm(x)):
+        value, index = row[0], 0
+        for k, s in enumerate(row[1:]):
+            tried = np.clip(value + M._DIFF[index], -32768, 32767)
+            nibble = int(np.abs(tried - s).argmin())
+            assert coded[4 + k // 2] >> 4 * (k % 2) & 15 == nibble
+            value, index = int(tried[nibble]), int(M._NEXT[index, nibble])
+
+
 @pytest.mark.parametrize("rate, to, hz, most", [(8000, 2000, 1200, 0.01), (8000, 2000, 3000, 0.01), (16000, 2000, 1300, 0.01), (8000, 2000, 500, None), (8000, 16000, 1000, None), (44100, 8000, 1000, None)])
 def test_resampled_tones(rate, to, hz, most):
     """What is above half the new rate goes, what is below stays."""

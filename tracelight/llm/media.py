@@ -27,7 +27,7 @@ from . import runtime as R
 
 UNIT = 576
 RATE = 8000
-#: Rate of the PCM that the query stores beside each payload.
+#: A rate at which PCM takes less room than its mu-law codes; the query takes no such rate.
 PCM_RATE = 2000
 ADPCM_BLOCK = 36
 MULAW, ALAW, ADPCM, PCM = 7, 6, 17, 1
@@ -88,17 +88,34 @@ def decode_adpcm(data: np.ndarray, block: int = ADPCM_BLOCK) -> np.ndarray:
     return out
 
 
+@functools.lru_cache(maxsize=1)
+def _nearest_nibbles() -> np.ndarray:
+    """Per step index, the three bits whose difference is nearest to a distance from 0 to
+    65535; of two the smaller."""
+    reach = np.arange(65536)
+    return np.concatenate([np.searchsorted((m[1:] + m[:-1]) / 2, reach, side="left") for m in _DIFF[:, :8]]).astype(np.uint8)
+
+
 def encode_adpcm(samples: np.ndarray, block: int = ADPCM_BLOCK) -> np.ndarray:
     """int16 (blocks, samples) to blocks; the nearest code at every step."""
     out = np.zeros((len(samples), block), np.uint8)
     value, index = samples[:, 0].astype(np.int32), np.zeros(len(samples), np.int32)
     out[:, :2] = samples[:, :1].astype("<i2").view(np.uint8)
-    rows = np.arange(len(samples))
+    table, diffs, nexts = _nearest_nibbles(), _DIFF.ravel(), _NEXT.ravel()
+    columns = np.ascontiguousarray(samples.T)
+    codes = np.zeros((2 * (block - 4), len(samples)), np.uint8)
     for k in range(1, samples.shape[1]):
-        tried = np.clip(value[:, None] + _DIFF[index], -32768, 32767)
-        nibble = np.abs(tried - samples[:, k : k + 1]).argmin(axis=1)
-        value, index = tried[rows, nibble], _NEXT[index, nibble]
-        out[:, 4 + (k - 1) // 2] |= (nibble << (4 * ((k - 1) % 2))).astype(np.uint8)
+        away = columns[k] - value
+        nibble = table[(index << 16) + np.abs(away)] | ((away < 0).astype(np.uint8) << 3)
+        # where a code would leave 16 bits, it stops at their border: all are tried there
+        edge = np.flatnonzero(np.abs(value) + _DIFF[index, 7] > 32767)
+        if len(edge):
+            tried = np.clip(value[edge, None] + _DIFF[index[edge]], -32768, 32767)
+            nibble[edge] = np.abs(tried - columns[k][edge, None].astype(np.int32)).argmin(axis=1)
+        at = index * 16 + nibble
+        value, index = np.clip(value + diffs[at], -32768, 32767), nexts[at]
+        codes[k - 1] = nibble
+    out[:, 4:] = (codes[::2] | codes[1::2] << 4).T
     return out
 
 
@@ -208,13 +225,12 @@ def resample(samples: np.ndarray, rate: int, to: int) -> np.ndarray:
     x = np.pad(samples.astype(np.int64), half, mode="edge")
     n = len(samples) * up // down
     out = np.empty(n, np.int64)
-    for p in range(up):
-        k = np.arange(p, n, up)
-        at = k * down // up
-        acc = np.zeros(len(k), np.int64)
-        for j in range(2 * half):
-            acc += x[at + j] * bank[p, j]
-        out[k] = acc >> 15
+    for p in range(min(up, n)):
+        first, m = p * down // up, -(-(n - p) // up)
+        acc = np.zeros(m, np.int64)
+        for j in np.flatnonzero(bank[p]):
+            acc += x[first + j :: down][:m] * bank[p, j]
+        out[p::up] = acc >> 15
     return np.clip(out, -32768, 32767).astype(np.int16)
 
 
@@ -252,7 +268,7 @@ def pack_texts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def features(stored: DataFrame) -> DataFrame:
     """Digests and sound features of stored mu-law files (media) and their resampled PCM
-    (pcm), both read chunk by chunk.
+    (pcm), both read by their chunks.
 
     feature holds, as integers: peak, sum of magnitudes and sign changes of the mu-law
     samples; number and sum of magnitudes of the PCM samples; and what is lost, summed
@@ -276,7 +292,7 @@ def features(stored: DataFrame) -> DataFrame:
             flips = np.concatenate([[0], (mu[1:] < 0) != (mu[:-1] < 0)]).astype(np.int32)
             flips[starts] = 0
             changes = np.add.reduceat(flips, starts, dtype=np.int64)
-            # PCM is never empty: a unit gives UNIT * PCM_RATE / RATE samples
+            # PCM is never empty: a unit gives UNIT samples times the ratio of the rates
             sound = [np.frombuffer(parse_wave(m)[3], "<i2") for m in b.column(3).to_pylist()]
             sizes = np.array([len(x) for x in sound])
             x = np.concatenate(sound).astype(np.int32)
@@ -301,7 +317,7 @@ def features(stored: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both columns are stored and read back. PCM is kept at PCM_RATE: at 16 kHz it would
-    take 2.6 bytes for each byte of text."""
+    """The mu-law files are stored and read back; their PCM, at the rate media_pcm has for
+    its own, is made of what was read and goes on to the features whole, in memory."""
     docs = R.spread(R.table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return features(R.stored(media_pcm(pack_texts(docs), to=PCM_RATE), "media"))
+    return features(media_pcm(R.stored(pack_texts(docs), "media")))
