@@ -7,6 +7,11 @@ from pyspark.sql import Column, functions as F
 ELLIPSIS = "..."
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def lines(text: Column) -> Column:
     """Lines without their ends: \\n or \\r\\n closes a line, a final one opens none."""
     body = F.regexp_replace(text, r"\r?\n\z", "")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import lines, strip, strip_end
+from .text import let, lines, strip, strip_end
 
 #: Keys and co-author names.
 SESSION, MODEL, LINES, MODIFIED, HUMAN, CO_AUTHOR = "AI-Session", "AI-Model", "AI-Lines", "AI-Modified", "Human-Lines", "Co-Authored-By"
@@ -32,32 +32,36 @@ def block(entries: Column) -> Column:
 
 def append(message: Column, entries: Column) -> Column:
     """After an existing trailer block directly, else after a blank line."""
-    body = strip_end(message)
-    last = F.try_element_at(lines(body), F.lit(-1))
-    has = strip(last).rlike(r"(?U)^[\p{Alnum}-]*: ")
-    return F.concat(body, F.when(F.coalesce(has, F.lit(False)), F.lit("\n")).otherwise(F.lit("\n\n")), block(entries))
+
+    def with_block(body: Column) -> Column:
+        last = F.try_element_at(lines(body), F.lit(-1))
+        has = strip(last).rlike(r"(?U)^[\p{Alnum}-]*: ")
+        return F.concat(body, F.when(F.coalesce(has, F.lit(False)), F.lit("\n")).otherwise(F.lit("\n\n")), block(entries))
+
+    return let(strip_end(message), with_block)
 
 
 def parse(message: Column) -> Column:
     """struct<session, model, ai_lines, ai_modified_lines, human_lines>: read from the
     last line upward until one holds no ': '; the topmost of repeated keys wins."""
-    kind = "map<string,string>"
-    start = F.struct(F.lit(True).alias("on"), F.create_map().cast(kind).alias("kv"))
 
-    def step(acc: Column, raw: Column) -> Column:
-        line = strip(raw)
-        cut = F.locate(": ", line)
-        blank = line == ""
-        on = acc["on"] & (blank | (cut > 0))
-        key, value = F.substring(line, F.lit(1), cut - 1), F.substring(line, cut + 2, F.length(line))
-        kept = F.map_filter(acc["kv"], lambda k, _: k != key)
-        return F.struct(on.alias("on"), F.when(on & ~blank, F.map_concat(kept, F.create_map(key, value))).otherwise(acc["kv"]).alias("kv"))
+    def tail(ls: Column) -> Column:
+        ends = F.array_max(F.transform(ls, lambda x, i: F.when((x != "") & (F.locate(": ", x) == 0), i + 1)))
+        return F.slice(ls, F.coalesce(ends, F.lit(0)) + 1, F.size(ls))
+
+    def fields(found: Column) -> Column:
+        def text(k: str) -> Column:
+            first = F.try_element_at(F.filter(found, lambda x: x.startswith(k + ": ")), F.lit(1))
+            return F.substr(first, F.lit(len(k) + 3))
+
+        def number(k: str) -> Column:
+            return let(text(k), lambda v: F.when(v.rlike(r"^\+?[0-9]{1,18}$"), v.try_cast("bigint")))
+
+        return F.struct(text(SESSION).alias("session"), text(MODEL).alias("model"), number(LINES).alias("ai_lines"), number(MODIFIED).alias("ai_modified_lines"), number(HUMAN).alias("human_lines"))
 
-    kv = F.aggregate(F.reverse(lines(message)), start, step, lambda acc: acc["kv"])
-    number = lambda k: F.when(kv[k].rlike(r"^\+?[0-9]{1,18}$"), kv[k].try_cast("bigint"))
-    return F.struct(kv[SESSION].alias("session"), kv[MODEL].alias("model"), number(LINES).alias("ai_lines"), number(MODIFIED).alias("ai_modified_lines"), number(HUMAN).alias("human_lines"))
+    stripped = let(message, lambda m: F.transform(lines(m), strip))
+    return let(let(stripped, tail), fields)
 
 
 def has_trailers(message: Column) -> Column:
-    p = parse(message)
-    return p["session"].isNotNull() | p["model"].isNotNull()
+    return let(parse(message), lambda p: p["session"].isNotNull() | p["model"].isNotNull())
