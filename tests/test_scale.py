@@ -19,3 +19,14 @@ def test_trailers_are_read_once(spark):
     rows = ["AI-Lines: 1\nplain\nAI-Lines: 2\n\nAI-Lines: 3", "AI-Lines: 1\nAI-Lines:", None, "", "\n\n", "AI-Lines: +7 \nx: AI-Lines: 9"]
     got = spark.createDataFrame([(k, m) for k, m in enumerate(rows)], "k int, m string").select("k", TR.parse(F.col("m"))["ai_lines"].alias("n")).orderBy("k").collect()
     assert [r.n for r in got] == [2, None, None, None, None, 7]
+
+
+def test_one_diff_is_written_once(spark, monkeypatch):
+    written = []
+    write = scan.Scratch.write
+    monkeypatch.setattr(scan.Scratch, "write", lambda self, df: written.append(df.columns) or write(self, df))
+    text = ["diff --git a/f b/f", "--- a/f", "+++ b/f", "@@ -1 +5,2 @@", " a", "+b", "+++ b/g", "-c", " d", "diff --git a/h b/h", "+++ b/h", "@@ -1 +1 @@", "+e"]
+    df = spark.createDataFrame(list(enumerate(text)), "n int, text string")
+    wide = sorted(diffview.parse(df, [], wide=True).collect())
+    assert len(written) == 1
+    assert wide == sorted(diffview.parse(df.withColumn("k", F.lit(0)), ["k"]).drop("k").collect())

@@ -21,29 +21,26 @@ def parse(diff: DataFrame, by: list[str], wide: bool = False) -> DataFrame:
     diff may be of any length; its parts are scanned side by side.
     """
     t = F.col("text")
-    opens = t.startswith("diff --git ")
     start = F.regexp_extract(t, HUNK, 1)
-    hunk = F.when(opens, 0).when(start != "", start.cast("long")).cast("long")
-    name = lambda first: F.when(opens, F.lit("")).when((first == 0) & t.rlike(FILE), F.regexp_extract(t, FILE, 1))
-    # a new file closes the hunk before; 0 stands for none
-    rows = diff.withColumn("_hunk", hunk)
-    if wide:
-        rows = Scan(rows, by, ["n"]).known("_start", F.col("_hunk")).result().withColumn("_start", F.coalesce("_start", F.lit(0)))
-        rows = Scan(rows, by, ["n"]).known("path", name(F.col("_start"))).result()
-    else:
-        w = W.partitionBy(*by).orderBy("n")
-        rows = rows.withColumn("_start", F.coalesce(F.last("_hunk", ignorenulls=True).over(w), F.lit(0))).withColumn("_h", F.count("_hunk").over(w))
-        rows = rows.withColumn("path", F.last(name(F.col("_start")), ignorenulls=True).over(w))
+    # what the scans ask of a line, so that they need not move its text; a new file closes the hunk before, 0 stands for none
+    rows = diff.withColumn("_opens", t.startswith("diff --git ")).withColumn("_hunk", F.when(F.col("_opens"), 0).when(start != "", start.cast("long")).cast("long"))
+    rows = rows.withColumn("_file", F.when(t.rlike(FILE), F.regexp_extract(t, FILE, 1))).withColumn("_sign", F.left(t, F.lit(1)))
+    name = F.when(F.col("_opens"), F.lit("")).when(F.col("_start") == 0, F.col("_file"))
+    sign = F.col("_sign")
     body = (F.col("_start") > 0) & F.col("_hunk").isNull()
-    kind = F.when(~body, "header").when(t.startswith("+"), "added").when(t.startswith("-"), "removed").when(t.startswith("\\"), "marker").otherwise("context")
-    rows = rows.withColumn("kind", kind)
-    moves = F.when(F.col("kind").isin("added", "context"), 1).otherwise(0)
+    kind = F.when(~body, "header").when(sign == "+", "added").when(sign == "-", "removed").when(sign == "\\", "marker").otherwise("context")
+    moves = F.when(kind.isin("added", "context"), 1).otherwise(0)
     if wide:
-        rows = Scan(rows, by, ["n"]).total("_moves", moves).result()
-        rows = Scan(rows, by, ["n"]).known("_above", F.when(F.col("_hunk").isNotNull(), F.col("_moves"))).result()
+        rows = Scan(rows, by, ["n"]).known("_start", F.col("_hunk")).result(keep=True).withColumn("_start", F.coalesce("_start", F.lit(0)))
+        rows = Scan(rows, by, ["n"], ranged=True).known("path", name).total("_moves", moves).result(keep=True)
+        rows = Scan(rows, by, ["n"], ranged=True).known("_above", F.when(F.col("_hunk").isNotNull(), F.col("_moves"))).result()
         seen = F.col("_moves") - F.coalesce("_above", F.lit(0))
     else:
+        w = W.partitionBy(*by).orderBy("n")
+        rows = rows.withColumn("_start", F.coalesce(F.last("_hunk", ignorenulls=True).over(w), F.lit(0))).withColumn("_h", F.count("_hunk").over(w))
+        rows = rows.withColumn("path", F.last(name, ignorenulls=True).over(w))
         seen = F.sum(moves).over(W.partitionBy(*by, "_h").orderBy("n"))
+    rows = rows.withColumn("kind", kind)
     return rows.select(*by, "n", "text", F.nullif("path", F.lit("")).alias("path"), "kind", F.when(F.col("kind").isin("added", "context"), F.col("_start") + seen - 1).alias("line_no"))
 
 

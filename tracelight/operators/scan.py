@@ -15,12 +15,16 @@ from .tables import Scratch
 class Scan:
     """Values along the order of a key's rows. Rows of the same place come in no set order."""
 
-    def __init__(self, df: DataFrame, by: list[str], order: list[str], segments: int | None = None):
-        spark = df.sparkSession
-        n = segments or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        # written: the borders of a range are sampled, and must be the same for all that reads them
-        self.rows = Scratch(spark, "scan").write(df.repartitionByRange(n, *by, *order).withColumn("_seg", F.spark_partition_id()))
-        self.by, self.order, self.columns = by, order, df.columns
+    def __init__(self, df: DataFrame, by: list[str], order: list[str], segments: int | None = None, ranged: bool = False):
+        """ranged: df is result(keep=True) of a scan in the same order, whose segments hold on."""
+        if ranged:
+            self.rows = df
+        else:
+            spark = df.sparkSession
+            n = segments or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+            # written: the borders of a range are sampled, and must be the same for all that reads them
+            self.rows = Scratch(spark, "scan").write(df.repartitionByRange(n, *by, *order).withColumn("_seg", F.spark_partition_id()))
+        self.by, self.order, self.columns = by, order, [c for c in df.columns if c != "_seg"]
         self.within: list[tuple[str, str, Column]] = []
 
     def lag(self, name: str, value: Column) -> "Scan":
@@ -38,7 +42,8 @@ class Scan:
         self.within.append((name, "last", value))
         return self
 
-    def result(self) -> DataFrame:
+    def result(self, keep: bool = False) -> DataFrame:
+        """keep: with the segments, for a scan of what this one found."""
         part = [*self.by, "_seg"]
         w = W.partitionBy(*part).orderBy(*self.order)
         so_far = w.rowsBetween(W.unboundedPreceding, 0)
@@ -55,6 +60,8 @@ class Scan:
         for k, (_, kind, _) in enumerate(self.within):
             carry = carry.withColumn(f"_c{k}", F.lag(f"_e{k}").over(before)["v"] if kind == "lag" else F.sum(F.col(f"_e{k}.v")).over(earlier) if kind == "sum" else F.last(f"_e{k}", ignorenulls=True).over(earlier)["v"])
         carry = carry.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(part)], *[f"_c{k}" for k in range(len(self.within))])
+        if not self.by:  # a row a segment: the rows stay where they are
+            carry = F.broadcast(carry)
         same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(part)]
         out = rows.join(carry, [x for x in same] if len(same) > 1 else same[0], "left")
         values = []
@@ -62,4 +69,4 @@ class Scan:
             own, carried = F.col(f"_v{k}"), F.col(f"_c{k}")
             value = F.when(F.col("_first"), carried).otherwise(own) if kind == "lag" else F.when(own.isNull(), carried).when(carried.isNull(), own).otherwise(own + carried) if kind == "sum" else F.coalesce(own, carried)
             values.append(value.alias(name))
-        return out.select(*self.columns, *values)
+        return out.select(*self.columns, *(["_seg"] if keep else []), *values)
