@@ -30,3 +30,9 @@ def test_one_diff_is_written_once(spark, monkeypatch):
     wide = sorted(diffview.parse(df, [], wide=True).collect())
     assert len(written) == 1
     assert wide == sorted(diffview.parse(df.withColumn("k", F.lit(0)), ["k"]).drop("k").collect())
+
+
+def test_lines_of_a_commit_are_moved_once(spark):
+    for name in ("A10_file_stats", "W1_line_groups", "P24_prompt_target"):
+        plan = catalog.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(l_orderkey" in plan, name

@@ -27,10 +27,10 @@ def blame(hunks: DataFrame, notes: DataFrame, prompts: DataFrame | None = None)
     return out
 
 
-def prompt_target(lines: DataFrame, by: list[str], line: int | None = None) -> DataFrame:
-    """Per file the asked line, or else its first line by AI."""
+def prompt_target(lines: DataFrame, by: list[str], line: int | None = None, also: list[str] | None = None) -> DataFrame:
+    """Per file the asked line, or else its first line by AI; also: more of its columns."""
+    names = ["line_number", "prompt_index", "edit_id", *(also or [])]
     ai = lines.where(F.col("source_type").isin("AI", "AIModified"))
     if line is not None:
         ai = ai.where(F.col("line_number") == line)
-    first = F.min(F.struct("line_number", "prompt_index", "edit_id")).alias("f")
-    return ai.groupBy(*by).agg(first).select(*by, "f.line_number", "f.prompt_index", "f.edit_id")
+    return ai.groupBy(*by).agg(F.min(F.struct(*names)).alias("f")).select(*by, *(f"f.{c}" for c in names))

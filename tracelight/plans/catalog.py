@@ -13,7 +13,7 @@ from . import sql as Q
 from .registry import ORACLES, QUERIES, op  # noqa: F401
 
 def _files(spark, d):
-    return AC.note_files(P.note_lines(spark, d))
+    return AC.note_files(P.note_lines(spark, d, together=True))
 
 
 # --- counters and summaries --------------------------------------------------
@@ -103,7 +103,7 @@ def _(spark, d):
 
 @op("P24_prompt_target", f"""WITH {Q.NOTE_LINES} SELECT commit_key, path, line_number, prompt_index, edit_id FROM note_lines WHERE source_type IN ('AI', 'AIModified') QUALIFY row_number() OVER (PARTITION BY commit_key, path ORDER BY line_number) = 1""")
 def _(spark, d):
-    return BL.prompt_target(P.note_lines(spark, d), ["commit_key", "path"])
+    return BL.prompt_target(P.note_lines(spark, d, together=True), ["commit_key", "path"])
 
 
 @op("K12_blame_json", f"""WITH {Q.NOTE_LINES}, {Q.BLAME}, {Q.COMMITS}, {Q.PROMPTS} SELECT b.path, b.commit_key, b.line_number, '{{"line_number":' || line_number || ',"line":' || line_number || ',"commit":{{"id":"' || commit_id || '","short":"' || substr(commit_id, 1, 7) || '","author":' || to_json(author) || '}},"source":"' || CASE source_type WHEN 'AI' THEN 'ai' WHEN 'AIModified' THEN 'ai_modified' ELSE lower(source_type) END
@@ -138,8 +138,7 @@ SELECT t.path, t.line_number, commit_id, '{{"schema_version":1,"schema":"prompt.
 || '}},"prompt":' || CASE WHEN p.text IS NULL THEN 'null' ELSE '{{"index":' || t.prompt_index || ',"text":' || to_json(p.text) || ',"timestamp":null,"affected_files":' || to_json(p.affected_files) || '}}' END || ',"session":{{"id":"' || session_id || '","model":"' || model || '","started_at":"' || started_at || '"}}}}' AS json
 FROM t JOIN commits USING (commit_key) LEFT JOIN prompts p ON p.commit_key = t.commit_key AND p.prompt_index = t.prompt_index""")
 def _(spark, d):
-    lines = P.note_lines(spark, d)
-    t = BL.prompt_target(lines, _KEY).join(lines.select(*_KEY, "line_number", "source_type"), [*_KEY, "line_number"])
+    t = BL.prompt_target(P.note_lines(spark, d, together=True), _KEY, also=["source_type"])
     t = t.join(P.commits(spark, d), "commit_key").join(P.prompts(spark, d), ["commit_key", "prompt_index"], "left")
     return sinks.prompt_json(t, "r", by=["commit_id"])
 
@@ -161,13 +160,13 @@ _STATS = f"""stats AS (SELECT *, ai_lines + ai_modified_lines AS ai_total, {Q.ra
 
 @op("A10_file_stats", f"WITH {Q.NOTE_LINES}, {_STATS} SELECT * FROM stats")
 def _(spark, d):
-    return annotations.file_stats(P.note_lines(spark, d), _KEY)
+    return annotations.file_stats(P.note_lines(spark, d, together=True), _KEY)
 
 
 @op("A10_prompt_counts", f"""WITH {Q.NOTE_LINES}, n AS (SELECT commit_key, path, prompt_index, count(*) AS line_count FROM note_lines WHERE prompt_index IS NOT NULL AND source_type IN ('AI', 'AIModified') GROUP BY ALL)
 SELECT *, row_number() OVER (PARTITION BY commit_key, path ORDER BY line_count DESC, prompt_index) AS place FROM n""")
 def _(spark, d):
-    return annotations.prompt_counts(P.note_lines(spark, d), _KEY)
+    return annotations.prompt_counts(P.note_lines(spark, d, together=True), _KEY)
 
 
 def _islands(kind: str, kinds: str, source: str = "note_lines") -> str:
@@ -177,12 +176,12 @@ def _islands(kind: str, kinds: str, source: str = "note_lines") -> str:
 
 @op("W1_line_groups", f"WITH {Q.NOTE_LINES}, {_islands('source_type', chr(39) + 'AI' + chr(39) + ', ' + chr(39) + 'AIModified' + chr(39))} SELECT * FROM runs")
 def _(spark, d):
-    return annotations.line_groups(P.note_lines(spark, d), _KEY)
+    return annotations.line_groups(P.note_lines(spark, d, together=True), _KEY)
 
 
 @op("W1_grouped_types", f"WITH {Q.NOTE_LINES}, {_islands(chr(39) + 'AIRelated' + chr(39), chr(39) + 'AI' + chr(39) + ', ' + chr(39) + 'AIModified' + chr(39))} SELECT * FROM runs WHERE end_line - start_line + 1 >= 2")
 def _(spark, d):
-    return annotations.line_groups(P.note_lines(spark, d), _KEY, group_types=True, min_lines=2)
+    return annotations.line_groups(P.note_lines(spark, d, together=True), _KEY, group_types=True, min_lines=2)
 
 
 @op("J10_groups_in_diff", f"""WITH {Q.NOTE_LINES}, {_islands('source_type', chr(39) + 'AI' + chr(39) + ', ' + chr(39) + 'AIModified' + chr(39))}, d AS (SELECT 'src/f' || CAST(p_partkey % 50 AS VARCHAR) AS path, p_size % 7 AS range_start, p_size % 7 + p_size % 3 AS range_end FROM part WHERE p_size < 20)
@@ -197,7 +196,7 @@ s AS (SELECT *, coverage * 40.0 + least(ai_total, 100) * 0.3 + CASE WHEN is_new_
 c AS (SELECT commit_key, path, 'file' AS kind, CAST(1 AS BIGINT) AS start_line, total_lines AS end_line, score, coverage FROM s WHERE whole UNION ALL SELECT r.commit_key, r.path, 'lines', r.start_line, r.end_line, s.score, s.coverage FROM runs r JOIN s ON s.commit_key = r.commit_key AND s.path = r.path WHERE NOT s.whole)
 SELECT commit_key, path, kind, start_line, end_line, CAST(score AS DOUBLE) AS score, CAST(coverage AS DOUBLE) AS coverage FROM c ORDER BY score DESC, coverage DESC, commit_key, path, start_line, end_line LIMIT 50""")
 def _(spark, d):
-    lines = P.note_lines(spark, d)
+    lines = P.note_lines(spark, d, together=True)
     return annotations.candidates(annotations.file_stats(lines, _KEY), annotations.line_groups(lines, _KEY), _KEY)
 
 

@@ -36,10 +36,20 @@ def commit_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("commit_key"), F.expr("o_orderkey div 2").alias("parent_key"))
 
 
-def note_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (commit_key, path, line_number): of repeated lines the smallest."""
+def _dealt(df: DataFrame, key: str, part: int = 4 << 20) -> DataFrame:
+    """df by key in parts of about so many bytes of its files, so that what a task holds does
+    not grow with the table."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // part), 100_000)), key)
+
+
+def note_lines(spark: SparkSession, sf_dir: str, together: bool = False) -> DataFrame:
+    """One row per (commit_key, path, line_number): of repeated lines the smallest. together:
+    a commit's lines are in one part, so what is counted per commit or file stays there."""
     kind = F.concat("l_returnflag", "l_linestatus")
-    li = table(spark, sf_dir, "lineitem").select(
+    li = table(spark, sf_dir, "lineitem")
+    li = _dealt(li, "l_orderkey") if together else li
+    li = li.select(
         F.col("l_orderkey").alias("commit_key"), F.concat(F.lit("src/f"), (F.col("l_partkey") % 50).cast("string")).alias("path"), F.col("l_linenumber").cast("long").alias("line_number"),
         F.struct(
             "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax",
