@@ -36,3 +36,8 @@ def test_lines_of_a_commit_are_moved_once(spark):
     for name in ("A10_file_stats", "W1_line_groups", "P24_prompt_target"):
         plan = catalog.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(l_orderkey" in plan, name
+
+
+def test_batches_are_bounded(spark):
+    package.ship(spark)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "4m"

@@ -7,7 +7,21 @@ import zipfile
 _SHIPPED: set[str] = set()
 
 
+#: Bytes and rows of the Arrow batches that a worker holds, and the values of Spark's own that they replace.
+BATCHES = {"maxBytesPerBatch": ("4m", ("67108864b", "64MB")), "maxRecordsPerBatch": ("2048", ("10000",))}
+
+
+def bounded(spark) -> None:
+    """Batches bounded by bytes: a worker makes many times as much of one in lines. The
+    settings must hold until the result is read, so they stay; a session's own are left."""
+    for name, (value, default) in BATCHES.items():
+        name = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(name) in default:
+            spark.conf.set(name, value)
+
+
 def ship(spark) -> None:
+    bounded(spark)
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
