@@ -41,3 +41,23 @@ def test_lines_of_a_commit_are_moved_once(spark):
 def test_batches_are_bounded(spark):
     package.ship(spark)
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "4m"
+
+
+def test_lines_without_repeats_are_aligned_at_once(monkeypatch):
+    r = random.Random(5)
+    pairs = []
+    for _ in range(300):
+        a = [str(r.randint(0, 30)) for _ in range(r.randint(0, 9))]
+        b = [x for x in a if r.random() < 0.7]
+        for _ in range(r.randint(0, 3)):
+            b.insert(r.randint(0, len(b)), str(r.randint(0, 30)))
+        pairs.append((a, b, A.align(a, b)))
+    asked = []
+    middle = A._middle
+    monkeypatch.setattr(A, "_middle", lambda *args: asked.append(1) or middle(*args))
+    for a, b, found in pairs:
+        asked.clear()
+        assert A.align(a, b) == found and all(a[i] == b[j] for i, j in found)
+        same = [a.index(x) for x in b if x in a]
+        if len(set(a)) == len(a) and len(set(b)) == len(b) and same == sorted(same):
+            assert not asked and len(found) == len(same)
