@@ -1002,3 +1002,17 @@ def test_clean_rows(spark, monkeypatch):
     monkeypatch.setattr(D, "NODES", 800)
     got = D.clean(docs(spark, texts), bench)
     assert {r.doc_id for r in got.collect()} == want and got.columns == docs(spark, []).columns
+
+
+def test_maps_of_elements_rule_out_no_link():
+    """The bound never drops a pair at the threshold, and drops texts that merely resemble."""
+    rng = np.random.default_rng(11)
+    n = 250
+    for common, kept in ((225, True), (223, True), (222, None), (190, False), (0, False)):  # 223 of 277 reach 80 percent
+        x, y = [], []
+        for _ in range(50):
+            e = rng.integers(0, 2**63, 2 * n - common).astype(np.uint64)
+            x.append(N.bit_map(e[:n]))
+            y.append(N.bit_map(e[n - common :]))
+        got = N._within_maps(np.array(x), np.array(y), np.full(50, n), np.full(50, n), 80)
+        assert kept is None or (got == kept).all()

@@ -49,6 +49,8 @@ GROUP, BLOCK = 16, 512
 PAIRS = 8192
 #: Elements per set that the positional bound looks at, and counters of holders.
 RARE, SLOTS = 64, 1 << 18
+#: Bits of the map of a set's elements that bounds what two sets can have in common.
+BITS = 4096
 _NO_KEY = np.uint64(2**64 - 1)
 #: Rows of (doc_id, digest) that are broadcast at most: about 10 MB.
 FEW = 250_000
@@ -199,6 +201,24 @@ def _within_reach(rare_x, rare_y, size_x, size_y, percent: int) -> np.ndarray:
     return out
 
 
+def bit_map(s: np.ndarray) -> np.ndarray:
+    """BITS bits, those set that an element falls on, as 64-bit words."""
+    bits = np.zeros(BITS, np.uint8)
+    bits[(s >> np.uint64(40)).astype(np.int64) % BITS] = 1
+    return np.packbits(bits).view(np.uint64)
+
+
+def _within_maps(map_x, map_y, size_x, size_y, percent: int) -> np.ndarray:
+    """Whether pairs can hold enough common elements: a bit that one set alone has stands for
+    an element at least that the other does not have."""
+    out = np.zeros(len(size_x), bool)
+    for at in range(0, len(out), 4096):
+        x, y, n, m = (v[at : at + 4096] for v in (map_x, map_y, size_x, size_y))
+        most = np.minimum(n - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+        out[at : at + 4096] = most * (100 + percent) >= percent * (n + m)
+    return out
+
+
 def _padded(column: pa.Array, width: int) -> np.ndarray:
     """Lists of longs as rows of a matrix, filled up with the largest long."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -216,22 +236,23 @@ def _first_met(buckets_x: np.ndarray, buckets_y: np.ndarray, bucket: int) -> np.
 
 def _across(open_: DataFrame, classes: DataFrame, threshold: float, percent: int) -> DataFrame:
     """Pairs (a, b) of different roots that share a bucket of open_(bucket, node, root)
-    and are not ruled out by sizes, signatures or the positional bound.
+    and are not ruled out by sizes, signatures, the positional bound or the maps of elements.
 
     A bucket is cut into blocks of about BLOCK members; a task compares two blocks.
-    classes: node, n_shingles, sig, rare."""
+    classes: node, n_shingles, sig, rare, bits."""
     sizes = open_.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     lists = open_.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))  # BANDS entries at most
-    at = open_.join(sizes, "bucket").join(classes.select("node", "n_shingles", "sig", "rare").join(lists, "node"), "node")
+    at = open_.join(sizes, "bucket").join(classes.select("node", "n_shingles", "sig", "rare", "bits").join(lists, "node"), "node")
     mine = F.pmod(F.xxhash64("node", "bucket"), F.col("blocks"))
     at = at.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    at = at.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") < F.col("other")).alias("left"), "node", "root", "n_shingles", "sig", "rare", "buckets")
+    at = at.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") < F.col("other")).alias("left"), "node", "root", "n_shingles", "sig", "rare", "buckets", "bits")
     least = least_matches(threshold)
 
     def pairs(group: pa.Table):
         node, root, size = (group.column(k).to_numpy() for k in (4, 5, 6))
         sig, rare = _matrix(group.column(7), np.uint8, HASHES), _matrix(group.column(8), np.uint64, RARE)
         buckets, bucket = _padded(group.column(9), BANDS), group.column(0)[0].as_py()
+        bits = _matrix(group.column(10), np.uint64, BITS // 64)
         if group.column(1)[0].as_py() == group.column(2)[0].as_py():
             left, right = np.arange(len(node)), np.arange(len(node))
         else:
@@ -249,6 +270,8 @@ def _across(open_: DataFrame, classes: DataFrame, threshold: float, percent: int
             k = _first_met(buckets[i], buckets[j], bucket)
             i, j = i[k], j[k]
             k = _within_reach(rare[i], rare[j], size[i], size[j], percent)
+            i, j = i[k], j[k]
+            k = _within_maps(bits[i], bits[j], size[i], size[j], percent)
             a, b = node[i[k]], node[j[k]]
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
@@ -301,8 +324,8 @@ def _sets(owners: DataFrame, docs: DataFrame, words: int) -> DataFrame:
 
 
 def _rare(sets: DataFrame) -> DataFrame:
-    """node, rare: the keys of each set's RARE first elements in one order of all shingles,
-    those that few of the sets hold first. A key is the number of holders, then bits of the
+    """node, rare, bits: the keys of each set's RARE first elements in one order of all shingles,
+    those that few of the sets hold first, and the map of all its elements. A key is the number of holders, then bits of the
     element's hash. Holders are counted by slot of SLOTS, so that the counts are a table
     of fixed size; any order keeps the bound exact."""
     spark = sets.sparkSession
@@ -322,15 +345,16 @@ def _rare(sets: DataFrame) -> DataFrame:
 
     def first(batches):
         for b in batches:
-            out = []
+            out, bits = [], []
             for e in b.column(1).to_pylist():
                 x = np.frombuffer(e, np.uint64)
+                bits.append(bit_map(x).tobytes())
                 n = np.minimum(sent.value[x % np.uint64(SLOTS)], (1 << 23) - 1).astype(np.uint64)
                 key = np.sort((n << np.uint64(40)) | (x >> np.uint64(24)))[:RARE]
                 out.append(np.pad(key, (0, RARE - len(key)), constant_values=_NO_KEY).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["node", "rare"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary()), pa.array(bits, pa.binary())], names=["node", "rare", "bits"])
 
-    return sets.select("node", "elements").mapInArrow(first, "node long, rare binary")
+    return sets.select("node", "elements").mapInArrow(first, "node long, rare binary, bits binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -392,7 +416,7 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     R.discard(members)
     if at.head(1):
         looked = at.select("node").distinct()
-        rare = R.stored(near.join(_rare(sets.join(looked, "node", "left_semi")), "node").select("node", "n_shingles", "sig", "rare"), "rare", of=(near, sets))
+        rare = R.stored(near.join(_rare(sets.join(looked, "node", "left_semi")), "node").select("node", "n_shingles", "sig", "rare", "bits"), "rare", of=(near, sets))
         tried = R.stored(_across(at, rare, threshold, percent), "pairs")
         more = _verified(tried, sets, percent)
         if more.head(1):
