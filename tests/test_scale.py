@@ -5,8 +5,11 @@ import random
 from pyspark.sql import functions as F
 
 from tracelight.functions import trailers as TR
-from tracelight.operators import attribution as A, diffview, scan
+from tracelight.operators import attribution as A, diffview, provenance as PR, scan
 from tracelight.plans import catalog, package
+from tracelight.sources import projection as P
+
+from .test_versions import blamed
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -61,3 +64,31 @@ def test_lines_without_repeats_are_aligned_at_once(monkeypatch):
         same = [a.index(x) for x in b if x in a]
         if len(set(a)) == len(a) and len(set(b)) == len(b) and same == sorted(same):
             assert not asked and len(found) == len(same)
+
+
+def test_versions_are_moved_once(spark):
+    """A text is moved to its block only, and a long history is put together from its blocks."""
+    rng = random.Random(11)
+    files = {}
+    for name, n in (("f", 2 * PR.BLOCK + 1), ("g", 5 * PR.BLOCK + 7), ("h", PR.BLOCK)):
+        text, versions = [f"{name}{k}\n" for k in range(12)], []
+        for seq in range(n):
+            k = rng.randrange(len(text) + 1)
+            text = text[:k] + [f"{name} {seq}\n"] * (seq % 3) + text[k + seq % 4 // 2 :]
+            versions.append("".join(text[:30]))
+            text = text[:30]
+        files[name] = versions
+    rows = [(p, k, 100 * k, t) for p, ts in files.items() for k, t in enumerate(ts)]
+    v = spark.createDataFrame(rows, "path string, seq long, commit_key long, content string")
+    plan = PR.line_maps(v, ["path"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    found = PR.hunks(v, ["path"]).collect()
+    got = {(r.path, r.seq, r.final_start + k): (r.commit_key // 100, r.orig_start + k - 1) for r in found for k in range(r.n_lines)}
+    want = {(p, seq, k + 1): x for p, ts in files.items() for seq, here in enumerate(blamed(ts, None)) for k, x in enumerate(here)}
+    assert got == want and len(found) < len(got)
+    assert any(seq - x[0] > 2 * PR.BLOCK for (_, seq, _), x in want.items())
+    # no two hunks of a version go on in one another
+    ends = {(r.path, r.seq, r.final_start + r.n_lines, r.commit_key, r.orig_start + r.n_lines) for r in found}
+    assert not ends & {(r.path, r.seq, r.final_start, r.commit_key, r.orig_start) for r in found}
+    plan = P.histories(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(path") == 1

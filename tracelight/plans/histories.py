@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import lines
 from ..operators import blame as BL, graph as GR, provenance as PR, trees as TR
+from ..operators.tables import Scratch
 from ..sources import projection as P
 from .registry import op
 
@@ -30,14 +31,15 @@ def _(spark, d):
 @op("J1_blame_from_versions", f"""WITH {_BORN} SELECT path, seq, commit_key, line AS line_number, orig AS orig_line, CASE WHEN born_seq = oseq THEN ['AI', 'AIModified', 'Human'][ln % 3 + 1] ELSE 'Unknown' END AS source_type FROM born JOIN v USING (path) WHERE v.seq = born_seq AND born.seq = (SELECT max(seq) FROM v w WHERE w.path = born.path)"""
     .replace("SELECT path, seq, commit_key", "SELECT path, born.seq, v.commit_key"))
 def _(spark, d):
-    """The newest version of every file, on hunks derived from its versions."""
-    v = P.histories(spark, d)
-    at = v.select("commit_key", "path", "seq", F.posexplode(lines(F.col("content"))).alias("k", "text"))
+    """The newest version of every file, on hunks derived from its versions; notes are those
+    of the commits that the hunks name."""
+    v, numbered = P.histories(spark, d), P.versions(spark, d)
+    newest = Scratch(spark, "newest").write(PR.at_revision(PR.hunks(v, ["path"]), numbered, ["path"]))
+    at = v.join(newest.select("commit_key", "path").distinct(), ["commit_key", "path"], "left_semi").select("commit_key", "path", "seq", F.posexplode(lines(F.col("content"))).alias("k", "text"))
     own = at.where(F.col("text").startswith(F.concat(F.lit("line "), F.col("seq").cast("string"), F.lit(":"))))
     kind = F.element_at(F.array(F.lit("AI"), F.lit("AIModified"), F.lit("Human")), (F.substring_index("text", ":", -1).cast("int") % 3 + 1))
     notes = own.select("commit_key", "path", (F.col("k") + 1).cast("long").alias("line_number"), kind.alias("source_type"))
-    last = v.groupBy("path").agg(F.max("seq").alias("seq"))
-    newest = PR.at_revision(PR.hunks(v, ["path"]), v, ["path"])
+    last = numbered.groupBy("path").agg(F.max("seq").alias("seq"))
     return BL.blame(newest, notes).join(last, "path").select("path", "seq", "commit_key", "line_number", "orig_line", "source_type")
 
 

@@ -7,7 +7,7 @@ file versions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, WindowSpec, functions as F
 
 from ..functions.text import lines
 from ..schemas import AI, AI_MODIFIED, HUMAN, ORIGINAL, UNKNOWN
@@ -94,20 +94,37 @@ def file_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("path", F.array_join(keep, "\n").alias("original"), F.array_join("l", "\n").alias("ai"), F.array_join(final, "\n").alias("final"))
 
 
-def histories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """path, seq, commit_key, content: orders are versions of 200 files, and each brings a
-    line per line item, which stands in the four versions after it as well but for a
-    fourth of them, at random; some come back."""
+def _of_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, WindowSpec]:
+    """Orders as commits to 200 files, and the order of a file's commits."""
     from pyspark.sql import Window as W
 
     v = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("commit_key"), F.concat(F.lit("src/h"), (F.col("o_custkey") % 200).cast("string")).alias("path"))
-    v = v.withColumn("seq", (F.row_number().over(W.partitionBy("path").orderBy("commit_key")) - 1).cast("long"))
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("commit_key"), F.col("l_linenumber").cast("long").alias("ln")).distinct()
-    age = F.explode(F.array(*[F.lit(k) for k in range(5)]))
-    rows = v.join(li, "commit_key").select("path", F.col("seq").alias("oseq"), "ln", age.alias("age")).where((F.col("age") == 0) | ((F.col("ln") + 2 * F.col("oseq") + F.col("age")) % 4 != 0))
-    texts = rows.groupBy("path", (F.col("oseq") + F.col("age")).alias("seq")).agg(F.array_sort(F.collect_list(F.struct("oseq", "ln"))).alias("lines"))
-    text = F.array_join(F.transform("lines", lambda x: F.concat(F.lit("line "), x["oseq"].cast("string"), F.lit(":"), x["ln"].cast("string"), F.lit("\n"))), "")
-    return v.join(texts, ["path", "seq"], "left").select("path", "seq", "commit_key", F.coalesce(text, F.lit("")).alias("content"))
+    return v, W.partitionBy("path").orderBy("commit_key")
+
+
+def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, seq, commit_key: the versions of histories() without what stands in them."""
+    v, w = _of_files(spark, sf_dir)
+    return v.select("path", (F.row_number().over(w) - 1).cast("long").alias("seq"), "commit_key")
+
+
+def histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, seq, commit_key, content: orders are versions of 200 files, and each brings a
+    line per line item, which stands in the four versions after it as well but for a
+    fourth of them, at random; some come back. A commit's own lines meet it once, and the
+    window that numbers the versions looks back at those of the four before."""
+    v, w = _of_files(spark, sf_dir)
+    own = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("commit_key")).agg(F.array_sort(F.collect_set(F.col("l_linenumber").cast("long"))).alias("own"))
+    v = v.join(own, "commit_key", "left").select("path", (F.row_number().over(w) - 1).cast("long").alias("seq"), "commit_key", *[F.lag("own", k).over(w).alias(f"own{k}") for k in range(5)])
+
+    def stands(k: int):
+        at = F.col("seq") - k
+        text = lambda ln: F.concat(F.lit("line "), at.cast("string"), F.lit(":"), ln.cast("string"), F.lit("\n"))
+        there = F.filter(f"own{k}", lambda ln: (ln + 2 * at + k) % 4 != 0) if k else F.col("own0")
+        return F.coalesce(F.array_join(F.transform(there, text), ""), F.lit(""))
+
+    content = F.when(F.col("path").isNull(), "").otherwise(F.concat(*[stands(k) for k in (4, 3, 2, 1, 0)]))
+    return v.select("path", "seq", "commit_key", content.alias("content"))
 
 
 def moved_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
