@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tracelight.functions import trailers as TR
-from tracelight.operators import attribution as A, diffview, provenance as PR, scan
+from tracelight.operators import attribution as A, diffview, graph as GR, provenance as PR, scan
 from tracelight.plans import catalog, package
 from tracelight.sources import projection as P
 
@@ -92,3 +92,29 @@ def test_versions_are_moved_once(spark):
     assert not ends & {(r.path, r.seq, r.final_start, r.commit_key, r.orig_start) for r in found}
     plan = P.histories(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(path") == 1
+
+
+def test_lines_of_commits_are_contracted(spark, monkeypatch, tmp_path):
+    """Rounds leave a share of the links each, and what is reached stays the same."""
+    rng = random.Random(4)
+    edges = [(k, k - 1) for k in range(1, 3000) if k % 500] + [(k, k - 1000) for k in range(1200, 3000, 700)] + [(1499, 700), (1499, 710), (5000, 4000), (5000, 4000)]
+    edges += [(10_000 + k, 10_000 + rng.randrange(k)) for k in range(1, 60)]
+    name = {k: rng.randrange(1 << 40) for k in {x for e in edges for x in e}}
+    want, todo, up = set(), [2777, 1499, 10_050], {}
+    for a, b in edges:
+        up.setdefault(a, []).append(b)
+    heads = spark.createDataFrame([(name[k],) for k in todo], "commit_key long")
+    while todo:
+        k = todo.pop()
+        if k not in want:
+            want.add(k)
+            todo += up.get(k, [])
+    parents = spark.createDataFrame([(name[a], name[b]) for a, b in edges], "commit_key long, parent_key long")
+    monkeypatch.setattr(GR, "LINKS", 100)
+    left, tables = GR.contracted(parents.distinct(), heads, f"file://{tmp_path}/alone")
+    assert len(tables) >= 3 and left.count() < 500
+    seen = []
+    chains = GR.chains
+    monkeypatch.setattr(GR, "chains", lambda p, folder: seen.append(p.count()) or chains(p, folder))
+    got = [r.commit_key for r in GR.ancestors(parents, heads).collect()]
+    assert sorted(got) == sorted(name[k] for k in want) and seen[0] < 500

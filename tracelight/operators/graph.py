@@ -20,6 +20,8 @@ def _folder(spark: SparkSession) -> str:
 
 #: Generations per job, jobs before chains are looked for, and steps of a chain that one round multiplies by.
 GENERATIONS, NEAR, STRIDE = 8, 2, 4
+#: Links that chains() follows to their ends, and steps along a line per round before that.
+LINKS, STEPS = 1 << 18, 6
 
 
 def _written(df: DataFrame, path: str) -> DataFrame:
@@ -45,6 +47,39 @@ def chains(parents: DataFrame, folder: str) -> DataFrame:
     return now.drop("open")
 
 
+def contracted(parents: DataFrame, kept: DataFrame, folder: str) -> tuple[DataFrame, list[DataFrame]]:
+    """parents(commit_key, parent_key), without repeats, less most commits that have one parent
+    and one child and are not in kept(commit_key); and tables (top, by), the last first: who
+    reaches top reaches the commits in by.
+
+    One such commit in four, by hash, and all others stay. From each that stays the line is
+    followed to the next, STEPS a job, and the commits between go. What is left is a share of
+    the table, so all rounds together move a few times the table. Below LINKS of them, or
+    where they get no fewer, chains() goes on."""
+    now, tables, before = parents, [], None
+    kind = parents.schema["parent_key"].dataType.simpleString()
+    while True:
+        k = len(tables)
+        one = now.groupBy("commit_key").agg(F.count("*").alias("n"), F.min("parent_key").alias("next")).where("n = 1").select("commit_key", "next")
+        only = now.groupBy("parent_key").agg(F.count("*").alias("n")).where("n = 1").select(F.col("parent_key").alias("commit_key"))
+        inner = one.join(only, "commit_key", "left_semi").join(kept, "commit_key", "left_anti")
+        links = _written(inner.where(F.pmod(F.xxhash64("commit_key", F.lit(k)), F.lit(4)) != 0), f"{folder}/links-{k}")
+        n = links.count()
+        if n < LINKS or before is not None and n > 0.9 * before:
+            return now, tables[::-1]
+        before = n
+        at = links.select(F.col("commit_key").alias("at"), "next")
+        step = now.join(links, "commit_key", "left_anti").select(F.col("commit_key").alias("top"), F.col("parent_key").alias("at"), F.expr(f"cast(array() as array<{kind}>)").alias("by"))
+        for _ in range(STEPS):
+            by = F.when(F.col("next").isNull(), F.col("by")).otherwise(F.array_append("by", F.col("at")))
+            step = step.join(at, "at", "left").select("top", F.coalesce("next", "at").alias("at"), by.alias("by"))
+        step = _written(step, f"{folder}/steps-{k}")
+        passed = step.select(F.explode("by").alias("commit_key"))
+        left = links.join(passed, "commit_key", "left_anti").select("commit_key", F.col("next").alias("parent_key"))
+        now = _written(step.select(F.col("top").alias("commit_key"), F.col("at").alias("parent_key")).unionByName(left).distinct(), f"{folder}/parents-{k}")
+        tables.append(step.where(F.size("by") > 0).select("top", "by"))
+
+
 def _walk(edges: DataFrame, start: DataFrame, folder: str, jobs: int | None = None) -> tuple[DataFrame, bool]:
     """Nodes that start(node) reaches over edges(node, to), and whether that is all of
     them. Every job takes GENERATIONS steps from what the last one ended at, and is written:
@@ -72,8 +107,9 @@ def ancestors(parents: DataFrame, heads: DataFrame) -> DataFrame:
     """All commits reachable from heads(commit_key), heads included.
 
     parents(commit_key, parent_key). The nearest generations are walked, several a job.
-    If that is not all, chains of commits are put into one step each, and what is left,
-    merges and branches, is walked likewise. Each table is written to the shared folder, so
+    If that is not all, long tables are contracted to few commits of each line, chains of
+    what stays are put into one step each, and what is left, merges and branches, is walked
+    likewise; then the commits between those that stayed are met. Each table is written to the shared folder, so
     histories of any length keep a short lineage. (A recursive query is limited to 100
     levels by default.)
     """
@@ -85,6 +121,7 @@ def ancestors(parents: DataFrame, heads: DataFrame) -> DataFrame:
     if over:
         return known
     parents = _written(parents.distinct(), f"{folder}/parents")
+    parents, passed = contracted(parents, known, folder)
     line = chains(parents, folder)
     entry = line.select(F.col("commit_key").alias("parent_key"), "last")
     ends = parents.join(line, "commit_key", "left_anti").join(entry, "parent_key", "left").select(F.col("commit_key").alias("node"), F.coalesce("last", "parent_key").alias("to")).distinct()
@@ -97,7 +134,11 @@ def ancestors(parents: DataFrame, heads: DataFrame) -> DataFrame:
     part = start.groupBy("node").agg(F.max("steps").alias("from"))
     out = line.join(part, line["last"] == part["node"]).where("steps <= from").select("commit_key").unionByName(start.select(F.col("node").alias("commit_key")))
     out = out.unionByName(line.join(whole, line["last"] == whole["node"], "left_semi").select("commit_key")).unionByName(whole.toDF("commit_key")).unionByName(met.toDF("commit_key"))
-    return out.distinct()
+    out = out.distinct()
+    for k, table in enumerate(passed):
+        out = _written(out, f"{folder}/out-{k}")
+        out = out.unionByName(table.join(out.withColumnRenamed("commit_key", "top"), "top", "left_semi").select(F.explode("by").alias("commit_key")))
+    return out
 
 
 def commit_range(parents: DataFrame, base: DataFrame | None, head: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from ..functions.text import lines
 from ..operators import blame as BL, graph as GR, provenance as PR, trees as TR
@@ -97,7 +97,7 @@ def _(spark, d):
 r AS (SELECT commit_key FROM v JOIN h USING (path, seq) UNION SELECT parent_key FROM r JOIN p USING (commit_key)) SELECT commit_key FROM r""")
 def _(spark, d):
     """The history of every file as a line of commits, from the third before its last."""
-    v = P.histories(spark, d).select("path", "seq", "commit_key")
-    parents = v.join(v.select("path", (F.col("seq") + 1).alias("seq"), F.col("commit_key").alias("parent_key")), ["path", "seq"]).select("commit_key", "parent_key")
+    v, w = P.versions(spark, d), W.partitionBy("path").orderBy("seq")
+    parents = v.where("path is not null").select("commit_key", F.lag("commit_key").over(w).alias("parent_key")).where("parent_key is not null")
     heads = v.join(v.groupBy("path").agg((F.max("seq") - 3).alias("seq")), ["path", "seq"]).select("commit_key")
     return GR.ancestors(parents, heads)
