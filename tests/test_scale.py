@@ -5,9 +5,9 @@ import random
 from pyspark.sql import functions as F
 
 from tracelight.functions import trailers as TR
-from tracelight.operators import attribution as A, diffview, graph as GR, provenance as PR, scan
+from tracelight.operators import attribution as A, audit as AU, diffview, graph as GR, provenance as PR, scan
 from tracelight.plans import catalog, package
-from tracelight.sources import projection as P
+from tracelight.sources import auditlog, projection as P
 
 from .test_versions import blamed
 
@@ -118,3 +118,52 @@ def test_lines_of_commits_are_contracted(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(GR, "chains", lambda p, folder: seen.append(p.count()) or chains(p, folder))
     got = [r.commit_key for r in GR.ancestors(parents, heads).collect()]
     assert sorted(got) == sorted(name[k] for k in want) and seen[0] < 500
+
+
+def test_a_long_log_comes_packed(spark, tmp_path):
+    """The task that folds a log sorts packs of events, not events; hashes are the same."""
+    kinds = ("delete", "export", "redaction")
+    n = 25_000
+    rows = [(f"log{k % 2}" if k > 20_000 else "log1", k, kinds[k % 3], f"t{k % 7}", None if k % 5 else f"ü{k}", None if k % 2 else k) for k in range(n)]
+    random.Random(2).shuffle(rows)
+    ev = spark.createDataFrame(rows, "stream string, seq long, event string, timestamp string, commit string, commit_count long").repartition(5)
+    plain, wide = AU.chained(ev, last={"log0": "f" * 32}), AU.chained(ev, last={"log0": "f" * 32}, wide=True)
+    assert wide.columns == plain.columns
+    got = sorted(wide.collect(), key=lambda r: r.seq)
+    assert got == sorted(plain.collect(), key=lambda r: r.seq) and len(got) == n and got[-1].event_hash
+    assert sum(r.prev_hash is None for r in got) == 1
+    plan = wide._jdf.queryExecution().optimizedPlan().toString()
+    last = plan[: plan.index("RepartitionByExpression")]
+    assert "Sort [stream" in last and "_first" in last and "seq" not in last.partition("Sort")[2].partition("\n")[0]
+
+
+def test_segments_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(scan, "SEGMENT", 64)
+    rows = [(k % 3, k, k % 17 if k % 5 else None) for k in range(5000)]
+    df = spark.createDataFrame(rows, "g long, k long, v long")
+    for by in ([], ["g"]):
+        s = scan.Scan(df, by, ["k"]).lag("before", F.col("v")).total("sum", F.col("v")).known("known", F.col("v"))
+        assert s.rows.groupBy("_seg").count().agg(F.max("count")).first()[0] <= 64
+        state = {}
+        want = []
+        for g, k, v in rows:
+            before, total, known = state.get(g if by else 0, (None, None, None))
+            now = (v, total if v is None else v + (total or 0), known if v is None else v)
+            state[g if by else 0] = now
+            want.append((g, k, v, before, *now[1:]))
+        assert sorted(map(tuple, s.result().collect()), key=lambda r: r[1]) == want
+
+
+def test_lines_of_a_log_stay_in_their_blocks(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"f{k}").write_text("".join(f"{k} {i}\n" for i in range(400)))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        found = auditlog.placed_lines(spark, f"file://{tmp_path}")
+        assert "hashpartitioning(value" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "SortMergeJoin" not in plan and plan.count("Window") <= 4
+        got = sorted((r.seq, r.line, r.value) for r in found.collect())
+        assert spark.read.text(f"file://{tmp_path}").rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert got == [(400 * k + i + 1, i + 1, f"{k} {i}") for k in range(3) for i in range(400)]

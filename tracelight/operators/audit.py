@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import zlib
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -48,33 +49,71 @@ def verify_chain(log: DataFrame, by: list[str] | None = None) -> DataFrame:
     return rows.groupBy(*by).agg(F.coalesce(F.bool_and(good), F.lit(True)).alias("valid"), F.min(F.when(~good, F.col("seq"))).alias("first_bad"), F.count("*").alias("events"))
 
 
-def chained(events: DataFrame, by: str = "stream", last: dict | None = None) -> DataFrame:
+def _hashed(batch, by: int, last: dict, log, before):
+    """A batch of events in order with prev_hash and event_hash, and the log and hash that end it."""
+    import pyarrow as pa
+
+    names = batch.schema.names
+    used = {k: batch.column(names.index(k)).to_pylist() for k in HASHED if k in names}
+    prev, own = [], []
+    for i, of in enumerate(batch.column(by).to_pylist()):
+        if of != log:
+            log, before = of, last.get(of)
+        body = {k: (int(v) if isinstance(v, float) and v == int(v) else v) for k, c in used.items() if (v := c[i]) is not None and v == v}
+        if before is not None:
+            body["prev_hash"] = before
+        prev.append(before)
+        before = hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()[:32]
+        own.append(before)
+    hashes = [pa.array(prev, pa.string()), pa.array(own, pa.string())]
+    return pa.RecordBatch.from_arrays([*batch.columns, *hashes], names=[*names, "prev_hash", "event_hash"]), log, before
+
+
+def chained(events: DataFrame, by: str = "stream", last: dict | None = None, wide: bool = False) -> DataFrame:
     """Adds prev_hash and event_hash to new events of each log, in seq order. A hash
     depends on the one before, so each log is folded by one task; logs run side by
-    side and rows are streamed. last: hash that ends a log so far."""
+    side and rows are streamed. last: hash that ends a log so far. wide: a log may be of any
+    length; it is sorted by many tasks, and comes packed to the one that folds it, which
+    orders packs of thousands of events and opens them one by one."""
     last = last or {}
     names = [c for c in events.columns if c not in ("prev_hash", "event_hash")]
-    schema = events.select(*names).schema.add("prev_hash", "string").add("event_hash", "string")
+    events, at = events.select(*names), names.index(by)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema) + ", prev_hash string, event_hash string"
 
     def fold(batches):
-        import pandas as pd
-
-        now, before = None, None
-        for pdf in batches:
-            out = []
-            for row in pdf[names].to_dict("records"):
-                if row[by] != now:
-                    now, before = row[by], last.get(row[by])
-                body = {k: (int(v) if isinstance(v, float) and v == int(v) else v) for k in HASHED if k != "prev_hash" and (v := row.get(k)) is not None and v == v}
-                if before is not None:
-                    body["prev_hash"] = before
-                h = hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()[:32]
-                out.append({**row, "prev_hash": before, "event_hash": h})
-                before = h
-            if out:
-                yield pd.DataFrame(out, columns=schema.names)
-
-    return events.select(*names).repartition(by).sortWithinPartitions(by, "seq").mapInPandas(fold, schema)
+        log, before = None, None
+        for b in batches:
+            out, log, before = _hashed(b, at, last, log, before)
+            yield out
+
+    if not wide:
+        return events.repartition(by).sortWithinPartitions(by, "seq").mapInArrow(fold, schema)
+    seq = names.index("seq")
+
+    def pack(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            logs = b.column(at).to_pylist()
+            cuts = [0, *(i for i in range(1, len(logs)) if logs[i] != logs[i - 1]), len(logs)]
+            for i, j in zip(cuts, cuts[1:]):
+                if j > i:
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, b.schema) as w:
+                        w.write_batch(b.slice(i, j - i))
+                    ends = [b.column(seq).slice(k, 1) for k in (i, j - 1)]
+                    packed = pa.array([zlib.compress(sink.getvalue().to_pybytes(), 1)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([b.column(at).slice(i, 1), *ends, packed], names=[by, "_first", "_last", "_packed"])
+
+    def fold_packed(batches):
+        import pyarrow as pa
+
+        # one pack at a time
+        yield from fold(b for p in batches for k in range(p.num_rows) for b in pa.ipc.open_stream(zlib.decompress(p.column(3)[k].as_py())))
+
+    kind = lambda c: events.schema[c].dataType.simpleString()
+    packs = events.repartitionByRange(by, "seq").sortWithinPartitions(by, "seq").mapInArrow(pack, f"`{by}` {kind(by)}, _first {kind('seq')}, _last {kind('seq')}, _packed binary")
+    return packs.repartition(by).sortWithinPartitions(by, "_first", "_last").mapInArrow(fold_packed, schema)
 
 
 def event(spark, kind: str, timestamp: str, **details) -> DataFrame:

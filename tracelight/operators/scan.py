@@ -1,7 +1,7 @@
 """Ordered scans of keys of any size.
 
 A window holds all rows of a key in one task. Here rows are ranged over tasks by key and
-place, each segment is scanned alone, and one row a segment carries what the next one
+place and cut into segments of so many rows, each segment is scanned alone, and one row a segment carries what the next one
 begins with: its last value, its sum, its last known value.
 """
 
@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .tables import Scratch
 
 
+#: Rows of a segment at most; a divisor of what sets the ids of two tasks apart.
+SEGMENT = 1 << 16
+
+
 class Scan:
     """Values along the order of a key's rows. Rows of the same place come in no set order."""
 
@@ -23,7 +27,8 @@ class Scan:
             spark = df.sparkSession
             n = segments or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
             # written: the borders of a range are sampled, and must be the same for all that reads them
-            self.rows = Scratch(spark, "scan").write(df.repartitionByRange(n, *by, *order).withColumn("_seg", F.spark_partition_id()))
+            ranged = df.repartitionByRange(n, *by, *order).sortWithinPartitions(*by, *order)
+            self.rows = Scratch(spark, "scan").write(ranged.withColumn("_seg", F.expr(f"monotonically_increasing_id() div {SEGMENT}")))
         self.by, self.order, self.columns = by, order, [c for c in df.columns if c != "_seg"]
         self.within: list[tuple[str, str, Column]] = []
 

@@ -22,14 +22,14 @@ def _fs(spark: SparkSession, path: str):
 
 def placed_lines(spark: SparkSession, path: str) -> DataFrame:
     """(seq, file, line, value): lines of text files with their place among all of them
-    and in their file, both from 1. A block is read by one task and numbered alone; one row a
-    block gives what stands before it."""
+    and in their file, both from 1. A block is read by one task, whose ids run on in it, and
+    is left where it is; one row a block gives its first id and what stands before it."""
     raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("_row"))
-    blocks = raw.groupBy("file", "block").agg(F.count("*").alias("n"))
+    blocks = raw.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("_row").alias("_start"))
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    blocks = blocks.select("file", "block", before(W.orderBy("file", "block")).alias("above"), before(W.partitionBy("file").orderBy("block")).alias("above_in_file"))
-    k = F.row_number().over(W.partitionBy("file", "block").orderBy("_row"))
-    return raw.withColumn("k", k).join(blocks, ["file", "block"]).select((F.col("above") + F.col("k")).cast("long").alias("seq"), "file", (F.col("above_in_file") + F.col("k")).cast("long").alias("line"), "value")
+    blocks = blocks.select("file", "block", "_start", before(W.orderBy("file", "block")).alias("above"), before(W.partitionBy("file").orderBy("block")).alias("above_in_file"))
+    k = F.col("_row") - F.col("_start") + 1
+    return raw.join(F.broadcast(blocks), ["file", "block"]).select((F.col("above") + k).cast("long").alias("seq"), "file", (F.col("above_in_file") + k).cast("long").alias("line"), "value")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -60,13 +60,13 @@ def append(events: DataFrame, path: str, chain: bool = False) -> None:
     """Appends events in the order of seq; details that are null are left out. An append
     is a folder of its own that must be new, so of two writers at a time one fails. chain: events
     carry on the hash of the last one in the log; hashes depend on each other, so one task
-    streams them, else they are ranged over tasks."""
+    streams them, in packs that many tasks have sorted; else they are ranged over tasks."""
     spark = events.sparkSession
     done = _appends(spark, path)
     target = f"{path.rstrip('/')}/{_FOLDER}{int(done[-1].removeprefix(_FOLDER)) + 1 if done else 0:012d}"
     if chain:
         last = read(spark, f"{path.rstrip('/')}/{done[-1]}").orderBy(F.desc("seq")).select("event_hash").first() if done else None
-        rows = AU.chained(events.withColumn("_log", F.lit("log")), "_log", {"log": last.event_hash} if last else None)
+        rows = AU.chained(events.withColumn("_log", F.lit("log")), "_log", {"log": last.event_hash} if last else None, wide=True)
     else:
         rows = events.repartitionByRange("seq").sortWithinPartitions("seq")
     rows.select(*[c for c in S.AUDIT_FIELDS if c in rows.columns]).write.mode("errorifexists").json(target)
