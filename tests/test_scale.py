@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tracelight.functions import trailers as TR
-from tracelight.operators import attribution as A, audit as AU, diffview, graph as GR, provenance as PR, scan
+from tracelight.operators import attribution as A, audit as AU, blame as BL, diffview, graph as GR, provenance as PR, scan
 from tracelight.plans import catalog, package
 from tracelight.sources import auditlog, projection as P
 
@@ -167,3 +167,29 @@ def test_lines_of_a_log_stay_in_their_blocks(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
     assert got == [(400 * k + i + 1, i + 1, f"{k} {i}") for k in range(3) for i in range(400)]
+
+
+def test_blamed_lines_are_not_moved(spark):
+    """Hunks, notes and prompts are dealt once each; what blame finds is what its joins find."""
+    for name in ("J2_prompt_preview", "K12_blame_json"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            plan = catalog.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        dealt = [x for x in plan.split("\n") if "Exchange hashpartitioning(" in x]
+        assert len(dealt) == (3 if name == "J2_prompt_preview" else 6), plan
+        assert all("(path" not in x and "prompt_index" not in x.partition("hashpartitioning(")[2].partition(")")[0] for x in dealt), plan
+    rng = random.Random(9)
+    some = lambda *xs: rng.choice([*xs, None])
+    hunks = [(some(1, 2, 3), some("a", "b"), 10 * k, some(1, 2, 3, 4), rng.randrange(4)) for k in range(200)]
+    notes = [(c, p, n, some("AI", "Human"), some(0, 1, 2)) for c in (1, 2, None) for p in ("a", "b", None) for n in (1, 3, 4, None)]
+    prompts = [(c, i, some("x", " long " * 30)) for c in (1, 2, None) for i in (0, 1, None)]
+    h = spark.createDataFrame(hunks, "commit_key long, path string, final_start long, orig_start long, n_lines long")
+    n = spark.createDataFrame(notes, "commit_key long, path string, line_number long, source_type string, prompt_index long")
+    p = spark.createDataFrame(prompts, "commit_key long, prompt_index long, text string")
+    names = ["commit_key", "path", "line_number", "orig_line", "source_type", "prompt_index", "prompt_preview"]
+    dealt = [df.repartition(7, "commit_key") for df in (h, n, p)]
+    key = lambda r: str(tuple(r))
+    got, want = BL.blame(*dealt, together=True).select(*names), BL.blame(h, n, p).select(*names)
+    assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key) and got.where("prompt_preview is not null").count() > 0

@@ -98,7 +98,7 @@ def _(spark, d):
 @op("J2_prompt_preview", f"""WITH {Q.NOTE_LINES}, {Q.BLAME}, {Q.PROMPTS} SELECT b.commit_key, b.path, b.line_number, b.prompt_index, CASE WHEN length(trim(p.text, ' ' || chr(9) || chr(10) || chr(13))) <= 60 THEN trim(p.text, ' ' || chr(9) || chr(10) || chr(13)) ELSE substr(trim(p.text, ' ' || chr(9) || chr(10) || chr(13)), 1, 57) || '...' END AS prompt_preview
 FROM blame b LEFT JOIN prompts p USING (commit_key, prompt_index)""")
 def _(spark, d):
-    return BL.blame(P.blame_hunks(spark, d), P.note_lines(spark, d), P.prompts(spark, d)).select("commit_key", "path", "line_number", "prompt_index", "prompt_preview")
+    return BL.blame(P.blame_hunks(spark, d, True), P.note_lines(spark, d, True), P.prompts(spark, d, True), together=True).select("commit_key", "path", "line_number", "prompt_index", "prompt_preview")
 
 
 @op("P24_prompt_target", f"""WITH {Q.NOTE_LINES} SELECT commit_key, path, line_number, prompt_index, edit_id FROM note_lines WHERE source_type IN ('AI', 'AIModified') QUALIFY row_number() OVER (PARTITION BY commit_key, path ORDER BY line_number) = 1""")
@@ -110,7 +110,7 @@ def _(spark, d):
 || '","flags":{{"is_ai":' || (source_type IN ('AI', 'AIModified')) || ',"is_human":' || (source_type IN ('Human', 'Original')) || '}},"prompt":{{"index":' || coalesce(CAST(prompt_index AS VARCHAR), 'null') || ',"preview":' || coalesce(CAST(to_json(CASE WHEN length(t) <= 60 THEN t ELSE substr(t, 1, 57) || '...' END) AS VARCHAR), 'null') || '}},"content":null}}' AS json
 FROM blame b JOIN commits USING (commit_key) LEFT JOIN (SELECT commit_key, prompt_index, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM prompts) p USING (commit_key, prompt_index)""")
 def _(spark, d):
-    b = BL.blame(P.blame_hunks(spark, d), P.note_lines(spark, d), P.prompts(spark, d)).join(P.commits(spark, d).select("commit_key", "commit_id", "author"), "commit_key")
+    b = BL.blame(P.blame_hunks(spark, d, True), P.note_lines(spark, d, True), P.prompts(spark, d, True), together=True).join(P.commits(spark, d).select("commit_key", "commit_id", "author"), "commit_key")
     return sinks.blame_json(b, ["path", "commit_key"])
 
 

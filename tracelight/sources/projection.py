@@ -36,10 +36,10 @@ def commit_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("commit_key"), F.expr("o_orderkey div 2").alias("parent_key"))
 
 
-def _dealt(df: DataFrame, key: str, part: int = 4 << 20) -> DataFrame:
-    """df by key in parts of about so many bytes of its files, so that what a task holds does
-    not grow with the table."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+def _dealt(df: DataFrame, key: str, part: int = 4 << 20, like: DataFrame | None = None) -> DataFrame:
+    """df by key in parts of about so many bytes of its files, or those of like, so that what a
+    task holds does not grow with the table."""
+    size = int((like or df)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // part), 100_000)), key)
 
 
@@ -64,17 +64,22 @@ def note_lines(spark: SparkSession, sf_dir: str, together: bool = False) -> Data
     )
 
 
-def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """commit_key, prompt_index, text: user turns, numbered within a conversation."""
+def prompts(spark: SparkSession, sf_dir: str, together: bool = False) -> DataFrame:
+    """commit_key, prompt_index, text: user turns, numbered within a conversation. together:
+    dealt by commit as note_lines are."""
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
+    c = _dealt(c, "conv_id", like=table(spark, sf_dir, "lineitem")) if together else c
     from pyspark.sql import Window as W
 
     return c.select(F.col("conv_id").alias("commit_key"), (F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "text")) - 1).cast("long").alias("prompt_index"), "text", F.array(F.concat(F.lit("src/f"), (F.col("conv_id") % 50).cast("string"))).alias("affected_files"))
 
 
-def blame_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """commit_key, path, final_start, orig_start, n_lines: one hunk per line item."""
-    return table(spark, sf_dir, "lineitem").select(
+def blame_hunks(spark: SparkSession, sf_dir: str, together: bool = False) -> DataFrame:
+    """commit_key, path, final_start, orig_start, n_lines: one hunk per line item. together:
+    dealt by commit as note_lines are."""
+    li = table(spark, sf_dir, "lineitem")
+    li = _dealt(li, "l_orderkey") if together else li
+    return li.select(
         F.col("l_orderkey").alias("commit_key"), F.concat(F.lit("src/f"), (F.col("l_partkey") % 50).cast("string")).alias("path"),
         (F.col("l_orderkey") * 100 + F.col("l_linenumber") * 10).cast("long").alias("final_start"), F.col("l_linenumber").cast("long").alias("orig_start"), (F.col("l_suppkey") % 3 + 1).cast("long").alias("n_lines"),
     )
