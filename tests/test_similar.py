@@ -6,6 +6,7 @@ import pytest
 
 from tracelight.functions.similarity import similarity
 from tracelight.operators import similar as SI
+from tracelight.plans import catalog
 
 WORDS = ["alpha", "beta(", "x = 1", "return", "été", "  ", "}", "longer words here", "longer word here"]
 
@@ -48,3 +49,38 @@ def test_set_analysis(spark, monkeypatch, chunk, block):
             want[p, j] = row
     assert got == want and {r[0] for r in want.values()} == {"Original", "AI", "AIModified", "Human"}
     assert SI.set_analysis(originals.limit(0), edits.limit(0), finals.limit(0), ["path"]).collect() == []
+
+
+@pytest.mark.parametrize("chunk, block", [(1000, 10_000), (3, 4)])
+def test_files_analysis(spark, monkeypatch, chunk, block):
+    """Files analysed where they stand, long ones, repeated and null names among them, as tables are."""
+    monkeypatch.setattr(SI, "CHUNK", chunk)
+    monkeypatch.setattr(SI, "BLOCK", block)
+    rng = random.Random(22)
+    ends = ["\n", "\n", "\r\n", "\x1c\n", " \n", " \x85\n", "\r\r\n"]
+    text = lambda n: "".join(some_line(rng) + rng.choice(ends) for _ in range(rng.randrange(n))) + rng.choice(["", "x", "\r"])
+    rows = [(None if k == 30 else f"f{k % 25}", text(6), [(e + k, f"{k}-{e}", e, text(14)) for e in range(rng.randrange(4))], text(14)) for k in range(31)]
+    rows += [("none", None, None, text(9)), ("nulls", "a", [(0, "e", 0, None)], "b\n\nb"), ("empty", "", [], "")]
+    files = spark.createDataFrame(rows, "path string, original string, edits array<struct<edit_no int, edit_id string, prompt_index long, text string>>, final string")
+    edits = files.selectExpr("path", "inline(edits)")
+    want = SI.set_analysis(files.selectExpr("path", "original as text"), edits, files.selectExpr("path", "final as text"), ["path"])
+    got = SI.files_analysis(files, ["path"])
+    assert got.columns == want.columns and [f.dataType for f in got.schema] == [f.dataType for f in want.schema]
+    found = sorted(map(repr, want.collect()))
+    assert sorted(map(repr, got.collect())) == found and len(found) > 150
+    assert all(any(f"source_type='{t}'" in r for r in found) for t in ("Original", "AI", "AIModified", "Human"))
+
+
+def test_files_of_one_name(spark):
+    """Lines of the same number are told apart."""
+    t = lambda rows, schema: spark.createDataFrame(rows, schema)
+    edits = t([("f", 0, "e", 0, "abcdefghij\nklmnopqrst")], "path string, edit_no int, edit_id string, prompt_index long, text string")
+    finals = t([("f", "abcdefghiX"), ("f", "klmnopqrXX"), ("f", "0")], "path string, text string")
+    got = SI.set_analysis(t([], "path string, text string"), edits, finals, ["path"])
+    assert sorted((r.content, r.source_type, r.similarity) for r in got.collect()) == [("0", "Human", None), ("abcdefghiX", "AIModified", 0.9), ("klmnopqrXX", "AIModified", 0.8)]
+
+
+def test_texts_stay_where_they_are(spark):
+    """Of documents with names of their own nothing is joined or moved by line."""
+    plan = catalog.QUERIES["X1_set_analysis"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan and "hashpartitioning" not in plan

@@ -827,10 +827,10 @@ def _(spark, d):
 
 @op("X1_set_analysis")
 def _(spark, d):
-    """With the lines that resemble one by AI, looked for in blocks."""
-    v = P.file_versions(spark, d)
-    edits = v.select("path", F.lit(0).alias("edit_no"), F.lit("e0").alias("edit_id"), F.lit(0).cast("long").alias("prompt_index"), F.col("ai").alias("text"))
-    return similar.set_analysis(v.select("path", F.col("original").alias("text")), edits, v.select("path", F.col("final").alias("text")), ["path"])
+    """With the lines that resemble one by AI, looked for where the file stands, in blocks if it is long."""
+    v = P.file_versions(spark, d, dealt=True)
+    edit = F.struct(F.lit(0).alias("edit_no"), F.lit("e0").alias("edit_id"), F.lit(0).cast("long").alias("prompt_index"), F.col("ai").alias("text"))
+    return similar.files_analysis(v.select("path", "original", F.array(edit).alias("edits"), "final"), ["path"])
 
 
 @op("X2_three_way")
