@@ -110,7 +110,7 @@ def analyse(original: str, edits: list[dict], final: str, threshold: float = THR
     return out
 
 
-def _whole(files: DataFrame, by: list[str], threshold: float) -> DataFrame:
+def _whole(files: DataFrame, by: list[str], threshold: float, parts: int | None) -> DataFrame:
     """Files that are analysed where they stand."""
     schema = StructType([*files.select(*by).schema.fields, *StructType.fromDDL(", ".join(f"{n} {t}" for n, t, _ in _ROW)).fields])
     n_keys = len(by)
@@ -128,20 +128,22 @@ def _whole(files: DataFrame, by: list[str], threshold: float) -> DataFrame:
             at = pa.array(np.repeat(np.arange(b.num_rows), sizes))
             yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in range(n_keys)), *(pa.array(c, t) for c, (_, _, t) in zip(cols, _ROW))], names=schema.names)
 
-    return files.select(*by, "original", "edits", "final").mapInArrow(run, schema)
+    files = files.select(*by, "original", "edits", "final")
+    return (files.repartition(parts) if parts else files).mapInArrow(run, schema)
 
 
-def files_analysis(files: DataFrame, by: list[str], threshold: float = THRESHOLD) -> DataFrame:
+def files_analysis(files: DataFrame, by: list[str], threshold: float = THRESHOLD, parts: int | None = None) -> DataFrame:
     """files(by, original, edits array<struct<edit_no, edit_id, prompt_index, text>>, final): as
     set_analysis(), whose tables would move each text several times. Here only the lines of files
-    that are beyond a block or stand in several rows are moved."""
+    that are beyond a block or stand in several rows are moved. parts: the other files are dealt
+    out in so many first, for a small table that is read in few."""
     ends = lambda text: F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))), F.lit(0))
     long_ = (ends(F.col("final")) >= CHUNK) | (F.coalesce(F.aggregate("edits", F.lit(0), lambda n, e: n + ends(e["text"]) + 1), F.lit(0)) > BLOCK)
     sized = files.select(*by, long_.alias("_long")).groupBy(*by).agg(F.count("*").alias("n"), F.bool_or("_long").alias("_long"))
     apart = Scratch(files.sparkSession, "apart").write(sized.where("n > 1 or _long").select(*by))
     if apart.isEmpty():
-        return _whole(files, by, threshold)
-    whole = _whole(files.join(apart, by, "left_anti"), by, threshold)
+        return _whole(files, by, threshold, parts)
+    whole = _whole(files.join(apart, by, "left_anti"), by, threshold, parts)
     rest = files.join(apart, by, "left_semi")
     tables = rest.select(*by, F.col("original").alias("text")), rest.select(*by, F.inline("edits")), rest.select(*by, F.col("final").alias("text"))
     return whole.unionByName(set_analysis(*tables, by, threshold))

@@ -828,9 +828,9 @@ def _(spark, d):
 @op("X1_set_analysis")
 def _(spark, d):
     """With the lines that resemble one by AI, looked for where the file stands, in blocks if it is long."""
-    v = P.file_versions(spark, d, dealt=True)
+    v = P.file_versions(spark, d)
     edit = F.struct(F.lit(0).alias("edit_no"), F.lit("e0").alias("edit_id"), F.lit(0).cast("long").alias("prompt_index"), F.col("ai").alias("text"))
-    return similar.files_analysis(v.select("path", "original", F.array(edit).alias("edits"), "final"), ["path"])
+    return similar.files_analysis(v.select("path", "original", F.array(edit).alias("edits"), "final"), ["path"], parts=P.parts_to_deal(P.table(spark, d, "documents")))
 
 
 @op("X2_three_way")

@@ -90,14 +90,16 @@ def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), F.try_element_at(kinds, F.col("event_type")).alias("event"), F.col("user_id").cast("string").alias("user"))
 
 
-def file_versions(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+def parts_to_deal(df: DataFrame) -> int | None:
+    """Two parts a core for a table that is read in fewer, none for one that is read in as many."""
+    parts = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return parts if df.rdd.getNumPartitions() < parts else None
+
+
+def file_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, original, ai, final: every 3rd line is new in ai; in final every 7th line
-    is edited, every 11th replaced. dealt: documents in fewer than two parts a core are dealt
-    out; those in more stay where they are read."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    parts = 2 * spark.sparkContext.defaultParallelism
-    d = d.repartition(parts) if dealt and d.rdd.getNumPartitions() < parts else d
-    d = d.select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), lines(F.col("text")).alias("l"))
+    is edited, every 11th replaced."""
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), lines(F.col("text")).alias("l"))
     keep = F.filter("l", lambda x, i: i % 3 != 1)
     final = F.transform("l", lambda x, i: F.when(i % 11 == 10, F.concat(F.lit("human "), i.cast("string"))).when(i % 7 == 6, F.concat(x, F.lit(" !"))).otherwise(x))
     return d.select("path", F.array_join(keep, "\n").alias("original"), F.array_join("l", "\n").alias("ai"), F.array_join(final, "\n").alias("final"))
